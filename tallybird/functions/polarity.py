@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybird.functions.text import let
-
 # The published constants of the rules.
 BOOST, CAPITALS, NEGATION = 0.293, 0.733, -0.74
-DAMPING = {1: 1.0, 2: 0.95, 3: 0.9}
+DAMPING = [1.0, 0.95, 0.9]  # by distance 1, 2, 3
 BEFORE_BUT, AFTER_BUT = 0.5, 1.5
 EXCLAMATION, MOST_EXCLAMATIONS = 0.292, 4
 QUESTION, MANY_QUESTIONS = 0.18, 0.96
@@ -70,97 +68,99 @@ def lexicon_from_table(table: DataFrame, at_most: int = 100_000) -> dict[str, fl
     return {row["token"]: float(row["valence"]) for row in table.select("token", "valence").collect()}
 
 
-def words_of(text: Column) -> Column:
-    """Tokens without the punctuation around them; single characters carry no polarity."""
-    bare = F.transform(F.split(text, r"\s+"), lambda w: F.btrim(w, F.lit(PUNCTUATION)))
-    return F.filter(bare, lambda w: F.length(w) > 1)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _among(word: str, tokens: Iterable[str]) -> str:
+    """A constant IN list, which Spark tests by hash."""
+    listed = ", ".join(_quoted(t) for t in tokens)
+    return f"{word} IN ({listed})" if listed else "false"
 
 
-def _valence(word: Column, lexicon: Mapping[str, float]) -> Column:
+def _valence(word: str, lexicon: Mapping[str, float]) -> str:
     """One hashed set test per distinct valence, however long the lexicon."""
     words: dict[float, list[str]] = {}
     for token, value in lexicon.items():
         words.setdefault(value, []).append(token)
-    return F.coalesce(*[F.when(word.isin(tokens), v) for v, tokens in words.items()], F.lit(0.0))
+    cases = " ".join(f"WHEN {_among(word, tokens)} THEN {v}D" for v, tokens in words.items())
+    return f"CASE {cases} ELSE 0D END" if cases else "0D"
+
+
+def _is_capital(word: str) -> str:
+    return f"({word} = upper({word}) AND {word} <> lower({word}))"
 
 
-def _is_capital(word: Column) -> Column:
-    return (word == F.upper(word)) & (word != F.lower(word))
+def _let(name: str, value: str, body: str) -> str:
+    """Evaluate ``value`` once per row under ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _count(text: Column, mark: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+def _count(text: str, mark: str) -> str:
+    return f"(length({text}) - length(replace({text}, '{mark}', '')))"
 
 
-def _emphasis(text: Column) -> Column:
-    exclamations = F.least(_count(text, "!"), F.lit(MOST_EXCLAMATIONS)) * EXCLAMATION
+def _emphasis(text: str) -> str:
     questions = _count(text, "?")
-    asked = F.when(questions > 3, MANY_QUESTIONS).when(questions > 1, questions * QUESTION)
-    return exclamations + F.coalesce(asked, F.lit(0.0))
-
-
-def polarity(text: Column, lexicon: Mapping[str, float] = LEXICON) -> Column:
-    """Compound polarity in [-1, 1], four digits. Linear in the length of the text: only lexicon
-    words are weighed, each looking back at the three words before it."""
-    boosters = [*STRENGTHEN, *WEAKEN]
-    scored = [token for token in lexicon if token not in boosters]
-
-    def look_back(words: Column, lower: Column, hit: Column, mixed: Column) -> Column:
-        def step(value: Column, distance: Column) -> Column:
-            at = hit["at"] - distance
-            before = F.get(lower, at)
-            amount = (
-                F.when(before.isin(STRENGTHEN), BOOST).when(before.isin(WEAKEN), -BOOST)
-            )
-            towards = F.when(value < 0, -1.0).otherwise(1.0)
-            shouted = F.when(mixed & _is_capital(F.get(words, at)), CAPITALS).otherwise(0.0)
-            shouted = F.when(value > 0, shouted).otherwise(-shouted)
-            damping = F.when(distance == 1, DAMPING[1]).when(distance == 2, DAMPING[2])
-            damping = damping.otherwise(DAMPING[3])
-            boosted = value + F.coalesce((amount * towards + shouted) * damping, F.lit(0.0))
-            negated = before.isin(NEGATE) | before.endswith("n't")
-            moved = F.when(negated, boosted * NEGATION).otherwise(boosted)
-            return F.when(before.isNull() | before.isin(list(lexicon)), value).otherwise(moved)
-
-        base = _valence(hit["word"], lexicon)
-        loud = mixed & _is_capital(F.get(words, hit["at"]))
-        base = base + F.when(loud, F.when(base < 0, -CAPITALS).otherwise(CAPITALS)).otherwise(0.0)
-        return F.aggregate(F.lit([1, 2, 3]), base, step)
-
-    def total(words: Column, lower: Column) -> Column:
-        numbered = F.transform(lower, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
-        hits = F.filter(numbered, lambda h: h["word"].isin(scored))
-        context = F.struct(
-            (
-                F.exists(words, lambda w: ~_is_capital(w)) & F.exists(words, _is_capital)
-            ).alias("mixed"),
-            F.array_position(lower, F.lit("but")).alias("but"),
-        )
-
-        def weighed(c: Column) -> Column:
-            def one(sum_: Column, hit: Column) -> Column:
-                place = hit["at"] + 1
-                side = (
-                    F.when((c["but"] > 0) & (place < c["but"]), BEFORE_BUT)
-                    .when((c["but"] > 0) & (place > c["but"]), AFTER_BUT)
-                    .otherwise(1.0)
-                )
-                return sum_ + look_back(words, lower, hit, c["mixed"]) * side
-
-            return F.aggregate(hits, F.lit(0.0), one)
-
-        return let(context, weighed)
-
-    def compound(sum_: Column) -> Column:
-        pushed = (
-            F.when(sum_ > 0, sum_ + _emphasis(text))
-            .when(sum_ < 0, sum_ - _emphasis(text))
-            .otherwise(sum_)
-        )
-        return let(pushed, lambda s: F.round(s / F.sqrt(s * s + NORMALISER), 4))
-
-    raw = let(
-        words_of(text),
-        lambda words: let(F.transform(words, F.lower), lambda lower: total(words, lower)),
+    return (
+        f"(least({_count(text, '!')}, {MOST_EXCLAMATIONS}) * {EXCLAMATION}D"
+        f" + CASE WHEN {questions} > 3 THEN {MANY_QUESTIONS}D"
+        f" WHEN {questions} > 1 THEN {questions} * {QUESTION}D ELSE 0D END)"
+    )
+
+
+def _moved_by_neighbour(lexicon: Mapping[str, float]) -> str:
+    """A word's value after a look at the word ``d`` places before it: boosted, then negated."""
+    before, shown = "get(low, h.at - d)", "get(words, h.at - d)"
+    sign = "CASE WHEN v < 0 THEN -1D ELSE 1D END"
+    loud = f"CASE WHEN c.mixed AND {_is_capital(shown)} THEN {CAPITALS}D ELSE 0D END"
+    loud = f"{loud} * CASE WHEN v > 0 THEN 1D ELSE -1D END"
+    damping = f"element_at(array({', '.join(f'{d}D' for d in DAMPING)}), d)"
+    boosted = (
+        f"CASE WHEN {_among(before, STRENGTHEN)} THEN v + ({BOOST}D * {sign} + {loud}) * {damping}"
+        f" WHEN {_among(before, WEAKEN)} THEN v + (-{BOOST}D * {sign} + {loud}) * {damping}"
+        " ELSE v END"
+    )
+    negated = f"({_among(before, NEGATE)} OR endswith({before}, 'n\\'t'))"
+    return (
+        f"CASE WHEN {before} IS NULL OR {_among(before, lexicon)} THEN v"
+        f" ELSE ({boosted}) * CASE WHEN {negated} THEN {NEGATION}D ELSE 1D END END"
+    )
+
+
+def polarity(text: str, lexicon: Mapping[str, float] = LEXICON) -> Column:
+    """Compound polarity in [-1, 1] of the column named ``text``, four digits.
+
+    Linear in the length of the text: words are told from the rest by a hashed test, and only
+    lexicon words are weighed, each looking back at the three words before it.
+    """
+    column = f"`{text}`"
+    shifters = {*STRENGTHEN, *WEAKEN}
+    scored = [token for token in lexicon if token not in shifters]
+    tokens = (
+        f"filter(transform(split({column}, '\\\\s+'), w -> btrim(w, {_quoted(PUNCTUATION)})),"
+        " w -> length(w) > 1)"
+    )
+    hits = (
+        "filter(transform(low, (w, i) -> named_struct('at', i, 'word', w)),"
+        f" h -> {_among('h.word', scored)})"
+    )
+    context = (
+        f"named_struct('mixed', exists(words, w -> NOT {_is_capital('w')})"
+        f" AND exists(words, w -> {_is_capital('w')}), 'but', array_position(low, 'but'))"
+    )
+    base = (
+        f"{_valence('h.word', lexicon)} + CASE WHEN c.mixed AND {_is_capital('get(words, h.at)')}"
+        f" THEN {CAPITALS}D * sign({_valence('h.word', lexicon)}) ELSE 0D END"
+    )
+    side = (
+        f"CASE WHEN c.but > 0 AND h.at + 1 < c.but THEN {BEFORE_BUT}D"
+        f" WHEN c.but > 0 AND h.at + 1 > c.but THEN {AFTER_BUT}D ELSE 1D END"
     )
-    return F.when(text.isNotNull(), let(raw, compound))
+    value = f"aggregate(array(1, 2, 3), {base}, (v, d) -> {_moved_by_neighbour(lexicon)})"
+    total = f"aggregate({hits}, 0D, (total, h) -> total + {value} * {side})"
+    total = _let("words", tokens, _let("low", "transform(words, w -> lower(w))",
+                                       _let("c", context, total)))
+    pushed = f"t + sign(t) * {_emphasis(column)}"
+    compound = _let("s", pushed, f"round(s / sqrt(s * s + {NORMALISER}), 4)")
+    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {_let('t', total, compound)} END")

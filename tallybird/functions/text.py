@@ -18,11 +18,3 @@ def title_case(col: Column) -> Column:
     """
     runs = F.regexp_extract_all(col, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(F.transform(runs, F.initcap), "")
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it in ``body`` as often as needed.
-
-    A column that is only mentioned inside a lambda would be evaluated again for each element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)

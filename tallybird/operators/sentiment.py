@@ -31,7 +31,7 @@ SEPARATOR = ", "
 def sentiment_scores(
     reviews: DataFrame, text: str = "review_text", lexicon: Mapping[str, float] = LEXICON
 ) -> DataFrame:
-    return reviews.withColumn("sentiment_score", polarity(F.col(text), lexicon))
+    return reviews.withColumn("sentiment_score", polarity(text, lexicon))
 
 
 def sentiment_label(score: Column) -> Column:
