@@ -561,10 +561,17 @@ SELECT segment, round(avg(CAST(monetary AS DOUBLE)), 4) AS avg_monetary FROM seg
 
 _INTEGER_FEATURES = ["age", "tenure_days", "frequency", "review_count", "campaigns_targeted",
                      "total_conversions"]
-_NUMERIC = ", ".join(_big(c) if c in _INTEGER_FEATURES else _dbl(c) for c in NUMERIC)
+
+
+def _numeric(digits: int) -> str:
+    return ", ".join(
+        _big(c) if c in _INTEGER_FEATURES else _dbl(c, digits=digits) for c in NUMERIC
+    )
+
+
 Q["churn_features"] = f"""
 SELECT customer_id, customer_name, gender, city, signup_date, customer_segment,
-  {_big('churned')}, preferred_payment_method, {_NUMERIC} FROM feat"""
+  {_big('churned')}, preferred_payment_method, {_numeric(9)} FROM feat"""
 Q["churn_rate"] = """
 SELECT CAST(churned AS BIGINT) AS churned, count(*) AS num_customers,
   round(count(*) / CAST((SELECT count(*) FROM feat) AS DOUBLE), 6) AS share FROM feat GROUP BY 1"""
@@ -577,7 +584,7 @@ _LEVELS = {
 _DUMMIES = ", ".join(
     f"""CAST({c} = {_text(v)} AS BIGINT) AS "{c}_{v}" """ for c, vs in _LEVELS.items() for v in vs
 )
-Q["one_hot_features"] = f"SELECT customer_id, {_big('churned')}, {_NUMERIC}, {_DUMMIES} FROM feat"
+Q["one_hot_features"] = f"SELECT customer_id, {_big('churned')}, {_numeric(6)}, {_DUMMIES} FROM feat"
 _KNOWN = {
     "gender_Male": "CAST(gender = 'Male' AS BIGINT)",
     "city_Nation_7": "CAST(city = 'Nation_7' AS BIGINT)",
@@ -659,7 +666,7 @@ FROM (SELECT unnest(string_split(topics, ', ')) AS topic FROM tagged
   WHERE sentiment_label = 'Negative') GROUP BY 1"""
 Q["sentiment_business_link"] = f"""
 SELECT customer_id, segment, monetary, {_big('frequency', 'recency_days')},
-  {_dbl('avg_sentiment_score')}, {_big('churned')} FROM link"""
+  {_dbl('avg_sentiment_score', digits=10)}, {_big('churned')} FROM link"""
 Q["sentiment_by_group"] = """
 SELECT 'segment' AS dimension, segment AS value, round(avg(avg_sentiment_score), 6) AS avg_sentiment
 FROM link GROUP BY 2

@@ -235,7 +235,7 @@ def segment_avg_value(spark, folder):
 
 @_query
 def churn_features(spark, folder):
-    return plain(churn.features_of(spark, folder))
+    return plain(churn.features_of(spark, folder), digits=9)
 
 
 @_query
@@ -483,7 +483,7 @@ for _fn in (
 
 @_query
 def sentiment_business_link(spark, folder):
-    return plain(_link(spark, folder))
+    return plain(_link(spark, folder), avg_sentiment_score=10)
 
 
 @_query

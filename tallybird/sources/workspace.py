@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Let iterative jobs cut their lineage in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
