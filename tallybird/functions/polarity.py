@@ -161,6 +161,9 @@ def polarity(text: str, lexicon: Mapping[str, float] = LEXICON) -> Column:
     total = f"aggregate({hits}, 0D, (total, h) -> total + {value} * {side})"
     total = _let("words", tokens, _let("low", "transform(words, w -> lower(w))",
                                        _let("c", context, total)))
-    pushed = f"t + sign(t) * {_emphasis(column)}"
+    # the column is named once more here, inside a lambda: its variable must not hide it
+    inner = f"{text}_sum"
+    pushed = f"`{inner}` + sign(`{inner}`) * {_emphasis(column)}"
     compound = _let("s", pushed, f"round(s / sqrt(s * s + {NORMALISER}), 4)")
-    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {_let('t', total, compound)} END")
+    scored_text = _let(f"`{inner}`", total, compound)
+    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {scored_text} END")

@@ -121,62 +121,55 @@ def _nulls(name: str) -> Column:
     return F.count(F.when(F.col(name).isNull(), 1))
 
 
-def _lines(table: str, before: DataFrame, rows: DataFrame, *checks: tuple[str, Column]):
-    """Rows (table, check, value) from one aggregate over the raw and one over the deduped rows."""
+def _lines(
+    table: str, before: DataFrame, rows: DataFrame, checks: dict[str, Column]
+) -> DataFrame:
+    """Rows (table, check, value) from one count of the raw and one aggregate of the deduped
+    rows."""
     n_before = before.agg(F.count(F.lit(1))).scalar()
-    stats = rows.agg(F.count(F.lit(1)).alias("_n"), *[value.alias(name) for name, value in checks])
-    named = [(name, F.col(name)) for name, _ in checks]
-    pairs = [("duplicates_removed", n_before - F.col("_n")), *named]
-    entries = F.array(
-        *[F.struct(F.lit(n).alias("check_name"), v.cast("double").alias("value")) for n, v in pairs]
-    )
-    return stats.select(F.lit(table).alias("table_name"), F.inline(entries))
+    counted = [value.alias(name) for name, value in checks.items()]
+    stats = rows.agg(F.count(F.lit(1)).alias("_n"), *counted)
+    values = {"duplicates_removed": n_before - F.col("_n")}
+    values |= {name: F.col(name) for name in checks}
+    values.setdefault("rows_saved", F.col("_n"))
+    entries = [
+        F.struct(F.lit(name).alias("check_name"), value.cast("double").alias("value"))
+        for name, value in values.items()
+    ]
+    return stats.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
 
 
-def _line(table: str, check: str, value: Column, df: DataFrame) -> DataFrame:
-    return df.agg(value.cast("double").alias("value")).select(
-        F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), "value"
+def _middle(table: str, column: str, df: DataFrame, small_domain: bool) -> DataFrame:
+    return df.sparkSession.range(1).select(
+        F.lit(table).alias("table_name"),
+        F.lit(f"median_{column}").alias("check_name"),
+        median(df, column, small_domain=small_domain).alias("value"),
     )
 
 
 def cleaning_report(raw: dict[str, DataFrame]) -> DataFrame:
     """What each cleaning step removed or filled, as rows of (table, check, value)."""
     deduped = {name: df.dropDuplicates() for name, df in raw.items()}
-    customers, reviews = deduped["customers"], deduped["reviews"]
-    products = _possible_inventory(deduped["products"])
-    orders = _possible_orders(deduped["orders"])
     possible = F.coalesce((F.col("quantity") > 0) & (F.col("price") > 0), F.lit(False))
-
-    def saved(name: str, df: DataFrame) -> DataFrame:
-        return _line(name, "rows_saved", F.count(F.lit(1)), df)
-
-    def middle(name: str, column: str, df: DataFrame, small: bool) -> DataFrame:
-        one = df.sparkSession.range(1)
-        return one.select(
-            F.lit(name).alias("table_name"),
-            F.lit(f"median_{column}").alias("check_name"),
-            median(df, column, small_domain=small).alias("value"),
-        )
-
-    parts = [
-        _lines("customers", raw["customers"], customers,
-               ("age_filled", _nulls("age")), ("gender_filled", _nulls("gender"))),
-        _lines("products", raw["products"], products, ("inventory_filled", _nulls("inventory"))),
-        _lines("orders", raw["orders"], deduped["orders"],
-               ("impossible_removed", F.count(F.when(~possible, 1))),
-               ("delivery_time_filled",
-                F.count(F.when(possible & F.col("delivery_time").isNull(), 1)))),
-        _lines("reviews", raw["reviews"], reviews, ("review_text_filled", _nulls("review_text"))),
-        _lines("marketing", raw["marketing"], deduped["marketing"],
-               ("spend_filled", _nulls("spend"))),
-        middle("customers", "age", customers, True),
-        middle("products", "inventory", products, False),
-        middle("orders", "delivery_time", orders, True),
-        middle("marketing", "spend", deduped["marketing"], False),
-        saved("customers", customers),
-        saved("products", products),
-        saved("orders", orders),
-        saved("reviews", reviews),
-        saved("marketing", deduped["marketing"]),
+    no_time = F.col("delivery_time").isNull()
+    products = _possible_inventory(deduped["products"])
+    checks = {
+        "customers": {"age_filled": _nulls("age"), "gender_filled": _nulls("gender")},
+        "products": {"inventory_filled": _nulls("inventory")},
+        "orders": {
+            "impossible_removed": F.count(F.when(~possible, 1)),
+            "delivery_time_filled": F.count(F.when(possible & no_time, 1)),
+            "rows_saved": F.count(F.when(possible, 1)),
+        },
+        "reviews": {"review_text_filled": _nulls("review_text")},
+        "marketing": {"spend_filled": _nulls("spend")},
+    }
+    rows = {**deduped, "products": products}
+    parts = [_lines(name, raw[name], rows[name], found) for name, found in checks.items()]
+    parts += [
+        _middle("customers", "age", deduped["customers"], True),
+        _middle("products", "inventory", products, False),
+        _middle("orders", "delivery_time", _possible_orders(deduped["orders"]), True),
+        _middle("marketing", "spend", deduped["marketing"], False),
     ]
     return reduce(DataFrame.unionByName, parts)

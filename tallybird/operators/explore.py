@@ -142,18 +142,40 @@ def tukey_outliers(df: DataFrame, small_domain: dict[str, bool]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x, y, r) for every ordered pair of columns, from one aggregate over the upper half."""
+    """(x, y, r) for every ordered pair of columns, over the rows where both are known.
+
+    A row is unfolded into its column pairs (upper half) and folded again in the same task, so a
+    few sums per pair are shuffled; one aggregate with all pairs side by side would be too large
+    a piece of generated code.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    totals = df.agg(
-        *[safe_corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs]
+    unfolded = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("pair"),
+                F.col(a).cast("double").alias("a"),
+                F.col(b).cast("double").alias("b"),
+            )
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    found = (
+        df.select(F.inline(unfolded))
+        .groupBy("pair")
+        .agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
+    )
+    named = F.element_at(
+        F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs]),
+        F.col("pair") + 1,
+    )
+    upper = found.select(named.alias("n"), "r").select("n.x", "n.y", "r")
+    same = F.col("x") == F.col("y")
+    turned = F.explode(F.when(same, F.lit([False])).otherwise(F.lit([False, True])))
+    return upper.withColumn("turned", turned).select(
+        F.when(F.col("turned"), F.col("y")).otherwise(F.col("x")).alias("x"),
+        F.when(F.col("turned"), F.col("x")).otherwise(F.col("y")).alias("y"),
+        "r",
     )
-
-    def entry(x: str, y: str, name: str) -> Column:
-        return F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"`{name}`").alias("r"))
-
-    entries = [entry(a, b, f"{a}|{b}") for a, b in pairs]
-    entries += [entry(b, a, f"{a}|{b}") for a, b in pairs if a != b]
-    return _long(totals, entries)
 
 
 def monthly_revenue(orders: DataFrame) -> DataFrame:

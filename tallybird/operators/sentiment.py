@@ -57,12 +57,16 @@ def topic_array(text: Column, topics: Mapping[str, list[str]] = TOPICS) -> Colum
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_TOPIC)))
 
 
+def topic_tags(text: Column, topics: Mapping[str, list[str]] = TOPICS) -> Column:
+    return F.array_join(topic_array(text, topics), SEPARATOR)
+
+
 def review_sentiment(reviews: DataFrame, lexicon: Mapping[str, float] = LEXICON) -> DataFrame:
     """The reviews with sentiment_score, sentiment_label, topics and rating_based_sentiment."""
     return sentiment_scores(reviews, lexicon=lexicon).select(
         "*",
         sentiment_label(F.col("sentiment_score")).alias("sentiment_label"),
-        F.array_join(topic_array(F.col("review_text")), SEPARATOR).alias("topics"),
+        topic_tags(F.col("review_text")).alias("topics"),
         rating_label(F.col("rating")).alias("rating_based_sentiment"),
     )
 

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from tallybird.operators import churn_models as models
 from tallybird.operators.churn_features import churn_features
 from tallybird.operators.classification import select_best_model
-from tallybird.plans.warehouse import star_schema
-from tallybird.sources.sinks import replace_table
-from tallybird.sources.workspace import is_complete, path_exists, staging_path
+from tallybird.plans.warehouse import staged, star_schema
+from tallybird.sources.workspace import is_complete, staging_path
 
 
 def features_of(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,17 +21,13 @@ def features_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def staged_features(spark: SparkSession, folder: str) -> DataFrame:
     """The feature table, written once: training passes over it many times."""
-    path = f"{staging_path(spark, folder)}/churn/features"
-    if not is_complete(spark, path):
-        features_of(spark, folder).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return staged(spark, folder, "churn_features", lambda: features_of(spark, folder))
 
 
 def staged_split(spark: SparkSession, folder: str):
     """(train, test, matrix columns, levels), the split written once."""
-    rows, columns, levels = models.split_input(staged_features(spark, folder))
-    path = f"{staging_path(spark, folder)}/churn/split"
-    rows = spark.read.parquet(path) if is_complete(spark, path) else replace_table(rows, path)
+    split, columns, levels = models.split_input(staged_features(spark, folder))
+    rows = staged(spark, folder, "churn_split", lambda: split)
     train, test = (rows.where(F.col("is_test") == part).drop("is_test") for part in (0, 1))
     return train, test, columns, levels
 
@@ -49,7 +44,7 @@ def scored_test(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def stored_model(spark: SparkSession, folder: str, name: str) -> models.Trained:
     path = f"{staging_path(spark, folder)}/churn/{name.replace(' ', '_')}"
-    if not path_exists(spark, f"{path}/about/_SUCCESS"):
+    if not is_complete(spark, f"{path}/about"):
         scored_test(spark, folder, name)
     return models.load(spark, path)
 

@@ -24,7 +24,13 @@ from tallybird.operators import churn_features as features
 from tallybird.operators import churn_models as models
 from tallybird.operators import isolation_forest as forest
 from tallybird.plans import churn_training as churn
-from tallybird.plans.warehouse import landing_zone, load_star_schema, star_schema
+from tallybird.plans.warehouse import (
+    customer_rfm,
+    landing_zone,
+    load_star_schema,
+    review_sentiment,
+    star_schema,
+)
 from tallybird.schemas import RAW, STAR
 from tallybird.sources.landing import read_csv, read_raw, validation_report
 from tallybird.sources.retail_views import raw_tables, table
@@ -67,12 +73,14 @@ def _rfm(spark: SparkSession, folder: str) -> DataFrame:
     return rfm.customer_rfm(_orders(spark, folder))
 
 
-def _scored_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    return sentiment.review_sentiment(star_schema(spark, folder)["reviews"])
+def _reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return star_schema(spark, folder)["reviews"]
 
 
 def _link(spark: SparkSession, folder: str) -> DataFrame:
-    return sentiment.sentiment_business_link(_scored_reviews(spark, folder), _rfm(spark, folder))
+    return sentiment.sentiment_business_link(
+        review_sentiment(spark, folder), customer_rfm(spark, folder)
+    )
 
 
 def _anomalies(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,7 +130,7 @@ def key_violations(spark, folder):
 
 @_query
 def replace_derived_table(spark, folder):
-    target = f"{staging_path(spark, folder)}/derived/customer_rfm"
+    target = f"{staging_path(spark, folder)}/replaced/customer_rfm"
     written = replace_table(_rfm(spark, folder), target)
     export_csv(written, f"{target}.csv")
     return plain(read_csv(spark, f"{target}.csv", written.schema))
@@ -222,12 +230,12 @@ def rfm_segments(spark, folder):
 
 @_query
 def segment_counts(spark, folder):
-    return plain(rfm.segment_counts(_rfm(spark, folder)))
+    return plain(rfm.segment_counts(customer_rfm(spark, folder)))
 
 
 @_query
 def segment_avg_value(spark, folder):
-    return plain(rfm.segment_avg_value(_rfm(spark, folder)), digits=4)
+    return plain(rfm.segment_avg_value(customer_rfm(spark, folder)), digits=4)
 
 
 # ---- churn
@@ -443,8 +451,8 @@ def forecast_90day(spark, folder):
 
 @_query
 def sentiment_scores(spark, folder):
-    reviews = star_schema(spark, folder)["reviews"]
-    return plain(sentiment.sentiment_scores(reviews).select("review_id", "sentiment_score"))
+    scored = sentiment.sentiment_scores(_reviews(spark, folder))
+    return plain(scored.select("review_id", "sentiment_score"))
 
 
 @_query
@@ -455,21 +463,26 @@ def sentiment_scores_documents(spark, folder):
 
 @_query
 def sentiment_labels(spark, folder):
-    return _scored_reviews(spark, folder).select("review_id", "sentiment_label")
+    return sentiment.review_sentiment(_reviews(spark, folder)).select(
+        "review_id", "sentiment_label"
+    )
 
 
 @_query
 def review_topics(spark, folder):
-    return _scored_reviews(spark, folder).select("review_id", "topics")
+    return _reviews(spark, folder).select(
+        "review_id", sentiment.topic_tags(F.col("review_text")).alias("topics")
+    )
 
 
 @_query
 def rating_sentiment(spark, folder):
-    return _scored_reviews(spark, folder).select("review_id", "rating_based_sentiment")
+    label = sentiment.rating_label(F.col("rating"))
+    return _reviews(spark, folder).select("review_id", label.alias("rating_based_sentiment"))
 
 
 def _over_scored(fn: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[fn.__name__] = lambda spark, folder: plain(fn(_scored_reviews(spark, folder)))
+    QUERIES[fn.__name__] = lambda spark, folder: plain(fn(review_sentiment(spark, folder)))
 
 
 for _fn in (

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybird.operators import rfm, sentiment
 from tallybird.operators.cleaning import clean_all
 from tallybird.operators.quality import orphan_reviews, valid_reviews
 from tallybird.schemas import LOAD_ORDER, STAR, star_name
 from tallybird.sources.retail_views import raw_tables
-from tallybird.sources.sinks import append_if_empty, conform, export_csv
+from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
 from tallybird.sources.workspace import is_complete, staging_path
 
 
@@ -53,6 +54,29 @@ def star_schema(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return {name: star_table(spark, target, name) for name in STAR}
 
 
+def staged(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A derived table that several jobs read, written by the first of them."""
+    path = f"{staging_path(spark, folder)}/derived/{name}"
+    if not is_complete(spark, path):
+        return replace_table(build(), path)
+    return spark.read.parquet(path)
+
+
+def customer_rfm(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(
+        spark, folder, "customer_rfm", lambda: rfm.customer_rfm(star_schema(spark, folder)["orders"])
+    )
+
+
+def review_sentiment(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(
+        spark,
+        folder,
+        "review_sentiment",
+        lambda: sentiment.review_sentiment(star_schema(spark, folder)["reviews"]),
+    )
+
+
 def landing_zone(spark: SparkSession, folder: str) -> str:
     """The raw tables as headered CSV files, as an upstream system would deliver them."""
     target = f"{staging_path(spark, folder)}/landing"

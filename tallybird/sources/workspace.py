@@ -7,19 +7,21 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
+CHECKPOINT_DIR = "spark.checkpoint.dir"
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``. Only a local session may go without one."""
-    folder = spark.conf.get(_CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="tallybird-")
-    spark.conf.set(_CHECKPOINT_DIR, folder)
-    return folder
+    if not context.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tallybird-")
+    return _local_folders[context.applicationId]
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
