@@ -107,9 +107,9 @@ def seasonal_holdout_forecast(split: DataFrame, series: Sequence[str]) -> DataFr
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ds")
         train, test = pdf[pdf["part"] == "train"], pdf[pdf["part"] == "test"]
-        if train.empty:
-            return pdf.iloc[:0][series].assign(ds=[], y=[], yhat=[])
-        yhat, _ = _predict(_days(train["ds"]), train["y"].to_numpy(), _days(test["ds"]))
+        yhat = np.nan  # becomes NULL: nothing to learn from
+        if len(train):
+            yhat, _ = _predict(_days(train["ds"]), train["y"].to_numpy(), _days(test["ds"]))
         return test[[*series, "ds", "y"]].assign(yhat=yhat)
 
     schema = _series_schema(split, series, "ds date, y double, yhat double")
