@@ -14,7 +14,12 @@ import time
 
 from tallybird.plans.churn_training import staged_features
 from tallybird.plans.registry import QUERIES
-from tallybird.plans.warehouse import customer_rfm, review_sentiment, star_schema
+from tallybird.plans.warehouse import (
+    customer_rfm,
+    review_sentiment,
+    rfm_base,
+    star_schema,
+)
 from tallybird.session import local_session
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -37,6 +42,7 @@ def main() -> None:
     spark = local_session(CPUS, memory=os.environ.get("BENCH_MEMORY", "16g"))
     seconds = {
         "stage_star_schema": timed(lambda: star_schema(spark, FOLDER)),
+        "stage_rfm_base": timed(lambda: rfm_base(spark, FOLDER)),
         "stage_customer_rfm": timed(lambda: customer_rfm(spark, FOLDER)),
         "stage_review_sentiment": timed(lambda: review_sentiment(spark, FOLDER)),
         "stage_churn_features": timed(lambda: staged_features(spark, FOLDER)),

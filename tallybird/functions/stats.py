@@ -49,9 +49,9 @@ def running_total(
     """Add ``_upto`` (sum of ``weight`` up to and including the row, in order of ``value``,
     within ``by``) and ``_total`` (sum within ``by``).
 
-    ``value`` must be unique within ``by`` (aggregate first). A plain ordered window would sort a
-    whole group in one task; here only one range of it, and the ranges are chained by their
-    totals, which are at most ``buckets`` rows per group.
+    ``value`` must be unique within ``by`` (aggregate first), ``by`` must not be NULL. A plain
+    ordered window would sort a whole group in one task; here only one range of it, and the ranges
+    are chained by their totals, which are at most ``buckets`` rows per group.
     """
     by = list(by)
     placed = spread(df, value, buckets)
@@ -82,7 +82,9 @@ def running_total(
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    """(value, _n). NULL counts 0 instead of being filtered out: a filter would move below the
+    shuffle that made ``df``, which could then not be shared with the rest of the query."""
+    return df.groupBy(value).agg(F.count(value).alias("_n"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:

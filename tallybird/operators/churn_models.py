@@ -47,12 +47,16 @@ def model_columns(levels: dict[str, list[str]]) -> list[str]:
 
 
 def model_input(
-    features: DataFrame, levels: dict[str, list[str]], columns: Sequence[str]
+    features: DataFrame,
+    levels: dict[str, list[str]],
+    columns: Sequence[str],
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(customer_id, churned, features vector) in the trained column order."""
-    matrix = align(one_hot(features, levels), columns)
+    """(customer_id, churned, keep..., features vector) in the trained column order."""
+    keep = ["customer_id", "churned", *keep]
+    matrix = align(one_hot(features, levels, keep), columns, keep)
     values = F.array(*[F.col(f"`{c}`").cast("double") for c in columns])
-    return matrix.select("customer_id", "churned", array_to_vector(values).alias("features"))
+    return matrix.select(*keep, array_to_vector(values).alias("features"))
 
 
 def split_input(features: DataFrame) -> tuple[DataFrame, list[str], dict[str, list[str]]]:
@@ -132,22 +136,33 @@ def load(spark: SparkSession, path: str) -> Trained:
     return Trained(about["name"], model, about["columns"], about["levels"])
 
 
-def churn_predictions(
+def score_customers(
     features: DataFrame, trained: Trained, customer_ids: Sequence[int] | None = None
 ) -> DataFrame:
-    """Probability and risk level per customer, highest first. No ids, or an empty list, means
-    every customer."""
+    """Probability and risk level per customer. No ids, or an empty list, means every customer."""
     if customer_ids:
         features = features.where(F.col("customer_id").isin(list(customer_ids)))
-    scored = score(trained.model, model_input(features, trained.levels, trained.columns))
-    return (
-        features.select("customer_id", "customer_name")
-        .join(scored.drop("churned"), "customer_id")
-        .withColumn("risk_level", risk_level(F.col("churn_probability")))
-        .orderBy(F.desc("churn_probability"), "customer_id")
+    rows = model_input(features, trained.levels, trained.columns, keep=["customer_name"])
+    probability = vector_to_array("probability")[1]
+    return trained.model.transform(rows).select(
+        "customer_id",
+        "customer_name",
+        probability.alias("churn_probability"),
+        risk_level(probability).alias("risk_level"),
     )
 
 
+def by_risk(scored: DataFrame) -> DataFrame:
+    return scored.orderBy(F.desc("churn_probability"), "customer_id")
+
+
+def churn_predictions(
+    features: DataFrame, trained: Trained, customer_ids: Sequence[int] | None = None
+) -> DataFrame:
+    """``score_customers``, the likeliest to leave first."""
+    return by_risk(score_customers(features, trained, customer_ids))
+
+
 def feature_importance(spark: SparkSession, trained: Trained, k: int | None = 10) -> DataFrame:
     """Features by importance; empty for a model that has none."""
     importances = getattr(trained.model.stages[-1], "featureImportances", None)

@@ -49,21 +49,17 @@ def stored_model(spark: SparkSession, folder: str, name: str) -> models.Trained:
     return models.load(spark, path)
 
 
-def model_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """(model, label, score) of both models on the test part."""
+def best_model(spark: SparkSession, folder: str) -> models.Trained:
+    """The stored model with the better recall on the test part; a tie goes to the forest."""
     _, test, _, _ = staged_split(spark, folder)
+    known = {n: stored_model(spark, folder, n) for n in (models.LOGISTIC, models.FOREST)}
     parts = [
-        models.score(stored_model(spark, folder, name).model, test).select(
+        models.score(trained.model, test).select(
             F.lit(name).alias("model"),
             F.col("churned").alias("label"),
             F.col("churn_probability").alias("score"),
         )
-        for name in (models.LOGISTIC, models.FOREST)
+        for name, trained in known.items()
     ]
-    return parts[0].unionByName(parts[1])
-
-
-def best_model(spark: SparkSession, folder: str) -> models.Trained:
-    """The stored model with the better recall on the test part; a tie goes to the forest."""
-    winner = select_best_model(model_scores(spark, folder), models.FOREST).first()
-    return stored_model(spark, folder, winner["best_model"])
+    winner = select_best_model(parts[0].unionByName(parts[1]), models.FOREST).first()
+    return known[winner["best_model"]]

@@ -29,6 +29,8 @@ from tallybird.plans.warehouse import (
     landing_zone,
     load_star_schema,
     review_sentiment,
+    rfm_base,
+    staged,
     star_schema,
 )
 from tallybird.schemas import RAW, STAR
@@ -45,7 +47,7 @@ CORRELATED = ["quantity", "price", "discount", "delivery_time", "revenue"]
 
 
 def _query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__.removesuffix("_")] = fn
     return fn
 
 
@@ -70,7 +72,7 @@ def _orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rfm(spark: SparkSession, folder: str) -> DataFrame:
-    return rfm.customer_rfm(_orders(spark, folder))
+    return rfm.rfm_segments(rfm.rfm_scores(rfm_base(spark, folder)))
 
 
 def _reviews(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,15 +109,12 @@ def load_append_if_empty(spark, folder):
 
 
 @_query
-def load_star_schema_report(spark, folder):
+def load_star_schema_(spark, folder):
     target = f"{staging_path(spark, folder)}/star"
     clean = cleaning.clean_all(raw_tables(spark, folder))
     return plain(load_star_schema(spark, clean, target))
 
 
-QUERIES["load_star_schema"] = QUERIES.pop("load_star_schema_report")
-
-
 @_query
 def valid_reviews(spark, folder):
     raw = raw_tables(spark, folder)
@@ -220,7 +219,7 @@ def campaign_roi(spark, folder):
 
 @_query
 def rfm_scores(spark, folder):
-    return plain(rfm.rfm_scores(rfm.rfm_base(_orders(spark, folder))))
+    return plain(rfm.rfm_scores(rfm_base(spark, folder)))
 
 
 @_query
@@ -337,8 +336,12 @@ def feature_importance(spark, folder):
 
 @_query
 def churn_predictions(spark, folder):
-    trained = churn.best_model(spark, folder)
-    return plain(models.churn_predictions(churn.staged_features(spark, folder), trained))
+    def scored() -> DataFrame:
+        trained = churn.best_model(spark, folder)
+        return models.score_customers(churn.staged_features(spark, folder), trained)
+
+    # written before it is sorted: a sort reads its input twice, which would score twice
+    return plain(models.by_risk(staged(spark, folder, "churn_predictions", scored)))
 
 
 @_query
@@ -372,10 +375,15 @@ def anomaly_alerts(spark, folder):
 
 
 def _forest_flags(spark: SparkSession, folder: str) -> DataFrame:
-    path = f"{staging_path(spark, folder)}/daily"
-    days = replace_table(daily.daily_metrics(_orders(spark, folder)), f"{path}/metrics")
-    scores = forest.isolation_scores(days, "order_date", daily.METRICS)
-    return forest.isolation_flags(days, replace_table(scores, f"{path}/scores"), "order_date")
+    """The days and their scores are written first: trees, scores and cut-off all read them."""
+    days = staged(spark, folder, "daily_metrics", lambda: daily.daily_metrics(_orders(spark, folder)))
+    scores = staged(
+        spark,
+        folder,
+        "isolation_scores",
+        lambda: forest.isolation_scores(days, "order_date", daily.METRICS),
+    )
+    return forest.isolation_flags(days, scores, "order_date")
 
 
 @_query

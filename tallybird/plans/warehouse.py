@@ -62,9 +62,19 @@ def staged(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def rfm_base(spark: SparkSession, folder: str) -> DataFrame:
+    """Scoring reads recency, frequency and value several times over; the orders only once."""
+    return staged(
+        spark, folder, "rfm_base", lambda: rfm.rfm_base(star_schema(spark, folder)["orders"])
+    )
+
+
 def customer_rfm(spark: SparkSession, folder: str) -> DataFrame:
     return staged(
-        spark, folder, "customer_rfm", lambda: rfm.customer_rfm(star_schema(spark, folder)["orders"])
+        spark,
+        folder,
+        "customer_rfm",
+        lambda: rfm.rfm_segments(rfm.rfm_scores(rfm_base(spark, folder))),
     )
 
 
