@@ -28,8 +28,8 @@ from tallybird.llm.tokens import LETTERS, LOWER, mix, random_words, text_slices,
 
 SIMILARITY = 0.8
 REPEATS = 3
-STEPS = 12
-SAMPLES = 6
+STEPS = 14
+SAMPLES = 7
 BLOCK_BYTES = 16 << 20  # of item texts that are shipped to the tasks at once
 _FILTER_BITS = 20
 
