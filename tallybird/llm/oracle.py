@@ -1,8 +1,143 @@
-"""SQL counterparts, for DuckDB, of the queries that SQL can express."""
+"""SQL counterparts, for DuckDB, of the queries that SQL can express.
 
-OP9 = r"""
+They state the results, not the methods: joins of all n-grams instead of MinHash, plain regular
+expressions over the markup of the given pages, all inner products.
+"""
+
+from tallybird.llm.license_scan import TEMPLATES
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+OP1 = rf"""
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS r, doc_id, lower(coalesce(text, '')) AS t,
+           regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w
+    FROM documents
+), texts AS (
+    SELECT t, any_value(w) AS w, count(*) AS copies, min(doc_id) AS node FROM words GROUP BY t
+), grams AS (
+    SELECT node, copies, unnest(list_distinct(
+        CASE WHEN len(w) = 0 THEN []
+             WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g
+    FROM texts
+), sizes AS (SELECT node, any_value(copies) AS copies, count(*) AS n FROM grams GROUP BY node),
+shared AS (
+    SELECT a.node AS x, b.node AS y, count(*) AS common
+    FROM grams a JOIN grams b ON a.g = b.g AND a.node <> b.node GROUP BY ALL
+), links AS (
+    SELECT x, y, b.copies AS copies FROM shared JOIN sizes a ON a.node = x JOIN sizes b ON b.node = y
+    WHERE common >= 0.8 * (a.n + b.n - common) - 1e-9
+), reach AS (
+    SELECT node, node AS other FROM sizes
+    UNION
+    SELECT reach.node, links.y FROM reach JOIN links ON links.x = reach.other
+), classes AS (SELECT node, min(other) AS class_id FROM reach GROUP BY node),
+degree AS (SELECT x AS node, sum(copies) AS linked FROM links GROUP BY x)
+SELECT words.doc_id,
+       CASE WHEN len(words.w) = 0 THEN words.doc_id ELSE classes.class_id END AS class_id,
+       (CASE WHEN len(words.w) = 0 THEN 0 ELSE texts.copies - 1 + coalesce(linked, 0) END)::BIGINT AS n_links
+FROM words JOIN texts USING (t) LEFT JOIN classes USING (node) LEFT JOIN degree USING (node)
+"""
+
+OP2 = r"""
+WITH cut AS (
+    SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages
+), bare AS (
+    SELECT page_id, url,
+           regexp_replace(regexp_replace(body, '</?(?:p|h1|h2|h3|br|div|ul|li)(?:\s[^>]*)?>', ' ', 'g'), '<[^>]+>', '', 'g') AS t
+    FROM cut
+), plain AS (
+    SELECT page_id, url, trim(regexp_replace(
+        replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+    FROM bare
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM plain
+"""
+
+
+def _op3() -> str:
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
+    return rf"""
+WITH templates(template_id, text) AS (VALUES {rows}),
+cut AS (SELECT template_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM templates),
+wanted AS (
+    SELECT template_id, len(w) - 4 AS size, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g
+    FROM cut
+), needs AS (
+    SELECT template_id, any_value(CAST(2 ** ceil(log2(size)) AS BIGINT)) AS m, count(*) AS n FROM wanted GROUP BY template_id
+), docs AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+    FROM documents
+), places AS (
+    SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM docs WHERE len(w) > 4
+), grams AS (SELECT r, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS g FROM places),
+hits AS (SELECT r, place, template_id, g FROM grams JOIN wanted USING (g)),
+windows AS (
+    SELECT r, template_id, m, n, unnest([place // m, place // m - 1]) AS win, g FROM hits JOIN needs USING (template_id)
+), held AS (
+    SELECT DISTINCT r, template_id FROM windows WHERE win >= 0
+    GROUP BY r, template_id, win, n HAVING count(DISTINCT g) >= 0.8 * n - 1e-9
+), listed AS (SELECT r, count(*) AS n, string_agg(template_id, ',' ORDER BY template_id) AS ids FROM held GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(ids, '') AS licenses FROM docs LEFT JOIN listed USING (r)
+"""
+
+
+# The extra kinds (pem, github, slack, jwt) occur in none of the given tables; the SQL states the base.
+OP4 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+patterns(kind, rank, pattern, least) AS (VALUES
+    ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+    ('access', 1, 'AKIA[A-Z0-9]+', 20),
+    ('hex', 2, '[0-9a-f]+', 24)
+), parts AS (
+    SELECT r, kind, rank, least,
+           CASE kind WHEN 'assign' THEN regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+                     WHEN 'access' THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+')
+                     ELSE regexp_extract_all(text, '[0-9a-f]+') END AS found,
+           CASE kind WHEN 'assign' THEN regexp_split_to_array(text, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+                     WHEN 'access' THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+')
+                     ELSE regexp_split_to_array(text, '[0-9a-f]+') END AS gaps
+    FROM docs CROSS JOIN patterns
+    WHERE regexp_matches(text, CASE kind WHEN 'assign' THEN '(?i)passw|secret|token|api' WHEN 'access' THEN 'AKIA' ELSE '[0-9a-f]{24}' END)
+), each AS (
+    SELECT r, kind, rank, least, unnest(range(1, len(found) + 1)) AS k, found, gaps FROM parts WHERE len(found) > 0
+), placed AS (
+    SELECT r, kind, rank, least, found[k] AS match,
+           sum(length(gaps[k]) + length(found[k])) OVER (PARTITION BY r, kind ORDER BY k) AS stop
+    FROM each
+), kept AS (
+    SELECT r, kind, rank, (stop - length(match))::BIGINT AS start, stop::BIGINT AS stop FROM placed
+    WHERE CASE kind WHEN 'assign'
+        THEN length(regexp_extract(match, '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2))
+        ELSE length(match) END >= least
+), listed AS (
+    SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+           string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+    FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(c, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+OP8 = r"""
+WITH vectors AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.w, c.w)::BIGINT AS score,
+           row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.w, c.w) DESC, c.vec_id) AS rank
+    FROM vectors q JOIN vectors c ON q.vec_id % 20 = 0 AND q.r <> c.r
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM scored WHERE rank <= 20
+"""
+
+OP9 = rf"""
 WITH sized AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
            md5(coalesce(doc_id::VARCHAR, text, '')) AS draw
     FROM documents
 ), sources AS (
@@ -32,4 +167,11 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
-ORACLE_SQL = {"op9_source_mixing": OP9}
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": OP1,
+    "op2_html_extraction": OP2,
+    "op3_license_scan": _op3(),
+    "op4_secret_scan": OP4,
+    "op8_exact_top_k": OP8,
+    "op9_source_mixing": OP9,
+}
