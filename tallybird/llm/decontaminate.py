@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tallybird.llm.tokens import LETTERS, LOWER, mix, random_words, text_slices, tokenise
 
 SIMILARITY = 0.8
-REPEATS = 3
+REPEATS = 6
 STEPS = 14
 SAMPLES = 7
 BLOCK_BYTES = 16 << 20  # of item texts that are shipped to the tasks at once
