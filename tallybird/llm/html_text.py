@@ -53,6 +53,7 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
+_CUT_OFF = re.compile(r"</?[A-Za-z]|<!|<\?")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"\s+")
@@ -123,10 +124,12 @@ def read_page(page: str) -> tuple[list[Item], list[Element]]:
         place = f"<{end}{name if name in BLOCKS or name in NEVER or name in ('a', 'b', 'i', 'em', 'strong', 'span') else 'other'}>"
         items.append(Item(None, 0, place, tuple(stack), content(), separates))
 
+    last = page.rfind(">") + 1  # no tag ends behind it; one that starts there is cut off
     while True:
-        found = _TOKEN.search(page, at)
+        found = _TOKEN.search(page, at, last)
         if not found:
-            text(page[at:])
+            cut = _CUT_OFF.search(page, max(at, last))
+            text(page[at : cut.start() if cut else len(page)])
             return items, elements
         text(page[at : found.start()])
         at = found.end()

@@ -36,6 +36,7 @@ ROWS = 6
 RECALL = 0.999
 BLOCK = 48
 _CHUNK = 1 << 15
+_MARK_BITS = 26
 
 
 def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -88,22 +89,42 @@ def _signatures(bands: int, rows: int, n: int):
     return sign
 
 
-def _gram_sets(n: int):
+def _gram_sets(n: int, marks):
+    """Full sets of the texts whose node the bitmap ``marks`` has; it may have a few more."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            place = batch.column("node").to_numpy().view(np.uint64) >> np.uint64(64 - _MARK_BITS)
+            marked = (marks.value[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(marked.astype(bool)))
             for low, high, data, offsets in text_slices(batch.column("t")):
                 words = tokenise(data, offsets, WORDS, CASED)
                 found, bounds = grams(words.hashes, words.bounds, n)
                 each = [np.unique(found[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
-                kept = [batch.column(c).slice(low, high - low) for c in ("node", "copies", "component", "blocks")]
+                kept = [batch.column(c).slice(low, high - low) for c in ("doc_id", "node")]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(each, pa.binary())],
-                    names=["node", "copies", "component", "blocks", "grams"],
+                    [*kept, pa.array(each, pa.binary())], names=["doc_id", "node", "grams"]
                 )
 
     return sets
 
 
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """``2 ** _MARK_BITS`` bits, 8 MB at any size, with the top bits of all nodes set: what it does
+    not have need not be moved. More nodes than bits only make it let more pass."""
+    place = F.shiftrightunsigned("node", 64 - _MARK_BITS) + 1  # the functions count from 1
+    made = (
+        nodes.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(1 << (_MARK_BITS - 3), np.uint8)
+    for row in made:
+        bits = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[(row["bucket"] - 1) * len(bits) : row["bucket"] * len(bits)] = bits
+    return out
+
+
 def _roots(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """The least node of each connected part of a small adjacency matrix (reflexive)."""
     label = nodes.copy()
@@ -184,7 +205,8 @@ def near_duplicates(
         keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other"),
         "buckets",
     )
-    stars = keys.join(buckets, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    # merge joins at every size: a band hash with very many nodes can then be split
+    stars = keys.join(buckets.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = staged(components(stars), "candidates")
     large = staged(
         groups.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large"
@@ -197,11 +219,11 @@ def near_duplicates(
     members = staged(
         placed.join(nodes.select("node", "min_id", "copies"), "node"), "members"
     )
-    texts = base.join(
-        members, (base["node"] == members["node"]) & base["doc_id"].eqNullSafe(members["min_id"])
-    ).select(members["node"], "copies", "component", "blocks", "t")
-    sets = texts.mapInArrow(
-        _gram_sets(n), "node long, copies long, component long, blocks int, grams binary"
+    marks = docs.sparkSession.sparkContext.broadcast(_bitmap(members.select("node")))
+    found = base.mapInArrow(_gram_sets(n, marks), "doc_id long, node long, grams binary")
+    wanted = members.select(F.col("node").alias("member"), "min_id", "copies", "component", "blocks").hint("merge")
+    sets = found.join(
+        wanted, (found["node"] == wanted["member"]) & found["doc_id"].eqNullSafe(wanted["min_id"])
     ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = sets.select(
         "component", "node", "copies", "block", "grams", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with")
