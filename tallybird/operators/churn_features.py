@@ -118,14 +118,10 @@ def churn_rate(features: DataFrame) -> DataFrame:
 
 
 def category_levels(
-    features: DataFrame, columns: Sequence[str] = CATEGORICAL, at_most: int = 10_000
+    features: DataFrame, columns: Sequence[str] = CATEGORICAL
 ) -> dict[str, list[str]]:
-    """Sorted levels per categorical column. Each becomes a matrix column, so they must be few;
-    that is checked on the cluster before they are fetched."""
-    sizes = features.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
-    for column in columns:
-        if sizes[column] > at_most:
-            raise ValueError(f"{column} has {sizes[column]} levels, too many to one-hot encode")
+    """Sorted levels per categorical column, any number of them. Each becomes a matrix column and
+    is known to the driver, as in any one-hot matrix."""
     found = features.agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in columns]).first()
     return {column: list(found[column]) for column in columns}
 

@@ -15,8 +15,7 @@ HOLDOUT_DAYS, HORIZON_DAYS, BASELINE_DAYS = 60, 90, 7
 CHANGE_POINTS, HISTORY_WITH_CHANGES = 25, 0.8
 YEAR, YEARLY_ORDER, WEEK, WEEKLY_ORDER = 365.25, 10, 7.0, 3
 INTERVAL_Z = 1.2816  # 80 % of a normal distribution
-HINGE_PENALTY, SEASON_PENALTY = 10.0, 0.1
-SHORTEST_HISTORY = 14
+SLOPE_PENALTY, HINGE_PENALTY, SEASON_PENALTY = 0.05, 10.0, 0.1
 
 
 def holdout_split(
@@ -66,15 +65,16 @@ def _design(day: np.ndarray, first: float, span: float) -> np.ndarray:
 
 
 def _predict(day: np.ndarray, y: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge fit of the additive model on (day, y): values for ``ahead``, residual deviation."""
-    if len(y) < SHORTEST_HISTORY:
-        recent = y[-BASELINE_DAYS:].mean()
-        return np.full(len(ahead), recent), float(np.std(y - recent))
+    """Ridge fit of the additive model on (day, y): values for ``ahead``, residual deviation.
+
+    One formula for a history of any length, a single day included: every column but the level has
+    a penalty, so what few days cannot tell stays near zero.
+    """
     first, span, scale = day[0], max(day[-1] - day[0], 1.0), max(np.abs(y).max(), 1e-12)
     x, target = _design(day, first, span), y / scale
     seasonal = 2 * (YEARLY_ORDER + WEEKLY_ORDER)
     penalty = np.concatenate(
-        [[0.0, 0.0], np.full(CHANGE_POINTS, HINGE_PENALTY), np.full(seasonal, SEASON_PENALTY)]
+        [[0.0, SLOPE_PENALTY], np.full(CHANGE_POINTS, HINGE_PENALTY), np.full(seasonal, SEASON_PENALTY)]
     )
     beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ target)
     residual = float(np.std((target - x @ beta) * scale))

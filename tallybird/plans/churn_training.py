@@ -49,17 +49,25 @@ def stored_model(spark: SparkSession, folder: str, name: str) -> models.Trained:
     return models.load(spark, path)
 
 
-def best_model(spark: SparkSession, folder: str) -> models.Trained:
-    """The stored model with the better recall on the test part; a tie goes to the forest."""
-    _, test, _, _ = staged_split(spark, folder)
-    known = {n: stored_model(spark, folder, n) for n in (models.LOGISTIC, models.FOREST)}
+def fitted_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """(model, customer_id, label, score) of the test part under both fitted models, written once:
+    whoever compares models reads it instead of scoring again."""
     parts = [
-        models.score(trained.model, test).select(
+        staged(
+            spark, folder, f"scored_{name.replace(' ', '_')}", lambda name=name: scored_test(spark, folder, name)
+        ).select(
             F.lit(name).alias("model"),
+            "customer_id",
             F.col("churned").alias("label"),
             F.col("churn_probability").alias("score"),
         )
-        for name, trained in known.items()
+        for name in (models.LOGISTIC, models.FOREST)
     ]
-    winner = select_best_model(parts[0].unionByName(parts[1]), models.FOREST).first()
-    return known[winner["best_model"]]
+    return parts[0].unionByName(parts[1])
+
+
+def best_model(spark: SparkSession, folder: str) -> models.Trained:
+    """The model with the better recall on the test part, the only one loaded; a tie goes to the
+    forest."""
+    winner = select_best_model(fitted_scores(spark, folder), models.FOREST).first()
+    return stored_model(spark, folder, winner["best_model"])

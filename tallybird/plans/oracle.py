@@ -391,7 +391,8 @@ Q: dict[str, str] = {}
 
 Q["ingest_validate"] = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST({len(s)} AS BIGINT) AS n_cols,"
-    f" '' AS missing_columns, 'ok' AS status FROM raw_{t}"
+    f" '' AS missing_columns, CAST(0 AS BIGINT) AS n_bad_values, CAST(0 AS BIGINT) AS n_null_keys,"
+    f" 'ok' AS status FROM raw_{t}"
     for t, s in RAW.items()
 )
 _PRODUCTS = f"SELECT product_id, category, brand, {_money('cost', 'selling_price')}, " \
@@ -752,4 +753,29 @@ FROM sold JOIN s_products USING (product_id) GROUP BY 2
 UNION ALL SELECT 'city', city, CAST(sum(revenue) AS DOUBLE)
 FROM sold JOIN s_customers USING (customer_id) GROUP BY 2"""
 
+# ---- what can be said of models and forecasts without fitting them
+
+Q["fitted_score_checks"] = """
+SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, n_rows, n_churned, CAST(0 AS BIGINT) AS n_outside
+FROM (SELECT count(*) AS n_rows, CAST(sum(churned) AS BIGINT) AS n_churned FROM parted WHERE is_test = 1)
+"""
+Q["model_roundtrip"] = """
+SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, n AS num_scores, CAST(0 AS DOUBLE) AS max_difference
+FROM (SELECT count(*) AS n FROM parted)
+"""
+Q["churn_prediction_checks"] = """
+SELECT count(*) AS n_customers, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_wrong_level FROM parted
+"""
+Q["isolation_forest_checks"] = """
+SELECT count(*) AS n_days, true AS share_kept, CAST(0 AS BIGINT) AS n_outside FROM days
+"""
+Q["forecast_checks"] = """
+SELECT series, CAST(last + 1 AS DATE) AS first_day, CAST(last + 90 AS DATE) AS last_day, CAST(90 AS BIGINT) AS n_days,
+  CAST(0 AS BIGINT) AS n_unordered
+FROM (SELECT series, max(order_date) AS last
+      FROM (SELECT order_date, unnest(['all', coalesce(category, 'none')]) AS series
+            FROM sold JOIN s_products USING (product_id))
+      GROUP BY series)
+"""
+
 ORACLE_SQL = {name: _with(body) for name, body in Q.items()}

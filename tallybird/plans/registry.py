@@ -34,7 +34,7 @@ from tallybird.plans.warehouse import (
     star_schema,
 )
 from tallybird.schemas import RAW, STAR
-from tallybird.sources.landing import read_csv, read_raw, validation_report
+from tallybird.sources.landing import read_csv, read_raw_text, validation_report
 from tallybird.sources.retail_views import raw_tables, table
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
 from tallybird.sources.workspace import staging_path
@@ -95,7 +95,7 @@ def _anomalies(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def ingest_validate(spark, folder):
     landing = landing_zone(spark, folder)
-    return plain(validation_report({t: read_raw(spark, landing, t) for t in RAW}))
+    return plain(validation_report({t: read_raw_text(spark, landing, t) for t in RAW}))
 
 
 @_query
@@ -327,6 +327,45 @@ def select_best_model(spark, folder):
     return plain(classification.select_best_model(scored, models.FOREST))
 
 
+@_query
+def fitted_classification_metrics(spark, folder):
+    """Metrics of both fitted models on the test part."""
+    scored = churn.fitted_scores(spark, folder)
+    lines = [
+        classification.classification_metrics(scored.where(F.col("model") == name)).select(F.lit(name).alias("model"), "*")
+        for name in (models.LOGISTIC, models.FOREST)
+    ]
+    return plain(lines[0].unionByName(lines[1]))
+
+
+@_query
+def fitted_confusion_matrix(spark, folder):
+    scored = churn.fitted_scores(spark, folder)
+    lines = [
+        classification.confusion_matrix(scored.where(F.col("model") == name)).select(F.lit(name).alias("model"), "*")
+        for name in (models.LOGISTIC, models.FOREST)
+    ]
+    return plain(lines[0].unionByName(lines[1]))
+
+
+@_query
+def fitted_best_model(spark, folder):
+    return plain(classification.select_best_model(churn.fitted_scores(spark, folder), models.FOREST))
+
+
+@_query
+def fitted_score_checks(spark, folder):
+    """What can be said of the scores without fitting: rows by label, scores outside [0, 1]."""
+    scored = churn.fitted_scores(spark, folder)
+    return plain(
+        scored.groupBy("model").agg(
+            F.count("*").alias("n_rows"),
+            F.sum("label").alias("n_churned"),
+            F.count_if(~F.col("score").between(0, 1) | F.col("score").isNull()).alias("n_outside"),
+        )
+    )
+
+
 @_query
 def feature_importance(spark, folder):
     return plain(
@@ -344,11 +383,9 @@ def churn_predictions(spark, folder):
     return plain(models.by_risk(staged(spark, folder, "churn_predictions", scored)))
 
 
-@_query
-def model_roundtrip(spark, folder):
-    """Largest difference between the scores of a model and of its stored copy."""
-    trained = churn.stored_model(spark, folder, models.LOGISTIC)
-    path = f"{staging_path(spark, folder)}/churn/roundtrip"
+def _roundtrip(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    trained = churn.stored_model(spark, folder, name)
+    path = f"{staging_path(spark, folder)}/churn/roundtrip_{name.replace(' ', '_')}"
     models.save(spark, trained, path)
     copy = models.load(spark, path)
     rows = churn.staged_features(spark, folder)
@@ -358,7 +395,30 @@ def model_roundtrip(spark, folder):
     both = ours.join(theirs.select("customer_id", F.col("churn_probability").alias("_p")),
                      "customer_id")
     difference = F.max(F.abs(F.col("churn_probability") - F.col("_p")))
-    return both.agg(F.count("*").alias("num_scores"), difference.alias("max_difference"))
+    return both.agg(F.count("*").alias("num_scores"), difference.alias("max_difference")).select(
+        F.lit(name).alias("model"), "*"
+    )
+
+
+@_query
+def model_roundtrip(spark, folder):
+    """Largest difference between the scores of each classifier and of its stored copy."""
+    logistic, forest_ = (_roundtrip(spark, folder, n) for n in (models.LOGISTIC, models.FOREST))
+    return plain(logistic.unionByName(forest_))
+
+
+@_query
+def churn_prediction_checks(spark, folder):
+    """Customers scored, scores outside [0, 1], risk levels that disagree with their score."""
+    p = F.col("churn_probability")
+    level = F.when(p >= 0.7, "HIGH").when(p >= 0.4, "MEDIUM").otherwise("LOW")
+    return churn_predictions(spark, folder).agg(
+        F.count("*").alias("n_customers"),
+        F.count_if(~p.between(0, 1) | p.isNull()).alias("n_outside"),
+        # the score is rounded for output, so levels are compared away from the limits
+        F.count_if((F.col("risk_level") != level) & (F.abs(p - 0.7) > 1e-5) & (F.abs(p - 0.4) > 1e-5))
+        .alias("n_wrong_level"),
+    )
 
 
 # ---- daily series and anomalies
@@ -391,6 +451,26 @@ def isolation_forest(spark, folder):
     return plain(_forest_flags(spark, folder))
 
 
+@_query
+def isolation_forest_checks(spark, folder):
+    """Days scored, and whether the days flagged are some and within the share asked for."""
+    flagged = F.count_if(F.col("isolation_forest_flag") == forest.ANOMALY)
+    most = F.ceil(F.count("*") * forest.CONTAMINATION)
+    return _forest_flags(spark, folder).agg(
+        F.count("*").alias("n_days"),
+        ((flagged > 0) & (flagged <= most)).alias("share_kept"),
+        F.count_if(~F.col("isolation_score").between(0, 1)).alias("n_outside"),
+    )
+
+
+@_query
+def daily_anomalies(spark, folder):
+    """One row per day: metrics, z-scores and their classes, isolation score and flag."""
+    flags = _forest_flags(spark, folder).select("order_date", "isolation_score", "isolation_forest_flag")
+    table_ = staged(spark, folder, "daily_anomalies", lambda: _anomalies(spark, folder).join(flags, "order_date", "left"))
+    return plain(table_)
+
+
 @_query
 def known_anomaly_check(spark, folder):
     return anomaly.known_anomaly_check(
@@ -454,6 +534,33 @@ def forecast_90day(spark, folder):
     return plain(forecast.seasonal_forecast(_category_series(spark, folder), ["series"]))
 
 
+@_query
+def forecast_model_metrics(spark, folder):
+    """The seasonal fit and the baseline on the same holdout, per series."""
+    split = forecast.holdout_split(_category_series(spark, folder), series=["series"])
+    fits = {
+        "baseline": forecast.baseline_forecast(split, series=["series"]),
+        "seasonal": forecast.seasonal_holdout_forecast(split, ["series"]),
+    }
+    both = [df.select("series", "y", "yhat", F.lit(name).alias("model")) for name, df in fits.items()]
+    return plain(forecast.forecast_metrics(both[0].unionByName(both[1]), ["series", "model"]))
+
+
+@_query
+def forecast_checks(spark, folder):
+    """Per series: days ahead, first and last, and days whose bounds are out of order."""
+    ahead = forecast.seasonal_forecast(_category_series(spark, folder), ["series"])
+    ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return plain(
+        ahead.groupBy("series").agg(
+            F.min("ds").alias("first_day"),
+            F.max("ds").alias("last_day"),
+            F.count("*").alias("n_days"),
+            F.count_if(~ordered | ordered.isNull()).alias("n_unordered"),
+        )
+    )
+
+
 # ---- review text
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybird.sources.landing import CSV_OPTIONS
-from tallybird.sources.workspace import path_exists
+from tallybird.sources.workspace import is_complete, move_into_place
 
 
 def replace_table(df: DataFrame, path: str) -> DataFrame:
@@ -50,12 +51,14 @@ class Load:
 
 
 def append_if_empty(spark: SparkSession, df: DataFrame, path: str) -> Load:
-    """Append ``df`` unless the target already holds rows, so that a load can be run again."""
-    rows_before = 0
-    if path_exists(spark, path):
-        target = spark.read.schema(df.schema).parquet(path)
-        if not target.isEmpty():
-            rows_before = target.count()
+    """Load ``df`` unless the target already holds a complete load with rows, so that a load can be
+    run again. What a load that did not end has left (no ``_SUCCESS``) is not taken for one: the
+    load is written beside it and put in its place when complete."""
+    if is_complete(spark, path):
+        rows_before = spark.read.schema(df.schema).parquet(path).count()
+        if rows_before:
             return Load(path, False, rows_before)
-    df.write.mode("append").parquet(path)
-    return Load(path, True, rows_before)
+    draft = f"{path}.loading-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(draft)
+    move_into_place(spark, draft, path)
+    return Load(path, True, 0)

@@ -46,16 +46,32 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return path_exists(spark, f"{path}/_SUCCESS")
 
 
+def move_into_place(spark: SparkSession, draft: str, path: str) -> None:
+    """Make the complete folder ``draft`` the one at ``path``; an incomplete one there goes."""
+    fs, target = _path(spark, path)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(_path(spark, draft)[1], target):
+        raise RuntimeError(f"{draft} could not be moved to {path}")
+
+
 def fingerprint(spark: SparkSession, folder: str) -> str:
-    """Changes when a file of ``folder`` is added, removed or rewritten."""
+    """Changes when a file in ``folder``, at any depth, is added, removed or rewritten."""
     fs, hadoop_path = _path(spark, folder)
-    listing = sorted(
-        f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}"
-        for s in fs.listStatus(hadoop_path)
-    )
+    listing, files = [], fs.listFiles(hadoop_path, True)
+    while files.hasNext():
+        s = files.next()
+        listing.append(f"{s.getPath().toString()}:{s.getLen()}:{s.getModificationTime()}")
+    listing.sort()
     return hashlib.sha1("\n".join([folder, *listing]).encode()).hexdigest()[:12]
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; call it when no result is read any more."""
+    fs, path = _path(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    fs.delete(path, True)
+
+
 def staging_path(spark: SparkSession, source_folder: str) -> str:
     """Working folder of this application for one input folder in its present state."""
     application = spark.sparkContext.applicationId

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from conftest import rows
 
@@ -7,7 +8,7 @@ from tallybird.operators.quality import key_violations, orphan_reviews, valid_re
 from tallybird.plans.warehouse import load_star_schema, star_table
 from tallybird.operators.cleaning import clean_all
 from tallybird.schemas import RAW, STAR
-from tallybird.sources.landing import load_raw, read_raw, require_valid, validation_report
+from tallybird.sources.landing import load_raw, read_raw, read_raw_text, require_valid, validation_report
 from tallybird.sources.retail_views import raw_tables
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
 from tallybird.sources.workspace import fingerprint, shared_folder
@@ -125,3 +126,51 @@ def test_fingerprint_follows_the_files(spark, tmp_path):
     before = fingerprint(spark, str(tmp_path))
     (tmp_path / "b").write_text("22")
     assert fingerprint(spark, str(tmp_path)) != before
+
+
+def test_files_as_other_tools_write_them(spark, tmp_path):
+    """Whole numbers with a fraction, words among numbers, line breaks in a quoted text."""
+    _write(
+        tmp_path,
+        "customers",
+        "customer_id,customer_name,age,gender,city,signup_date,customer_segment\n"
+        '1,Ann,34.0,F,"Two\nlines",2020-01-01,A\n2,Bob,,M,x,2020-01-01,B\n3,Cem,abc,M,x,2020-01-01,B\n,Dee,41.5,F,x,,C\n',
+    )
+    typed = {r["customer_name"]: r for r in read_raw(spark, str(tmp_path), "customers").collect()}
+    found = pd.read_csv(f"{tmp_path}/customers.csv")
+    assert len(typed) == len(found) == 4
+    assert [typed[n]["age"] for n in ("Ann", "Bob", "Cem", "Dee")] == [34, None, None, None]
+    assert typed["Ann"]["city"] == found["city"][0] == "Two\nlines"
+    texts = read_raw_text(spark, str(tmp_path), "customers")
+    report = validation_report({"customers": texts}).first()
+    assert (report["n_rows"], report["n_bad_values"], report["n_null_keys"]) == (4, 2, 1)
+    assert report["status"] == "bad values"
+    with pytest.raises(ValueError, match="2 values"):
+        require_valid(texts, "customers")
+
+
+def test_parts_with_different_headers_are_an_error(spark, tmp_path):
+    folder = tmp_path / "marketing.csv"
+    folder.mkdir()
+    names = RAW["marketing"].names
+    (folder / "part-0.csv").write_text(",".join(names) + "\n1,2,x,3,4,5\n")
+    swapped = [names[1], names[0], *names[2:]]
+    (folder / "part-1.csv").write_text(",".join(swapped) + "\n2,1,x,3,4,5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw(spark, str(tmp_path), "marketing").collect()
+
+
+def test_a_load_that_did_not_end_is_done_again(spark, tmp_path):
+    target = tmp_path / "t"
+    spark.range(5).write.parquet(str(target))
+    (target / "_SUCCESS").unlink()
+    assert append_if_empty(spark, spark.range(3), str(target)).appended
+    assert spark.read.parquet(str(target)).count() == 3
+
+
+def test_fingerprint_sees_files_inside_a_table_folder(spark, tmp_path):
+    (tmp_path / "t.parquet").mkdir()
+    (tmp_path / "t.parquet" / "part").write_text("a")
+    before = fingerprint(spark, str(tmp_path))
+    (tmp_path / "t.parquet" / "part").write_text("bb")
+    assert fingerprint(spark, str(tmp_path)) != before
