@@ -9,8 +9,8 @@ on if a random bit of (j, word) says so. Two sequences that differ by an edit fa
 a small edit distance becomes a small Hamming distance between what the walks write. Every word of a
 document starts a window of the items' size; a window's key is the walk's output at ``SAMPLES``
 positions drawn for each of ``REPEATS`` independent walks. All starts within an item are indexed, so
-that a stretch of few edits anywhere in it retrieves it. Items shorter than the walk have a walk of
-their length. Every retrieved alignment is then verified on the whole item.
+that a stretch of few edits anywhere in it retrieves it. Items shorter than the walk have shorter
+ones. Every retrieved alignment is then verified on the whole item.
 """
 
 from __future__ import annotations
@@ -38,6 +38,15 @@ def max_edits(words: int, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * words + 1e-9)
 
 
+def walk_length(words: int, similarity: float = SIMILARITY) -> int:
+    """Steps of the walks of an item. A short item gets as many as words are left untouched
+    somewhere in it by every allowed set of edits, so it is always retrieved."""
+    if words >= STEPS:
+        return STEPS
+    slack = max_edits(words, similarity)
+    return max(1, (words - slack) // (slack + 1))
+
+
 def _drawn(repeat: int, steps: int) -> np.ndarray:
     """The sampled positions of a walk of ``steps`` steps."""
     return np.sort(np.argsort(random_words(steps, 1000 * repeat + steps))[:SAMPLES])
@@ -84,12 +93,12 @@ class ItemIndex:
 
     def build(self) -> ItemIndex:
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]))
-        self.lengths = sorted({min(len(w), STEPS) for w in self.words})
+        self.lengths = sorted({walk_length(len(w), self.similarity) for w in self.words})
         self.tables = {}
         for repeat in range(REPEATS):
             found: dict[int, list] = defaultdict(list)
             for number, words in enumerate(self.words):
-                own = min(len(words), STEPS)
+                own = walk_length(len(words), self.similarity)
                 keys = walk_keys(words, [own], repeat)[own]
                 starts = np.arange(max(1, len(words) - own + 1))
                 found[own].append((keys[starts], np.full(len(starts), number), starts))

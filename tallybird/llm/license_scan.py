@@ -83,10 +83,10 @@ def shingles_of(words: Column, n: int) -> Column:
 def minima(window: Column, bands: int) -> Column:
     """One minimum per band, each under its own hash."""
 
-    def least(band: int) -> Column:
-        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(band))))
+    def least(band: Column) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, band)))
 
-    return F.array(*[least(band) for band in range(bands)])
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), least)
 
 
 def bands_for(class_size: int, containment: float = CONTAINMENT, recall: float = RECALL) -> int:

@@ -391,7 +391,7 @@ def score_toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             logit = unpacked(batch.column("votes")) @ weights[:-1] + weights[-1]
-            found = 1 / (1 + np.exp(-np.clip(logit, -700, 30)))
+            found = np.where(np.isneginf(logit), 0.0, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "score"])
 
     return cast.mapInArrow(score, StructType([cast.schema["doc_id"], StructField("score", DoubleType())]))

@@ -17,7 +17,7 @@ def words(text):
 
 def brute(text, templates, n=5, containment=0.8):
     """Every window of every template's class, one by one."""
-    out = []
+    out, read = [], words(text)
     for name, template in templates:
         own = words(template)
         k = min(n, len(own))
@@ -25,7 +25,7 @@ def brute(text, templates, n=5, containment=0.8):
             continue
         shingles = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
         size = 1 << (len(shingles) - 1).bit_length()
-        doc = [tuple(words(text)[i : i + k]) for i in range(len(words(text)) - k + 1)]
+        doc = [tuple(read[i : i + k]) for i in range(len(read) - k + 1)]
         held = max((len(set(shingles) & set(doc[s : s + 2 * size])) for s in range(0, len(doc), size)), default=0)
         if held >= containment * len(set(shingles)) - 1e-9:
             out.append(name)
