@@ -19,6 +19,7 @@ from tallybird.plans.warehouse import (
     customer_rfm,
     review_sentiment,
     rfm_base,
+    staged_raw,
     star_schema,
 )
 from tallybird.session import local_session
@@ -41,6 +42,7 @@ def drain(df) -> None:
 def main() -> None:
     spark = local_session(CPUS, memory=os.environ.get("BENCH_MEMORY", "16g"))
     seconds = {
+        "stage_raw_tables": timed(lambda: staged_raw(spark, FOLDER)),
         "stage_star_schema": timed(lambda: star_schema(spark, FOLDER)),
         "stage_rfm_base": timed(lambda: rfm_base(spark, FOLDER)),
         "stage_customer_rfm": timed(lambda: customer_rfm(spark, FOLDER)),

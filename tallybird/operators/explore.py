@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,11 +78,33 @@ def numeric_histogram(
     )
 
 
+def _kernel_sums(points: int):
+    """Each task adds the kernels of its values on the grid: ``points`` numbers, whatever it reads."""
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, total = None, np.zeros(points)
+        for batch in batches:
+            x, n, low, step, width = (np.asarray(c, dtype=float) for c in batch.columns)
+            if len(x) == 0 or not width[0] > 0:
+                continue
+            grid = low[0] + np.arange(points) * step[0]
+            for at in range(0, len(x), 4096):
+                off = (grid - x[at : at + 4096, None]) / width[0]
+                total += n[at : at + 4096] @ np.exp(-0.5 * off * off)
+        if grid is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(points, dtype=np.int32)), pa.array(grid), pa.array(total)],
+                names=["point", "x", "weight"],
+            )
+
+    return add_up
+
+
 def density_curve(df: DataFrame, value: str, points: int = 200) -> DataFrame:
     """(point, x, density): Gaussian kernel density with Scott's bandwidth on an even grid.
 
-    Equal values are counted first; the contributions of a value to the grid are summed where
-    they arise, so ``points`` rows per task are shuffled.
+    Equal values are counted first; a task sums the kernels of its values as arrays, so ``points``
+    rows per task are shuffled and no row is formed per value and point.
     """
     counts = value_counts(df, value).withColumn("_x", F.col(value).cast("double"))
     shape = one_row(
@@ -91,20 +115,24 @@ def density_curve(df: DataFrame, value: str, points: int = 200) -> DataFrame:
         F.max(F.col(value).cast("double")).alias("high"),
     )
     bandwidth = F.col("_s.std") * F.pow(F.col("_s.n").cast("double"), F.lit(-0.2))
-    step = (F.col("_s.high") - F.col("_s.low")) / (points - 1)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    placed = (
-        counts.select("_x", "_n", grid)
-        .withColumn("_s", shape)
-        .where(bandwidth > 0)
-        .withColumn("x", F.col("_s.low") + F.col("point") * step)
-        .withColumn("_h", bandwidth)
+    placed = counts.where("_x IS NOT NULL").select(
+        "_x",
+        F.col("_n").cast("double").alias("_n"),
+        shape.alias("_s"),
+    ).select(
+        "_x",
+        "_n",
+        F.col("_s.low").alias("low"),
+        ((F.col("_s.high") - F.col("_s.low")) / (points - 1)).alias("step"),
+        F.coalesce(bandwidth, F.lit(0.0)).alias("width"),
     )
-    off = (F.col("x") - F.col("_x")) / F.col("_h")
-    weight = F.col("_n") * F.exp(off * off * -0.5)
-    scale = F.first(F.sqrt(F.lit(2.0) * F.pi()) * F.col("_h") * F.col("_s.n"))
-    return placed.groupBy("point").agg(
-        F.first("x").alias("x"), (F.sum(weight) / scale).alias("density")
+    sums = placed.mapInArrow(_kernel_sums(points), "point int, x double, weight double")
+    scale = F.sqrt(F.lit(2.0) * F.pi()) * bandwidth * F.col("_s.n")
+    return (
+        sums.groupBy("point")
+        .agg(F.first("x").alias("x"), F.sum("weight").alias("weight"))
+        .withColumn("_s", shape)
+        .select("point", "x", (F.col("weight") / scale).alias("density"))
     )
 
 
@@ -144,26 +172,16 @@ def tukey_outliers(df: DataFrame, small_domain: dict[str, bool]) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(x, y, r) for every ordered pair of columns, over the rows where both are known.
 
-    A row is unfolded into its column pairs (upper half) and folded again in the same task, so a
-    few sums per pair are shuffled; one aggregate with all pairs side by side would be too large
-    a piece of generated code.
+    Every pair (upper half) is a few sums of one aggregate; pairs go five to an aggregate, so that
+    none becomes too large a piece of generated code.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    unfolded = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("pair"),
-                F.col(a).cast("double").alias("a"),
-                F.col(b).cast("double").alias("b"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    found = (
-        df.select(F.inline(unfolded))
-        .groupBy("pair")
-        .agg(safe_corr(F.col("a"), F.col("b")).alias("r"))
-    )
+    parts = []
+    for at in range(0, len(pairs), 5):
+        sums = {k: safe_corr(F.col(a), F.col(b)) for k, (a, b) in enumerate(pairs[at : at + 5], start=at)}
+        lines = [F.struct(F.lit(k).alias("pair"), F.col(f"r{k}").alias("r")) for k in sums]
+        parts.append(df.agg(*[r.alias(f"r{k}") for k, r in sums.items()]).select(F.inline(F.array(*lines))))
+    found = reduce(DataFrame.unionByName, parts)
     named = F.element_at(
         F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y")) for a, b in pairs]),
         F.col("pair") + 1,

@@ -31,11 +31,12 @@ from tallybird.plans.warehouse import (
     review_sentiment,
     rfm_base,
     staged,
+    staged_raw,
     star_schema,
 )
 from tallybird.schemas import RAW, STAR
 from tallybird.sources.landing import read_csv, read_raw_text, validation_report
-from tallybird.sources.retail_views import raw_tables, table
+from tallybird.sources.retail_views import table
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
 from tallybird.sources.workspace import staging_path
 
@@ -101,7 +102,7 @@ def ingest_validate(spark, folder):
 @_query
 def load_append_if_empty(spark, folder):
     target = f"{staging_path(spark, folder)}/append_once"
-    products = conform(cleaning.clean_products(raw_tables(spark, folder)["products"]),
+    products = conform(cleaning.clean_products(staged_raw(spark, folder)["products"]),
                        STAR["products"])
     append_if_empty(spark, products, target)
     append_if_empty(spark, products, target)
@@ -111,20 +112,20 @@ def load_append_if_empty(spark, folder):
 @_query
 def load_star_schema_(spark, folder):
     target = f"{staging_path(spark, folder)}/star"
-    clean = cleaning.clean_all(raw_tables(spark, folder))
+    clean = cleaning.clean_all(staged_raw(spark, folder))
     return plain(load_star_schema(spark, clean, target))
 
 
 @_query
 def valid_reviews(spark, folder):
-    raw = raw_tables(spark, folder)
+    raw = staged_raw(spark, folder)
     reviews = cleaning.clean_reviews(raw["reviews"])
     return plain(quality.valid_reviews(reviews, cleaning.clean_orders(raw["orders"])))
 
 
 @_query
 def key_violations(spark, folder):
-    return plain(quality.key_violations(raw_tables(spark, folder)))
+    return plain(quality.key_violations(staged_raw(spark, folder)))
 
 
 @_query
@@ -140,32 +141,32 @@ def replace_derived_table(spark, folder):
 
 @_query
 def clean_customers(spark, folder):
-    return plain(cleaning.clean_customers(raw_tables(spark, folder)["customers"]))
+    return plain(cleaning.clean_customers(staged_raw(spark, folder)["customers"]))
 
 
 @_query
 def clean_products(spark, folder):
-    return plain(cleaning.clean_products(raw_tables(spark, folder)["products"]))
+    return plain(cleaning.clean_products(staged_raw(spark, folder)["products"]))
 
 
 @_query
 def clean_orders(spark, folder):
-    return plain(cleaning.clean_orders(raw_tables(spark, folder)["orders"]))
+    return plain(cleaning.clean_orders(staged_raw(spark, folder)["orders"]))
 
 
 @_query
 def clean_reviews(spark, folder):
-    return plain(cleaning.clean_reviews(raw_tables(spark, folder)["reviews"]))
+    return plain(cleaning.clean_reviews(staged_raw(spark, folder)["reviews"]))
 
 
 @_query
 def clean_marketing(spark, folder):
-    return plain(cleaning.clean_marketing(raw_tables(spark, folder)["marketing"]))
+    return plain(cleaning.clean_marketing(staged_raw(spark, folder)["marketing"]))
 
 
 @_query
 def cleaning_report(spark, folder):
-    return plain(cleaning.cleaning_report(raw_tables(spark, folder)))
+    return plain(cleaning.cleaning_report(staged_raw(spark, folder)))
 
 
 # ---- business questions
@@ -629,7 +630,7 @@ def sentiment_correlations(spark, folder):
 
 @_query
 def null_counts(spark, folder):
-    star, raw = star_schema(spark, folder), raw_tables(spark, folder)
+    star, raw = star_schema(spark, folder), staged_raw(spark, folder)
     parts = [
         explore.null_counts(business.delivered(star["orders"]), "orders"),
         explore.null_counts(star["customers"], "customers"),

@@ -14,6 +14,16 @@ from tallybird.sources.sinks import append_if_empty, conform, export_csv, replac
 from tallybird.sources.workspace import is_complete, staging_path
 
 
+def staged_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The raw tables, each derived and written once: cleaning, checks and loads read them often."""
+    target = f"{staging_path(spark, folder)}/raw"
+    derived = raw_tables(spark, folder)
+    for name, df in derived.items():
+        if not is_complete(spark, f"{target}/{name}"):
+            df.write.mode("overwrite").parquet(f"{target}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{target}/{name}") for name, df in derived.items()}
+
+
 def star_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(STAR[name]).parquet(f"{folder}/{name}")
 
@@ -50,7 +60,7 @@ def star_schema(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The loaded star schema for an input folder; the first call in an application builds it."""
     target = f"{staging_path(spark, folder)}/star"
     if not all(is_complete(spark, f"{target}/{name}") for name in STAR):
-        load_star_schema(spark, clean_all(raw_tables(spark, folder)), target)
+        load_star_schema(spark, clean_all(staged_raw(spark, folder)), target)
     return {name: star_table(spark, target, name) for name in STAR}
 
 
@@ -90,7 +100,7 @@ def review_sentiment(spark: SparkSession, folder: str) -> DataFrame:
 def landing_zone(spark: SparkSession, folder: str) -> str:
     """The raw tables as headered CSV files, as an upstream system would deliver them."""
     target = f"{staging_path(spark, folder)}/landing"
-    for name, df in raw_tables(spark, folder).items():
+    for name, df in staged_raw(spark, folder).items():
         if not is_complete(spark, f"{target}/{name}.csv"):
             export_csv(df, f"{target}/{name}.csv")
     return target
