@@ -11,20 +11,21 @@ from tallybird.llm.staging import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = staged(least, "least")  # both sides of the join are then shuffled, and a hot node is split
     return (
         both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     ).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (two long columns a, b): root is the least node of
-    its component.
+    """(node, root) for every node that ``edges`` (two long columns a, b) links with another: root is
+    the least node of its component.
 
     Every round is a few aggregates and joins over the edges, whose number never grows; a node with
     very many neighbours is pre-aggregated for its least neighbour, and its rows in the join can be
@@ -38,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(ordered.distinct(), "edges")
     seen = None
     while True:
-        now = staged(_small_star(_large_star(now)), "edges")
+        now = staged(_small_star(staged(_large_star(now), "edges")), "edges")
         # the least neighbours of stars are their roots: a second pass leaves them as they are
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
