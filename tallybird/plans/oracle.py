@@ -354,6 +354,13 @@ SELECT *, CASE WHEN topic_text = '' THEN 'General' ELSE topic_text END AS topics
     AS rating_based_sentiment
 FROM (SELECT *, concat_ws(', ', {_TAGS}) AS topic_text FROM scored)"""
 
+CTE["tagged_texts"] = f"""
+SELECT doc_id, CASE WHEN topic_text = '' THEN 'General' ELSE topic_text END AS topics,
+  CASE WHEN sentiment_score >= 0.05 THEN 'Positive' WHEN sentiment_score <= -0.05 THEN 'Negative'
+    ELSE 'Neutral' END AS sentiment_label
+FROM (SELECT texts.doc_id, sentiment_score, concat_ws(', ', {_TAGS.replace('review_text', 'documents.text')}) AS topic_text
+      FROM texts JOIN documents ON documents.doc_id = texts.doc_id)"""
+
 CTE["link"] = """
 SELECT customer_id, segment, CAST(monetary AS DOUBLE) AS monetary, frequency, recency_days,
   avg_sentiment_score, CASE WHEN recency_days > 90 THEN 1 ELSE 0 END AS churned
@@ -651,6 +658,12 @@ Q["sentiment_scores"] = "SELECT review_id, sentiment_score FROM scored"
 Q["sentiment_scores_documents"] = "SELECT doc_id, sentiment_score FROM texts"
 Q["sentiment_labels"] = "SELECT review_id, sentiment_label FROM tagged"
 Q["review_topics"] = "SELECT review_id, topics FROM tagged"
+Q["sentiment_labels_documents"] = "SELECT doc_id, sentiment_label FROM tagged_texts"
+Q["topics_documents"] = "SELECT doc_id, topics FROM tagged_texts"
+Q["negative_topic_counts_documents"] = """
+SELECT topic, count(*) AS num_mentions
+FROM (SELECT unnest(string_split(topics, ', ')) AS topic FROM tagged_texts
+  WHERE sentiment_label = 'Negative') GROUP BY 1"""
 Q["rating_sentiment"] = "SELECT review_id, rating_based_sentiment FROM tagged"
 Q["sentiment_agreement"] = """
 SELECT round(count(*) FILTER (sentiment_label = rating_based_sentiment)

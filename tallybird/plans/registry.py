@@ -591,6 +591,35 @@ def review_topics(spark, folder):
     )
 
 
+def _tagged_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Label and topics of every document, whole text; written once for the queries that read it."""
+
+    def tagged() -> DataFrame:
+        documents = table(spark, folder, "documents").select("doc_id", "text")
+        return sentiment.sentiment_scores(documents, "text").select(
+            "doc_id",
+            sentiment.sentiment_label(F.col("sentiment_score")).alias("sentiment_label"),
+            sentiment.topic_tags(F.col("text")).alias("topics"),
+        )
+
+    return staged(spark, folder, "tagged_documents", tagged)
+
+
+@_query
+def sentiment_labels_documents(spark, folder):
+    return _tagged_documents(spark, folder).select("doc_id", "sentiment_label")
+
+
+@_query
+def topics_documents(spark, folder):
+    return _tagged_documents(spark, folder).select("doc_id", "topics")
+
+
+@_query
+def negative_topic_counts_documents(spark, folder):
+    return sentiment.negative_topic_counts(_tagged_documents(spark, folder))
+
+
 @_query
 def rating_sentiment(spark, folder):
     label = sentiment.rating_label(F.col("rating"))
