@@ -9,8 +9,9 @@ from tallybird.plans.registry import QUERIES
 from tallybird.plans.warehouse import star_schema
 
 # The only jobs that run Python on executors, and those whose input is a fitted model.
-PYTHON = {"isolation_forest", "known_anomaly_check_forest", "seasonal_holdout_forecast",
-          "forecast_90day"}
+PYTHON = {"isolation_forest", "isolation_forest_checks", "daily_anomalies", "known_anomaly_check_forest",
+          "seasonal_holdout_forecast", "forecast_90day", "forecast_checks", "forecast_model_metrics",
+          "density_curve"}
 MODELS = {"churn_logistic", "churn_random_forest", "churn_predictions", "model_roundtrip",
           "feature_importance"}
 
@@ -22,7 +23,7 @@ def plan(df) -> str:
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON - MODELS))
 def test_no_python_and_no_product_joins(spark, data_dir, name):
     text = plan(QUERIES[name](spark, data_dir))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "InPandas", "CartesianProduct",
+    for node in ("BatchEvalPython", "ArrowEvalPython", "InPandas", "InArrow", "CartesianProduct",
                  "BroadcastNestedLoopJoin"):
         assert node not in text
 
@@ -61,3 +62,9 @@ def test_scores_do_not_rank_all_customers_at_once(spark, data_dir):
     scored = rfm.rfm_scores(rfm.rfm_base(star_schema(spark, data_dir)["orders"]))
     text = plan(scored)
     assert "row_number" not in text
+
+
+@pytest.mark.parametrize("name", ["cleaning_report", "key_violations"])
+def test_checks_read_the_written_raw_tables(spark, data_dir, name):
+    text = plan(QUERIES[name](spark, data_dir))
+    assert "orderkey" not in text and "custkey" not in text  # columns of the tables they derive from
