@@ -52,9 +52,14 @@ def stored_model(spark: SparkSession, folder: str, name: str) -> models.Trained:
 def fitted_scores(spark: SparkSession, folder: str) -> DataFrame:
     """(model, customer_id, label, score) of the test part under both fitted models, written once:
     whoever compares models reads it instead of scoring again."""
+    _, test, _, _ = staged_split(spark, folder)
+
+    def scored(name: str) -> DataFrame:
+        return models.score(stored_model(spark, folder, name).model, test)
+
     parts = [
         staged(
-            spark, folder, f"scored_{name.replace(' ', '_')}", lambda name=name: scored_test(spark, folder, name)
+            spark, folder, f"scored_{name.replace(' ', '_')}", lambda name=name: scored(name)
         ).select(
             F.lit(name).alias("model"),
             "customer_id",
