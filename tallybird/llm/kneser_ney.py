@@ -3,11 +3,15 @@
 Tokens are words (runs of anything but white space, A-Z lowered) and one end per text.
 
 1. Every task counts the words of its training texts; counts meet in shards of the word hash. A shard
-   becomes a file of sorted hashes and counts in the shared folder. A word's number is its place.
-2. Tasks map those files, number the words of their texts and count n-grams. A shard holds all
-   n-grams of its histories, so that what follows a history is summed up where it lies; n-grams
-   whose history has only hot words are dealt by the whole n-gram. Shards become sorted files too.
-   The continuation counts of the next lower order come out of the shards of the higher one.
+   becomes a file of sorted hashes and counts in the shared folder. A word's number is its rank by
+   count within the shard, followed by the shard: frequent words have small numbers.
+2. Tasks map those files, number the words of their texts and count n-grams, which travel packed:
+   sorted by their first word, that word delta-coded, in planes of bytes. A shard holds all n-grams
+   of its histories, so that what follows a history is summed up and written where it lies; n-grams
+   whose history has only hot words are dealt by the whole n-gram, and only sums of such histories
+   travel. Shards become sorted files too: six bytes a key, one a count, larger ones beside them.
+   The continuation counts of the next lower order come out of the shards of the higher one, in the
+   same job: nothing is staged.
 3. Tasks map all files and score whole texts. No table is held in memory or passes the driver; it
    gets the names of files, sums, counts of counts and the hot words, a bounded list.
 
@@ -30,15 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tallybird.llm.staging import new_folder, staged
+from tallybird.llm.staging import new_folder
 from tallybird.llm.texts import whole_text
 from tallybird.llm.tokens import LOWER, WORDS, mix, random_words, text_slices, tokenise
 
-ORDER = 2
+ORDER = 3
 SHARD_BYTES = 8 << 20  # of text for each shard
 END = random_words(1, 101)[0]  # the hash of the end token
-_FLUSH = 1 << 21
+_FLUSH = 1 << 22
 _SLICE = 4 << 20
+_BUCKET_BITS = 12
 
 
 def mounted(path: str) -> str:
@@ -49,55 +54,164 @@ def mounted(path: str) -> str:
     return unquote(parts.path)
 
 
-def keep_file(folder: str, name: str, *columns: np.ndarray) -> None:
-    """One file per column, complete or absent under its name."""
-    os.makedirs(folder, exist_ok=True)
-    for k, column in enumerate(columns):
-        draft = f"{folder}/.{name}-{k}-{uuid.uuid4().hex}"
-        column.tofile(draft)
-        os.replace(draft, f"{folder}/{name}-{k}")
+def put(path: str, column: np.ndarray) -> None:
+    """A file that is complete or absent under its name."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    folder, name = os.path.split(path)
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    column.tofile(draft)
+    os.replace(draft, path)
+
+
+def _mapped(path: str, kind: type) -> np.ndarray:
+    there = os.path.exists(path) and os.path.getsize(path)
+    return np.memmap(path, kind, "r") if there else np.empty(0, kind)
+
+
+class Keys:
+    """Sorted distinct 64-bit keys of a shard of at least ``16 - _BUCKET_BITS`` bits: where each value
+    of the next ``_BUCKET_BITS`` bits starts, and six bytes for the rest of each key."""
+
+    @staticmethod
+    def keep(path: str, keys: np.ndarray, bits: int) -> None:
+        bucket = (keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS)
+        put(f"{path}-at", np.searchsorted(bucket, np.arange((1 << _BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int64))
+        rest = keys & np.uint64((1 << (64 - bits - _BUCKET_BITS)) - 1)
+        put(f"{path}-high", (rest >> np.uint64(32)).astype(np.uint16))
+        put(f"{path}-low", rest.astype(np.uint32))
+
+    def __init__(self, path: str, bits: int):
+        self.bits, self.starts = bits, _mapped(f"{path}-at", np.int64)
+        self.high, self.low = _mapped(f"{path}-high", np.uint16), _mapped(f"{path}-low", np.uint32)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return (self.high[places].astype(np.uint64) << np.uint64(32)) | self.low[places]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key of this shard, -1 if absent."""
+        if not len(self.low):
+            return np.full(len(keys), -1, np.int64)
+        bucket = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        rest = keys & np.uint64((1 << (64 - self.bits - _BUCKET_BITS)) - 1)
+        low, high = np.array(self.starts[bucket]), np.array(self.starts[bucket + 1])
+        end = high.copy()
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = (low < high) & (self.at(np.minimum(middle, len(self.low) - 1)) < rest)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        inside = np.minimum(low, len(self.low) - 1)
+        return np.where((low < end) & (self.at(inside) == rest), low, -1)
+
+
+class Numbers:
+    """A plain column of 32-bit numbers."""
+
+    width = ()
+
+    @staticmethod
+    def keep(path: str, column: np.ndarray) -> None:
+        put(path, column.astype(np.uint32))
+
+    def __init__(self, path: str):
+        self.column = _mapped(path, np.uint32)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.column[at].astype(np.int64)
+
+
+class Counts:
+    """A column of counts: one byte each, and those that need more as places and values."""
+
+    width = ()
+
+    @staticmethod
+    def keep(path: str, column: np.ndarray) -> None:
+        wide = np.flatnonzero(column >= 255)
+        if len(wide):
+            put(f"{path}-wide", np.stack([wide, column[wide].astype(np.int64)]))
+        put(path, np.minimum(column, 255).astype(np.uint8))
+
+    def __init__(self, path: str):
+        self.narrow = _mapped(path, np.uint8)
+        self.places, self.wide = _mapped(f"{path}-wide", np.int64).reshape(2, -1)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.narrow[at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            out[large] = self.wide[np.searchsorted(self.places, at[large])]
+        return out
+
+
+class Sums:
+    """Four sums of each history: its counts, how many are 1, 2 and more. Without counts over 2, and
+    with few of 1 and 2, one byte says all; the others have their place and four ``Counts``."""
+
+    width = (4,)
+
+    @staticmethod
+    def keep(path: str, sums: np.ndarray) -> None:
+        _, one, two, more = sums.T
+        small = (more == 0) & (one < 32) & (two < 7)
+        put(path, np.where(small, one + 32 * two, 255).astype(np.uint8))
+        rest = np.flatnonzero(~small)
+        put(f"{path}-places", rest)
+        for k in range(4):
+            Counts.keep(f"{path}-{k}", sums[rest, k])
+
+    def __init__(self, path: str):
+        self.code, self.places = _mapped(path, np.uint8), _mapped(f"{path}-places", np.int64)
+        self.rest = [Counts(f"{path}-{k}") for k in range(4)]
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        code = self.code[at].astype(np.int64)
+        one, two = code % 32, code // 32
+        out = np.stack([one + 2 * two, one, two, np.zeros_like(code)], axis=1)
+        other = np.flatnonzero(code == 255)
+        if len(other):
+            places = np.searchsorted(self.places, at[other])
+            out[other] = np.stack([column[places] for column in self.rest], axis=1)
+        return out
+
+
+def keep_shard(path: str, bits: int, keys: np.ndarray, **columns: tuple[type, np.ndarray]) -> None:
+    for name, (kind, column) in columns.items():
+        kind.keep(f"{path}-{name}", column)
+    Keys.keep(path, keys, bits)
 
 
 class Shelf:
-    """Sorted 64-bit keys with value columns, one mapped file per shard; a shard is the top bits."""
+    """Sorted 64-bit keys with columns, mapped files for each shard; a shard is the top bits."""
 
-    def __init__(self, folder: str, name: str, bits: int, kinds: tuple[type, ...]):
-        self.bits, self.kinds = bits, kinds
+    def __init__(self, folder: str, name: str, bits: int, columns: dict[str, type]):
+        self.bits, self.kinds = bits, columns
         self.paths = [f"{folder}/{name}{shard}" for shard in range(1 << bits)]
-        self.maps: dict[int, list[np.ndarray]] = {}
+        self.maps: dict[int, list] = {}
 
-    def shard(self, number: int) -> list[np.ndarray]:
+    def shard(self, number: int) -> list:
         if number not in self.maps:
-            self.maps[number] = [
-                np.memmap(f"{self.paths[number]}-{k}", kind, "r")
-                if os.path.exists(f"{self.paths[number]}-{k}") and os.path.getsize(f"{self.paths[number]}-{k}")
-                else np.empty(0, kind)
-                for k, kind in enumerate((np.uint64, *self.kinds))
-            ]
+            path = self.paths[number]
+            columns = [kind(f"{path}-{name}") for name, kind in self.kinds.items()]
+            self.maps[number] = [Keys(path, self.bits), *columns]
         return self.maps[number]
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Place within the shard (-1: absent), values (0: absent) and shard for each key."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Whether each key is there and its columns (0: absent)."""
         order = np.argsort(keys)
         ordered = keys[order]
         shards = (ordered >> np.uint64(64 - self.bits)).astype(np.int64)
-        place = np.full(len(keys), -1, np.int64)
-        values = [np.zeros(len(keys), kind) for kind in self.kinds]
+        there = np.zeros(len(keys), bool)
+        values = [np.zeros((len(keys), *kind.width), np.int64) for kind in self.kinds.values()]
         cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
-        for number in np.unique(shards).tolist():
+        for number in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[number], cuts[number + 1]
             known, *columns = self.shard(number)
-            if not len(known):
-                continue
-            at = np.searchsorted(known, ordered[a:b])
-            at[at == len(known)] = 0
-            hit = known[at] == ordered[a:b]
-            place[order[a:b][hit]] = at[hit]
+            at = known.find(ordered[a:b])
+            hit = at >= 0
+            there[order[a:b][hit]] = True
             for value, column in zip(values, columns):
                 value[order[a:b][hit]] = column[at[hit]]
-        whole = np.empty(len(keys), np.int64)
-        whole[order] = shards
-        return place, values, whole
+        return there, values
 
 
 def gram_hash(ids: np.ndarray) -> np.ndarray:
@@ -111,6 +225,11 @@ def gram_hash(ids: np.ndarray) -> np.ndarray:
     return mix(key)
 
 
+def spread(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which rows have a history of hot words only."""
+    return np.isin(ids[:, :-1], hot).all(1)
+
+
 def address(ids: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
     """Shard in the top bits (that of the history, or of the n-gram behind a hot history), hash below."""
     whole = gram_hash(ids)
@@ -118,8 +237,7 @@ def address(ids: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
         return whole
     history = gram_hash(ids[:, :-1])
     if len(hot):
-        spread = np.isin(ids[:, :-1], hot).all(1)
-        history = np.where(spread, whole, history)
+        history = np.where(spread(ids, hot), whole, history)
     return (history >> np.uint64(64 - bits) << np.uint64(64 - bits)) | (whole >> np.uint64(bits))
 
 
@@ -131,7 +249,7 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0], order[first]
 
 
-_CHUNK = "kind string, shard int, keys binary, counts binary"
+_CHUNK = "kind string, shard int, keys binary, counts binary, n int"
 
 
 def _chunks(kind: str, keys: np.ndarray, payload: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -145,8 +263,46 @@ def _chunks(kind: str, keys: np.ndarray, payload: np.ndarray, counts: np.ndarray
             pa.array(full.astype(np.int32)),
             pa.array([np.ascontiguousarray(payload[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
             pa.array([np.ascontiguousarray(counts[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
+            pa.array(np.diff(cuts)[full].astype(np.int32)),
+        ],
+        names=["kind", "shard", "keys", "counts", "n"],
+    )
+
+
+def pack(ids: np.ndarray) -> bytes:
+    """Rows of word numbers, ordered by the first: its steps and the others in planes of bytes, compressed."""
+    ids = ids.copy()
+    ids[1:, 0] -= ids[:-1, 0].copy()
+    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(len(ids), -1).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(packed: bytes, rows: int, level: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, rows * level * 4, "zstd"), np.uint8).reshape(-1, rows)
+    ids = np.ascontiguousarray(planes.T).view(np.uint32)
+    ids[:, 0] = np.cumsum(ids[:, 0], dtype=np.uint32)
+    return ids
+
+
+def _gram_chunks(level: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Packed rows cut by shard from n-grams with sorted ``keys``."""
+    cuts = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    packed, times = [], []
+    for shard in full.tolist():
+        own = slice(cuts[shard], cuts[shard + 1])
+        order = np.argsort(ids[own, 0], kind="stable")
+        packed.append(pack(ids[own][order]))
+        times.append(counts[own][order].astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([f"gram{level}"] * len(full), pa.string()),
+            pa.array(full.astype(np.int32)),
+            pa.array(packed, pa.binary()),
+            pa.array([pa.compress(x, "zstd", asbytes=True) for x in times], pa.binary()),
+            pa.array(np.diff(cuts)[full].astype(np.int32)),
         ],
-        names=["kind", "shard", "keys", "counts"],
+        names=["kind", "shard", "keys", "counts", "n"],
     )
 
 
@@ -184,21 +340,23 @@ def _count_words(bits: int):
     return count
 
 
-def _keep_words(folder: str):
+def _keep_words(folder: str, bits: int):
     def keep(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
         keys, counts, _ = summed(keys, counts.astype(np.int64))
-        keep_file(folder, f"word{shard}", keys, counts)
+        by_count = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[by_count] = np.arange(len(keys))
+        keep_shard(f"{folder}/word{shard}", bits, keys, count=(Counts, counts), rank=(Numbers, rank))
         # counts of the most frequent words: whoever is hot is among them
-        top = np.argsort(-counts, kind="stable")[:4]
+        top = by_count[:4]
         return pa.table(
             {
                 "shard": pa.array([shard], pa.int32()),
                 "words": [len(keys)],
                 "tokens": [int(counts.sum())],
-                "top_at": pa.array([top.tolist()], pa.list_(pa.int64())),
                 "top": pa.array([counts[top].tolist()], pa.list_(pa.int64())),
             }
         )
@@ -215,7 +373,7 @@ class Model:
     order: int
     words: int  # V
     tokens: int  # N
-    first: np.ndarray  # number of the first word of each shard
+    before: int  # past the numbers of all words; stands for what is before a text
     hot: np.ndarray
     discounts: dict[int, np.ndarray] = field(default_factory=dict)  # by order, for counts 1, 2, 3 and more
     unigram: tuple[float, float] = (0.0, 0.0)  # sum of continuation counts, weight of the uniform part
@@ -223,28 +381,29 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "shelves"}
 
-    def shelf(self, name: str, *kinds: type) -> Shelf:
+    def shelf(self, name: str, **columns: type) -> Shelf:
         shelves = self.__dict__.setdefault("shelves", {})
         if name not in shelves:
-            shelves[name] = Shelf(self.folder, name, self.bits, kinds)
+            shelves[name] = Shelf(self.folder, name, self.bits, columns)
         return shelves[name]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number, training count) of each token; unknown tokens have number V + 1 and count 0.
-        V stands for what is before a text."""
+        """(number, training count) of each token; unknown tokens have the number after ``before`` and
+        count 0."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        place, (counts,), shard = self.shelf("word", np.int64).find(distinct)
-        number = np.where(place >= 0, self.first[shard] + place, self.words + 1)
+        known, (counts, rank) = self.shelf("word", count=Counts, rank=Numbers).find(distinct)
+        shard = (distinct >> np.uint64(64 - self.bits)).astype(np.int64)
+        number = np.where(known, (rank << self.bits) | shard, self.before + 1)
         return number[back], counts[back]
 
     def grams(self, numbers: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """One row of ``order`` word numbers for every token, V before the text."""
+        """One row of ``order`` word numbers for every token, ``before`` ahead of the text."""
         n = self.order
         ids = np.empty((len(numbers), n), np.uint32)
         position = np.arange(len(numbers)) - np.repeat(bounds[:-1], np.diff(bounds))
         for back in range(n):
             column = np.roll(numbers, back)
-            ids[:, n - 1 - back] = np.where(position >= back, column, self.words)
+            ids[:, n - 1 - back] = np.where(position >= back, column, self.before)
         return ids
 
     def discount(self, level: int, counts: np.ndarray) -> np.ndarray:
@@ -258,14 +417,15 @@ class Model:
         for level in range(1, self.order + 1):
             own = ids[:, self.order - level :]
             keys, back = np.unique(address(own, self.bits, self.hot), return_inverse=True)
-            (count,) = self.shelf(f"gram{level}-", np.uint32).find(keys)[1]
+            (count,) = self.shelf(f"gram{level}-", count=Counts).find(keys)[1]
             kept = np.maximum(count - self.discount(level, count), 0.0)[back]
             if level == 1:
                 if total:
                     chance = kept / total + uniform * chance
                 continue
             histories, behind = np.unique(gram_hash(own[:, :-1]), return_inverse=True)
-            found = self.shelf(f"history{level}-", np.int64, np.int64, np.int64, np.int64).find(histories)[1]
+            # a history is in one of them
+            found = sum(self.shelf(f"{name}{level}-", sums=Sums).find(histories)[1][0] for name in ("history", "hot")).T
             seen = found[0][behind].astype(np.float64)
             rest = sum(d * n[behind] for d, n in zip(self.discounts[level][1:], found[1:]))
             known = seen > 0
@@ -282,7 +442,7 @@ def _count_grams(model: Model):
             ids = np.concatenate(held)
             held.clear()
             keys, counts, at = summed(address(ids, model.bits, model.hot), np.ones(len(ids), np.int64))
-            return _chunks("gram", keys, ids[at], counts.astype(np.uint32), model.bits)
+            return _gram_chunks(model.order, keys, ids[at], counts, model.bits)
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("t"), _SLICE):
@@ -296,59 +456,69 @@ def _count_grams(model: Model):
     return count
 
 
+def _sums(which: np.ndarray, counts: np.ndarray, histories: int) -> np.ndarray:
+    """By history: sum of the counts, numbers of counts 1, 2 and more; exact in int64."""
+    columns = [counts] + [x.astype(np.int64) for x in (counts == 1, counts == 2, counts > 2)]
+    out = np.zeros((histories, 4), np.int64)
+    for k, column in enumerate(columns):
+        np.add.at(out[:, k], which, column)
+    return out
+
+
 def _keep_grams(model: Model, level: int):
-    """A shard of order ``level``: its file, the sums of its histories, what the order below counts."""
+    """A shard of order ``level``: its file, its histories, what the order below counts. Sums of hot
+    histories, cut out of the order above, meet in their own files; counts of counts pass on."""
 
     def keep(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        ids = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")]).reshape(-1, level)
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+        kind, shard = table.column("kind")[0].as_py(), table.column("shard")[0].as_py()
+        if kind.startswith("counts"):
+            return table
+        if kind.startswith("hot"):
+            keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
+            sums = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in table.column("counts")])
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+            sums = np.add.reduceat(sums[order], first, axis=0)
+            keep_shard(f"{model.folder}/{kind}-{shard}", model.bits, keys[order][first], sums=(Sums, sums))
+            return table.slice(0, 0)
+        rows = table.column("n").to_pylist()
+        ids = np.concatenate([unpack(x.as_py(), n, level) for x, n in zip(table.column("keys"), rows)])
+        counts = np.concatenate(
+            [np.frombuffer(pa.decompress(x.as_py(), n * 4, "zstd"), np.uint32) for x, n in zip(table.column("counts"), rows)]
+        )
         keys, counts, at = summed(address(ids, model.bits, model.hot), counts.astype(np.int64))
         ids = ids[at]
-        keep_file(model.folder, f"gram{level}-{shard}", keys, counts.astype(np.uint32))
+        keep_shard(f"{model.folder}/gram{level}-{shard}", model.bits, keys, count=(Counts, counts))
         of_counts = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [counts.sum(), (counts > 2).sum()], np.int64)
         out = [
             pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["counts"]),
+                    pa.array([f"counts{level}"]),
                     pa.array([shard], pa.int32()),
                     pa.array([b""], pa.binary()),
                     pa.array([of_counts.tobytes()], pa.binary()),
+                    pa.array([1], pa.int32()),
                 ],
-                names=["kind", "shard", "keys", "counts"],
+                names=["kind", "shard", "keys", "counts", "n"],
             )
         ]
         if level > 1:
-            history, _, row = summed(gram_hash(ids[:, :-1]), counts)
-            which = np.searchsorted(history, gram_hash(ids[:, :-1]))
-            sums = np.stack(
-                [np.bincount(which, counts, len(history))]
-                + [np.bincount(which, wanted, len(history)) for wanted in (counts == 1, counts == 2, counts > 2)],
-                axis=1,
-            ).astype(np.int64)
-            out.append(_chunks("history", history, history, sums, model.bits))
+            parted = spread(ids, model.hot)
+            for name, own in (("history", ~parted), ("hot", parted)):
+                history, which = np.unique(gram_hash(ids[own, :-1]), return_inverse=True)
+                sums = _sums(which, counts[own], len(history))
+                if name == "history":  # whole in this shard
+                    keep_shard(f"{model.folder}/history{level}-{shard}", model.bits, history, sums=(Sums, sums))
+                elif len(history):
+                    out.append(_chunks(f"hot{level}", history, history, sums, model.bits))
             lower = ids[:, 1:]
             key, times, row = summed(address(lower, model.bits, model.hot), np.ones(len(lower), np.int64))
-            out.append(_chunks("lower", key, lower[row], times.astype(np.uint32), model.bits))
+            out.append(_gram_chunks(level - 1, key, lower[row], times, model.bits))
         return pa.Table.from_batches(out)
 
     return keep
 
 
-def _keep_histories(folder: str, level: int):
-    def keep(table: pa.Table) -> pa.Table:
-        shard = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-        sums = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in table.column("counts")])
-        order = np.argsort(keys, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        sums = np.add.reduceat(sums[order], first, axis=0)  # parts of hot histories meet here
-        keep_file(folder, f"history{level}-{shard}", keys[order][first], *[np.ascontiguousarray(c) for c in sums.T])
-        return pa.table({"shard": pa.array([shard], pa.int32())})
-
-    return keep
-
-
 def discounts_from(counts_of_counts: np.ndarray) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more (Chen and Goodman), within [0, count]. Where too
     few counts are seen to estimate one, it is 0.75 of Kneser and Ney's."""
@@ -375,36 +545,30 @@ def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder:
     shards = (
         words.mapInArrow(_count_words(bits), _CHUNK)
         .groupBy("shard")
-        .applyInArrow(_keep_words(folder), "shard int, words long, tokens long, top_at array<long>, top array<long>")
+        .applyInArrow(_keep_words(folder, bits), "shard int, words long, tokens long, top array<long>")
         .collect()  # a few numbers per shard
     )
-    count = np.zeros(1 << bits, np.int64)
-    for row in shards:
-        count[row["shard"]] = row["words"]
-    first = np.concatenate([[0], np.cumsum(count)])[:-1]
+    words_of = {row["shard"]: row["words"] for row in shards}
+    before = max(words_of.values(), default=0) << bits
     tokens = sum(row["tokens"] for row in shards)
     bound = tokens / (1 << bits) / 4
     hot = [
-        first[row["shard"]] + at
+        (rank << bits) | row["shard"]
         for row in shards
-        for at, times in zip(row["top_at"], row["top"])
+        for rank, times in enumerate(row["top"])
         if times > bound
     ]
-    model = Model(folder, bits, order, int(count.sum()), tokens, first, np.array([*hot, count.sum()], np.uint32))
+    model = Model(folder, bits, order, sum(words_of.values()), tokens, before, np.array([*hot, before], np.uint32))
     chunks = words.mapInArrow(_count_grams(model), _CHUNK)
     for level in range(order, 0, -1):
-        made = staged(chunks.groupBy("shard").applyInArrow(_keep_grams(model, level), _CHUNK), f"order-{level}")
-        stats = [np.frombuffer(bytes(r["counts"]), np.int64) for r in made.where("kind = 'counts'").collect()]
-        total = np.sum(stats, axis=0) if stats else np.zeros(6, np.int64)
+        chunks = chunks.groupBy("kind", "shard").applyInArrow(_keep_grams(model, level), _CHUNK)
+    totals = {level: np.zeros(6, np.int64) for level in range(1, order + 1)}
+    for row in chunks.select("kind", "counts").collect():  # a few numbers per shard and order
+        totals[int(row["kind"].removeprefix("counts"))] += np.frombuffer(bytes(row["counts"]), np.int64)
+    for level, total in totals.items():
         model.discounts[level] = discounts_from(total)
-        if level == 1:
-            spent = model.discounts[1][1:] @ np.array([total[0], total[1], total[5]], np.float64)
-            model.unigram = float(total[4]), float(spent / total[4]) if total[4] else 0.0
-            break
-        made.where("kind = 'history'").groupBy("shard").applyInArrow(
-            _keep_histories(folder, level), "shard int"
-        ).agg(F.count("*")).collect()
-        chunks = made.where("kind = 'lower'")
+    spent = model.discounts[1][1:] @ np.array([totals[1][0], totals[1][1], totals[1][5]], np.float64)
+    model.unigram = float(totals[1][4]), float(spent / totals[1][4]) if totals[1][4] else 0.0
     return model
 
 

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from tallybird.llm.kneser_ney import discounts_from, fit_model, mounted, score_texts
+from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, score_texts, unpack
+from tallybird.llm.queries import op10_language_model_scores
 
 TRAIN = [
     "the cat sat on the mat", "The cat ate the rat", "the dog sat on the cat", "a rat sat", "the the the", "", None, "dog dog cat\tsat\non",
@@ -101,3 +104,39 @@ def test_only_mounted_folders_can_be_mapped():
     assert mounted("file:///a/b%20c") == "/a/b c" and mounted("/a/b") == "/a/b"
     with pytest.raises(ValueError, match="mounted"):
         mounted("hdfs://host/a")
+
+
+def test_the_query_scores_with_two_words_of_history(spark, tmp_path):
+    rows = [(k, TEXTS[k % len(TEXTS)]) for k in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    brute = Brute([t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2], 3)
+    for row in op10_language_model_scores(spark, str(tmp_path)).collect():
+        assert math.isclose(row["score"], brute.score(dict(rows)[row["doc_id"]]), rel_tol=1e-9)
+
+
+def test_keys_counts_and_sums_are_found_again(tmp_path):
+    draw = np.random.default_rng(1)
+    keys = np.unique(draw.integers(0, 1 << 64, 60_000, dtype=np.uint64))
+    keys[:3] = [0, 1, 1 << 20]
+    keys[-1] = (1 << 64) - 1
+    counts = draw.choice([1, 2, 254, 255, 256, (1 << 32) - 1, 1 << 32, 1 << 40], len(keys))
+    more = draw.integers(0, 300, (len(keys), 3)) * draw.integers(0, 2, (len(keys), 3))
+    more[::2] %= 9
+    sums = np.column_stack([more @ [1, 2, 3] + (more[:, 2] > 0) * counts, more])
+    for shard in range(64):
+        own = keys >> np.uint64(58) == shard
+        keep_shard(f"{tmp_path}/gram{shard}", 6, keys[own], count=(Counts, counts[own]), sums=(Sums, sums[own]))
+    absent = np.setdiff1d(np.concatenate([keys + np.uint64(1), draw.integers(0, 1 << 64, 1000, dtype=np.uint64)]), keys)
+    asked = draw.permutation(np.concatenate([keys, absent]))
+    there, found = Shelf(str(tmp_path), "gram", 6, {"count": Counts, "sums": Sums}).find(asked)
+    at = np.searchsorted(keys, asked) % len(keys)
+    assert (there == (keys[at] == asked)).all()
+    assert (found[0] == np.where(there, counts[at], 0)).all()
+    assert (found[1] == np.where(there[:, None], sums[at], 0)).all()
+
+
+@pytest.mark.parametrize("level", [1, 2, 3])
+def test_packed_rows_come_back(level):
+    ids = np.random.default_rng(level).integers(0, 1 << 32, (1000, level), dtype=np.uint32)
+    ids = ids[np.argsort(ids[:, 0])]
+    assert (unpack(pack(ids), 1000, level) == ids).all()
