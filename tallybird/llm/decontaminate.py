@@ -7,10 +7,12 @@ over words.
 The CGK embedding walks over a word sequence: step ``j`` writes the word under the cursor and moves
 on if a random bit of (j, word) says so. Two sequences that differ by an edit fall back into step, so
 a small edit distance becomes a small Hamming distance between what the walks write. Every word of a
-document starts a window of the items' size; a window's key is the walk's output at ``SAMPLES``
-positions drawn for each of ``REPEATS`` independent walks. All starts within an item are indexed, so
-that a stretch of few edits anywhere in it retrieves it. Items shorter than the walk have shorter
-ones. Every retrieved alignment is then verified on the whole item.
+document starts a walk; a walk is a seed shorter than the item (``STEPS`` steps pass about half as
+many words). Its key is what it writes at ``SAMPLES`` positions drawn for each of ``REPEATS``
+independent walks. All starts within an item are indexed, so that a stretch of few edits anywhere in
+it retrieves it. Items of up to ``SHORT`` words have walks that pass no more words than stay untouched
+in a row under every allowed set of edits, so they are always retrieved. Every retrieved alignment is
+then verified on the whole item.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ SIMILARITY = 0.8
 REPEATS = 6
 STEPS = 14
 SAMPLES = 7
+SHORT = 24  # words of the longest item that is retrieved for certain and not by chance
 BLOCK_BYTES = 16 << 20  # of item texts that are shipped to the tasks at once
 _FILTER_BITS = 20
 
@@ -39,9 +42,9 @@ def max_edits(words: int, similarity: float = SIMILARITY) -> int:
 
 
 def walk_length(words: int, similarity: float = SIMILARITY) -> int:
-    """Steps of the walks of an item. A short item gets as many as words are left untouched
-    somewhere in it by every allowed set of edits, so it is always retrieved."""
-    if words >= STEPS:
+    """Steps of the walks of an item. A short item gets as many as words are left untouched in a row
+    somewhere in it by every allowed set of edits, so each of its walks always retrieves it."""
+    if words > SHORT:
         return STEPS
     slack = max_edits(words, similarity)
     return max(1, (words - slack) // (slack + 1))
@@ -71,6 +74,16 @@ def walk_keys(words: np.ndarray, lengths: list[int], repeat: int) -> dict[int, n
     return keys
 
 
+def walk_reach(words: np.ndarray, steps: int, repeat: int) -> np.ndarray:
+    """For every start in ``words`` how many words a walk passes."""
+    coins = mix(np.concatenate([words, np.zeros(steps, np.uint64)]) ^ random_words(1, 70 + repeat)[0])
+    start = np.arange(len(words))
+    cursor = start.copy()
+    for step in range(steps - 1):
+        cursor += ((coins[cursor] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+    return cursor - start
+
+
 def least_edits(item: np.ndarray, region: np.ndarray) -> int:
     """Edit distance between ``item`` and the best run within ``region``."""
     columns = np.arange(len(region) + 1)
@@ -95,12 +108,20 @@ class ItemIndex:
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]))
         self.lengths = sorted({walk_length(len(w), self.similarity) for w in self.words})
         self.tables = {}
+        none = np.empty(0, np.int64)
+        best = []  # by item and start: of walks that all retrieve a short item, the one that passes most words
+        for words in self.words:
+            own = walk_length(len(words), self.similarity)
+            short = len(words) <= SHORT
+            best.append(np.argmax([walk_reach(words, own, r) for r in range(REPEATS)], axis=0) if short else None)
         for repeat in range(REPEATS):
-            found: dict[int, list] = defaultdict(list)
+            found: dict[int, list] = {length: [(none.astype(np.uint64), none, none)] for length in self.lengths}
             for number, words in enumerate(self.words):
                 own = walk_length(len(words), self.similarity)
                 keys = walk_keys(words, [own], repeat)[own]
                 starts = np.arange(max(1, len(words) - own + 1))
+                if best[number] is not None:
+                    starts = starts[best[number][starts] == repeat]
                 found[own].append((keys[starts], np.full(len(starts), number), starts))
             for length, parts in found.items():
                 keys, numbers, starts = (np.concatenate(x) for x in zip(*parts))

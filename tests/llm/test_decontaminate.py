@@ -109,6 +109,36 @@ def test_recall_near_the_limit():
     assert found[0.1] >= 297 and found[0.2] >= 285
 
 
+def retrieved(draw, n, trials, change):
+    """Share of documents that hold a changed item of ``n`` words in which it is found."""
+    found = 0
+    for _ in range(trials):
+        item = prose(draw, n)
+        data = [np.frombuffer(" ".join(x).encode(), np.uint8) for x in (item, prose(draw, 15) + change(item) + prose(draw, 15))]
+        item, doc = (tokenise(x, np.array([0, len(x)]), LETTERS, LOWER).hashes for x in data)
+        index = ItemIndex(ids=[0], words=[item]).build()
+        found += 0 in index.search(doc, np.array([0, len(doc)])).get(0, set())
+    return found / trials
+
+
+@pytest.mark.parametrize("n", [*range(1, 31), 35, 40])
+def test_recall_at_the_limit_for_each_length(n):
+    draw = random.Random(n)
+    slack = max_edits(n)
+
+    def substituted(item):
+        at = set(draw.sample(range(n), slack))
+        return ["changed" if k in at else w for k, w in enumerate(item)]
+
+    least = 1.0 if n <= decontaminate.SHORT else 0.9
+    assert retrieved(draw, n, 60, lambda item: edited(draw, item, slack)) >= least
+    assert retrieved(draw, n, 60, substituted) >= least
+    if n <= decontaminate.SHORT:
+        for first in range(5):  # edits as far apart as they can be
+            at = range(first, n, 5)[:slack]
+            assert retrieved(draw, n, 20, lambda item: ["changed" if k in at else w for k, w in enumerate(item)]) == 1
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_least_edits(seed):
     draw = random.Random(seed)
