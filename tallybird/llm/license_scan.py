@@ -9,8 +9,10 @@ shingles at every ``m``-th shingle, so a passage of the template's length lies w
 Bands have one minimum each; their number follows from the least similarity a window can have with a
 template it holds, so that it is retrieved with chance ``RECALL`` or more.
 
-Before that, a filter that loses nothing: every shingle of every template holds one of a few anchor
-words, chosen from the templates; texts without any anchor are not cut into windows.
+Before that, a filter that loses nothing: a word in more shingles than may be missing is in every text
+that holds the template. Texts without any word of a small set that meets every template are not cut
+into shingles, and only texts with all such words of some template of a class into its windows. A
+template without such words has anchors instead, words of which every shingle holds one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ RECALL = 0.995
 TEMPLATE_CHARS = 4 << 20  # of all templates together; they travel to every task
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 
-# Public license notices, as their publishers word them.
+# Public license notices, passages of license texts and usual short wordings. Wordings that
+# differ in a version only are short, so that containment tells them apart.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -59,6 +62,124 @@ TEMPLATES = (
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
         "later version.",
     ),
+    (
+        "MIT-warranty",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+        "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+        "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE "
+        "SOFTWARE.",
+    ),
+    (
+        "ISC-permission",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "BSD-conditions",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-3-Clause-endorsement",
+        "may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "BSD-warranty",
+        "ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "Apache-2.0-compliance",
+        "you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0",
+    ),
+    (
+        "Apache-2.0-body",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, "
+        "non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, "
+        "publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or "
+        "Object form.",
+    ),
+    (
+        "GPL-warranty",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    (
+        "GPL-preamble",
+        "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not "
+        "allowed.",
+    ),
+    (
+        "GPL-2.0-notice",
+        "GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    ),
+    (
+        "MPL-2.0-header",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "BSL-1.0-permission",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license",
+    ),
+    (
+        "Zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions",
+    ),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights"),
+    *[
+        (f"{name}-short", wording)
+        for name, title in (("MIT", "MIT License"), ("ISC", "ISC License"), ("BSD", "BSD License"), ("Apache", "Apache License"))
+        for wording in (f"under the {title}", f"under the terms of the {title}", f"under a {title}", f"under {title}")
+    ],
+    *[
+        (f"{name}-short", wording)
+        for name, title, number in (
+            ("GPL-2.0", "GNU General Public License", "2"),
+            ("GPL-3.0", "GNU General Public License", "3"),
+            ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+            ("LGPL-3.0", "GNU Lesser General Public License", "3"),
+            ("AGPL-3.0", "GNU Affero General Public License", "3"),
+            ("MPL-2.0", "Mozilla Public License", "2.0"),
+            ("Apache-2.0", "Apache License", "2.0"),
+            ("EPL-2.0", "Eclipse Public License", "2.0"),
+        )
+        for wording in (f"{title} version {number}", f"{title} v{number}", f"{title} {number}")
+    ],
+    *[
+        (f"CC-{kind}-{number}-short", wording)
+        for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")
+        for number in ("3.0", "4.0")
+        for wording in (f"under CC {kind} {number}", f"under a CC {kind} {number}", f"under the CC {kind} {number}")
+    ],
+    *[
+        (f"CC-{kind}-4.0-short", f"Creative Commons {name} 4.0")
+        for kind, name in (
+            ("BY", "Attribution"),
+            ("BY-SA", "Attribution-ShareAlike"),
+            ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    ],
+    *[
+        (f"{name}-SPDX", f"SPDX-License-Identifier: {name}")
+        for name in (
+            "MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
+            "AGPL-3.0", "MPL-2.0", "EPL-2.0", "Unlicense", "CC0-1.0", "Zlib", "BSL-1.0",
+        )
+    ],
 )
 
 
@@ -113,6 +234,46 @@ def anchors_of(templates: list[str], n: int = N) -> list[str]:
     return chosen
 
 
+def required_words(text: str, containment: float = CONTAINMENT, n: int = N) -> list[str]:
+    """Words that every text holding the template has, long ones first: they are in more of its
+    shingles than may be missing."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    own = min(n, len(words))
+    shingles = {tuple(words[k : k + own]) for k in range(len(words) - own + 1)}
+    spare = len(shingles) - math.ceil(containment * len(shingles) - 1e-9)
+    found = [w for w in set(words) if sum(w in shingle for shingle in shingles) > spare]
+    return sorted(found, key=lambda w: (-len(w), w))
+
+
+def needs_of(text: str, containment: float = CONTAINMENT) -> list[list[str]]:
+    """Sets of words, one of which is whole in every text that holds the template."""
+    required = required_words(text, containment)
+    return [required] if required else [[w] for w in anchors_of([text])]
+
+
+def gate_of(needs: list[list[list[str]]]) -> list[str]:
+    """Few words, so that a text which meets some set of any template's ``needs`` has one of them."""
+    gate, left = [], [own for sets in needs for own in sets]
+    while left:
+        each: dict[str, int] = {}
+        for own in left:
+            for w in own:
+                each[w] = each.get(w, 0) + 1
+        gate.append(max(each, key=lambda w: (each[w] * (len(w) > 3), len(w), w)))
+        left = [own for own in left if gate[-1] not in own]
+    return gate
+
+
+def meets(lowered: Column, sets: list[list[str]]) -> Column:
+    """Whether the text has all words of some set."""
+    wanted = F.array(*[F.array(*[F.lit(w) for w in own]) for own in sets])
+
+    def whole(text: Column) -> Column:
+        return F.exists(wanted, lambda own: F.forall(own, lambda w: F.contains(text, w)))
+
+    return F.exists(F.array(lowered), whole)
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: DataFrame | None = None,
@@ -131,7 +292,6 @@ def scan_licenses(
     total = templates.agg(F.sum(F.length("text"))).first()[0] or 0
     if total > TEMPLATE_CHARS:
         raise ValueError(f"{total} characters of templates; scan them in parts of {TEMPLATE_CHARS}")
-    texts = [r["text"] for r in templates.where("text IS NOT NULL").select("text").collect()]
     words = words_of(F.col("text"))
     known = staged(
         templates.where("text IS NOT NULL")
@@ -141,22 +301,29 @@ def scan_licenses(
         .withColumn("number", F.xxhash64("template_id", "text")),
         "templates",
     )
-    classes: dict[tuple[int, int], None] = {}
-    for row in known.select("n", (F.size("words") - F.col("n") + 1).alias("size")).distinct().collect():
-        classes[row["n"], 1 << (row["size"] - 1).bit_length()] = None
+    classes: dict[tuple[int, int], list[list[str]]] = {}
+    for row in known.select("n", (F.size("words") - F.col("n") + 1).alias("size"), "text").distinct().collect():
+        classes.setdefault((row["n"], 1 << (row["size"] - 1).bit_length()), []).extend(needs_of(row["text"], containment))
     lengths = sorted({n for n, _ in classes})
 
     lowered = F.lower(whole_text(docs, text))
     anchored = F.lit(False)
-    for anchor in anchors_of(texts):
-        anchored = anchored | F.contains(lowered, F.lit(anchor))
+    for word in gate_of(list(classes.values())):
+        anchored = anchored | F.contains(lowered, F.lit(word))
+    meeting = {key: F.when(anchored, meets(lowered, sets)).otherwise(False) for key, sets in classes.items()}
     row = F.struct(*[docs[c] for c in docs.columns if c != text])
-    cut = docs.select(row.alias("row"), F.when(anchored, words_of(whole_text(docs, text))).alias("words"))
+    flags = [flag.alias(f"c{n}_{size}") for (n, size), flag in meeting.items()]
+    cut = docs.select(row.alias("row"), F.when(anchored, words_of(whole_text(docs, text))).alias("words"), *flags)
+
+    def met(n: int) -> Column:
+        return F.array_contains(F.array(*[F.col(f"c{k}_{size}") for k, size in classes if k == n]), True)
+
     cut = staged(
         cut.select(
             F.monotonically_increasing_id().alias("uid"),
             "row",
-            *[F.when(F.col("words").isNotNull(), shingles_of(F.col("words"), n)).alias(f"s{n}") for n in lengths],
+            *[F.col(f"c{n}_{size}") for n, size in classes],
+            *[F.when(met(n), shingles_of(F.col("words"), n)).alias(f"s{n}") for n in lengths],
         ),
         "shingles",
     )
@@ -173,7 +340,7 @@ def scan_licenses(
         shingles = F.col(f"s{n}")
         starts = F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(size))
         windows = (
-            cut.where(F.size(shingles) > 0)
+            cut.where(F.col(f"c{n}_{size}") & (F.size(shingles) > 0))
             .select("uid", shingles.alias("all"), F.explode(starts).alias("start"))
             .select("uid", F.slice("all", F.col("start") + 1, 2 * size).alias("window"))
             .select("uid", "window", F.posexplode(minima(F.col("window"), bands)).alias("band", "key"))

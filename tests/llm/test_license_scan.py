@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tallybird.llm.license_scan import TEMPLATES, anchors_of, bands_for, scan_licenses
+from tallybird.llm.license_scan import TEMPLATES, anchors_of, bands_for, gate_of, needs_of, scan_licenses
 
 LINES = dict(TEMPLATES)
 FILL = "some words that are no license at all go here and there "
@@ -76,3 +76,33 @@ def test_bands_guarantee_the_recall(size):
         held = math.ceil(0.8 * t - 1e-9)
         similarity = held / (2 * size + t - held)
         assert 1 - (1 - similarity) ** bands_for(size) >= 0.995 - 1e-9
+
+
+def test_other_licenses_and_wordings(spark):
+    texts = {
+        "Licensed under the MIT License": "MIT-short",
+        "See the GNU Lesser General Public License v2.1 for more": "LGPL-2.1-short",
+        "covered by the GNU Affero General Public License, version 3": "AGPL-3.0-short",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0-header",
+        LINES["BSD-conditions"]: "BSD-conditions",
+        LINES["Unlicense"]: "Unlicense",
+        "shared under a CC BY-SA 4.0 license": "CC-BY-SA-4.0-short",
+        "// SPDX-License-Identifier: ISC": "ISC-SPDX",
+    }
+    docs = spark.createDataFrame([(FILL + t + " " + FILL, name) for t, name in texts.items()], "text string, name string")
+    for row in scan_licenses(docs).collect():
+        assert row["row"]["name"] in [x["template_id"] for x in row["licenses"]]
+
+
+def test_the_filter_loses_nothing():
+    gate = gate_of([needs_of(text) for _, text in TEMPLATES])
+    for _, text in TEMPLATES:
+        own = words(text)
+        n = min(5, len(own))
+        shingles = [set(own[k : k + n]) for k in range(len(own) - n + 1)]
+        for own_set in needs_of(text):
+            assert set(gate) & set(own_set)
+        spare = int(0.2 * len(shingles) + 1e-9)
+        for first in range(len(shingles)):  # any run of shingles is missing
+            left = set().union(*shingles[:first], *shingles[first + spare :])
+            assert any(set(own_set) <= left for own_set in needs_of(text))
