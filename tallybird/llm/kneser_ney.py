@@ -533,6 +533,15 @@ def discounts_from(counts_of_counts: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def past_numbers(words: int, bits: int) -> int:
+    """The first number after those of all words, with at most ``words`` in a shard. It and the next
+    one, for unknown words, must fit 32 bits."""
+    before = words << bits
+    if before + 1 >= 1 << 32:
+        raise ValueError(f"{words} words in one of {1 << bits} shards need numbers of more than 32 bits")
+    return before
+
+
 def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder: str | None = None) -> Model:
     """Count ``texts``, all of them, and leave the tables in ``folder`` (a new one in the shared
     folder by default). Null texts count as empty: one end token. Without rows the model is uniform
@@ -549,7 +558,7 @@ def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder:
         .collect()  # a few numbers per shard
     )
     words_of = {row["shard"]: row["words"] for row in shards}
-    before = max(words_of.values(), default=0) << bits
+    before = past_numbers(max(words_of.values(), default=0), bits)
     tokens = sum(row["tokens"] for row in shards)
     bound = tokens / (1 << bits) / 4
     hot = [

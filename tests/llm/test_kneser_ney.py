@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, score_texts, unpack
+from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, past_numbers, score_texts, unpack
 from tallybird.llm.queries import op10_language_model_scores
 
 TRAIN = [
@@ -140,3 +140,9 @@ def test_packed_rows_come_back(level):
     ids = np.random.default_rng(level).integers(0, 1 << 32, (1000, level), dtype=np.uint32)
     ids = ids[np.argsort(ids[:, 0])]
     assert (unpack(pack(ids), 1000, level) == ids).all()
+
+
+def test_word_numbers_that_do_not_fit_are_refused():
+    assert past_numbers((1 << 26) - 1, 6) == (1 << 32) - 64
+    with pytest.raises(ValueError, match="32 bits"):
+        past_numbers(1 << 26, 6)
