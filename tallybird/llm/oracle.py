@@ -167,6 +167,48 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP13 = rf"""
+WITH marks AS (
+    SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+    SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS t,
+           regexp_extract_all(coalesce(d.text, ''), '{WORD}') AS w,
+           coalesce(good, 0) AS good, coalesce(marks.toxic, 0) AS toxic
+    FROM documents d LEFT JOIN marks ON d.doc_id = marks.doc_id
+), fails AS (
+    SELECT part, good, toxic,
+           (len(w) < 200)::INT AS a, (100 * len(list_distinct(w)) < 50 * len(w))::INT AS b,
+           (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::INT AS c,
+           regexp_matches(t, '[#$%&*|]')::INT AS d,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS e
+    FROM docs
+), cells AS (
+    SELECT part, good, toxic, [a, b, c, d, e] AS f, a + b + c + d + e AS failed, count(*) AS n FROM fails GROUP BY ALL
+), letters(i) AS (VALUES (1), (2), (3), (4), (5)),
+orders AS (
+    SELECT [p.i, q.i, r.i, s.i, t.i] AS o
+    FROM letters p, letters q, letters r, letters s, letters t
+    WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5
+), steps AS (
+    SELECT part, array_to_string(list_transform(o, lambda x: chr(64 + x)), '') AS filter_order, letters.i AS step, o[letters.i] AS own,
+           good, toxic, failed, n, f[o[letters.i]] AS here,
+           coalesce(list_max(list_transform(o[1:letters.i - 1], lambda x: f[x])), 0) AS before
+    FROM cells, orders, letters
+), counted AS (
+    SELECT part, filter_order, step, own,
+           coalesce(sum(n) FILTER (here = 0 AND before = 0), 0)::BIGINT AS kept,
+           coalesce(sum(n) FILTER (here = 1 AND before = 0), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (here = 1 AND before = 1), 0)::BIGINT AS redundant,
+           coalesce(sum(n) FILTER (here = 1 AND failed = 1), 0)::BIGINT AS unique_fails,
+           coalesce(sum(n) FILTER (here = 1 AND before = 0 AND good = 1), 0)::BIGINT AS good_lost,
+           coalesce(sum(n) FILTER (here = 1 AND before = 0 AND toxic = 1), 0)::BIGINT AS toxic_lost
+    FROM steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
+"""
+
 ORACLE_SQL = {
     "op1_ngram_jaccard_join": OP1,
     "op2_html_extraction": OP2,
@@ -174,4 +216,5 @@ ORACLE_SQL = {
     "op4_secret_scan": OP4,
     "op8_exact_top_k": OP8,
     "op9_source_mixing": OP9,
+    "op13_filter_audit": OP13,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybird.llm.decontaminate import find_items
+from tallybird.llm.filter_audit import audit_filters
 from tallybird.llm.html_text import extract_text
 from tallybird.llm.kneser_ney import fit_model, score_texts
 from tallybird.llm.license_scan import scan_licenses
@@ -101,6 +102,10 @@ def op10_language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -114,5 +119,6 @@ QUERIES = {
         op8_exact_top_k,
         op9_source_mixing,
         op10_language_model_scores,
+        op13_filter_audit,
     )
 }
