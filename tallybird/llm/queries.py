@@ -15,6 +15,7 @@ from tallybird.llm.ngram_join import near_duplicates
 from tallybird.llm.quality import ACCEPT, fit_quality, score_quality
 from tallybird.llm.secret_ledger import BASE_RULES, count_of, listed, scan_versions
 from tallybird.llm.texts import remainder
+from tallybird.llm.token_planes import read_ids, write_ids
 from tallybird.llm.topk import exact_top_k
 from tallybird.llm.toxicity import score_toxicity
 
@@ -102,6 +103,13 @@ def op10_language_model_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = write_ids(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -119,6 +127,7 @@ QUERIES = {
         op8_exact_top_k,
         op9_source_mixing,
         op10_language_model_scores,
+        op11_token_ids,
         op13_filter_audit,
     )
 }
