@@ -12,6 +12,7 @@ writes the same file again.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -33,7 +34,9 @@ from tallybird.llm.tokens import text_slices
 
 BLOCK = 1 << 16  # ids of a chunk
 FILE_IDS = 1 << 26  # a file ends with the document that reaches this
-SLICE = 32 << 20  # bytes of text whose distinct words are encoded once
+RANGE = 64 << 20  # bytes of text of a task
+SLICE = 8 << 20  # bytes of text worked on at once
+KNOWN = 1_000_000  # pieces of text whose ids a task keeps
 _WORDS_AT_ONCE = 20_000
 _READ_BYTES = 8 << 20
 
@@ -164,11 +167,34 @@ class Reader:
         self.file.close()
 
 
+#: What the word tokenizer does to a text: its normalizers, and the pattern of what it keeps.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_KEPT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: No match of the pattern holds a letter and then a sign or digit, nor white space.
+_CUT = r"([A-Za-z])([\x21-\x40\x5b-\x60\x7b-\x7e])"
+
+
+def takes_words(path: str) -> bool:
+    """Whether the tokenizer file is of the kind whose texts may be cut at white space and after letters."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    steps = (made.get("normalizer") or {}).get("normalizers", [])
+    cuts = [x for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"]
+    return (
+        [x["type"] for x in steps] == _NORMALIZERS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [(x["pattern"], x["behavior"], x["invert"]) for x in cuts] == [({"Regex": _KEPT}, "Removed", True)]
+        and not made["model"].get("dropout")
+        and not made.get("post_processor")
+    )
+
+
 class Encoder:
     """Ids of texts by a tokenizer file of the tokenizers library, without special tokens around them.
 
-    Where white space separates words for the tokenizer and makes no ids itself (``by_words``), each
-    distinct word of a slice is encoded once, which gives the ids of the whole text.
+    Where the tokenizer takes words one by one (``by_words``), each distinct piece of the texts is encoded
+    once: pieces end at white space and between a letter and a sign or digit, where no token goes on.
+    Up to ``KNOWN`` pieces stay known from slice to slice; more are encoded again.
     """
 
     def __init__(self, path: str, by_words: bool):
@@ -176,41 +202,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
+        self.special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
 
-    def _flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _flat(self, texts: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, and how many each has."""
-        ids, counts = [], []
-        for k in range(0, len(texts), _WORDS_AT_ONCE if self.by_words else 100):
-            part = texts[k : k + (_WORDS_AT_ONCE if self.by_words else 100)]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for k in range(0, len(texts), at_once):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False)]
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
-        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in the table of known ones; unknown ones are encoded."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        # of plain ASCII the tokenizer takes the lower case
+        texts = pc.if_else(pc.string_is_ascii(pieces), pc.ascii_lower(pieces), pieces).to_pylist()
+        get = self.known.get
+        places = np.fromiter((get(t, -1) for t in texts), np.int64, len(texts))
+        new = list(dict.fromkeys(texts[k] for k in np.flatnonzero(places < 0).tolist()))
+        if new:
+            ids, lengths = self._flat(new, _WORDS_AT_ONCE)
+            self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
+            self.table, self.lengths = np.concatenate([self.table, ids]), np.concatenate([self.lengths, lengths])
+            for k in np.flatnonzero(places < 0).tolist():
+                places[k] = get(texts[k])
+        return places
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.replace_substring_regex(texts.cast(pa.large_string()), _CUT, r"\1 \2")
+        pieces = pc.ascii_split_whitespace(cut)
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        places = self._numbers(coded.dictionary)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        n = self.lengths[places].astype(np.int32)
+        starts = (np.cumsum(self.lengths) - self.lengths)[places]
+        counts = n[codes]
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        at = np.repeat(starts[codes] - ends[:-1], counts)
+        at += np.arange(len(at))
+        return self.table[at], np.diff(ends[bounds])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, and how many each has."""
         if not self.by_words:
-            return self._flat(texts.to_pylist())
-        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        table, lengths = self._flat(coded.dictionary.to_pylist())
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, np.diff(ends[bounds])
-
-
-def splits_at_space(path: str) -> bool:
-    """Whether the tokenizer treats words between white space each by itself and gives white space no ids."""
-    from tokenizers import Tokenizer
-
-    encode = Tokenizer.from_file(path)
-    own = lambda text: encode.encode(text, add_special_tokens=False).ids
-    words = ["It's", "A1", "é", "́x", "don't", "'s", "--", "été", "12", "\U0001f600", "<|endoftext|>", "Σ"]
-    apart = [k for w in words for k in own(w)]
-    return all(own(space + space.join(words) + space * 2) == apart for space in _SPACE)
+            return self._flat(texts.to_pylist(), 100)
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:  # texts that spell out a special token are not cut
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_pieces(texts)
+        parts = [self._flat(texts.filter(pa.array(whole)).to_pylist(), 100), self._by_pieces(texts.filter(pa.array(~whole)))]
+        counts = np.empty(len(texts), np.int64)
+        counts[whole], counts[~whole] = parts[0][1], parts[1][1]
+        ids = np.empty(int(counts.sum()), np.uint32)
+        mine = np.repeat(whole, counts)
+        ids[mine], ids[~mine] = parts[0][0], parts[1][0]
+        return ids, counts
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -249,7 +304,7 @@ def write_ids(
     key: str = "doc_id",
     text: str = "text",
     end_id: int | None = 1,
-    planes: int = 32,
+    planes: int = 4,
 ) -> str:
     """Encode every whole text, append ``end_id`` (none: nothing), write the files; returns their folder.
 
@@ -261,7 +316,7 @@ def write_ids(
     if planes not in (4, 32):
         raise ValueError(f"{planes} planes: 32 bit planes or 4 byte planes")
     folder = folder or new_folder(spark, "token-ids")
-    place, by_words = mounted(folder), splits_at_space(tokenizer)
+    place, by_words = mounted(folder), takes_words(tokenizer)
     os.makedirs(place, exist_ok=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +360,8 @@ def write_ids(
         F.monotonically_increasing_id().alias("row"),
     )
     order = ["key", "hash", "row"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartitionByRange(max(1, -(-size // RANGE)), *order).sortWithinPartitions(*order).select("key", "text")
     dealt.mapInArrow(write, _WRITTEN).write.parquet(f"{folder}/files")
     return folder
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tallybird.llm import token_planes
 from tallybird.llm.queries import op11_token_ids
-from tallybird.llm.token_planes import Encoder, Reader, Writer, from_planes, id_files, read_ids, splits_at_space, to_planes, write_ids
+from tallybird.llm.token_planes import Encoder, Reader, Writer, from_planes, id_files, read_ids, takes_words, to_planes, write_ids
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +54,7 @@ def test_a_file(tmp_path, planes):
 
 
 def test_which_tokenizers_may_go_word_by_word():
-    assert splits_at_space(WORD_FILE) and not splits_at_space(BYTE_FILE)
+    assert takes_words(WORD_FILE) and not takes_words(BYTE_FILE)
 
 
 ODD = st.text(st.sampled_from("aAbİΣςéÉ́̈ ẞ0１' \t\x0b\x0c\r\n\x1c\x85  　<|startofxe>.-_\U0001f600中ſ"), max_size=60)
@@ -69,6 +69,13 @@ def test_words_give_the_ids_of_the_whole_text(texts):
     assert ids.tolist() == [i for e in expected for i in e]
 
 
+def test_pieces_are_forgotten_and_encoded_again(monkeypatch):
+    monkeypatch.setattr(token_planes, "KNOWN", 2)
+    encode, texts = Encoder(WORD_FILE, True), ["One, two don't", "ONE two; three J̌ ǰ", "one4two x<=y", "a|b two one"]
+    for text in texts * 2:
+        assert encode(pa.array([text]))[0].tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
 def brute(rows, end=(1,)):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
