@@ -167,6 +167,41 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+#: Unsigned CRC-32 of a decimal number, bit by bit: x > 0 takes in the byte x - 1, 0 shifts by one bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT + 1, 0, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: CASE WHEN x > 0 THEN xor(a, x - 1) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+
+OP12 = rf"""
+WITH clean AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list({{'d': d, 'w': w}} ORDER BY turn NULLS FIRST, d) AS turns
+    FROM (SELECT conv_id, turn, md5(length(role) || ':' || role || text) AS d, len(regexp_extract_all(text, '{WORD}'))::BIGINT AS w FROM clean)
+    GROUP BY conv_id
+), dealt AS (SELECT conv_id, turns, ({_CRC} % 4)::BIGINT AS h FROM own),
+rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.turns[1:h], []), o.turns[h + 1:]) AS turns
+    FROM dealt o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+), paths AS (
+    SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt
+), nodes AS (
+    SELECT array_to_string(list_transform(turns[1:depth], lambda x: x.d), '') AS key, depth,
+           min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(turns[depth].w), 0) AS words,
+           sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM paths GROUP BY ALL
+), children AS (
+    SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), sized AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (key)),
+above AS (SELECT key, n_children, n_convs, words, unnest(range(0, depth + 1)) AS a FROM sized),
+sums AS (
+    SELECT left(key, 32 * a) AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved
+    FROM above GROUP BY ALL
+)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved::BIGINT AS saved_tokens, s.ends_sha256
+FROM sized s JOIN sums USING (key) LEFT JOIN nodes p ON s.depth > 0 AND p.key = left(s.key, 32 * (s.depth - 1))
+"""
+
 OP13 = rf"""
 WITH marks AS (
     SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
@@ -216,5 +251,6 @@ ORACLE_SQL = {
     "op4_secret_scan": OP4,
     "op8_exact_top_k": OP8,
     "op9_source_mixing": OP9,
+    "op12_conversation_trie": OP12,
     "op13_filter_audit": OP13,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybird.llm.conversation_trie import prefix_trie, rebuilt, turn_order
 from tallybird.llm.decontaminate import find_items
 from tallybird.llm.filter_audit import audit_filters
 from tallybird.llm.html_text import extract_text
@@ -110,6 +111,10 @@ def op11_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return read_ids(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(rebuilt(turn_order(table(spark, folder, "conversations"))))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -128,6 +133,7 @@ QUERIES = {
         op9_source_mixing,
         op10_language_model_scores,
         op11_token_ids,
+        op12_conversation_trie,
         op13_filter_audit,
     )
 }
