@@ -4,15 +4,17 @@ DataFrame functions only. Words are runs of letters and digits, lowered; a shing
 words of a shorter template). A document holds a template if some window holds at least
 ``CONTAINMENT`` of the template's shingles.
 
-Templates fall into classes of up to 1, 2, 4, 8, .. shingles. A class of ``m`` has windows of ``2 * m``
+Templates fall into classes of up to 8, 16, 32, .. shingles. A class of ``m`` has windows of ``2 * m``
 shingles at every ``m``-th shingle, so a passage of the template's length lies whole in one of them.
 Bands have one minimum each; their number follows from the least similarity a window can have with a
-template it holds, so that it is retrieved with chance ``RECALL`` or more.
+template it holds, so that it is retrieved with chance ``RECALL`` or more. Of a template of up to ``EXACT``
+shingles none may be missing: its windows have just its length, at every shingle, and hold it if they have
+the same shingles, so one band always retrieves it.
 
 Before that, a filter that loses nothing: a word in more shingles than may be missing is in every text
-that holds the template. Texts without any word of a small set that meets every template are not cut
-into shingles, and only texts with all such words of some template of a class into its windows. A
-template without such words has anchors instead, words of which every shingle holds one.
+that holds the template, and so is one of any words that together are in more shingles than that. Texts
+without a word of a small set that meets every template are not cut into shingles, and only texts with the
+words of some template of a class into its windows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from tallybird.llm.texts import whole_text
 N = 5
 CONTAINMENT = 0.8
 RECALL = 0.995
-TEMPLATE_CHARS = 4 << 20  # of all templates together; they travel to every task
+EXACT = 4  # shingles of templates that have to be there whole
+TEMPLATE_CHARS = 4 << 20  # of all templates together; beyond, they are joined by shuffles and nothing is filtered
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 
 # Public license notices, passages of license texts and usual short wordings. Wordings that
@@ -221,34 +224,42 @@ def bands_for(class_size: int, containment: float = CONTAINMENT, recall: float =
     return math.ceil(hardest)
 
 
-def anchors_of(templates: list[str], n: int = N) -> list[str]:
-    """Words such that every shingle of every template holds one; long words first."""
-    chosen: list[str] = []
-    for text in templates:
-        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-        own = min(n, len(words))
-        for k in range(len(words) - own + 1):
-            shingle = words[k : k + own]
-            if shingle and not any(w in shingle for w in chosen):
-                chosen.append(max(shingle, key=len))
-    return chosen
+def class_of(shingles: int) -> int:
+    return shingles if shingles <= EXACT else 1 << (shingles - 1).bit_length()
+
+
+def shingle_sets(text: str, containment: float = CONTAINMENT, n: int = N) -> tuple[set[tuple[str, ...]], int]:
+    """The template's shingles, and how many may be missing."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    own = min(n, len(words))
+    shingles = {tuple(words[k : k + own]) for k in range(len(words) - own + 1)} if words else set()
+    return shingles, len(shingles) - math.ceil(containment * len(shingles) - 1e-9) if len(shingles) > EXACT else 0
 
 
 def required_words(text: str, containment: float = CONTAINMENT, n: int = N) -> list[str]:
     """Words that every text holding the template has, long ones first: they are in more of its
     shingles than may be missing."""
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
-    own = min(n, len(words))
-    shingles = {tuple(words[k : k + own]) for k in range(len(words) - own + 1)}
-    spare = len(shingles) - math.ceil(containment * len(shingles) - 1e-9)
-    found = [w for w in set(words) if sum(w in shingle for shingle in shingles) > spare]
+    shingles, spare = shingle_sets(text, containment, n)
+    found = [w for w in {w for s in shingles for w in s} if sum(w in s for s in shingles) > spare]
     return sorted(found, key=lambda w: (-len(w), w))
 
 
+def rare_words(text: str, containment: float = CONTAINMENT, n: int = N) -> list[str]:
+    """Words, long ones first, of which every text holding the template has one: together they are in
+    more of its shingles than may be missing."""
+    shingles, spare = shingle_sets(text, containment, n)
+    chosen: list[str] = []
+    for w in sorted({w for s in shingles for w in s}, key=lambda w: (-len(w), w)):
+        if sum(not s.isdisjoint(chosen) for s in map(set, shingles)) > spare:
+            break
+        chosen.append(w)
+    return chosen
+
+
 def needs_of(text: str, containment: float = CONTAINMENT) -> list[list[str]]:
     """Sets of words, one of which is whole in every text that holds the template."""
     required = required_words(text, containment)
-    return [required] if required else [[w] for w in anchors_of([text])]
+    return [[w, *[r for r in required if r != w]] for w in rare_words(text, containment)]
 
 
 def gate_of(needs: list[list[list[str]]]) -> list[str]:
@@ -259,7 +270,7 @@ def gate_of(needs: list[list[list[str]]]) -> list[str]:
         for own in left:
             for w in own:
                 each[w] = each.get(w, 0) + 1
-        gate.append(max(each, key=lambda w: (each[w] * (len(w) > 3), len(w), w)))
+        gate.append(max(each, key=lambda w: (each[w] * (len(w) > 5), len(w), w)))
         left = [own for own in left if gate[-1] not in own]
     return gate
 
@@ -289,9 +300,6 @@ def scan_licenses(
     """
     spark = docs.sparkSession
     templates = default_templates(spark) if templates is None else templates
-    total = templates.agg(F.sum(F.length("text"))).first()[0] or 0
-    if total > TEMPLATE_CHARS:
-        raise ValueError(f"{total} characters of templates; scan them in parts of {TEMPLATE_CHARS}")
     words = words_of(F.col("text"))
     known = staged(
         templates.where("text IS NOT NULL")
@@ -301,16 +309,22 @@ def scan_licenses(
         .withColumn("number", F.xxhash64("template_id", "text")),
         "templates",
     )
+    size_of = F.size("words") - F.col("n") + 1
+    small = (known.agg(F.sum(F.length("text"))).first()[0] or 0) <= TEMPLATE_CHARS
     classes: dict[tuple[int, int], list[list[str]]] = {}
-    for row in known.select("n", (F.size("words") - F.col("n") + 1).alias("size"), "text").distinct().collect():
-        classes.setdefault((row["n"], 1 << (row["size"] - 1).bit_length()), []).extend(needs_of(row["text"], containment))
+    if small:
+        for r in known.select("n", size_of.alias("size"), "text").distinct().collect():
+            classes.setdefault((r["n"], class_of(r["size"])), []).extend(needs_of(r["text"], containment))
+    else:
+        whole = F.when(size_of <= EXACT, size_of).otherwise(F.pow(F.lit(2), F.ceil(F.log2(size_of))).cast("int"))
+        classes = {(r["n"], r["size"]): [] for r in known.select("n", whole.alias("size")).distinct().collect()}
     lengths = sorted({n for n, _ in classes})
 
     lowered = F.lower(whole_text(docs, text))
-    anchored = F.lit(False)
+    anchored = F.lit(not small)
     for word in gate_of(list(classes.values())):
         anchored = anchored | F.contains(lowered, F.lit(word))
-    meeting = {key: F.when(anchored, meets(lowered, sets)).otherwise(False) for key, sets in classes.items()}
+    meeting = {key: F.when(anchored, meets(lowered, sets) if small else F.lit(True)).otherwise(False) for key, sets in classes.items()}
     row = F.struct(*[docs[c] for c in docs.columns if c != text])
     flags = [flag.alias(f"c{n}_{size}") for (n, size), flag in meeting.items()]
     cut = docs.select(row.alias("row"), F.when(anchored, words_of(whole_text(docs, text))).alias("words"), *flags)
@@ -330,28 +344,31 @@ def scan_licenses(
 
     found = None
     for n, size in classes:
-        bands = bands_for(size, containment)
+        exact = size <= EXACT
+        bands, step, length = (1, 1, size) if exact else (bands_for(size, containment), size, 2 * size)
         own = (
             known.where(F.col("n") == n)
             .select("template_id", "number", shingles_of(F.col("words"), n).alias("wanted"))
-            .where((F.size("wanted") <= size) & (F.size("wanted") > size // 2))
+            .where((F.size("wanted") <= size) & (F.size("wanted") > (size - 1 if exact else size // 2)))
         )
         keys = own.select("template_id", "wanted", F.posexplode(minima(F.col("wanted"), bands)).alias("band", "key"))
         shingles = F.col(f"s{n}")
-        starts = F.sequence(F.lit(0), F.greatest(F.size(shingles) - 1, F.lit(0)), F.lit(size))
+        # a window of the exact length may not reach past the end
+        last = F.size(shingles) - (length if exact else 1)
+        starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
         windows = (
             cut.where(F.col(f"c{n}_{size}") & (F.size(shingles) > 0))
             .select("uid", shingles.alias("all"), F.explode(starts).alias("start"))
-            .select("uid", F.slice("all", F.col("start") + 1, 2 * size).alias("window"))
+            .select("uid", F.slice("all", F.col("start") + 1, length).alias("window"))
             .select("uid", "window", F.posexplode(minima(F.col("window"), bands)).alias("band", "key"))
         )
         wanted = F.array_distinct("wanted")
         held = F.size(F.array_intersect(wanted, "window")) / F.size(wanted)
-        hits = (
-            windows.join(F.broadcast(keys), ["band", "key"])  # bounded by TEMPLATE_CHARS
-            .select("uid", "template_id", held.alias("held"))
-            .where(F.col("held") >= containment - 1e-9)
-        )
+        enough = held >= containment - 1e-9
+        if exact:
+            enough = (held == 1) & (F.size(F.array_except("window", wanted)) == 0)
+        hits = windows.join(F.broadcast(keys) if small else keys, ["band", "key"])  # small: up to TEMPLATE_CHARS
+        hits = hits.select("uid", "template_id", held.alias("held"), enough.alias("enough")).where("enough").drop("enough")
         found = hits if found is None else found.unionAll(hits)
     if found is None:
         nothing = F.array().cast("array<struct<template_id:string,containment:double>>")

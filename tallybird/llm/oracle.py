@@ -59,26 +59,37 @@ SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM plain
 def _op3() -> str:
     rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES)
     return rf"""
-WITH templates(template_id, text) AS (VALUES {rows}),
-cut AS (SELECT template_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM templates),
-wanted AS (
-    SELECT template_id, len(w) - 4 AS size, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g
-    FROM cut
+WITH given(template_id, text) AS (VALUES {rows}),
+templates AS (
+    SELECT *, least(5, len(w)) AS n, len(w) - least(5, len(w)) + 1 AS m
+    FROM (SELECT template_id, row_number() OVER () AS t,
+                 list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM given)
+), wanted AS (
+    SELECT t, n, m, unnest(list_distinct(list_transform(range(1, m + 1), lambda i: array_to_string(w[i:i + n - 1], ' ')))) AS g
+    FROM templates
 ), needs AS (
-    SELECT template_id, any_value(CAST(2 ** ceil(log2(size)) AS BIGINT)) AS m, count(*) AS n FROM wanted GROUP BY template_id
+    SELECT t, any_value(CAST(2 ** ceil(log2(m)) AS BIGINT)) AS size, count(*) AS distinct_shingles FROM wanted GROUP BY t
 ), docs AS (
     SELECT row_number() OVER () AS r, doc_id,
            list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
     FROM documents
 ), places AS (
-    SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM docs WHERE len(w) > 4
-), grams AS (SELECT r, i - 1 AS place, array_to_string(w[i:i + 4], ' ') AS g FROM places),
-hits AS (SELECT r, place, template_id, g FROM grams JOIN wanted USING (g)),
-windows AS (
-    SELECT r, template_id, m, n, unnest([place // m, place // m - 1]) AS win, g FROM hits JOIN needs USING (template_id)
+    SELECT r, lengths.n, unnest(range(1, len(w) - lengths.n + 2)) AS i, w
+    FROM docs, (SELECT DISTINCT n FROM templates) lengths WHERE len(w) >= lengths.n
+), grams AS (SELECT r, n, i - 1 AS place, array_to_string(w[i:i + n - 1], ' ') AS g FROM places),
+hits AS (SELECT r, place, t, m, g FROM grams JOIN wanted USING (n, g)),
+short AS (  -- all shingles in a row
+    SELECT r, t, place - unnest(range(0, m)) AS start, g FROM hits WHERE m <= 4
+), held_short AS (
+    SELECT DISTINCT r, t FROM short JOIN templates USING (t) JOIN needs USING (t)
+    GROUP BY r, t, start, m, distinct_shingles HAVING count(*) = m AND count(DISTINCT g) = distinct_shingles
+), windows AS (
+    SELECT r, t, distinct_shingles, unnest([place // size, place // size - 1]) AS win, g FROM hits JOIN needs USING (t) WHERE m > 4
+), held_long AS (
+    SELECT DISTINCT r, t FROM windows WHERE win >= 0
+    GROUP BY r, t, win, distinct_shingles HAVING count(DISTINCT g) >= 0.8 * distinct_shingles - 1e-9
 ), held AS (
-    SELECT DISTINCT r, template_id FROM windows WHERE win >= 0
-    GROUP BY r, template_id, win, n HAVING count(DISTINCT g) >= 0.8 * n - 1e-9
+    SELECT DISTINCT r, template_id FROM (FROM held_short UNION ALL FROM held_long) JOIN templates USING (t)
 ), listed AS (SELECT r, count(*) AS n, string_agg(template_id, ',' ORDER BY template_id) AS ids FROM held GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(ids, '') AS licenses FROM docs LEFT JOIN listed USING (r)
 """

@@ -129,8 +129,9 @@ def grams(tokens: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, n
     first = np.repeat(bounds[:-1] - out[:-1], kept) + np.arange(total)
     last = np.repeat(bounds[1:], kept)  # grams of short texts end with them
     made = np.zeros(total, np.uint64)
-    for k, factor in enumerate(random_words(n, 23) | np.uint64(1)):
+    # a random term stands for each missing place, so a short text is none of the longer ones
+    for k, (factor, missing) in enumerate(zip(random_words(n, 23) | np.uint64(1), random_words(n, 29))):
         at = first + k
         inside = at < last
-        made += np.where(inside, tokens[np.where(inside, at, 0)], np.uint64(k + 1)) * factor
+        made += np.where(inside, tokens[np.where(inside, at, 0)] * factor, missing)
     return mix(made), out

@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from tallybird.llm.license_scan import TEMPLATES, anchors_of, bands_for, gate_of, needs_of, scan_licenses
+from tallybird.llm import license_scan
+from tallybird.llm.license_scan import EXACT, TEMPLATES, bands_for, gate_of, needs_of, rare_words, scan_licenses
 
 LINES = dict(TEMPLATES)
 FILL = "some words that are no license at all go here and there "
@@ -24,8 +25,12 @@ def brute(text, templates, n=5, containment=0.8):
         if not own:
             continue
         shingles = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
-        size = 1 << (len(shingles) - 1).bit_length()
+        m, size = len(shingles), 1 << (len(shingles) - 1).bit_length()
         doc = [tuple(read[i : i + k]) for i in range(len(read) - k + 1)]
+        if m <= EXACT:  # all of them in a row
+            if any(set(doc[s : s + m]) == set(shingles) for s in range(len(doc) - m + 1)):
+                out.append(name)
+            continue
         held = max((len(set(shingles) & set(doc[s : s + 2 * size])) for s in range(0, len(doc), size)), default=0)
         if held >= containment * len(set(shingles)) - 1e-9:
             out.append(name)
@@ -63,11 +68,34 @@ def test_no_python_in_the_plan(spark, data_dir):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_every_shingle_holds_an_anchor():
-    anchors = set(anchors_of([t for _, t in TEMPLATES]))
+def test_rare_words_are_in_more_shingles_than_may_be_missing():
     for _, text in TEMPLATES:
-        own = words(text)
-        assert all(anchors & set(own[k : k + 5]) for k in range(max(1, len(own) - 4)))
+        own, chosen = words(text), set(rare_words(text))
+        n = min(5, len(own))
+        shingles = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
+        spare = len(shingles) - math.ceil(0.8 * len(shingles) - 1e-9)
+        assert sum(not chosen.isdisjoint(s) for s in shingles) > spare
+    assert not set(rare_words(LINES["MIT-warranty"])) & {"the", "in", "of", "or", "software", "license"}
+
+
+def test_texts_full_of_common_license_words(spark):
+    common = "the software is in the license of any kind or use without conditions and liability "
+    texts = [common * 40 + LINES["MIT-warranty"], common * 40, common + "merchantability noninfringement connection " + common * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["row"]["doc_id"]: [x["template_id"] for x in r["licenses"]] for r in scan_licenses(docs).collect()}
+    assert found == {k: brute(t, TEMPLATES) for k, t in enumerate(texts)} and "MIT-warranty" in found[0]
+
+
+def test_templates_beyond_the_size_for_a_filter(spark, monkeypatch):
+    texts = [FILL + LINES[name] + FILL for name in list(LINES)[:12]] + [FILL, "a b c a b c a b c", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = [*list(TEMPLATES)[:12], ("twice", "a b c a b c"), ("again", "x x x x x x x"), ("again", "a b c a b")]
+    own = spark.createDataFrame(few, "template_id string, text string")
+    expected = {k: brute(t, few) for k, t in enumerate(texts)}
+    for limit in (license_scan.TEMPLATE_CHARS, 10):
+        monkeypatch.setattr(license_scan, "TEMPLATE_CHARS", limit)
+        found = {r["row"]["doc_id"]: [x["template_id"] for x in r["licenses"]] for r in scan_licenses(docs, own).collect()}
+        assert found == expected
 
 
 @pytest.mark.parametrize("size", [1, 2, 8, 64])
