@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +18,11 @@ def title_case(col: Column) -> Column:
     """
     runs = F.regexp_extract_all(col, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
     return F.array_join(F.transform(runs, F.initcap), "")
+
+
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

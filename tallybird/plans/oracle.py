@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import re
 
-from tallybird.functions import polarity as rules
+from tallybird.plans import oracle_constants as own
 from tallybird.plans.registry import ANOMALOUS_MONTH, CORRELATED, KNOWN_COLUMNS
 from tallybird.operators.churn_features import NUMERIC
 from tallybird.operators.daily import METRICS
-from tallybird.operators.sentiment import TOPICS
 from tallybird.schemas import FOREIGN_KEYS, PRIMARY_KEY, RAW
 from tallybird.sources.retail_views import NEGATIVE_TEXTS, NEUTRAL_TEXTS, POSITIVE_TEXTS
 
@@ -285,16 +284,17 @@ FROM revenue_days ORDER BY ds DESC LIMIT 60"""
 
 def _words(name: str, table: str, key: str, text: str) -> None:
     boosters = " ".join(
-        [f"WHEN w IN ({', '.join(map(_text, rules.STRENGTHEN))}) THEN {rules.BOOST}",
-         f"WHEN w IN ({', '.join(map(_text, rules.WEAKEN))}) THEN -{rules.BOOST}"]
+        [f"WHEN w IN ({', '.join(map(_text, own.STRENGTHEN))}) THEN 0.293",
+         f"WHEN w IN ({', '.join(map(_text, own.WEAKEN))}) THEN -0.293"]
     )
-    negations = ", ".join(map(_text, rules.NEGATE))
-    lexicon = ", ".join(f"({_text(w)}, {v})" for w, v in rules.LEXICON.items())
+    negations = ", ".join(map(_text, own.NEGATE))
+    lexicon = ", ".join(f"({_text(w)}, {v})" for w, v in own.LEXICON.items())
     CTE[f"{name}_lexicon"] = f"SELECT * FROM (VALUES {lexicon}) l(token, valence)"
     CTE[f"{name}_token"] = f"""
 SELECT k, word, lower(word) AS w, row_number() OVER (PARTITION BY k ORDER BY pos) AS i,
   (word = upper(word) AND word <> lower(word)) AS loud
-FROM (SELECT {key} AS k, trim(piece, {_text(rules.PUNCTUATION)}) AS word, pos
+FROM (SELECT {key} AS k, pos, CASE WHEN lower(piece) IN ({', '.join(map(_text, own.LEXICON))})
+    THEN piece ELSE trim(piece, {_text(own.PUNCTUATION)}) END AS word
   FROM (SELECT {key}, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos
     FROM (SELECT {key}, string_split_regex({text}, '[ \\t\\n\\x0B\\f\\r]+') AS pieces FROM {table})))
 WHERE length(word) > 1"""
@@ -308,31 +308,49 @@ FROM {name}_token LEFT JOIN {name}_lexicon ON token = w"""
     lags = ", ".join(
         f"lag({c}, {d}) OVER (PARTITION BY k ORDER BY i) AS {c}{d}"
         for d in (1, 2, 3)
-        for c in ("push", "negates", "known", "loud")
+        for c in ("push", "negates", "known", "loud", "w")
     )
+    leads = ", ".join(f"lead(w, {d}) OVER (PARTITION BY k ORDER BY i) AS next{d}" for d in (1, 2))
     CTE[f"{name}_near"] = f"""
-SELECT *, CAST(valence AS DOUBLE) + CASE WHEN mixed AND loud THEN {rules.CAPITALS} * sign(valence)
-  ELSE 0 END AS v0 FROM (SELECT *, {lags} FROM {name}_kind) WHERE known AND push = 0"""
+SELECT *, CAST(valence AS DOUBLE) + CASE WHEN mixed AND loud THEN 0.733 * sign(valence)
+  ELSE 0 END AS v0 FROM (SELECT *, {lags}, {leads} FROM {name}_kind)
+WHERE known AND push = 0 AND NOT (w = 'kind' AND coalesce(next1, '') = 'of')"""
     step = f"{name}_near"
-    for d, damping in enumerate(rules.DAMPING, start=1):
+    turned = {
+        1: "CASE WHEN negates1 THEN -0.74 ELSE 1 END",
+        2: "CASE WHEN w2 = 'never' AND w1 IN ('so', 'this') THEN 1.5 WHEN negates2 THEN -0.74 ELSE 1 END",
+        3: "CASE WHEN (w3 = 'never' AND w2 IN ('so', 'this')) OR w1 IN ('so', 'this') THEN 1.25"
+        " WHEN negates3 THEN -0.74 ELSE 1 END",
+    }
+    for d, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
         previous, step = step, f"{name}_step{d}"
         v = f"v{d - 1}"
         CTE[step] = f"""
 SELECT *, CASE WHEN known{d} IS NULL OR known{d} THEN {v} ELSE
   ({v} + {damping} * CASE WHEN push{d} = 0 THEN 0 ELSE
      push{d} * (CASE WHEN {v} < 0 THEN -1 ELSE 1 END)
-     + CASE WHEN mixed AND loud{d} THEN {rules.CAPITALS} ELSE 0 END
+     + CASE WHEN mixed AND loud{d} THEN 0.733 ELSE 0 END
        * (CASE WHEN {v} > 0 THEN 1 ELSE -1 END) END)
-  * CASE WHEN negates{d} THEN {rules.NEGATION} ELSE 1 END END AS v{d} FROM {previous}"""
+  * {turned[d]} END AS v{d} FROM {previous}"""
+    idiom = lambda words: "CASE " + " || ' ' || ".join(words) + " " + " ".join(
+        f"WHEN {_text(k)} THEN CAST({v} AS DOUBLE)" for k, v in own.IDIOMS.items()
+    ) + " END"
+    around = [("w", "next1", "next2"), ("w", "next1"), ("w1", "w"), ("w2", "w1", "w"), ("w2", "w1"), ("w3", "w2", "w1"), ("w3", "w2")]
+    pairs = ", ".join(map(_text, own.WEAKEN_PAIRS))
+    CTE[f"{name}_phrased"] = f"""
+SELECT *, CASE WHEN known3 IS NULL OR known3 THEN v3
+  ELSE coalesce({', '.join(map(idiom, around))}, v3)
+    - CASE WHEN w3 || ' ' || w2 IN ({pairs}) OR w2 || ' ' || w1 IN ({pairs}) THEN 0.293 ELSE 0 END END
+  * CASE WHEN w1 = 'least' AND coalesce(w2, '') NOT IN ('at', 'very') THEN -0.74 ELSE 1 END AS v
+FROM {step}"""
     CTE[f"{name}_sum"] = f"""
-SELECT k, sum(v3 * CASE WHEN i < but_at THEN {rules.BEFORE_BUT}
-  WHEN i > but_at THEN {rules.AFTER_BUT} ELSE 1 END) AS total FROM {step} GROUP BY k"""
+SELECT k, sum(v * CASE WHEN i < but_at THEN 0.5 WHEN i > but_at THEN 1.5 ELSE 1 END) AS total
+FROM {name}_phrased GROUP BY k"""
     CTE[name] = f"""
-SELECT *, round(s / sqrt(s * s + {rules.NORMALISER}), 4) + 0 AS sentiment_score FROM (
+SELECT *, round(s / sqrt(s * s + 15), 4) + 0 AS sentiment_score FROM (
   SELECT *, coalesce(total, 0) + sign(coalesce(total, 0)) * (
-      least(exclamations, {rules.MOST_EXCLAMATIONS}) * {rules.EXCLAMATION}
-      + CASE WHEN questions > 3 THEN {rules.MANY_QUESTIONS} WHEN questions > 1
-        THEN questions * {rules.QUESTION} ELSE 0 END) AS s
+      least(exclamations, 4) * 0.292
+      + CASE WHEN questions > 3 THEN 0.96 WHEN questions > 1 THEN questions * 0.18 ELSE 0 END) AS s
   FROM (SELECT *, length(regexp_replace({text}, '[^!]', '', 'g')) AS exclamations,
       length(regexp_replace({text}, '[^?]', '', 'g')) AS questions FROM {table}) t
   LEFT JOIN {name}_sum ON k = t.{key})"""
@@ -344,7 +362,7 @@ _words("texts", "documents", "doc_id", "text")
 _TAGS = ", ".join(
     f"CASE WHEN {' OR '.join(f'contains(lower(review_text), {_text(w)})' for w in words)}"
     f" THEN {_text(topic)} END"
-    for topic, words in TOPICS.items()
+    for topic, words in own.TOPICS.items()
 )
 CTE["tagged"] = f"""
 SELECT *, CASE WHEN topic_text = '' THEN 'General' ELSE topic_text END AS topics,
@@ -656,6 +674,15 @@ SELECT round(avg(abs(y - yhat)), 6) AS mae, round(sqrt(avg((y - yhat) ** 2)), 6)
 
 Q["sentiment_scores"] = "SELECT review_id, sentiment_score FROM scored"
 Q["sentiment_scores_documents"] = "SELECT doc_id, sentiment_score FROM texts"
+Q["sentiment_scores_by_table"] = Q["sentiment_scores_documents"]
+Q["keyword_topics_documents"] = f"""
+WITH keywords AS (
+  SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark
+), listed AS (SELECT list(w) AS ws FROM keywords WHERE length(w) > 7)
+SELECT doc_id, CASE WHEN topic_text = '' THEN 'General' ELSE topic_text END AS topics
+FROM (SELECT doc_id, concat_ws(', ', {_TAGS.replace('review_text', 'text')},
+    CASE WHEN len(list_filter(ws, lambda x: contains(lower(text), x))) > 0 THEN 'Benchmark' END) AS topic_text
+  FROM documents, listed)"""
 Q["sentiment_labels"] = "SELECT review_id, sentiment_label FROM tagged"
 Q["review_topics"] = "SELECT review_id, topics FROM tagged"
 Q["sentiment_labels_documents"] = "SELECT doc_id, sentiment_label FROM tagged_texts"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallybird.functions.polarity import LEXICON, polarity_by_table
 from tallybird.operators import (
     anomaly,
     business,
@@ -23,6 +24,7 @@ from tallybird.operators import (
 from tallybird.operators import churn_features as features
 from tallybird.operators import churn_models as models
 from tallybird.operators import isolation_forest as forest
+from tallybird.operators.keyword_topics import keyword_topics
 from tallybird.plans import churn_training as churn
 from tallybird.plans.warehouse import (
     customer_rfm,
@@ -577,6 +579,15 @@ def sentiment_scores_documents(spark, folder):
     return plain(sentiment.sentiment_scores(documents, "text").select("doc_id", "sentiment_score"))
 
 
+@_query
+def sentiment_scores_by_table(spark, folder):
+    """The same scores with the lexicon as a table that is joined."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    entries = F.array(*[F.struct(F.lit(k).alias("token"), F.lit(v).alias("valence")) for k, v in LEXICON.items()])
+    lexicon = spark.range(1).select(F.inline(entries))
+    return plain(polarity_by_table(documents, lexicon).select("doc_id", "sentiment_score"))
+
+
 @_query
 def sentiment_labels(spark, folder):
     return sentiment.review_sentiment(_reviews(spark, folder)).select(
@@ -615,6 +626,20 @@ def topics_documents(spark, folder):
     return _tagged_documents(spark, folder).select("doc_id", "topics")
 
 
+@_query
+def keyword_topics_documents(spark, folder):
+    """Topics by a keyword table: the fixed topics, and one whose keywords are the long words of all
+    benchmark items."""
+    fixed = [F.struct(F.lit(t).alias("topic"), F.lit(w).alias("keyword"), F.lit(k).alias("place"))
+             for k, (t, words) in enumerate(sentiment.TOPICS.items()) for w in words]
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")
+    long = table(spark, folder, "benchmark").select(F.lit("Benchmark").alias("topic"), words, F.lit(99).alias("place"))
+    keywords = spark.range(1).select(F.inline(F.array(*fixed))).unionByName(long.where("length(keyword) > 7").distinct())
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    tagged = keyword_topics(documents, keywords)
+    return tagged.select("doc_id", F.array_join("topics", sentiment.SEPARATOR).alias("topics"))
+
+
 @_query
 def negative_topic_counts_documents(spark, folder):
     return sentiment.negative_topic_counts(_tagged_documents(spark, folder))

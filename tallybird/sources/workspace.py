@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only a local session may go without one."""
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tallybird-")
-    return _local_folders[context.applicationId]
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which all
+    executors share too."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+    return folder.rstrip("/") if folder else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.tallybird"
+
+
+def working_folder(spark: SparkSession, name: str) -> str:
+    """A folder nobody has used, in the shared one."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/work/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def mounted_path(path: str) -> str:
+    """The path as workers open it without Spark."""
+    parts = urlparse(path)
+    if parts.scheme not in ("", "file"):
+        raise ValueError(f"{path}: workers open these files themselves, {CHECKPOINT_DIR} must name a mounted folder")
+    return unquote(parts.path)
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:

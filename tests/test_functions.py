@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tallybird.functions.dates import calendar
-from tallybird.functions.polarity import LEXICON, lexicon_from_table, polarity
+from tallybird.functions.polarity import IDIOMS, LEXICON, polarity, polarity_by_table
 from tallybird.functions.stats import (
     exact_quantiles,
     median,
@@ -122,6 +122,20 @@ GOOD, BAD, GREAT = LEXICON["good"], LEXICON["bad"], LEXICON["great"]
         ("bad but great", _expected(BAD * 0.5 + GREAT * 1.5)),
         ("wasn't good", _expected(GOOD * -0.74)),
         ("\"good\", (bad)", _expected(GOOD + BAD)),
+        ("they are never so good", _expected((GOOD + 0.293) * 1.5 * 1.25)),
+        ("never this good", _expected(GOOD * 1.5)),
+        ("never so very good", _expected(((GOOD + 0.293) + 0.293 * 0.95) * 1.25)),
+        ("the least good", _expected(GOOD * -0.74)),
+        ("least good", _expected(GOOD * -0.74)),
+        ("at least good", _expected(GOOD)),
+        ("very least good", _expected(GOOD + 0.293 * 0.95)),
+        ("it is only kind of good", _expected(GOOD - 0.293)),
+        ("it was just enough good", _expected(GOOD - 0.293)),
+        ("we say yeah right good", _expected(IDIOMS["yeah right"])),
+        ("it really is such a bad ass car", _expected(IDIOMS["bad ass"])),
+        ("good :)", _expected(GOOD + LEXICON[":)"])),
+        ("chair <3 :'(", _expected(LEXICON["<3"] + LEXICON[":'("])),
+        ("good:)", _expected(GOOD)),
         ("table chair", 0.0),
         ("", 0.0),
     ],
@@ -131,12 +145,36 @@ def test_polarity_rules(spark, text, score):
     assert df.select(polarity("t").alias("s")).first()["s"] == pytest.approx(score, abs=1e-9)
 
 
+TEXTS = [
+    "The kind of good one, but NOT the best!!", "never so good; at least bad :( ?? ??", "it is a KISS of death great", "",
+    "They say least helpful -- sort of AWFUL but fine", "good " * 3000, None, "no words here", ":D :d GOOD", "kind of kind good",
+]
+
+
+def test_polarity_by_table_equals_the_expression(spark, data_dir):
+    lexicon = spark.createDataFrame([*LEXICON.items(), ("good", 9.0), (None, 1.0), ("x", None)], "token string, valence double")
+    texts = [(k, t, "clash") for k, t in enumerate(TEXTS * 3)] + [(100 + k, "it was very good, never bad", "hot") for k in range(300)]
+    df = spark.createDataFrame(texts, "id int, text string, text_digest string")
+    documents = spark.read.parquet(f"{data_dir}/documents.parquet").select(F.col("doc_id").cast("int").alias("id"), "text")
+    for docs in (df, documents, df.limit(0)):
+        by_table = polarity_by_table(docs, lexicon)
+        assert by_table.columns == [*docs.columns, "sentiment_score"]
+        assert rows(by_table) == rows(docs.withColumn("sentiment_score", polarity("text")))
+    plan = polarity_by_table(df, lexicon)._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "Python" not in plan
+
+
+def test_a_lexicon_of_200_000_tokens(spark):
+    lexicon = spark.range(200_000).selectExpr("concat('token', id) AS token", "id % 9 - 4.0D AS valence")
+    df = spark.createDataFrame([("token7 chair, token8!",), ("Token199999 but token13 token1x",)], "text string")
+    got = [r["sentiment_score"] for r in polarity_by_table(df, lexicon).collect()]
+    whole = [7 % 9 - 4.0 + 8 % 9 - 4.0, 0.5 * (199999 % 9 - 4) + 1.5 * (13 % 9 - 4)]
+    assert sorted(got) == sorted([_expected(whole[0], 0.292), _expected(whole[1])])
+
+
 def test_polarity_uses_the_whole_text_and_any_lexicon(spark):
     long = "word " * 30_000 + "splendid"
-    table = spark.createDataFrame([("splendid", 2.0), ("it's", 1.0)], "token string, valence double")
-    lexicon = lexicon_from_table(table)
     df = spark.createDataFrame([(long,), (None,)], "t string")
-    got = [r[0] for r in df.select(polarity("t", lexicon)).collect()]
+    got = [r[0] for r in df.select(polarity("t", {"splendid": 2.0, "it's": 1.0})).collect()]
     assert got == [_expected(2.0), None]
-    with pytest.raises(ValueError):
-        lexicon_from_table(table, at_most=1)
+    assert [r[0] for r in df.select(polarity("t", {})).collect()] == [0.0, None]
