@@ -15,9 +15,12 @@ from tallybird.llm.texts import remainder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Without labels of both kinds there is no classifier, and
+    all documents stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, remainder(labels["doc_id"], 4) != 2)
+    if model.layers is None:
+        return docs
     name = "quality_score"
     while name in docs.columns:
         name += "_"
