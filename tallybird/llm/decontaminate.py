@@ -35,6 +35,7 @@ SAMPLES = 7
 SHORT = 24  # words of the longest item that is retrieved for certain and not by chance
 BLOCK_BYTES = 16 << 20  # of item texts that are shipped to the tasks at once
 _FILTER_BITS = 20
+_ALIGNMENTS = 1 << 20  # alignments made at once
 
 
 def max_edits(words: int, similarity: float = SIMILARITY) -> int:
@@ -106,6 +107,10 @@ class ItemIndex:
 
     def build(self) -> ItemIndex:
         self.vocabulary = np.unique(np.concatenate([np.empty(0, np.uint64), *self.words]))
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.slack = np.array([max_edits(len(w), self.similarity) for w in self.words], np.int64)
+        self.item_ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.item_words = np.searchsorted(self.vocabulary, np.concatenate([np.empty(0, np.uint64), *self.words]))
         self.lengths = sorted({walk_length(len(w), self.similarity) for w in self.words})
         self.tables = {}
         none = np.empty(0, np.int64)
@@ -131,28 +136,91 @@ class ItemIndex:
                 self.tables[repeat, length] = keys[order], numbers[order], starts[order], marks
         return self
 
-    def alignments(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position of a window, item, start within the item) of all retrieved pairs."""
-        out = [(np.empty(0, np.int64),) * 3]
+    def _numbered(self, words: np.ndarray) -> np.ndarray:
+        """Places of ``words`` in the vocabulary, its length for others."""
+        known = np.searchsorted(self.vocabulary, words)
+        known[known == len(self.vocabulary)] = 0
+        return np.where(self.vocabulary[known] == words, known, len(self.vocabulary))
+
+    def _runs(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple]:
+        """Per table the places whose key is known, with the table's rows of that key: (starts of the
+        table, place, its run) and of each run, one per text and key, (text, first row, rows)."""
         for repeat in range(REPEATS):
-            made = walk_keys(words, self.lengths, repeat)
-            for length, keys in made.items():
+            for length, keys in walk_keys(words, self.lengths, repeat).items():
                 known, numbers, starts, marks = self.tables[repeat, length]
                 at = np.flatnonzero(marks[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                 low = np.searchsorted(known, keys[at], "left")
                 count = np.searchsorted(known, keys[at], "right") - low
                 at, low, count = at[count > 0], low[count > 0], count[count > 0]
-                ends = np.cumsum(count)
-                pick = np.repeat(low - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-                out.append((np.repeat(at, count), numbers[pick], starts[pick]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+                if len(at):
+                    text = np.searchsorted(bounds, at, "right") - 1
+                    _, first, run = np.unique(text * len(known) + low, return_index=True, return_inverse=True)
+                    yield numbers, starts, at, run, text[first], low[first], count[first]
+
+    def _worth_trying(self, pairs: np.ndarray, known: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The ``pairs`` (text * items + item, ascending) whose text has all but ``slack`` of the item's words
+        somewhere; without them it cannot hold the item."""
+        kept = np.zeros(len(pairs), bool)
+        text, item = np.divmod(pairs, len(self.words))
+        member = np.zeros(len(self.vocabulary) + 1, bool)
+        first = np.flatnonzero(np.diff(text, prepend=-1))
+        for a, b in zip(first, np.append(first[1:], len(pairs))):
+            own = known[bounds[text[a]] : bounds[text[a] + 1]]
+            member[own] = True
+            member[-1] = False
+            for low in range(a, b, 4096):
+                items = item[low : min(b, low + 4096)]
+                n = self.sizes[items]
+                ends = np.cumsum(n)
+                places = np.repeat(self.item_ends[items] - (ends - n), n) + np.arange(ends[-1])
+                there = np.add.reduceat(member[self.item_words[places]].astype(np.int64), ends - n)
+                kept[low : low + len(items)] = there >= n - self.slack[items]
+            member[own] = False
+        return pairs[kept]
+
+    def alignments(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, place of the item's first word) of all retrieved pairs that are worth trying.
+
+        A text's keys are first looked up once each, so a passage that many items share and a text repeats
+        costs no more than its keys times those items before the texts that lack the rest are out.
+        """
+        n = len(self.words)
+        runs, pairs = list(self._runs(words, bounds)), [np.empty(0, np.int64)]
+        for numbers, _, _, _, text, low, count in runs:
+            ends = np.cumsum(count)
+            rows = np.repeat(low - (ends - count), count) + np.arange(ends[-1])
+            pairs.append(np.unique(np.repeat(text, count) * n + numbers[rows]))
+        worth = self._worth_trying(np.unique(np.concatenate(pairs)), self._numbered(words), bounds)
+        longest = int(self.sizes.max(initial=0))
+        span = len(words) + longest + 1
+        out = np.empty(0, np.int64)
+        for numbers, starts, at, run, text, low, count in runs if len(worth) else ():
+            ends = np.cumsum(count)
+            owner = np.repeat(np.arange(len(count)), count)
+            rows = np.repeat(low - (ends - count), count) + np.arange(ends[-1])
+            pair = text[owner] * n + numbers[rows]
+            place = np.minimum(np.searchsorted(worth, pair), len(worth) - 1)
+            good = worth[place] == pair
+            owner, rows, place = owner[good], rows[good], place[good]
+            size = np.bincount(owner, minlength=len(count))
+            begin = np.cumsum(size) - size
+            each = size[run]
+            step = max(1, int(len(at) * _ALIGNMENTS / max(int(each.sum()), 1)))
+            for a in range(0, len(at), step):
+                b = min(len(at), a + step)
+                m = each[a:b]
+                stop = np.cumsum(m)
+                pick = np.repeat(begin[run[a:b]] - (stop - m), m) + np.arange(stop[-1])
+                shift = np.repeat(at[a:b], m) - starts[rows[pick]]
+                out = np.union1d(out, place[pick] * span + shift + longest)
+        place, shift = np.divmod(out, span)
+        text, item = np.divmod(worth[place], n) if len(worth) else (place, place)
+        return np.stack([text, item, shift - longest], axis=1)
 
     def plausible(self, words: np.ndarray, bounds: np.ndarray, tried: np.ndarray) -> np.ndarray:
         """The rows (text, item, shift) of ``tried`` whose surroundings hold enough words of the item:
         within ``slack`` edits, all but ``slack`` of its words must be there. Drops no match."""
-        known = np.searchsorted(self.vocabulary, words)
-        known[known == len(self.vocabulary)] = 0
-        known = np.where(self.vocabulary[known] == words, known, len(self.vocabulary))
+        known = self._numbered(words)
         member = np.zeros(len(self.vocabulary) + 1, bool)
         order = np.argsort(tried[:, 1], kind="stable")
         tried = tried[order]
@@ -177,10 +245,7 @@ class ItemIndex:
         found: dict[int, set[int]] = defaultdict(set)
         if not self.words or len(words) == 0:
             return found
-        at, item, start = self.alignments(words)
-        text = np.searchsorted(bounds, at, "right") - 1
-        tried = np.stack([text, item, at - start], axis=1)
-        tried = np.unique(self.plausible(words, bounds, tried), axis=0)
+        tried = self.plausible(words, bounds, self.alignments(words, bounds))
         regions: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
         for t, i, shift in tried.tolist():
             slack = max_edits(len(self.words[i]), self.similarity)

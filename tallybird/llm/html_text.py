@@ -5,7 +5,8 @@ places that never hold content (menus, adverts, forms, ...) negative too; the we
 learned from labelled pages: pages whose markup names its content (``article``, ``main``) label
 themselves. One linear scan finds the contiguous run with the highest sum. The run then grows to the
 element that holds it, so that a short last paragraph is not lost to its tags, and what lies in menus,
-adverts and the like inside it is left out.
+adverts and the like inside it is left out. Where a class or id only begins with a word such as ``notice``,
+the learned weight of such places tells whether their words are content.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ BLOCKS = frozenset(
     "td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object select".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object select".split())
 NEVER = frozenset(
-    "head nav footer aside form button dialog menu menuitem canvas audio video label datalist".split()
+    "head nav footer aside form dialog menu menuitem canvas audio video datalist".split()
 ) | RAW
 _PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 _CONTAINERS = frozenset("article main section div td body html center".split())
@@ -65,31 +66,48 @@ class Item(NamedTuple):
     text: str | None
     words: int
     place: str  # what its weight is looked up by
-    path: tuple[int, ...]  # numbers of the open elements
+    element: int  # number of the innermost open element, -1 for none
     content: bool  # not in a menu, advert, ...
     separates: bool  # a block tag
 
 
 class Element(NamedTuple):
+    """An element, with what its ancestors say, so that nobody climbs to them."""
+
     tag: str
     content: bool
+    parent: int
+    block: str  # the innermost block tag
+    link: bool  # in a link
+    doubtful: bool  # in a place whose name only begins like one without content
+    article: bool  # in an article
+    top: str | None  # the outermost tag but html and body
+
 
+_PAGE = Element("", True, -1, "body", False, False, False, None)
 
-def _marked(tag: str, attributes: str) -> bool:
-    """Whether class, id, role or visibility say that an element is no content."""
+
+def _marked(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether class, id, role or visibility say that an element is no content, and whether a name leaves it
+    in doubt. A name says so as a whole or by its last part; an article or main element is never
+    dropped for its names."""
+    doubtful = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if tag not in ("html", "body", "main", "article") or name == "class" and tag == "article":
-                if any(word.lower() in MARKS for word in _NAME.findall(value)):
-                    return True
+            if tag not in ("html", "body", "main", "article"):
+                for one in value.split():
+                    parts = [word.lower() for word in _NAME.findall(one)]
+                    if one.lower() in MARKS or parts and parts[-1] in MARKS:
+                        return True, False
+                    doubtful = doubtful or any(word in MARKS for word in parts)
         elif name == "role" and value.lower() in ROLES or name == "hidden":
-            return True
+            return True, False
         elif name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-    return False
+            return True, False
+    return False, doubtful
 
 
 def _is_header(attributes: str) -> bool:
@@ -106,23 +124,28 @@ def read_page(page: str) -> tuple[list[Item], list[Element]]:
     items: list[Item] = []
     elements: list[Element] = []
     stack: list[int] = []
+    opened: dict[str, int] = defaultdict(int)  # how many of a tag are open
     at = 0
 
-    def content() -> bool:
-        return not stack or elements[stack[-1]].content
+    def around() -> Element:
+        return elements[stack[-1]] if stack else _PAGE
+
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            opened[elements[e].tag] -= 1
+        del stack[k:]
 
     def text(run: str) -> None:
+        e, own = around(), stack[-1] if stack else -1
         if run and not run.isspace():
-            tags = {elements[e].tag for e in stack}
-            block = next((elements[e].tag for e in reversed(stack) if elements[e].tag in BLOCKS), "body")
-            place = f"{block}{' a' if 'a' in tags else ''}{'' if content() else ' -'}"
-            items.append(Item(run, len(run.split()), place, tuple(stack), content(), False))
+            place = f"{e.block}{' a' if e.link else ''}{' ?' if e.doubtful else ''}{'' if e.content else ' -'}"
+            items.append(Item(run, len(run.split()), place, own, e.content, False))
         elif run:
-            items.append(Item(run, 0, "white", tuple(stack), content(), False))
+            items.append(Item(run, 0, "white", own, e.content, False))
 
     def tag_item(name: str, end: str, separates: bool) -> None:
         place = f"<{end}{name if name in BLOCKS or name in NEVER or name in ('a', 'b', 'i', 'em', 'strong', 'span') else 'other'}>"
-        items.append(Item(None, 0, place, tuple(stack), content(), separates))
+        items.append(Item(None, 0, place, stack[-1] if stack else -1, around().content, separates))
 
     last = page.rfind(">") + 1  # no tag ends behind it; one that starts there is cut off
     while True:
@@ -137,35 +160,55 @@ def read_page(page: str) -> tuple[list[Item], list[Element]]:
         if not name:
             continue
         if found[1] or found[4]:
-            inner = next((k for k in range(len(stack) - 1, -1, -1) if elements[stack[k]].tag == name), None)
             tag_item(name, "/", name in BLOCKS)
-            if inner is not None:
-                del stack[inner:]
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if elements[stack[k]].tag == name))
             continue
         attributes = found[3] or found[6] or ""
         if name in BLOCKS and name not in ("br", "html", "body"):
             ends = ("p", "li") if name == "li" else ("p",)
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if any(opened[tag] for tag in ends) else ():
                 tag = elements[stack[k]].tag
                 if tag in ends:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag in _CONTAINERS or tag in ("ul", "ol", "blockquote", "table"):
                     break
-        within = any(elements[e].tag == "article" for e in stack)
-        is_content = content() and name not in NEVER and not _marked(name, attributes)
-        if not within and (name == "header" or name in ("div", "section") and _is_header(attributes)):
+        outer = around()
+        dropped, doubtful = _marked(name, attributes)
+        is_content = outer.content and name not in NEVER and not dropped
+        if not outer.article and (name == "header" or name in ("div", "section") and _is_header(attributes)):
             is_content = False
         if name not in VOID:
-            elements.append(Element(name, is_content))
+            elements.append(
+                Element(
+                    name,
+                    is_content,
+                    stack[-1] if stack else -1,
+                    name if name in BLOCKS else outer.block,
+                    outer.link or name == "a",
+                    outer.doubtful or doubtful,
+                    outer.article or name == "article",
+                    outer.top or (name if name not in ("html", "body") else None),
+                )
+            )
             stack.append(len(elements) - 1)
+            opened[name] += 1
         tag_item(name, "", name in BLOCKS)
         if name in RAW and not attributes.rstrip().endswith("/"):
             # its inside is no markup; without an end it takes the rest of the page
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
         elif attributes.rstrip().endswith("/") and name in ("svg", "math"):
-            stack.pop()
+            close(len(stack) - 1)
+
+
+def _within(elements: list[Element], chosen: set[int]) -> list[bool]:
+    """Whether each element is one of ``chosen`` or lies in one; the last entry is for no element."""
+    out: list[bool] = []
+    for k, e in enumerate(elements):
+        out.append(k in chosen or e.parent >= 0 and out[e.parent])
+    return [*out, False]
 
 
 def places_seen(page: str) -> dict[str, list[int]] | None:
@@ -175,21 +218,23 @@ def places_seen(page: str) -> dict[str, list[int]] | None:
     labels = labels or [k for k, e in enumerate(elements) if e.content and e.tag == "main"]
     if not labels:
         return None
-    inside = set(labels)
+    inside = _within(elements, set(labels))
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for item in items:
-        counts[item.place][not inside.intersection(item.path)] += item.words if item.text is not None else 1
+        counts[item.place][not inside[item.element]] += item.words if item.text is not None else 1
     return counts
 
 
 def weigh(place: str, inside: int, outside: int) -> float:
     """Log odds of lying in the content, kept positive for words, negative for tags and for words in
-    places that are no content."""
+    places that are no content; in doubtful places words have the sign they are learned to have."""
     odds = math.log((inside + 1) / (outside + 1))
     if place.startswith("<"):
         return min(-0.1, max(odds, -8.0)) if odds < 0 else -0.1
     if place.endswith(" -"):
         return -2.0
+    if place.endswith(" ?"):
+        return max(-2.0, min(odds, 2.0))
     return max(0.1, min(odds, 2.0))
 
 
@@ -243,12 +288,17 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def _holder(items: list[Item], elements: list[Element], low: int, high: int) -> int | None:
     """The element the run belongs to: the outermost article around its content, else the main
     element, else the innermost container of all of it; None for the page's body."""
-    paths = [i.path for i in items[low:high] if i.text is not None and i.words and i.content]
-    common: list[int] = []
-    for level in zip(*paths):
-        if len(set(level)) > 1:
-            break
-        common.append(level[0])
+    inside = [0] * len(elements)
+    total = 0
+    for i in items[low:high]:
+        if i.text is not None and i.words and i.content:
+            total += 1
+            if i.element >= 0:
+                inside[i.element] += 1
+    for k in range(len(elements) - 1, -1, -1):
+        if elements[k].parent >= 0:
+            inside[elements[k].parent] += inside[k]
+    common = [k for k, n in enumerate(inside) if n == total]  # one in another, the outermost first
     for tag in ("article", "main"):
         around = [e for e in common if elements[e].tag == tag]
         if around:
@@ -262,7 +312,9 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     """The content of one page, white space made single spaces; empty if nothing scores."""
     items, elements = read_page(page)
     scores = []
-    for item in items:
+    for k, item in enumerate(items):
+        if item.place.endswith(" ?") and weights.get(item.place, 0.0) < 0:
+            item = items[k] = item._replace(content=False)
         known = weights.get(item.place)
         if item.text is None:
             scores.append(-0.5 if known is None else known)
@@ -274,12 +326,13 @@ def main_text(page: str, weights: dict[str, float]) -> str:
         return ""
     holder = _holder(items, elements, low, high)
     if holder is not None:
-        chosen = [i for i in items if holder in i.path]
+        inside = _within(elements, {holder})
+        chosen = [i for i in items if inside[i.element]]
     else:
         # straight in the body: paragraphs and headings beside the run belong to it
         def joins(item: Item) -> bool:
-            tags = [elements[e].tag for e in item.path if elements[e].tag not in ("html", "body")]
-            return item.content and (item.text is None or not item.words or bool(tags) and tags[0] in _PARAGRAPHS)
+            top = elements[item.element].top if item.element >= 0 else None
+            return item.content and (item.text is None or not item.words or top in _PARAGRAPHS)
 
         while low > 0 and joins(items[low - 1]):
             low -= 1

@@ -8,7 +8,7 @@ import pytest
 
 from tallybird.llm import decontaminate
 from tallybird.llm.decontaminate import ItemIndex, drop_contaminated, find_items, least_edits, max_edits
-from tallybird.llm.tokens import LETTERS, LOWER, tokenise
+from tallybird.llm.tokens import LETTERS, LOWER, random_words, tokenise
 
 
 def words(text):
@@ -157,3 +157,30 @@ def test_blocks_of_the_benchmark_and_empty_tables(spark, monkeypatch):
     assert {r["doc_id"]: r["item_ids"] for r in find_items(docs, benchmark).collect()} == {k: [k] for k in range(7)} | {9: []}
     assert find_items(docs.limit(0), benchmark).collect() == []
     assert all(r["item_ids"] == [] for r in find_items(docs, benchmark.limit(0)).collect())
+
+
+def test_an_opening_that_many_items_share():
+    """Items with the same beginning, and texts that repeat it, alone or with the rest of an item."""
+    import time
+
+    draw = random_words(100_000, 99)
+    opening = draw[:18]
+    items = [np.concatenate([opening, draw[100 + 22 * k : 122 + 22 * k]]) for k in range(800)]
+    index = ItemIndex(list(range(800)), items).build()
+    alone = np.tile(opening, 200)
+    held = np.concatenate([alone, items[17], draw[50_000:50_040], np.delete(items[400], [20, 31]), alone])
+    texts = [alone, held, draw[60_000:61_000]]
+    begin = time.time()
+    found = index.search(np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    assert time.time() - begin < 2
+    assert dict(found) == {1: {17, 400}}
+    # questions that differ in few words: all that are near count, however many
+    template = draw[70_000:70_040]
+    near = []
+    for k in range(60):
+        near.append(template.copy())
+        near[-1][[3, 22]] = draw[80_000 + 2 * k : 80_002 + 2 * k]
+    index = ItemIndex(list(range(60)), near).build()
+    text = np.concatenate([draw[:30], near[5], draw[30:60]])
+    expected = {k for k, item in enumerate(near) if least_edits(item, text) <= max_edits(len(item))}
+    assert index.search(text, np.array([0, len(text)]))[0] == expected and len(expected) == 60

@@ -31,6 +31,20 @@ PAGES = {
     "straight in the body": (f"<body><nav>a b c</nav><h1>Head</h1><p>{PARAGRAPH}</p><p>End.</p><footer>f</footer></body>", f"Head {PARAGRAPH} End."),
     "quotes and signs": ('<article><p title="a > b">1 < 2 and 3 > 2</p></article>', "1 < 2 and 3 > 2"),
     "hidden": (f"<article><p>{PARAGRAPH}</p><p hidden>no</p><div style='display: none'>no</div></article>", PARAGRAPH),
+    "an article is not dropped for its class": (
+        f"<article class='post comments-open'><p>{PARAGRAPH}</p></article>", PARAGRAPH,
+    ),
+    "nor for another": (f"<main id=search><article class='hentry has-share'><p>{PARAGRAPH}</p></article></main>", PARAGRAPH),
+    "compound names": (
+        f"<article><div id='search-algorithms'><p>{PARAGRAPH}</p></div><div class='notice-board'>Board.</div>"
+        "<div class='post-comments'>no</div><div class='SideBar'>no</div></article>",
+        f"{PARAGRAPH} Board.",
+    ),
+    "formulas, buttons and labels": (
+        "<article><p>Solve <math><mi>x</mi> = <mn>2</mn></math> now</p><button>Go on</button><label>Here</label>"
+        "<form><label>no</label><button>no</button></form></article>",
+        "Solve x = 2 now Go onHere",
+    ),
     "nothing": ("<nav>a b</nav>", ""),
     "plain": ("just text", "just text"),
 }
@@ -65,3 +79,18 @@ def test_long_page_is_read_whole(spark):
 
 def test_unclosed_quotes_take_linear_time():
     assert main_text("word " + "<p a='" * 20000, {}) == "word"
+
+
+def test_doubtful_names_follow_the_learned_weight():
+    page = f"<article><p>{PARAGRAPH}</p><div class='notice-top'>Perhaps.</div></article>"
+    assert main_text(page, {}) == f"{PARAGRAPH} Perhaps."
+    assert main_text(page, {"div ?": 1.0}) == f"{PARAGRAPH} Perhaps."
+    assert main_text(page, {"div ?": -1.0}) == PARAGRAPH
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = 50_000
+    page = "<div>" * deep + f"<p>{PARAGRAPH}" + "<b>x</b></i>" * 2000 + "</div>" * deep
+    assert main_text(page, {}).startswith(PARAGRAPH)
+    page = "<article>" + "<b>" * deep + "<div>a</div></em>" * 2000 + "</article>"
+    assert main_text(page, {}) == " ".join(["a"] * 2000)

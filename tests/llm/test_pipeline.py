@@ -70,6 +70,26 @@ def test_the_mixture(stages):
     assert sorted(got, key=repr) == sorted((m for m in mixed(rows) if m[4] > 0), key=repr)
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0), (3, 1, 0)]], ids=["no labels", "one kind"])
+def test_without_a_classifier_documents_stay(spark, tmp_path, labels):
+    text = "A document with some words number {} that nobody has labelled as good or bad so far."
+    rows = [(k, text.format(chr(97 + k) * 9) if k else None, "en", "s", 1) for k in range(5)] + [(None, "no id " * 9, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "an item of the benchmark")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == 6
+    mixed = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(docs.columns) <= set(mixed.columns)
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
 def test_the_rest_works_without_this_subpackage():
     code = (
         "import sys\n"
