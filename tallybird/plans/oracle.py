@@ -799,9 +799,14 @@ Q["fitted_score_checks"] = """
 SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, n_rows, n_churned, CAST(0 AS BIGINT) AS n_outside
 FROM (SELECT count(*) AS n_rows, CAST(sum(churned) AS BIGINT) AS n_churned FROM parted WHERE is_test = 1)
 """
-Q["model_roundtrip"] = """
+_SERIES = """(SELECT series, max(order_date) AS last
+      FROM (SELECT order_date, unnest(['all', coalesce(category, 'none')]) AS series
+            FROM sold JOIN s_products USING (product_id))
+      GROUP BY series)"""
+Q["model_roundtrip"] = f"""
 SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, n AS num_scores, CAST(0 AS DOUBLE) AS max_difference
 FROM (SELECT count(*) AS n FROM parted)
+UNION ALL SELECT 'Forecast', 90 * count(*), CAST(0 AS DOUBLE) FROM {_SERIES}
 """
 Q["churn_prediction_checks"] = """
 SELECT count(*) AS n_customers, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_wrong_level FROM parted
@@ -809,13 +814,14 @@ SELECT count(*) AS n_customers, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT
 Q["isolation_forest_checks"] = """
 SELECT count(*) AS n_days, true AS share_kept, CAST(0 AS BIGINT) AS n_outside FROM days
 """
-Q["forecast_checks"] = """
+Q["forecast_checks"] = f"""
 SELECT series, CAST(last + 1 AS DATE) AS first_day, CAST(last + 90 AS DATE) AS last_day, CAST(90 AS BIGINT) AS n_days,
   CAST(0 AS BIGINT) AS n_unordered
-FROM (SELECT series, max(order_date) AS last
-      FROM (SELECT order_date, unnest(['all', coalesce(category, 'none')]) AS series
-            FROM sold JOIN s_products USING (product_id))
-      GROUP BY series)
+FROM {_SERIES}
 """
 
+Q["forecast_optimality"] = f"SELECT series, CAST(0 AS BIGINT) AS n_violations FROM {_SERIES}"
+Q["forecast_widths"] = f"""
+SELECT series, CAST(90 AS BIGINT) AS n_days, CAST(0 AS BIGINT) AS n_narrower FROM {_SERIES}"""
+
 ORACLE_SQL = {name: _with(body) for name, body in Q.items()}

@@ -403,11 +403,23 @@ def _roundtrip(spark: SparkSession, folder: str, name: str) -> DataFrame:
     )
 
 
+def _forecast_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Forecasts of fresh fits against those of the stored ones, which need no history."""
+    stored = forecast.predict_forecasts(_forecast_fits(spark, folder), ["series"])
+    fresh = forecast.seasonal_forecast(_category_series(spark, folder), ["series"])
+    both = fresh.alias("a").join(stored.alias("b"), ["series", "ds"])
+    bounds = ("yhat", "yhat_lower", "yhat_upper")
+    apart = F.greatest(*[F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in bounds])
+    return both.agg(F.count("*").alias("num_scores"), F.max(apart).alias("max_difference")).select(
+        F.lit("Forecast").alias("model"), "*"
+    )
+
+
 @_query
 def model_roundtrip(spark, folder):
-    """Largest difference between the scores of each classifier and of its stored copy."""
-    logistic, forest_ = (_roundtrip(spark, folder, n) for n in (models.LOGISTIC, models.FOREST))
-    return plain(logistic.unionByName(forest_))
+    """Largest difference between the results of each fitted model and of its stored copy."""
+    parts = [_roundtrip(spark, folder, n) for n in (models.LOGISTIC, models.FOREST)]
+    return plain(parts[0].unionByName(parts[1]).unionByName(_forecast_roundtrip(spark, folder)))
 
 
 @_query
@@ -532,9 +544,34 @@ def seasonal_holdout_forecast(spark, folder):
     return plain(forecast.seasonal_holdout_forecast(split, ["series"]))
 
 
+def _forecast_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored fits of all series."""
+    return staged(spark, folder, "forecast_fits",
+                  lambda: forecast.fit_forecasts(_category_series(spark, folder), ["series"]))
+
+
 @_query
 def forecast_90day(spark, folder):
-    return plain(forecast.seasonal_forecast(_category_series(spark, folder), ["series"]))
+    return plain(forecast.predict_forecasts(_forecast_fits(spark, folder), ["series"]))
+
+
+@_query
+def forecast_optimality(spark, folder):
+    """Per series, whether its fit is the optimum: conditions off by more than 1e-8."""
+    return _forecast_fits(spark, folder).select(
+        "series", (F.col("violation") > 1e-8).cast("bigint").alias("n_violations")
+    )
+
+
+@_query
+def forecast_widths(spark, folder):
+    """Per series, days ahead, and whether the last one's interval is narrower than the first one's."""
+    width = F.col("yhat_upper") - F.col("yhat_lower")
+    ends = forecast_90day(spark, folder).groupBy("series").agg(
+        F.count("*").alias("n_days"), F.min_by(width, "ds").alias("first"), F.max_by(width, "ds").alias("last")
+    )
+    narrower = (F.col("last") < F.col("first") - 1e-6).cast("bigint").alias("n_narrower")
+    return ends.select("series", "n_days", narrower)
 
 
 @_query
@@ -552,7 +589,7 @@ def forecast_model_metrics(spark, folder):
 @_query
 def forecast_checks(spark, folder):
     """Per series: days ahead, first and last, and days whose bounds are out of order."""
-    ahead = forecast.seasonal_forecast(_category_series(spark, folder), ["series"])
+    ahead = forecast.predict_forecasts(_forecast_fits(spark, folder), ["series"])
     ordered = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
     return plain(
         ahead.groupBy("series").agg(

@@ -464,6 +464,57 @@ def test_thirteen_and_fourteen_days_agree():
     assert abs(a[0] - b[0]) < 40
 
 
+def _wavering(seed, n=700, horizon=90):
+    """A series whose slope changes now and then, also after its history."""
+    draw = np.random.default_rng(seed)
+    changes = np.where(draw.random(n + horizon) < 0.02, draw.laplace(0, 0.15, n + horizon), 0)
+    days = np.arange(n + horizon)
+    return 500 + np.cumsum(0.1 + np.cumsum(changes)) + 10 * (days % 7 == 2) + draw.normal(0, 8, n + horizon)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_fit_is_the_optimum_and_sparse(seed):
+    y = _wavering(seed)[:700]
+    fit = forecast._fit(np.arange(20000.0, 20700.0), y)
+    assert fit["violation"] < 1e-8
+    changes = fit["beta"][2 : 2 + forecast.CHANGE_POINTS]
+    assert 0 < np.count_nonzero(changes) < forecast.CHANGE_POINTS
+    steady = forecast._fit(np.arange(20000.0, 20700.0), 100 + np.random.default_rng(seed).normal(0, 5, 700))
+    assert np.count_nonzero(steady["beta"][2 : 2 + forecast.CHANGE_POINTS]) <= 3 and steady["violation"] < 1e-8
+
+
+def test_intervals_widen_and_cover(spark):
+    inside, widths, n = [], [], 1500
+    points = (np.linspace(0, 0.8, forecast.CHANGE_POINTS + 1)[1:] * (n - 1)).astype(int)
+    for seed in range(20):
+        # slopes change as the model has it: at its points, and as often afterwards
+        draw, days = np.random.default_rng(seed), np.arange(n + 90)
+        changes = np.zeros(n + 90)
+        changes[points] = draw.laplace(0, 0.1, len(points))
+        changes[n:] = np.where(draw.random(90) < len(points) / n, draw.laplace(0, 0.1, 90), 0)
+        y = 500 + np.cumsum(np.cumsum(changes)) + 10 * (days % 7 == 2) + draw.normal(0, 8, n + 90)
+        fit = forecast._fit(20000.0 + np.arange(n), y[:n])
+        yhat = forecast._values(fit, 20000.0 + n + np.arange(90))
+        low, high = forecast._bounds(fit, 90, seed)
+        inside.append(((yhat + low <= y[n:]) & (y[n:] <= yhat + high)).mean())
+        widths.append((high - low)[[0, 44, 89]])
+    first, middle, last = np.mean(widths, axis=0)
+    assert first < middle < last
+    assert 0.65 < np.mean(inside) < 0.95
+
+
+def test_stored_fits_predict_without_the_history(spark, tmp_path):
+    both = _series(spark, _wavering(1)[:400]).unionByName(_series(spark, [1.0, 2.0, 3.0], "short"))
+    fits = forecast.fit_forecasts(both, ["series"])
+    fits.write.parquet(f"{tmp_path}/fits")
+    stored = spark.read.parquet(f"{tmp_path}/fits")
+    assert rows(forecast.predict_forecasts(stored, ["series"], 10)) == rows(forecast.seasonal_forecast(both, ["series"], 10))
+    newer = stored.withColumn("format", F.lit(99))
+    with pytest.raises(Exception, match="format 99"):
+        forecast.predict_forecasts(newer, ["series"]).collect()
+    assert forecast.fit_forecasts(both.limit(0), ["series"]).collect() == []
+
+
 def test_series_shorter_than_the_holdout(spark):
     split = forecast.holdout_split(_series(spark, range(10)), 60, ["series"])
     got = forecast.seasonal_holdout_forecast(split, ["series"])

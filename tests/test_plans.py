@@ -11,7 +11,7 @@ from tallybird.plans.warehouse import star_schema
 # The only jobs that run Python on executors, and those whose input is a fitted model.
 PYTHON = {"isolation_forest", "isolation_forest_checks", "daily_anomalies", "known_anomaly_check_forest",
           "seasonal_holdout_forecast", "forecast_90day", "forecast_checks", "forecast_model_metrics",
-          "density_curve", "keyword_topics_documents"}
+          "density_curve", "keyword_topics_documents", "forecast_widths"}
 MODELS = {"churn_logistic", "churn_random_forest", "churn_predictions", "model_roundtrip",
           "feature_importance"}
 
