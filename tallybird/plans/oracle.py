@@ -622,6 +622,22 @@ _KNOWN = {
 Q["align_features"] = f"""
 SELECT customer_id, {_big('churned')}, {', '.join(f'{_KNOWN[c]} AS {c}' for c in KNOWN_COLUMNS)}
 FROM feat"""
+_SOURCES = list(_LEVELS)
+CTE["levels"] = " UNION ALL ".join(
+    f"SELECT {k} AS k, '{c}' AS source, {c} AS level FROM feat WHERE {c} IS NOT NULL GROUP BY ALL" for k, c in enumerate(_SOURCES)
+)
+CTE["places"] = f"""
+SELECT source, level, {len(NUMERIC) - 1} + row_number() OVER (ORDER BY k, level) AS place
+FROM (SELECT *, min(level) OVER (PARTITION BY k) AS least FROM levels) WHERE level <> least"""
+Q["category_table"] = "SELECT source, level, CAST(place AS BIGINT) AS place FROM places"
+_OWN = ", ".join(f"(SELECT place FROM places WHERE source = '{c}' AND level = feat.{c})" for c in _SOURCES)
+Q["sparse_features"] = f"""
+SELECT customer_id, {_big('churned')}, {_numeric(6)},
+  array_to_string(list_sort(list_filter([{_OWN}], lambda x: x IS NOT NULL)), ',') AS places FROM feat"""
+Q["sparse_features_view"] = Q["align_features"]
+Q["churn_logistic_optimum"] = f"""
+SELECT count(*) AS n_test, (SELECT {len(NUMERIC)} + count(*) FROM places) AS n_columns,
+  CAST(0 AS BIGINT) AS n_beyond, CAST(0 AS BIGINT) AS n_apart FROM parted WHERE is_test = 1"""
 Q["stratified_split"] = f"SELECT customer_id, {_big('churned', 'is_test')} FROM parted"
 _SCALED = ", ".join(
     f"round(({c} - (SELECT avg({c}) FROM parted WHERE is_test = 0)) / coalesce(nullif("

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybird.functions.polarity import LEXICON, polarity_by_table
+from tallybird.operators import categories
 from tallybird.operators import (
     anomaly,
     business,
@@ -25,6 +26,7 @@ from tallybird.operators import churn_features as features
 from tallybird.operators import churn_models as models
 from tallybird.operators import isolation_forest as forest
 from tallybird.operators.keyword_topics import keyword_topics
+from tallybird.operators.logistic_newton import fit_newton, newton_probability
 from tallybird.plans import churn_training as churn
 from tallybird.plans.warehouse import (
     customer_rfm,
@@ -270,6 +272,33 @@ def align_features(spark, folder):
     return plain(features.align(matrix, KNOWN_COLUMNS))
 
 
+def _category_table(spark: SparkSession, folder: str) -> DataFrame:
+    return staged(spark, folder, "category_table",
+                  lambda: categories.category_table(churn.staged_features(spark, folder)))
+
+
+@_query
+def category_table(spark, folder):
+    return _category_table(spark, folder)
+
+
+@_query
+def sparse_features(spark, folder):
+    """The model matrix as places that hold a 1, joined from the level table."""
+    sparse = categories.sparse_features(churn.staged_features(spark, folder), _category_table(spark, folder))
+    return plain(sparse.withColumn("places", F.array_join(F.col("places").cast("array<string>"), ",")))
+
+
+@_query
+def sparse_features_view(spark, folder):
+    """The columns of ``align_features`` as a dense view of the sparse rows."""
+    levels = _category_table(spark, folder)
+    sparse = categories.sparse_features(churn.staged_features(spark, folder), levels)
+    wanted = {"gender_Male": ("gender", "Male"), "city_Nation_7": ("city", "Nation_7"), "city_Atlantis": ("city", "Atlantis")}
+    view = categories.dense_view(sparse, levels, wanted)
+    return plain(view.select("customer_id", "churned", *KNOWN_COLUMNS))
+
+
 def _split(spark: SparkSession, folder: str) -> DataFrame:
     return features.stratified_split(churn.staged_features(spark, folder))
 
@@ -290,6 +319,25 @@ def churn_logistic(spark, folder):
     return plain(churn.scored_test(spark, folder, models.LOGISTIC))
 
 
+@_query
+def churn_logistic_optimum(spark, folder):
+    """Newton's fit on the training part: its rows and columns, whether the mean penalised gradient is
+    longer than 1e-8, and how many test scores of the other fit are off by more than a hundredth."""
+    levels = features.category_levels(churn.staged_features(spark, folder))
+    matrix = features.one_hot(_split(spark, folder), levels, ("customer_id", "churned", "is_test"))
+    rows = staged(spark, folder, "churn_matrix", lambda: matrix)
+    columns = [c for c in rows.columns if c not in ("customer_id", "churned", "is_test")]
+    model = fit_newton(rows.where("is_test = 0"), columns)
+    ours = rows.where("is_test = 1").select("customer_id", newton_probability(model).alias("p"))
+    both = ours.join(churn.scored_test(spark, folder, models.LOGISTIC), "customer_id")
+    return both.agg(
+        F.count("*").alias("n_test"),
+        F.lit(len(columns)).cast("bigint").alias("n_columns"),
+        F.lit(int(model.gradient > 1e-8)).cast("bigint").alias("n_beyond"),
+        F.count_if(F.abs(F.col("p") - F.col("churn_probability")) > 0.01).alias("n_apart"),
+    )
+
+
 @_query
 def churn_random_forest(spark, folder):
     return plain(churn.scored_test(spark, folder, models.FOREST))

@@ -13,7 +13,7 @@ PYTHON = {"isolation_forest", "isolation_forest_checks", "daily_anomalies", "kno
           "seasonal_holdout_forecast", "forecast_90day", "forecast_checks", "forecast_model_metrics",
           "density_curve", "keyword_topics_documents", "forecast_widths"}
 MODELS = {"churn_logistic", "churn_random_forest", "churn_predictions", "model_roundtrip",
-          "feature_importance"}
+          "feature_importance", "churn_logistic_optimum"}
 
 
 def plan(df) -> str:
