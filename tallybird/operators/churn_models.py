@@ -1,4 +1,5 @@
-"""Churn classifiers on MLlib: training, storage, scoring."""
+"""Churn classifiers: training, storage, scoring. Logistic regression by MLlib, the forest as a table of
+nodes (``forest_table.py``)."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +19,23 @@ from tallybird.operators.churn_features import (
     align,
     category_levels,
     dummy_columns,
-    mix,
     one_hot,
     stratified_split,
 )
-from tallybird.sources.workspace import ensure_checkpoints
+from tallybird.operators.forest_table import (
+    ForestTable,
+    fit_forest_table,
+    forest_importance,
+    load_forest_table,
+    save_forest_table,
+    score_forest_table,
+)
 
 # Model names, training settings and the limits of the risk levels.
 LOGISTIC, FOREST = "Logistic Regression", "Random Forest"
 SEED = 42
 MAX_ITERATIONS = 1000
 TREES = 200
-DEPTH = 30  # as deep as MLlib grows a tree; leaves are pure long before on most data
 HIGH_RISK, MEDIUM_RISK = 0.7, 0.4
 
 
@@ -38,7 +44,7 @@ class Trained:
     """A fitted pipeline with what is needed to rebuild its input."""
 
     name: str
-    model: PipelineModel
+    model: PipelineModel | ForestTable
     columns: list[str]
     levels: dict[str, list[str]]
 
@@ -93,40 +99,23 @@ def fit_logistic(train: DataFrame) -> PipelineModel:
     )
 
 
-def _share_of(train: DataFrame, at_most: int) -> DataFrame:
-    """About ``at_most`` rows, the same share of each label, drawn by the hash of the key."""
-    n = train.count()
-    if n <= at_most:
-        return train
-    return train.where(mix(F.col("customer_id").cast("bigint"), SEED + 1) < int(at_most / n * (2**31 - 1)))
-
+def fit_forest(train: DataFrame, columns: Sequence[str], path: str, trees: int = TREES) -> ForestTable:
+    """A forest of unbounded depth on all rows, stored in ``path``."""
+    rows = train.withColumn("_values", vector_to_array("features"))
+    return fit_forest_table(rows, columns, path, trees=trees, seed=SEED, vector="_values")
 
-def fit_forest(
-    train: DataFrame, trees: int = TREES, depth: int = DEPTH, at_most: int | None = None
-) -> PipelineModel:
-    """Deep trees: each row's place in every tree is kept between levels (and checkpointed now
-    and then) instead of being found again from the root, and levels are grown in few passes.
 
-    A tree grows with its rows and the model passes through the driver. ``at_most`` bounds the
-    labelled rows it is fitted on (by default all are used); it never bounds the rows scored.
-    """
-    ensure_checkpoints(train.sparkSession)
-    weighted, _ = _balanced(train if at_most is None else _share_of(train, at_most))
-    return _fit(
-        weighted,
-        RandomForestClassifier(
-            featuresCol="scaled", labelCol="churned", weightCol="weight", numTrees=trees,
-            maxDepth=depth, featureSubsetStrategy="sqrt", seed=SEED,
-            cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=512,
-        ),
-    )
+def _probability(model: PipelineModel | ForestTable, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(customer_id, keep..., churn_probability)."""
+    if isinstance(model, ForestTable):
+        rows = rows.withColumn("_values", vector_to_array("features"))
+        return score_forest_table(model, rows, "customer_id", keep, vector="_values")
+    probability = vector_to_array("probability")[1].alias("churn_probability")
+    return model.transform(rows).select("customer_id", *keep, probability)
 
 
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    probability = vector_to_array("probability")[1]
-    return model.transform(rows).select(
-        "customer_id", "churned", probability.alias("churn_probability")
-    )
+def score(model: PipelineModel | ForestTable, rows: DataFrame) -> DataFrame:
+    return _probability(model, rows, ["churned"])
 
 
 def risk_level(probability: Column) -> Column:
@@ -138,8 +127,12 @@ def risk_level(probability: Column) -> Column:
 
 
 def save(spark: SparkSession, trained: Trained, path: str) -> None:
-    trained.model.write().overwrite().save(f"{path}/model")
-    about = {"name": trained.name, "columns": trained.columns, "levels": trained.levels}
+    forest = isinstance(trained.model, ForestTable)
+    if forest:
+        save_forest_table(spark, trained.model, f"{path}/model")
+    else:
+        trained.model.write().overwrite().save(f"{path}/model")
+    about = {"name": trained.name, "forest": forest, "columns": trained.columns, "levels": trained.levels}
     spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(f"{path}/about")
@@ -147,7 +140,7 @@ def save(spark: SparkSession, trained: Trained, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> Trained:
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
-    model = PipelineModel.load(f"{path}/model")
+    model = (load_forest_table(spark, f"{path}/model") if about["forest"] else PipelineModel.load(f"{path}/model"))
     return Trained(about["name"], model, about["columns"], about["levels"])
 
 
@@ -158,12 +151,8 @@ def score_customers(
     if customer_ids:
         features = features.where(F.col("customer_id").isin(list(customer_ids)))
     rows = model_input(features, trained.levels, trained.columns, keep=["customer_name"])
-    probability = vector_to_array("probability")[1]
-    return trained.model.transform(rows).select(
-        "customer_id",
-        "customer_name",
-        probability.alias("churn_probability"),
-        risk_level(probability).alias("risk_level"),
+    return _probability(trained.model, rows, ["customer_name"]).withColumn(
+        "risk_level", risk_level(F.col("churn_probability"))
     )
 
 
@@ -180,9 +169,9 @@ def churn_predictions(
 
 def feature_importance(spark: SparkSession, trained: Trained, k: int | None = 10) -> DataFrame:
     """Features by importance; empty for a model that has none."""
-    importances = getattr(trained.model.stages[-1], "featureImportances", None)
-    pairs = [] if importances is None else zip(trained.columns, importances.toArray().tolist())
-    ranked = spark.createDataFrame(list(pairs), "feature string, importance double").orderBy(
-        F.desc("importance"), "feature"
-    )
+    if isinstance(trained.model, ForestTable):
+        found = forest_importance(spark, trained.model)
+    else:
+        found = spark.createDataFrame([], "feature string, importance double")
+    ranked = found.orderBy(F.desc("importance"), "feature")
     return ranked if k is None else ranked.limit(k)

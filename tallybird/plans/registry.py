@@ -26,6 +26,7 @@ from tallybird.operators import churn_features as features
 from tallybird.operators import churn_models as models
 from tallybird.operators import isolation_forest as forest
 from tallybird.operators.keyword_topics import keyword_topics
+from tallybird.operators.forest_table import forest_checks
 from tallybird.operators.logistic_newton import fit_newton, newton_probability
 from tallybird.plans import churn_training as churn
 from tallybird.plans.warehouse import (
@@ -424,6 +425,12 @@ def feature_importance(spark, folder):
     )
 
 
+@_query
+def forest_node_checks(spark, folder):
+    """Trees, roots, split nodes whose children's draws do not add up to theirs, importances in sum."""
+    return forest_checks(spark, churn.stored_model(spark, folder, models.FOREST).model)
+
+
 @_query
 def churn_predictions(spark, folder):
     def scored() -> DataFrame:

@@ -327,7 +327,7 @@ def test_models_find_a_planted_signal(spark, tmp_path):
     features = base.withColumns({**noise, "avg_rating": F.col("churned") * 3.0 + noise["avg_rating"] / 13})
     rows_, columns, levels = models.split_input(features)
     train, test = rows_.where("is_test = 0"), rows_.where("is_test = 1")
-    for fit in (models.fit_logistic, lambda df: models.fit_forest(df, trees=20, depth=5)):
+    for fit in (models.fit_logistic, lambda df: models.fit_forest(df, columns, f"{tmp_path}/f", trees=20)):
         model = fit(train)
         scored = models.score(model, test).withColumnRenamed("churned", "label")
         metrics = classification.classification_metrics(scored, score="churn_probability").first()
