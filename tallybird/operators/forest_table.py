@@ -36,7 +36,7 @@ SPLIT, FRONTIER, HANDED, LEAF = range(4)
 NODES = "tree int, node long, depth int, feature int, bin int, n0 long, n1 long, gain double, state int, block int"
 _NAMES = [field.split()[0] for field in NODES.split(", ")]
 _DTYPES = [np.int32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64, np.int32, np.int32]
-_FILE = np.dtype([("node", "<i8"), ("feature", "<i4"), ("bin", "<i4"), ("p", "<f8")])
+_FILE = (("node", "<i8"), ("feature", "<i4"), ("bin", "<i4"), ("p", "<f8"))  # one array after the other
 _FLUSH = 1 << 16  # histograms a task holds before it passes them on: 64 MB
 _POISSON = np.array(
     [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**64) for k in range(10)], np.uint64
@@ -346,18 +346,19 @@ def _file(folder: str, tree: int, shard: int) -> str:
 
 def _write_files(folder: str, weight: np.ndarray):
     def write(table: pa.Table) -> pa.Table:
-        out = np.zeros(len(table), _FILE)
-        for name in ("node", "feature", "bin"):
-            out[name] = table.column(name).to_numpy()
+        table = table.sort_by("node")
         ill = table.column("n1").to_numpy() * weight[1]
-        out["p"] = ill / (table.column("n0").to_numpy() * weight[0] + ill)
+        share = ill / (table.column("n0").to_numpy() * weight[0] + ill)
+        parts = [*(table.column(name).to_numpy() for name, _ in _FILE[:-1]), share]
         tree, shard = table.column("tree")[0].as_py(), table.column("shard")[0].as_py()
         os.makedirs(folder, exist_ok=True)
         target = _file(folder, tree, shard)
         draft = f"{target}.{uuid.uuid4().hex}"  # a repeated task writes the same and moves it into place
-        np.sort(out, order="node").tofile(draft)
+        with open(draft, "wb") as file:
+            for part, (_, kind) in zip(parts, _FILE):
+                file.write(part.astype(kind).tobytes())
         os.replace(draft, target)
-        return pa.table({"tree": pa.array([tree], pa.int32()), "shard": [shard], "n": [len(out)]})
+        return pa.table({"tree": pa.array([tree], pa.int32()), "shard": [shard], "n": [len(table)]})
 
     return write
 
@@ -455,9 +456,18 @@ def load_forest_table(spark: SparkSession, path: str) -> ForestTable:
     return ForestTable(**about | {"edges": tuple(tuple(e) for e in about["edges"])})
 
 
+def _mapped(path: str) -> list[np.ndarray]:
+    n = os.path.getsize(path) // sum(np.dtype(kind).itemsize for _, kind in _FILE)
+    arrays, at = [], 0
+    for _, kind in _FILE:
+        arrays.append(np.memmap(path, kind, "r", at, (n,)))
+        at += arrays[-1].nbytes
+    return arrays
+
+
 def _leaf_share(folder: str, tree: int, bits: int, seed: int, bins: np.ndarray) -> np.ndarray:
     """Share of label 1 in the leaf that each row reaches; nodes are searched in mapped files."""
-    files: dict[int, np.ndarray] = {}
+    files: dict[int, list[np.ndarray]] = {}
     name = np.full(len(bins), root(tree, seed), np.int64)
     share = np.full(len(bins), np.nan)
     moving = np.arange(len(bins))
@@ -466,11 +476,11 @@ def _leaf_share(folder: str, tree: int, bits: int, seed: int, bins: np.ndarray)
         feature, cut = np.empty(len(moving), np.int32), np.empty(len(moving), np.int32)
         for shard in np.unique(shards):
             if shard not in files:
-                files[shard] = np.memmap(_file(folder, tree, shard), _FILE, "r")
-            nodes, here = files[shard], np.flatnonzero(shards == shard)
-            found = nodes[np.searchsorted(nodes["node"], name[moving[here]])]
-            feature[here], cut[here] = found["feature"], found["bin"]
-            share[moving[here]] = found["p"]
+                files[shard] = _mapped(_file(folder, tree, shard))
+            nodes, features, bounds, shares = files[shard]
+            here = np.flatnonzero(shards == shard)
+            found = np.searchsorted(nodes, name[moving[here]])
+            feature[here], cut[here], share[moving[here]] = features[found], bounds[found], shares[found]
         inner = feature >= 0
         moving, feature, cut = moving[inner], feature[inner], cut[inner]
         name[moving] = child(name[moving], bins[moving, feature] > cut)
