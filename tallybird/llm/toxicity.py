@@ -2,9 +2,12 @@
 
 1. Voters. Features are words (letters and digits, A-Z lowered) and word beginnings of 4 to 8 bytes.
    A bounded sample of labelled documents gives the features that toxic documents hold far more
-   often: the lexicon. A lexicon voter fires on a document that holds its feature more often than
-   the feature's rate in clean documents explains at the document's length; pattern voters fire on
-   the number of different lexicon features and on their density. All others abstain.
+   often: the lexicon, of any size. A feature fires on a document that holds it more often than its
+   rate in clean documents explains at the document's length. Features with the same evidence (as
+   many toxic and clean documents and occurrences, such as the beginnings of one word) share a voter;
+   the surest have one each, the rest are pooled by how sure they are, and a voter fires with any of
+   its features. Pattern voters fire on the number of voters that fire and on density. All others
+   abstain.
 2. Label model. Votes are drawn given the hidden label, each voter with a rate per class. Rates start
    from the labelled sample and are refined by EM over the votes of *all* documents, with the sample
    as prior. Correlations between voters within the classes are estimated from the same votes, and
@@ -30,10 +33,13 @@ from tallybird.llm.texts import whole_text
 from tallybird.llm.tokens import _BASE, _INVERSE, LETTERS, LOWER, mix, powers, text_slices, tokenise
 
 SAMPLE = 10_000
-LEXICON = 248  # lexicon voters; with the pattern voters below 256
+SINGLE = 224  # voters of the surest evidence; with the pools and patterns below 256
+POOLS = 24  # voters that share all other features of the lexicon
+LEXICON = SINGLE + POOLS
 PREFIXES = (4, 5, 6, 7, 8)
 PATTERNS = 5
 VOTERS = LEXICON + PATTERNS
+LEAST = 4  # toxic documents of the sample that hold a feature
 ROUNDS = 5
 _PART = 64
 
@@ -147,10 +153,12 @@ def _held_by_all(known: np.ndarray):
 
 @dataclass
 class Voters:
-    """Lexicon: sorted feature hashes with their rates (occurrences per word) in clean documents."""
+    """Lexicon: sorted feature hashes with their rates (occurrences per word) in clean documents and
+    the voter of each."""
 
     keys: np.ndarray
     rate: np.ndarray
+    voter: np.ndarray
     ill: np.ndarray  # starting rates of firing, by class, of all voters
     well: np.ndarray
     prior: float
@@ -169,12 +177,13 @@ class Voters:
             at = np.searchsorted(self.keys, found[near])
             at[at == len(self.keys)] = 0
             hit = self.keys[at] == found[near]
-            texts = high - low
-            count = np.bincount(whose[near][hit] * LEXICON + at[hit], minlength=texts * LEXICON)
-            count = count.reshape(texts, LEXICON)[:, : len(self.keys)]
-            fired = count > 3 * words[:, None] * self.rate
-            out[low:high, : len(self.keys)] = fired
-            kinds, times = fired.sum(1), (count * fired).sum(1)
+            pair, times = np.unique(whose[near][hit] * len(self.keys) + at[hit], return_counts=True)
+            text, feature = np.divmod(pair, len(self.keys))
+            fired = times > 3 * words[text] * self.rate[feature]
+            text, feature, times = text[fired], feature[fired], times[fired]
+            out[low + text, self.voter[feature]] = True
+            kinds = out[low:high, :LEXICON].sum(1)
+            times = np.bincount(text, weights=times, minlength=high - low)
             for k, pattern in enumerate(
                 (kinds >= 4, kinds >= 8, times >= 12, times * 100 >= words, times * 25 >= words)
             ):
@@ -182,6 +191,17 @@ class Voters:
         return out
 
 
+def dealt(sums: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """The voter of each feature: one per different evidence for the surest, pools of as many different
+    evidences each for all others."""
+    _, first, number = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[np.argsort(-sure[first], kind="stable")] = np.arange(len(first))
+    rest = max(len(first) - SINGLE, 1)
+    voter = np.where(rank < SINGLE, rank, SINGLE + (rank - SINGLE) * POOLS // rest)
+    return voter[number.ravel()]
+
+
 def find_voters(
     docs: DataFrame, labels: DataFrame, eligible: Column, label: str, sample: int, doc_id: str, text: str
 ) -> Voters:
@@ -193,12 +213,10 @@ def find_voters(
         .select("y", "t"),
         "labelled",
     )
-    ill = texts.where("y > 0.5").count()
-    least = max(4, ill // 100)
     known, _ = _collected(
-        texts.mapInArrow(_held_by_toxic, _PACKED).groupBy("part").applyInArrow(_merged(least), _PACKED), 1
+        texts.mapInArrow(_held_by_toxic, _PACKED).groupBy("part").applyInArrow(_merged(LEAST), _PACKED), 1
     )
-    nothing = Voters(np.empty(0, np.uint64), np.empty(0), np.zeros(VOTERS), np.zeros(VOTERS), 0.0, 0)
+    nothing = Voters(np.empty(0, np.uint64), np.empty(0), np.empty(0, int), np.zeros(VOTERS), np.zeros(VOTERS), 0.0, 0)
     known = known[known > 0]
     if not len(known):
         return nothing
@@ -211,11 +229,16 @@ def find_voters(
     odds = np.log(in_ill / (1 - in_ill)) - np.log(in_well / (1 - in_well))
     sure = odds / np.sqrt(1 / (sums[:, 0] + 0.5) + 1 / (sums[:, 1] + 0.5))
     worth = np.flatnonzero((odds > 1.5) & (sure > 3))
-    best = np.sort(worth[np.argsort(-sure[worth], kind="stable")][:LEXICON])
-    if not len(best):
+    if not len(worth):
         return nothing
     voters = Voters(
-        keys[best], sums[best, 2] / max(whole[2], 1), np.zeros(VOTERS), np.zeros(VOTERS), 0.0, int(whole[:2].sum())
+        keys[worth],
+        sums[worth, 2] / max(whole[2], 1),
+        dealt(sums[worth], sure[worth]),
+        np.zeros(VOTERS),
+        np.zeros(VOTERS),
+        0.0,
+        int(whole[:2].sum()),
     )
     # how often each voter fires in the sample, by class
     fired = _sums(

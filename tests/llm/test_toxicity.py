@@ -2,10 +2,31 @@ from __future__ import annotations
 
 import random
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tallybird.llm import toxicity
 from tallybird.llm.texts import remainder
-from tallybird.llm.toxicity import VOTERS, LabelModel, fit_linear, packed, score_toxicity, unpacked
+from tallybird.llm.tokens import text_slices
+from tallybird.llm.toxicity import (
+    LEXICON,
+    POOLS,
+    SINGLE,
+    VOTERS,
+    LabelModel,
+    Voters,
+    dealt,
+    features,
+    find_voters,
+    fit_label_model,
+    fit_linear,
+    packed,
+    score_toxicity,
+    unpacked,
+)
 
 BAD = ["zounds", "knave", "varlet", "scullion", "poltroon"]
 SCHEMA = "doc_id long, text string, votes string"
@@ -75,3 +96,90 @@ def test_linear_classifier_learns_soft_labels():
     w = fit_linear(votes, target, np.ones(3000))
     found = 1 / (1 + np.exp(-(votes @ w[:-1] + w[-1])))
     assert np.abs(found - target).mean() < 0.05
+
+
+def of_text(text):
+    (_, _, data, offsets), = text_slices(pa.array([text]))
+    found, _, words = features(data, offsets)
+    return Counter(found.tolist()), int(words[0])
+
+
+def test_votes_against_counting_text_by_text():
+    draw = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}ord" for k in draw.integers(0, 900, n)) for n in (3, 40, 400, 0, 2000)] + ["", "w1ord " * 30]
+    keys = np.unique(np.array(list(set().union(*(of_text(t)[0] for t in texts))), np.uint64))[::2]
+    rate = draw.random(len(keys)) / 500
+    voter = draw.integers(0, LEXICON, len(keys))
+    voters = Voters(keys, rate, voter, np.zeros(VOTERS), np.zeros(VOTERS), 0.0, 0)
+    got = voters.votes(pa.array(texts))
+    for text, row in zip(texts, got):
+        held, words = of_text(text)
+        fired = {k: held[int(key)] for k, key in enumerate(keys) if held[int(key)] > 3 * words * rate[k]}
+        places = {int(voter[k]) for k in fired}
+        times = sum(fired.values())
+        patterns = (len(places) >= 4, len(places) >= 8, times >= 12, times * 100 >= words, times * 25 >= words)
+        wanted = places | {LEXICON + k for k, p in enumerate(patterns) if p and places}
+        assert set(np.flatnonzero(row).tolist()) == wanted
+    assert got.any()
+
+
+def test_every_feature_has_a_voter():
+    draw = np.random.default_rng(6)
+    sums, sure = draw.integers(4, 40, (3000, 3)), np.empty(3000)
+    sure[:] = sums[:, 0] - sums[:, 1] / 100
+    voter = dealt(sums, sure)
+    assert voter.min() == 0 and voter.max() == LEXICON - 1
+    assert len(set(voter[voter >= SINGLE].tolist())) == POOLS
+    assert sure[voter < SINGLE].min() >= sure[voter >= SINGLE].max()
+    same = {}
+    for row, v in zip(map(tuple, sums.tolist()), voter.tolist()):
+        assert same.setdefault(row, v) == v
+    assert sorted(dealt(sums[:3], sure[:3]).tolist()) == [0, 1, 2]
+
+
+def test_features_beyond_the_single_voters_count(spark, monkeypatch):
+    rows = corpus(1200, 4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    labels = docs.select("doc_id", F.col("y").alias("toxic"))
+    everyone = find_voters(docs, labels, F.lit(True), "toxic", 10_000, "doc_id", "text")
+    monkeypatch.setattr(toxicity, "SINGLE", 2)
+    pooled = find_voters(docs, labels, F.lit(True), "toxic", 10_000, "doc_id", "text")
+    assert (pooled.keys == everyone.keys).all() and len(pooled.keys) > 20
+    known = set(everyone.keys.tolist())
+    for word in BAD:
+        assert known & set(of_text(word)[0])
+
+
+def test_em_against_one_row_per_document(spark):
+    draw = np.random.default_rng(7)
+    ill, well = draw.uniform(0.01, 0.5, VOTERS), draw.uniform(0.001, 0.05, VOTERS)
+    toxic = draw.random(400) < 0.3
+    votes = draw.random((400, VOTERS)) < np.where(toxic[:, None], ill, well)
+    votes[:, 1] = votes[:, 0]  # voters that repeat each other
+    votes[200:300] = votes[100:200]  # and copies of documents
+    start = Voters(np.ones(1, np.uint64), np.ones(1), np.zeros(1, int), np.clip(ill * 0.8, 0.01, 1), well + 0.01, 0.2, 50)
+    data = spark.createDataFrame([(bytes(b),) for b in packed(votes).to_pylist()], "votes binary")
+    got = fit_label_model(data.groupBy("votes").agg(F.count("*").alias("n")), start, rounds=3)
+
+    x = votes.astype(float)
+    model = (start.ill, start.well, start.prior, np.ones(VOTERS))
+    for k in range(3):
+        p1, p0, prior, share = model
+        one = np.log(prior) + (share * np.where(votes, np.log(p1), np.log1p(-p1))).sum(1)
+        none = np.log1p(-prior) + (share * np.where(votes, np.log(p0), np.log1p(-p0))).sum(1)
+        p = 1 / (1 + np.exp(np.clip(none - one, -30, 30)))
+        if k == 0:
+            tied, whole = np.zeros((VOTERS, VOTERS)), 0.0
+            for w in (p, 1 - p):
+                mean = (w @ x) / w.sum()
+                spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-12))
+                pairs = (x * w[:, None]).T @ x / w.sum() - np.outer(mean, mean)
+                tied += (w @ x).sum() * pairs / np.outer(spread, spread)
+                whole += (w @ x).sum()
+            tied = np.clip(tied / whole, 0, 1) * (1 - np.eye(VOTERS))
+            share = 1 / (1 + np.where(tied > 0.1, tied, 0).sum(1))
+        a, b = 50 * start.prior, 50 * (1 - start.prior)
+        model = ((p @ x + a * start.ill) / (p.sum() + a), ((1 - p) @ x + b * start.well) / ((1 - p).sum() + b),
+                 (p.sum() + a) / (450), share)
+    for ours, theirs in zip((got.ill, got.well, got.prior, got.share), model):
+        assert np.allclose(ours, np.clip(theirs, 0, 1), atol=1e-9)
