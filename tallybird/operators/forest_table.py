@@ -33,9 +33,12 @@ BINS = 64
 SMALL = 50_000
 FILE_NODES = 1 << 20
 SPLIT, FRONTIER, HANDED, LEAF = range(4)
-NODES = "tree int, node long, depth int, feature int, bin int, n0 long, n1 long, gain double, state int, block int"
+NODES = (
+    "tree int, node long, depth int, feature int, bin int, n0 long, n1 long, gain double, state int, block int, "
+    "low_child long, high_child long"  # 0 for a leaf
+)
 _NAMES = [field.split()[0] for field in NODES.split(", ")]
-_DTYPES = [np.int32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64, np.int32, np.int32]
+_DTYPES = [np.int32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64, np.int32, np.int32, np.int64, np.int64]
 _FILE = (("node", "<i8"), ("feature", "<i4"), ("bin", "<i4"), ("p", "<f8"))  # one array after the other
 _FLUSH = 1 << 16  # histograms a task holds before it passes them on: 64 MB
 _POISSON = np.array(
@@ -127,18 +130,20 @@ def grow(bins, label, times, tree: int, node: int, depth: int, weight, width: in
                 best = np.where(better, found, best)
                 feature[todo[better]], cut[todo[better]], gain[todo[better]] = f[better], bin_[better], found[better]
         split = feature >= 0
+        parents = nodes[split]
+        below = np.zeros((a, 2), np.int64)
+        below[split] = np.stack([child(parents, np.zeros(len(parents))), child(parents, np.ones(len(parents)))], 1)
         made.append(
             _batch(
                 [np.full(a, tree), nodes, np.full(a, depth), feature, cut, n[:, 0], n[:, 1], gain,
-                 np.where(split, SPLIT, LEAF), np.zeros(a)]
+                 np.where(split, SPLIT, LEAF), np.zeros(a), below[:, 0], below[:, 1]]
             )
         )
         rows = np.flatnonzero(split[place])
         bins, label, times, place = bins[rows], label[rows], times[rows], place[rows]
         right = bins[np.arange(len(place)), feature[place]] > cut[place]
         after = np.cumsum(split) - 1
-        parents = nodes[split]
-        nodes = np.stack([child(parents, np.zeros(len(parents))), child(parents, np.ones(len(parents)))], 1).ravel()
+        nodes = below[split].ravel()
         place = after[place] * 2 + right
         depth += 1
     return pa.Table.from_batches(made)
@@ -287,13 +292,13 @@ def _choose(columns: int, width: int, weight: np.ndarray, small: int, deepest: i
         closed = n.min() == 0 or (deepest is not None and depth >= deepest)
         if closed or gain[best] < 0:
             state = LEAF if closed or (block + 1) * width >= columns else FRONTIER
-            return pa.Table.from_batches([_batch([[x] for x in (tree, node, depth, -1, -1, *n, 0.0, state, block + 1)])])
+            return pa.Table.from_batches([_batch([[x] for x in (tree, node, depth, -1, -1, *n, 0.0, state, block + 1, 0, 0)])])
         left = hist[best, : cut[best] + 1].sum(0)
-        lines = [(tree, node, depth, order[best], cut[best], *n, gain[best], SPLIT, 0)]
-        for side, m in enumerate((left, n - left)):
-            name = child(np.array([node], np.int64), np.array([side]))[0]
+        below = child(np.array([node, node], np.int64), np.array([0, 1]))
+        lines = [(tree, node, depth, order[best], cut[best], *n, gain[best], SPLIT, 0, *below)]
+        for name, m in zip(below, (left, n - left)):
             state = FRONTIER if m.sum() > small else HANDED
-            lines.append((tree, name, depth + 1, -1, -1, *m, 0.0, state, 0))
+            lines.append((tree, name, depth + 1, -1, -1, *m, 0.0, state, 0, 0, 0))
         return pa.Table.from_batches([_batch(list(zip(*lines)))])
 
     return choose
@@ -403,7 +408,7 @@ def fit_forest_table(
     _binned(learned, F.col("_values"), "_key", label, edges).write.mode("overwrite").parquet(f"{path}/{run}/binned")
     binned = spark.read.parquet(f"{path}/{run}/binned")
     start = FRONTIER if n > small else HANDED
-    roots = [(t, root(t, seed), 0, -1, -1, 0, 0, 0.0, start, 0) for t in range(trees)]
+    roots = [(t, root(t, seed), 0, -1, -1, 0, 0, 0.0, start, 0, 0, 0) for t in range(trees)]
     spark.createDataFrame(roots, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/{run}/level-0")
     tops, frontier = (f"{folder}/level-0",), trees if start == FRONTIER else 0
     while frontier:
@@ -527,18 +532,12 @@ def forest_importance(spark: SparkSession, model: ForestTable) -> DataFrame:
 
 
 def forest_checks(spark: SparkSession, model: ForestTable) -> DataFrame:
-    """One row: trees, nodes that name no parent, split nodes whose children's draws do not add up to
-    theirs, mixed leaves, importances in sum."""
+    """One row: trees, nodes that no split names, split nodes whose children's draws do not add up to
+    theirs, importances in sum."""
     nodes = model.nodes(spark)
-    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
-    split = nodes.where("feature >= 0").select("tree", F.col("node").alias("parent"), "n0", "n1", sides)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = child(batch.column("parent").to_numpy(), batch.column("side").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], names=[*batch.schema.names, "node"])
-
-    wanted = split.mapInArrow(named, "tree int, parent long, n0 long, n1 long, side int, node long")
+    wanted = nodes.where("feature >= 0").select(
+        "tree", F.col("node").alias("parent"), "n0", "n1", F.explode(F.array("low_child", "high_child")).alias("node")
+    )
     found = wanted.join(
         nodes.select("tree", "node", F.col("n0").alias("m0"), F.col("n1").alias("m1")), ["tree", "node"], "full"
     )
