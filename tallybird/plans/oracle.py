@@ -420,6 +420,16 @@ Q["ingest_validate"] = " UNION ALL ".join(
     f" 'ok' AS status FROM raw_{t}"
     for t, s in RAW.items()
 )
+Q["quarantine_counts"] = """
+SELECT reason, count(*) FILTER (bad) AS n_records FROM (
+  SELECT unnest(['all', 'accepted', 'rejected', 'no key: order_id', 'bad value: quantity', 'wrong number of fields']) AS reason,
+    unnest([true, k <> 0 AND q <> 0 AND f <> 0, k = 0 OR q = 0 OR f = 0, k = 0, q = 0, f = 0]) AS bad
+  FROM (SELECT order_id % 17 AS k, order_id % 11 AS q, order_id % 13 AS f FROM raw_orders))
+GROUP BY reason HAVING count(*) FILTER (bad) > 0 OR reason IN ('all', 'accepted', 'rejected')"""
+Q["quarantine_accepted"] = f"""
+SELECT order_id, customer_id, product_id, CAST(order_date AS VARCHAR) AS order_date, {_big('quantity')}, price, discount,
+  payment_method, {_big('delivery_time')}, status FROM raw_orders
+WHERE order_id % 17 <> 0 AND order_id % 11 <> 0 AND order_id % 13 <> 0"""
 _PRODUCTS = f"SELECT product_id, category, brand, {_money('cost', 'selling_price')}, " \
     f"{_big('inventory')}, {_money('profit_margin', 'margin_pct')}"
 Q["load_append_if_empty"] = f"{_PRODUCTS} FROM s_products"

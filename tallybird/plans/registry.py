@@ -31,6 +31,7 @@ from tallybird.operators.logistic_newton import fit_newton, newton_probability
 from tallybird.plans import churn_training as churn
 from tallybird.plans.warehouse import (
     customer_rfm,
+    faulty_orders,
     landing_zone,
     load_star_schema,
     review_sentiment,
@@ -40,6 +41,7 @@ from tallybird.plans.warehouse import (
     star_schema,
 )
 from tallybird.schemas import RAW, STAR
+from tallybird.sources import quarantine
 from tallybird.sources.landing import read_csv, read_raw_text, validation_report
 from tallybird.sources.retail_views import table
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
@@ -104,6 +106,22 @@ def ingest_validate(spark, folder):
     return plain(validation_report({t: read_raw_text(spark, landing, t) for t in RAW}))
 
 
+@_query
+def quarantine_counts(spark, folder):
+    """Spoilt orders split into accepted and rejected: all records, both parts, and each reason."""
+    target = f"{staging_path(spark, folder)}/quarantined/orders"
+    quarantine.split_raw(spark, faulty_orders(spark, folder), "orders", target)
+    return plain(quarantine.quarantine_report(spark, target, "orders"))
+
+
+@_query
+def quarantine_accepted(spark, folder):
+    """What is left of the spoilt orders, typed."""
+    target = f"{staging_path(spark, folder)}/quarantined/orders_accepted"
+    quarantine.split_raw(spark, faulty_orders(spark, folder), "orders", target)
+    return plain(quarantine.accepted(spark, target, "orders"))
+
+
 @_query
 def load_append_if_empty(spark, folder):
     target = f"{staging_path(spark, folder)}/append_once"

@@ -104,3 +104,22 @@ def landing_zone(spark: SparkSession, folder: str) -> str:
         if not is_complete(spark, f"{target}/{name}.csv"):
             export_csv(df, f"{target}/{name}.csv")
     return target
+
+
+def faulty_orders(spark: SparkSession, folder: str) -> str:
+    """The raw orders as CSV files in which records are spoilt by rules over their key: no key at each
+    17th, a quantity that is no number at each 11th, a field too many at each 13th. Whole lines are written."""
+    target = f"{staging_path(spark, folder)}/faulty/orders.csv"
+    if not is_complete(spark, target):
+        orders = staged_raw(spark, folder)["orders"]
+        spoilt = lambda n, good, bad: F.when(F.col("order_id") % n == 0, bad).otherwise(good)
+        texts = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in orders.columns}
+        texts["order_id"] = spoilt(17, texts["order_id"], F.lit(""))
+        texts["quantity"] = spoilt(11, texts["quantity"], F.lit("many"))
+        line = F.concat(F.concat_ws(",", *texts.values()), spoilt(13, F.lit(""), F.lit(",more")))
+        header = F.lit(",".join(orders.columns))
+        # each file begins with the header: the first record of a partition brings it along
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+        lines = orders.select(F.when(first, F.concat(header, F.lit("\n"), line)).otherwise(line).alias("value"))
+        lines.write.mode("overwrite").text(target)
+    return target

@@ -23,7 +23,7 @@ CSV_OPTIONS = {
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def _typed(name: str, dtype: T.DataType) -> Column:
+def typed_value(name: str, dtype: T.DataType) -> Column:
     """The declared type of a text, NULL if it is none. Whole numbers may be written with a
     fraction of zero (``34.0``), as tools write integer columns that have gaps."""
     value = F.trim(F.col(f"`{name}`"))
@@ -36,9 +36,9 @@ def _typed(name: str, dtype: T.DataType) -> Column:
     return value.try_cast(dtype)
 
 
-def _bad(name: str, dtype: T.DataType) -> Column:
+def bad_value(name: str, dtype: T.DataType) -> Column:
     """A text that is there but is no value of the declared type."""
-    return (F.trim(F.col(f"`{name}`")) != "") & _typed(name, dtype).isNull()
+    return (F.trim(F.col(f"`{name}`")) != "") & typed_value(name, dtype).isNull()
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +54,7 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 
 def with_types(texts: DataFrame, schema: T.StructType) -> DataFrame:
     known = {field.name: field.dataType for field in schema}
-    return texts.select([_typed(c, known.get(c, T.StringType())).alias(c) for c in texts.columns])
+    return texts.select([typed_value(c, known.get(c, T.StringType())).alias(c) for c in texts.columns])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -90,14 +90,14 @@ def validation_report(frames: dict[str, DataFrame]) -> DataFrame:
         missing = missing_columns(df, table)
         texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
         checks = [
-            F.count_if(_bad(f.name, f.dataType))
+            F.count_if(bad_value(f.name, f.dataType))
             for f in RAW[table]
             if f.name in texts and not isinstance(f.dataType, T.StringType)
         ]
         key = PRIMARY_KEY[table]
         no_key = F.lit(0)
         if key in df.columns:
-            value = _typed(key, RAW[table][key].dataType) if key in texts else F.col(key)
+            value = typed_value(key, RAW[table][key].dataType) if key in texts else F.col(key)
             no_key = F.count_if(value.isNull())
         rows.append(
             df.agg(

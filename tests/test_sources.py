@@ -8,6 +8,7 @@ from tallybird.operators.quality import key_violations, orphan_reviews, valid_re
 from tallybird.plans.warehouse import load_star_schema, star_table
 from tallybird.operators.cleaning import clean_all
 from tallybird.schemas import RAW, STAR
+from tallybird.sources import quarantine
 from tallybird.sources.landing import load_raw, read_raw, read_raw_text, require_valid, validation_report
 from tallybird.sources.retail_views import raw_tables
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
@@ -174,3 +175,38 @@ def test_fingerprint_sees_files_inside_a_table_folder(spark, tmp_path):
     before = fingerprint(spark, str(tmp_path))
     (tmp_path / "t.parquet" / "part").write_text("bb")
     assert fingerprint(spark, str(tmp_path)) != before
+
+
+def test_bad_records_are_kept_with_file_reasons_and_text(spark, tmp_path):
+    folder = tmp_path / "products.csv"
+    folder.mkdir()
+    header = "product_id,category,brand,cost,selling_price,inventory,note\n"
+    (folder / "a.csv").write_text(header + '1,Toys,B,1.5,2,34.0,"two\nlines"\n,Toys,B,x1,2,,\n3,,,,,,\n')
+    (folder / "b.csv").write_text(header + "4,Toys,B,1,2\n5,Toys,B,1,2,3,n,extra\n6,Toys,B,1,2,many,n\n1,Toys,B,1.5,2,34.0,\n")
+    quarantine.split_raw(spark, str(folder), "products", f"{tmp_path}/out")
+    good = quarantine.accepted(spark, f"{tmp_path}/out", "products")
+    assert [f.dataType for f in good.schema][:6] == [f.dataType for f in RAW["products"]]
+    assert rows(good.select("product_id", "inventory", "note")) == [(1, 34, "two\nlines"), (1, 34, None), (3, None, None)]
+    bad = quarantine.rejected(spark, f"{tmp_path}/out", "products").collect()
+    found = sorted((r["file"].rsplit("/", 1)[1], tuple(r["reasons"])) for r in bad)
+    assert found == [
+        ("a.csv", ("bad value: cost", "no key: product_id")), ("b.csv", ("bad value: inventory",)),
+        ("b.csv", ("wrong number of fields",)), ("b.csv", ("wrong number of fields",)),
+    ]
+    texts = " ".join(r["record"] for r in bad)
+    assert "5,Toys,B,1,2,3,n,extra" in texts and '"cost":"x1"' in texts and '"product_id":null' in texts
+    report = dict(rows(quarantine.quarantine_report(spark, f"{tmp_path}/out", "products")))
+    assert (report["all"], report["accepted"], report["rejected"], report["wrong number of fields"]) == (7, 3, 4, 2)
+    # a second delivery takes the place of the first; nothing but a header, and columns that are missing or reserved
+    (folder / "a.csv").write_text(header)
+    (folder / "b.csv").unlink()
+    quarantine.split_raw(spark, str(folder), "products", f"{tmp_path}/out")
+    assert quarantine.accepted(spark, f"{tmp_path}/out", "products").count() == 0
+    assert quarantine.rejected(spark, f"{tmp_path}/out", "products").count() == 0
+    assert dict(rows(quarantine.quarantine_report(spark, f"{tmp_path}/out", "products"))) == {"all": 0, "accepted": 0, "rejected": 0}
+    (tmp_path / "other.csv").write_text("product_id\n1\n")
+    with pytest.raises(ValueError, match="category"):
+        quarantine.judged_raw(spark, f"{tmp_path}/other.csv", "products")
+    (tmp_path / "clash.csv").write_text(header.replace("note", "_file") + "1,,,,,,x\n")
+    with pytest.raises(ValueError, match="_file"):
+        quarantine.judged_raw(spark, f"{tmp_path}/clash.csv", "products")
