@@ -6,12 +6,15 @@ similarity of their sets is at least ``threshold``.
 
 1. Every text gets one signature of ``bands * rows`` minima; ``bands`` follows from the recall asked
    for at the threshold. Equal texts (same 64-bit hash) become one node with a number of copies.
-2. A band hash that two nodes share makes both candidates. Only a star per band hash is formed
-   (each node to the least node), so the edges are linear in the nodes. Their connected components
-   hold every candidate pair.
-3. Within a component, nodes are dealt to blocks of about ``BLOCK``; each pair of blocks is one small
-   group that meets on the full n-gram sets. A group returns, per node, its number of links and the
-   root of its locally connected nodes: nothing grows with the number of pairs.
+2. A band hash that two nodes share makes both candidates; band hashes with the same nodes count as
+   one bucket. Only a star per bucket is formed (each node to the least node), so the edges are
+   linear in the nodes. Their connected components hold every candidate pair.
+3. Candidates meet by component or, where fewer n-gram sets travel that way, by bucket: components of
+   texts that are alike only in part grow with the corpus, their buckets do not. Either way the nodes
+   are dealt to blocks of about ``BLOCK``; each pair of blocks is one small group that meets on the
+   full n-gram sets. A pair in several buckets counts in the least one. A group returns, per node, its
+   number of links and the root of its locally connected nodes: nothing grows with the number of
+   pairs.
 4. The local roots are edges of a second component search, which gives the classes.
 """
 
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybird.llm.components import components
@@ -135,9 +138,20 @@ def _roots(linked: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _earlier(table: pa.Table, first: np.ndarray) -> np.ndarray:
+    """Which pairs of the nodes in rows ``first`` share a bucket before this one."""
+    bucket = table.column("unit")[0].as_py()
+    lists = table.column("buckets")
+    held = [x[x < bucket] for x in (lists[int(i)].values.to_numpy() for i in first)]
+    keys, which = np.unique(np.concatenate(held), return_inverse=True)
+    holds = np.zeros((len(held), len(keys)), np.float32)
+    holds[np.repeat(np.arange(len(held)), [len(x) for x in held]), which] = 1
+    return holds @ holds.T > 0
+
+
 def _links(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
-        """Exact Jaccard of every pair between two blocks (or within one) of a component."""
+        """Exact Jaccard of every pair between two blocks (or within one) of a component or bucket."""
         table = table.combine_chunks()
         node, first = np.unique(table.column("node").to_numpy(), return_index=True)
         block = table.column("block").to_numpy()[first]
@@ -160,6 +174,8 @@ def _links(threshold: float):
         linked = both >= threshold * either - 1e-9
         if block.min() != block.max():
             linked &= block[:, None] != block[None, :]
+        if table.column("by_bucket")[0].as_py():
+            linked &= ~_earlier(table, first)
         np.fill_diagonal(linked, False)
         links = linked @ copies
         np.fill_diagonal(linked, True)
@@ -168,6 +184,58 @@ def _links(threshold: float):
     return verify
 
 
+def _blocks(size: str) -> Column:
+    return F.ceil(F.col(size) / BLOCK).cast("int")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Where the nodes (node, bands) that share a band hash with another meet: (node, by_bucket, units,
+    buckets). ``units`` has (unit, blocks): the node's component, or its buckets where the n-gram sets
+    then travel fewer times; ``buckets`` all of its buckets in the second case."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    mark = F.bit_xor(F.xxhash64("node", F.lit(1)))  # equal for equal sets of nodes
+    buckets = staged(
+        keys.groupBy("key")
+        .agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count("*").alias("size"), mark.alias("mark"))
+        .where("hub < other")
+        .groupBy("hub", "other", "size", "mark")
+        .agg(F.min("key").alias("bucket"))
+        .drop("other", "mark"),
+        "buckets",
+    )
+    # merge joins at every size: a band hash with very many nodes can then be split
+    held = staged(keys.join(buckets.hint("merge"), keys["key"] == buckets["bucket"]).drop("key"), "held")
+    stars = held.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    groups = staged(components(stars), "candidates")
+    large = groups.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    costs = (
+        buckets.join(groups, buckets["hub"] == groups["node"])
+        .groupBy("root")
+        .agg(F.sum(F.col("size") * _blocks("size")).alias("moved"))
+    )
+    large = staged(
+        large.join(costs, "root").select("root", _blocks("size").alias("blocks"), (F.col("moved") < F.col("size") * _blocks("size")).alias("by_bucket")),
+        "large",
+    )
+    placed = groups.join(large, "root", "left").select(
+        "node",
+        F.coalesce("by_bucket", F.lit(False)).alias("by_bucket"),
+        F.struct(F.col("root").alias("unit"), F.coalesce("blocks", F.lit(1)).alias("blocks")).alias("component"),
+    )
+    parted = placed.where("by_bucket").select(F.col("node").alias("member"))
+    own = (
+        held.join(parted, held["node"] == parted["member"])
+        .groupBy("node")
+        .agg(F.collect_list(F.struct(F.col("bucket").alias("unit"), _blocks("size").alias("blocks"))).alias("own"))
+    )  # at most one for each band
+    return placed.join(own, "node", "left").select(
+        "node",
+        "by_bucket",
+        F.coalesce("own", F.array("component")).alias("units"),
+        F.coalesce(F.col("own.unit"), F.array().cast("array<long>")).alias("buckets"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -200,44 +268,22 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("min_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")),
         "nodes",
     )
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = staged(
-        keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other"),
-        "buckets",
-    )
-    # merge joins at every size: a band hash with very many nodes can then be split
-    stars = keys.join(buckets.hint("merge"), "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    groups = staged(components(stars), "candidates")
-    large = staged(
-        groups.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large"
-    )
-    placed = groups.join(large, "root", "left").select(
-        "node",
-        F.col("root").alias("component"),
-        F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int").alias("blocks"),
-    )
     members = staged(
-        placed.join(nodes.select("node", "min_id", "copies"), "node"), "members"
+        candidates(nodes.select("node", "bands")).join(nodes.select("node", "min_id", "copies"), "node"), "members"
     )
     marks = docs.sparkSession.sparkContext.broadcast(_bitmap(members.select("node")))
     found = base.mapInArrow(_gram_sets(n, marks), "doc_id long, node long, grams binary")
-    wanted = members.select(F.col("node").alias("member"), "min_id", "copies", "component", "blocks").hint("merge")
+    wanted = members.withColumnRenamed("node", "member").hint("merge")
     sets = found.join(
         wanted, (found["node"] == wanted["member"]) & found["doc_id"].eqNullSafe(wanted["min_id"])
-    ).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    pairs = sets.select(
-        "component", "node", "copies", "block", "grams", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with")
-    ).select(
-        "component",
-        F.least("block", "with").alias("i"),
-        F.greatest("block", "with").alias("j"),
-        "node",
-        "copies",
-        "block",
-        "grams",
+    ).select("node", "copies", "grams", "by_bucket", "buckets", F.inline("units"))
+    dealt = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    carried = ["by_bucket", "unit", "node", "copies", "block", "grams", "buckets"]
+    pairs = dealt.select(*carried, F.explode(F.expr("sequence(0, blocks - 1)")).alias("with")).select(
+        *carried, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j")
     )
     verified = staged(
-        pairs.groupBy("component", "i", "j").applyInArrow(_links(threshold), "node long, links long, root long"),
+        pairs.groupBy("by_bucket", "unit", "i", "j").applyInArrow(_links(threshold), "node long, links long, root long"),
         "links",
     )
     classes = components(verified.select(F.col("node").alias("a"), F.col("root").alias("b")))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallybird.llm import ngram_join
 from tallybird.llm.components import components
 from tallybird.llm.ngram_join import BLOCK, bands_for, drop_near_duplicates, near_duplicates
 
@@ -79,6 +80,42 @@ def test_group_larger_than_a_block(spark):
     check(spark, rows)
 
 
+def windows(shifts, size=64):
+    """Texts that are windows of one long text, each moved on by the next shift."""
+    text, at, out = words(6, sum(shifts) + size), 0, []
+    for shift in [0, *shifts]:
+        at += shift
+        out.append(" ".join(text[at : at + size]))
+    return out
+
+
+def test_buckets_of_a_chained_component(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    seen = []
+    plain = ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda nodes: seen.append(plain(nodes)) or seen[-1])
+    base = " ".join(words(8, 100))
+    texts = windows([5, 10] * 60) + [changed(base, k % 3, k) for k in range(20)]
+    check(spark, [(3 * k, t) for k, t in enumerate(texts)] + [(1, texts[0]), (None, texts[7])])
+    ways = {r["by_bucket"] for r in seen[0].select("by_bucket").collect()}
+    assert True in ways
+
+
+def test_chains_do_not_meet_in_all_pairs(spark):
+    chain = windows([7] * 3000)  # neighbours share 53 of 67 n-grams: candidates, no links
+    bands, n = bands_for(), len(chain)
+    rows = spark.createDataFrame(list(enumerate(chain)), "node long, t string").withColumn("doc_id", F.col("node"))
+    signed = rows.select("doc_id", "t", "node").mapInArrow(
+        ngram_join._signatures(bands, ngram_join.ROWS, 5), "doc_id long, node long, bands array<long>"
+    )
+    found = ngram_join.candidates(signed.select("node", "bands"))
+    units = found.select("by_bucket", F.inline("units"))
+    sent = units.agg(F.sum("blocks")).first()[0]
+    assert sent <= bands * n  # every node in as many groups as it has bands, at most
+    largest = found.select(F.inline("units")).agg(F.max("blocks")).first()[0]
+    assert found.where("by_bucket").count() > n / 2 and largest <= 12
+
+
 def test_rows_of_a_small_table(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
