@@ -13,10 +13,13 @@ Tokens are words (runs of anything but white space, A-Z lowered) and one end per
    The continuation counts of the next lower order come out of the shards of the higher one, in the
    same job: nothing is staged.
 3. Tasks map all files and score whole texts. No table is held in memory or passes the driver; it
-   gets the names of files, sums, counts of counts and the hot words, a bounded list.
+   gets the names of files, sums, counts of counts and the hot words, of which there are at most four
+   for each shard.
 
 Files are written under another name and moved when complete, so a repeated task does no harm.
-The order is a parameter; the number of shards follows the size of the texts.
+The order is a parameter; the number of shards follows the size of the texts. What a task sends is cut
+into at most ``2 ** CUT_BITS`` pieces, so that a piece packs well; with more shards than that, the
+pieces of the same top bits meet, are summed, and are cut again.
 """
 
 from __future__ import annotations
@@ -34,16 +37,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tallybird.llm.staging import new_folder
+from tallybird.llm.staging import new_folder, staged
 from tallybird.llm.texts import whole_text
 from tallybird.llm.tokens import LOWER, WORDS, mix, random_words, text_slices, tokenise
 
 ORDER = 3
-SHARD_BYTES = 8 << 20  # of text for each shard
+SHARD_BYTES = 8 << 20  # of text for each shard, twice as much where one cut does not do
+CUT_BITS = 11  # a flush cut into so many pieces leaves 2,048 n-grams in each
+MAX_BITS = 23  # of two cuts
 END = random_words(1, 101)[0]  # the hash of the end token
 _FLUSH = 1 << 22
 _SLICE = 4 << 20
 _BUCKET_BITS = 12
+_TOP = 64
+_RECUT_SHARDS = 32  # whose pieces one task cuts again
 
 
 def mounted(path: str) -> str:
@@ -185,12 +192,12 @@ class Shelf:
 
     def __init__(self, folder: str, name: str, bits: int, columns: dict[str, type]):
         self.bits, self.kinds = bits, columns
-        self.paths = [f"{folder}/{name}{shard}" for shard in range(1 << bits)]
+        self.path = f"{folder}/{name}"
         self.maps: dict[int, list] = {}
 
     def shard(self, number: int) -> list:
         if number not in self.maps:
-            path = self.paths[number]
+            path = f"{self.path}{number}"
             columns = [kind(f"{path}-{name}") for name, kind in self.kinds.items()]
             self.maps[number] = [Keys(path, self.bits), *columns]
         return self.maps[number]
@@ -202,9 +209,7 @@ class Shelf:
         shards = (ordered >> np.uint64(64 - self.bits)).astype(np.int64)
         there = np.zeros(len(keys), bool)
         values = [np.zeros((len(keys), *kind.width), np.int64) for kind in self.kinds.values()]
-        cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
-        for number in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[number], cuts[number + 1]
+        for number, a, b in zip(*(x.tolist() for x in runs(shards))):
             known, *columns = self.shard(number)
             at = known.find(ordered[a:b])
             hit = at >= 0
@@ -214,6 +219,12 @@ class Shelf:
         return there, values
 
 
+def runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, start, end) of each run of equal values."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+    return ordered[starts], starts, np.append(starts[1:], len(ordered))[: len(starts)]
+
+
 def gram_hash(ids: np.ndarray) -> np.ndarray:
     """A hash of rows of word numbers; without collisions up to two words."""
     if ids.shape[1] == 0:
@@ -254,16 +265,14 @@ _CHUNK = "kind string, shard int, keys binary, counts binary, n int"
 
 def _chunks(kind: str, keys: np.ndarray, payload: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Rows cut by shard from sorted ``keys``; ``payload`` goes along as bytes."""
-    shards = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    cuts = np.searchsorted(shards, np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(cuts))
+    full, starts, ends = runs((keys >> np.uint64(64 - bits)).astype(np.int64))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([kind] * len(full), pa.string()),
             pa.array(full.astype(np.int32)),
-            pa.array([np.ascontiguousarray(payload[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
-            pa.array([np.ascontiguousarray(counts[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
-            pa.array(np.diff(cuts)[full].astype(np.int32)),
+            pa.array([np.ascontiguousarray(payload[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            pa.array([np.ascontiguousarray(counts[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary()),
+            pa.array((ends - starts).astype(np.int32)),
         ],
         names=["kind", "shard", "keys", "counts", "n"],
     )
@@ -286,11 +295,10 @@ def unpack(packed: bytes, rows: int, level: int) -> np.ndarray:
 
 def _gram_chunks(level: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Packed rows cut by shard from n-grams with sorted ``keys``."""
-    cuts = np.searchsorted((keys >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(cuts))
+    full, starts, ends = runs((keys >> np.uint64(64 - bits)).astype(np.int64))
     packed, times = [], []
-    for shard in full.tolist():
-        own = slice(cuts[shard], cuts[shard + 1])
+    for a, b in zip(starts, ends):
+        own = slice(a, b)
         order = np.argsort(ids[own, 0], kind="stable")
         packed.append(pack(ids[own][order]))
         times.append(counts[own][order].astype(np.uint32).tobytes())
@@ -300,12 +308,84 @@ def _gram_chunks(level: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarr
             pa.array(full.astype(np.int32)),
             pa.array(packed, pa.binary()),
             pa.array([pa.compress(x, "zstd", asbytes=True) for x in times], pa.binary()),
-            pa.array(np.diff(cuts)[full].astype(np.int32)),
+            pa.array((ends - starts).astype(np.int32)),
         ],
         names=["kind", "shard", "keys", "counts", "n"],
     )
 
 
+def narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, part): parts of 32 bits that add up to each count."""
+    most = (1 << 32) - 1
+    times = np.maximum(-(-counts // most), 1)
+    place = np.repeat(np.arange(len(counts)), times)
+    parts = np.full(len(place), most, np.int64)
+    parts[np.cumsum(times) - 1] = counts - (times - 1) * most
+    return place, parts.astype(np.uint32)
+
+
+def _words_of(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Summed words of some pieces."""
+    hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in keys])
+    times = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in counts])
+    return summed(hashes, times.astype(np.int64))[:2]
+
+
+def _grams_of(level: int, keys: list, counts: list, rows: list[int], bits: int, hot: np.ndarray):
+    """(address, word numbers, count) of the summed n-grams of some pieces."""
+    ids = np.concatenate([unpack(x.as_py(), n, level) for x, n in zip(keys, rows)])
+    times = np.concatenate([np.frombuffer(pa.decompress(x.as_py(), n * 4, "zstd"), np.uint32) for x, n in zip(counts, rows)])
+    found, times, at = summed(address(ids, bits, hot), times.astype(np.int64))
+    return found, ids[at], times
+
+
+def _recut(bits: int, hot: np.ndarray):
+    """Pieces of the same top bits, one after the other, are summed and cut by shard; sums pass on."""
+
+    def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        group, rows = None, 0
+
+        def flush() -> pa.RecordBatch:
+            keys, counts, sizes = (list(x) for x in zip(*held))
+            held.clear()
+            if group[0] == "word":
+                words, times = _words_of(keys, counts)
+                at, parts = narrow(times)
+                return _chunks("word", words[at], words[at], parts, bits)
+            level = int(group[0].removeprefix("gram"))
+            found, ids, times = _grams_of(level, keys, counts, sizes, bits, hot)
+            at, parts = narrow(times)
+            return _gram_chunks(level, found[at], ids[at], parts, bits)
+
+        for batch in batches:
+            places = zip(batch.column("kind").to_pylist(), batch.column("shard").to_pylist(), batch.column("n").to_pylist())
+            for k, (kind, shard, n) in enumerate(places):
+                if not kind.startswith(("word", "gram")):
+                    yield batch.slice(k, 1)
+                    continue
+                if held and (group != (kind, shard) or rows + n > _FLUSH):
+                    yield flush()
+                    rows = 0
+                group, rows = (kind, shard), rows + n
+                held.append((batch.column("keys")[k], batch.column("counts")[k], n))
+        if held:
+            yield flush()
+
+    return recut
+
+
+def _by_shard(chunks: DataFrame, bits: int, cut: int, hot: np.ndarray) -> DataFrame:
+    """Pieces cut by the top ``cut`` bits, cut by shard. The pieces of one value are dealt to several
+    tasks so that none has more than ``_RECUT_SHARDS`` shards of it on average; all pieces of a task go
+    the same way, so that a repeated task changes nothing."""
+    if cut >= bits:
+        return chunks
+    deal = F.pmod(F.hash(F.spark_partition_id()), F.lit(max(1, (1 << (bits - cut)) // _RECUT_SHARDS)))
+    met = chunks.withColumn("deal", deal).repartition("kind", "shard", "deal").drop("deal").sortWithinPartitions("kind", "shard")
+    return met.mapInArrow(_recut(bits, hot), _CHUNK)
+
+
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, each closed by END, and their bounds."""
     words = tokenise(data, offsets, WORDS, LOWER)
@@ -343,15 +423,13 @@ def _count_words(bits: int):
 def _keep_words(folder: str, bits: int):
     def keep(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
-        keys, counts, _ = summed(keys, counts.astype(np.int64))
+        keys, counts = _words_of(list(table.column("keys")), list(table.column("counts")))
         by_count = np.argsort(-counts, kind="stable")
         rank = np.empty(len(keys), np.int64)
         rank[by_count] = np.arange(len(keys))
         keep_shard(f"{folder}/word{shard}", bits, keys, count=(Counts, counts), rank=(Numbers, rank))
-        # counts of the most frequent words: whoever is hot is among them
-        top = by_count[:4]
+        # counts of the most frequent words; a shard has four hot ones at most on average
+        top = by_count[:_TOP]
         return pa.table(
             {
                 "shard": pa.array([shard], pa.int32()),
@@ -375,6 +453,7 @@ class Model:
     tokens: int  # N
     before: int  # past the numbers of all words; stands for what is before a text
     hot: np.ndarray
+    cut: int = CUT_BITS
     discounts: dict[int, np.ndarray] = field(default_factory=dict)  # by order, for counts 1, 2, 3 and more
     unigram: tuple[float, float] = (0.0, 0.0)  # sum of continuation counts, weight of the uniform part
 
@@ -442,7 +521,7 @@ def _count_grams(model: Model):
             ids = np.concatenate(held)
             held.clear()
             keys, counts, at = summed(address(ids, model.bits, model.hot), np.ones(len(ids), np.int64))
-            return _gram_chunks(model.order, keys, ids[at], counts, model.bits)
+            return _gram_chunks(model.order, keys, ids[at], counts, min(model.cut, model.bits))
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("t"), _SLICE):
@@ -481,13 +560,8 @@ def _keep_grams(model: Model, level: int):
             sums = np.add.reduceat(sums[order], first, axis=0)
             keep_shard(f"{model.folder}/{kind}-{shard}", model.bits, keys[order][first], sums=(Sums, sums))
             return table.slice(0, 0)
-        rows = table.column("n").to_pylist()
-        ids = np.concatenate([unpack(x.as_py(), n, level) for x, n in zip(table.column("keys"), rows)])
-        counts = np.concatenate(
-            [np.frombuffer(pa.decompress(x.as_py(), n * 4, "zstd"), np.uint32) for x, n in zip(table.column("counts"), rows)]
-        )
-        keys, counts, at = summed(address(ids, model.bits, model.hot), counts.astype(np.int64))
-        ids = ids[at]
+        columns = [list(table.column(c)) for c in ("keys", "counts")]
+        keys, ids, counts = _grams_of(level, *columns, table.column("n").to_pylist(), model.bits, model.hot)
         keep_shard(f"{model.folder}/gram{level}-{shard}", model.bits, keys, count=(Counts, counts))
         of_counts = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [counts.sum(), (counts > 2).sum()], np.int64)
         out = [
@@ -513,12 +587,24 @@ def _keep_grams(model: Model, level: int):
                     out.append(_chunks(f"hot{level}", history, history, sums, model.bits))
             lower = ids[:, 1:]
             key, times, row = summed(address(lower, model.bits, model.hot), np.ones(len(lower), np.int64))
-            out.append(_gram_chunks(level - 1, key, lower[row], times, model.bits))
+            out.append(_gram_chunks(level - 1, key, lower[row], times, min(model.cut, model.bits)))
         return pa.Table.from_batches(out)
 
     return keep
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of counts of a task's shards, one row for each order."""
+    totals: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for kind, counts in zip(batch.column("kind").to_pylist(), batch.column("counts").to_pylist()):
+            totals[kind] = totals.get(kind, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(totals), pa.string()), pa.array([x.tobytes() for x in totals.values()], pa.binary())],
+        names=["kind", "counts"],
+    )
+
+
 def discounts_from(counts_of_counts: np.ndarray) -> np.ndarray:
     """Discounts for counts 0, 1, 2 and 3 or more (Chen and Goodman), within [0, count]. Where too
     few counts are seen to estimate one, it is 0.75 of Kneser and Ney's."""
@@ -542,7 +628,20 @@ def past_numbers(words: int, bits: int) -> int:
     return before
 
 
-def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder: str | None = None) -> Model:
+def shard_bits(size: int, cut: int = CUT_BITS, shard_bytes: int = SHARD_BYTES) -> int:
+    """Shards for ``size`` bytes of text: one cut as long as twice ``shard_bytes`` allow, then two."""
+    few, many = (math.ceil(math.log2(max(1, size / b))) for b in (shard_bytes, 2 * shard_bytes))
+    return max(6, few if few <= cut else min(max(cut, many), MAX_BITS))
+
+
+def fit_model(
+    texts: DataFrame,
+    text: str = "text",
+    order: int = ORDER,
+    folder: str | None = None,
+    cut: int = CUT_BITS,
+    shard_bytes: int = SHARD_BYTES,
+) -> Model:
     """Count ``texts``, all of them, and leave the tables in ``folder`` (a new one in the shared
     folder by default). Null texts count as empty: one end token. Without rows the model is uniform
     over the unknown word."""
@@ -550,29 +649,29 @@ def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder:
     folder = mounted(folder or new_folder(spark, "ngrams"))
     words = texts.select(whole_text(texts, text).alias("t"))
     size = words.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = max(6, math.ceil(math.log2(max(1, size / SHARD_BYTES))))
-    shards = (
-        words.mapInArrow(_count_words(bits), _CHUNK)
-        .groupBy("shard")
-        .applyInArrow(_keep_words(folder, bits), "shard int, words long, tokens long, top array<long>")
-        .collect()  # a few numbers per shard
+    bits = shard_bits(size, cut, shard_bytes)
+    counted = _by_shard(words.mapInArrow(_count_words(min(cut, bits)), _CHUNK), bits, cut, np.empty(0, np.uint32))
+    shards = staged(
+        counted.groupBy("shard").applyInArrow(
+            _keep_words(folder, bits), "shard int, words long, tokens long, top array<long>"
+        ),
+        "words",
     )
-    words_of = {row["shard"]: row["words"] for row in shards}
-    before = past_numbers(max(words_of.values(), default=0), bits)
-    tokens = sum(row["tokens"] for row in shards)
-    bound = tokens / (1 << bits) / 4
+    most, vocabulary, tokens = (x or 0 for x in shards.agg(F.max("words"), F.sum("words"), F.sum("tokens")).first())
+    before = past_numbers(most, bits)
+    top = shards.select("shard", F.posexplode("top").alias("rank", "times"))
     hot = [
-        (rank << bits) | row["shard"]
-        for row in shards
-        for rank, times in enumerate(row["top"])
-        if times > bound
+        (row["rank"] << bits) | row["shard"]
+        for row in top.where(F.col("times") > tokens / (1 << bits) / 4).select("rank", "shard").collect()
     ]
-    model = Model(folder, bits, order, sum(words_of.values()), tokens, before, np.array([*hot, before], np.uint32))
+    model = Model(folder, bits, order, vocabulary, tokens, before, np.array([*hot, before], np.uint32), cut)
     chunks = words.mapInArrow(_count_grams(model), _CHUNK)
     for level in range(order, 0, -1):
-        chunks = chunks.groupBy("kind", "shard").applyInArrow(_keep_grams(model, level), _CHUNK)
+        met = _by_shard(chunks, bits, cut, model.hot)
+        chunks = met.groupBy("kind", "shard").applyInArrow(_keep_grams(model, level), _CHUNK)
     totals = {level: np.zeros(6, np.int64) for level in range(1, order + 1)}
-    for row in chunks.select("kind", "counts").collect():  # a few numbers per shard and order
+    sums = chunks.select("kind", "counts").mapInArrow(_add_up, "kind string, counts binary")
+    for row in sums.collect():  # a few numbers per task and order
         totals[int(row["kind"].removeprefix("counts"))] += np.frombuffer(bytes(row["counts"]), np.int64)
     for level, total in totals.items():
         model.discounts[level] = discounts_from(total)

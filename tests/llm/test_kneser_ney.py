@@ -6,9 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, past_numbers, score_texts, unpack
+from tallybird.llm import kneser_ney
+from tallybird.llm.kneser_ney import (
+    Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, narrow, pack, past_numbers, score_texts, shard_bits, unpack,
+)
 from tallybird.llm.queries import op10_language_model_scores
 
 TRAIN = [
@@ -62,12 +66,13 @@ class Brute:
         return sum(math.log10(self.chance(tuple(padded[k : k + self.order]))) for k in range(len(own)))
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_against_dictionaries(spark, order):
+@pytest.mark.parametrize(("order", "cut"), [(1, 11), (2, 11), (3, 11), (3, 2)])
+def test_against_dictionaries(spark, monkeypatch, order, cut):
+    monkeypatch.setattr(kneser_ney, "_RECUT_SHARDS", 4)
     train = spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3)
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(TEXTS)] + [(None, "the cat", 1), (0, TEXTS[0], 1)], "doc_id long, text string, word int")
     brute = Brute(TRAIN, order)
-    rows = score_texts(docs, fit_model(train, order=order)).collect()
+    rows = score_texts(docs, fit_model(train, order=order, cut=cut)).collect()
     assert len(rows) == len(TEXTS) + 2
     for row in rows:
         own = tokens(row["text"])
@@ -146,3 +151,26 @@ def test_word_numbers_that_do_not_fit_are_refused():
     assert past_numbers((1 << 26) - 1, 6) == (1 << 32) - 64
     with pytest.raises(ValueError, match="32 bits"):
         past_numbers(1 << 26, 6)
+
+
+def test_pieces_keep_their_size_at_any_number_of_shards():
+    flush, cut, most = kneser_ney._FLUSH, kneser_ney.CUT_BITS, kneser_ney.MAX_BITS
+    assert flush >> cut >= 1000 and flush >> (most - cut) >= 1000
+    assert [shard_bits(n) for n in (0, 512 << 20, 16 << 30, 32 << 30, 64 << 30, 100 << 40)] == [6, 6, 11, 11, 12, 23]
+    draw = np.random.default_rng(1)
+    ids = draw.integers(0, 1 << 30, (flush, 3)).astype(np.uint32)
+    none = np.empty(0, np.uint32)
+    keys, counts, at = kneser_ney.summed(kneser_ney.address(ids, 16, none), np.ones(flush, np.int64))
+    sent = kneser_ney._gram_chunks(3, keys, ids[at], counts, min(cut, 16))
+    assert min(sent.column("n").to_pylist()) >= 1000
+    one = sent.slice(5, 1)
+    again = list(kneser_ney._recut(16, none)([pa.Table.from_batches([one] * 3).combine_chunks().to_batches()[0]]))
+    assert sum(sum(b.column("n").to_pylist()) for b in again) == one.column("n")[0].as_py()  # equal n-grams are summed
+    assert {x >> (16 - cut) for b in again for x in b.column("shard").to_pylist()} == {one.column("shard")[0].as_py()}
+
+
+def test_counts_beyond_32_bits_travel_in_parts():
+    counts = np.array([1, (1 << 32) - 1, 1 << 32, 5 << 33, 7])
+    place, parts = narrow(counts)
+    assert parts.dtype == np.uint32
+    assert np.bincount(place, parts.astype(np.float64)).astype(np.int64).tolist() == counts.tolist()
