@@ -121,15 +121,16 @@ def _nulls(name: str) -> Column:
     return F.count(F.when(F.col(name).isNull(), 1))
 
 
-def _lines(
-    table: str, before: DataFrame, rows: DataFrame, checks: dict[str, Column]
-) -> DataFrame:
-    """Rows (table, check, value) from one count of the raw and one aggregate of the deduped
-    rows."""
-    n_before = before.agg(F.count(F.lit(1))).scalar()
-    counted = [value.alias(name) for name, value in checks.items()]
-    stats = rows.agg(F.count(F.lit(1)).alias("_n"), *counted)
-    values = {"duplicates_removed": n_before - F.col("_n")}
+def _counted(raw: DataFrame) -> DataFrame:
+    """The different rows of a table and how often each occurs, in ``_copies``."""
+    return raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("_copies"))
+
+
+def _lines(table: str, rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows (table, check, value) from one aggregate of the counted rows."""
+    measured = [value.alias(name) for name, value in checks.items()]
+    stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.sum("_copies").alias("_all"), *measured)
+    values = {"duplicates_removed": F.coalesce("_all", F.lit(0)) - F.col("_n")}
     values |= {name: F.col(name) for name in checks}
     values.setdefault("rows_saved", F.col("_n"))
     entries = [
@@ -139,37 +140,39 @@ def _lines(
     return stats.select(F.lit(table).alias("table_name"), F.inline(F.array(*entries)))
 
 
-def _middle(table: str, column: str, df: DataFrame, small_domain: bool) -> DataFrame:
+def _middle(table: str, column: str, df: DataFrame) -> DataFrame:
     return df.sparkSession.range(1).select(
         F.lit(table).alias("table_name"),
         F.lit(f"median_{column}").alias("check_name"),
-        median(df, column, small_domain=small_domain).alias("value"),
+        median(df, column).alias("value"),
     )
 
 
 def cleaning_report(raw: dict[str, DataFrame]) -> DataFrame:
-    """What each cleaning step removed or filled, as rows of (table, check, value)."""
-    deduped = {name: df.dropDuplicates() for name, df in raw.items()}
+    """What each cleaning step removed or filled, as rows of (table, check, value).
+
+    Each table is grouped once by all its columns; duplicates, fills, removals and the medians of small
+    domains come out of one aggregate of the groups. The other medians range over the same groups."""
+    rows = {name: _counted(df) for name, df in raw.items()}
+    rows["products"] = _possible_inventory(rows["products"])
     possible = F.coalesce((F.col("quantity") > 0) & (F.col("price") > 0), F.lit(False))
     no_time = F.col("delivery_time").isNull()
-    products = _possible_inventory(deduped["products"])
     checks = {
-        "customers": {"age_filled": _nulls("age"), "gender_filled": _nulls("gender")},
+        "customers": {
+            "age_filled": _nulls("age"),
+            "gender_filled": _nulls("gender"),
+            "median_age": F.percentile("age", 0.5),
+        },
         "products": {"inventory_filled": _nulls("inventory")},
         "orders": {
             "impossible_removed": F.count(F.when(~possible, 1)),
             "delivery_time_filled": F.count(F.when(possible & no_time, 1)),
             "rows_saved": F.count(F.when(possible, 1)),
+            "median_delivery_time": F.percentile(F.when(possible, F.col("delivery_time")), 0.5),
         },
         "reviews": {"review_text_filled": _nulls("review_text")},
         "marketing": {"spend_filled": _nulls("spend")},
     }
-    rows = {**deduped, "products": products}
-    parts = [_lines(name, raw[name], rows[name], found) for name, found in checks.items()]
-    parts += [
-        _middle("customers", "age", deduped["customers"], True),
-        _middle("products", "inventory", products, False),
-        _middle("orders", "delivery_time", _possible_orders(deduped["orders"]), True),
-        _middle("marketing", "spend", deduped["marketing"], False),
-    ]
+    parts = [_lines(name, rows[name], found) for name, found in checks.items()]
+    parts += [_middle("products", "inventory", rows["products"]), _middle("marketing", "spend", rows["marketing"])]
     return reduce(DataFrame.unionByName, parts)

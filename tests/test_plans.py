@@ -68,3 +68,11 @@ def test_scores_do_not_rank_all_customers_at_once(spark, data_dir):
 def test_checks_read_the_written_raw_tables(spark, data_dir, name):
     text = plan(QUERIES[name](spark, data_dir))
     assert "orderkey" not in text and "custkey" not in text  # columns of the tables they derive from
+
+
+def test_the_report_groups_each_raw_table_once(spark, data_dir):
+    report = QUERIES["cleaning_report"](spark, data_dir)
+    text = plan(report)
+    main = text.split("Subquery")[0]
+    assert main.count("FileScan") == 5  # customers, products, orders, reviews, marketing
+    assert report.groupBy("table_name", "check_name").count().where("count > 1").isEmpty()
