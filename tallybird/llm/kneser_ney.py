@@ -237,8 +237,15 @@ def gram_hash(ids: np.ndarray) -> np.ndarray:
 
 
 def spread(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which rows have a history of hot words only."""
-    return np.isin(ids[:, :-1], hot).all(1)
+    """Which rows have a history of hot words only; in memory of a few bytes a row."""
+    hot = np.sort(hot)
+    rows = np.arange(len(ids), dtype=np.int32) if len(hot) else np.empty(0, np.int32)
+    for column in range(ids.shape[1] - 1):
+        own = ids[rows, column]
+        rows = rows[hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] == own]
+    out = np.zeros(len(ids), bool)
+    out[rows] = True
+    return out
 
 
 def address(ids: np.ndarray, bits: int, hot: np.ndarray) -> np.ndarray:
@@ -515,19 +522,27 @@ class Model:
 
 def _count_grams(model: Model):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.concatenate(held)
+            # the largest arrays of a task: each goes as soon as it is used
+            keys, parts = np.concatenate([k for k, _ in held]), [x for _, x in held]
             held.clear()
-            keys, counts, at = summed(address(ids, model.bits, model.hot), np.ones(len(ids), np.int64))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            counts, at, keys = np.diff(first, append=len(keys)), order[first], keys[first]
+            del order, first
+            ids = np.concatenate(parts)
+            parts.clear()
             return _gram_chunks(model.order, keys, ids[at], counts, min(model.cut, model.bits))
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("t"), _SLICE):
                 hashes, bounds = _word_hashes(data, offsets)
-                held.append(model.grams(model.numbers(hashes)[0], bounds))
-                if sum(map(len, held)) > _FLUSH:
+                ids = model.grams(model.numbers(hashes)[0], bounds)
+                held.append((address(ids, model.bits, model.hot), ids))
+                if sum(len(k) for k, _ in held) > _FLUSH:
                     yield flush()
         if held:
             yield flush()
