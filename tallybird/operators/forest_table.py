@@ -30,17 +30,18 @@ from pyspark.sql import functions as F
 from tallybird.sources.workspace import mounted_path
 
 BINS = 64
-SMALL = 50_000
+SMALL = 400_000  # some 12 MB of rows where 42 columns tell them
 FILE_NODES = 1 << 20
 SPLIT, FRONTIER, HANDED, LEAF = range(4)
 NODES = (
     "tree int, node long, depth int, feature int, bin int, n0 long, n1 long, gain double, state int, block int, "
-    "low_child long, high_child long"  # 0 for a leaf
+    "low_child long, high_child long, "  # 0 for a leaf
+    "part long"  # the node at which the task began that finished the subtree, 0 for a node made level by level
 )
 _NAMES = [field.split()[0] for field in NODES.split(", ")]
-_DTYPES = [np.int32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64, np.int32, np.int32, np.int64, np.int64]
-_FILE = (("node", "<i8"), ("feature", "<i4"), ("bin", "<i4"), ("p", "<f8"))  # one array after the other
-_FLUSH = 1 << 16  # histograms a task holds before it passes them on: 64 MB
+_DTYPES = [np.int32, np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.float64, np.int32, np.int32, np.int64, np.int64, np.int64]
+ROWS = 1 << 18  # that a task looks at in one go
+TASKS = 4  # per core, where the work of a row is large against its bytes
 _POISSON = np.array(
     [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**64) for k in range(10)], np.uint64
 )
@@ -79,10 +80,17 @@ def histograms(bins, label, times, place, feature, nodes: int) -> np.ndarray:
     return np.bincount(cell, weights=times, minlength=nodes * BINS * 2).reshape(nodes, BINS, 2)
 
 
-def _impurity(n: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted Gini impurity times weight, of counts by label in the last axis."""
-    w = n * weight
-    return w.sum(-1) - (w**2).sum(-1) / np.maximum(w.sum(-1), 1e-300)
+def _impurity(n0: np.ndarray, n1: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted Gini impurity times weight, of counts by label."""
+    w0, w1 = n0 * weight[0], n1 * weight[1]
+    whole = w0 + w1
+    return whole - (w0 * w0 + w1 * w1) / np.maximum(whole, 1e-300)
+
+
+def _gains(left: Sequence[np.ndarray], whole: Sequence[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """What a split takes away, from the counts by label on its left side and in all."""
+    right = [a - b for a, b in zip(whole, left)]
+    return np.maximum(_impurity(*whole, weight) - _impurity(*left, weight) - _impurity(*right, weight), 0.0)
 
 
 def cuts(hist: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,12 +99,63 @@ def cuts(hist: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     whole = left[:, -1:]
     left = left[:, :-1]
     n = left.sum(-1)
-    gain = _impurity(whole, weight) - _impurity(left, weight) - _impurity(whole - left, weight)
-    gain = np.where((n > 0) & (n < whole.sum(-1)), np.maximum(gain, 0.0), -1.0)
+    gain = _gains([left[..., 0], left[..., 1]], [whole[..., 0], whole[..., 1]], weight)
+    gain = np.where((n > 0) & (n < whole.sum(-1)), gain, -1.0)
     best = gain.argmax(1)
     return best.astype(np.int32), gain[np.arange(len(gain)), best]
 
 
+#: By a row's draws and label in five bits: the draws, and above 32 bits those of label 1.
+_DRAWN = np.array([(k >> 1) * (1 + ((k & 1) << 32)) for k in range(32)], np.int64)
+
+
+def sorted_cuts(value, marks, place, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cuts`` of nodes with the counts ``n`` by label, from their rows in order of node and bin: only bins that
+    hold rows are looked at, so that small nodes cost what their rows cost. ``marks`` holds each row's draws and
+    label in five bits."""
+    nodes = len(n)
+    best, gain = np.zeros(nodes, np.int32), np.full(nodes, -1.0)
+    kind = np.uint32 if nodes < 1 << 20 else np.uint64
+    key = place.astype(kind)
+    key *= kind(BINS)
+    key += value
+    key *= kind(32)
+    key += marks
+    key.sort()
+    cell = key >> kind(5)
+    ends = np.flatnonzero(cell[1:] != cell[:-1])
+    upto = np.cumsum(_DRAWN[key & kind(31)])[ends]
+    cell = cell[ends].astype(np.int64)
+    at = cell // BINS
+    total = n.sum(1)
+    left = (upto & 0xFFFFFFFF) - (np.cumsum(total) - total)[at]
+    inside = np.flatnonzero(left < total[at])  # the last bin of a node leaves nothing for its right side
+    if not len(inside):
+        return best, gain
+    at, cell, left = at[inside], cell[inside], left[inside]
+    left1 = (upto[inside] >> 32) - (np.cumsum(n[:, 1]) - n[:, 1])[at]
+    found = _gains([left - left1, left1], [n[at, 0], n[at, 1]], weight)
+    starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    most = np.maximum.reduceat(found, starts)
+    hits = np.flatnonzero(found == np.repeat(most, np.diff(np.append(starts, len(at)))))
+    hits = hits[np.append(True, at[hits][1:] != at[hits][:-1])]  # of equal gains the lowest bin's
+    best[at[hits]], gain[at[hits]] = cell[hits] % BINS, found[hits]
+    return best, gain
+
+
+def _first_columns(nodes: np.ndarray, columns: int, width: int) -> np.ndarray:
+    """The first ``width`` of ``column_order``, which no two columns share a place in: hashes of a node differ."""
+    if width >= columns:
+        return column_order(nodes, columns)
+    out, names = np.empty((len(nodes), width), np.int32), mixed(np.arange(columns) + 1)
+    for lo in range(0, len(nodes), 4096):
+        hashes = mixed(nodes[lo : lo + 4096].view(np.uint64)[:, None] ^ names[None, :])
+        first = np.argpartition(hashes, width - 1, axis=1)[:, :width]
+        order = np.argsort(np.take_along_axis(hashes, first, 1), axis=1)
+        out[lo : lo + 4096] = np.take_along_axis(first, order, 1)
+    return out
+
+
 def _batch(columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.asarray(c).astype(d)) for c, d in zip(columns, _DTYPES)], names=_NAMES
@@ -106,26 +165,37 @@ def _batch(columns: Sequence) -> pa.RecordBatch:
 def grow(bins, label, times, tree: int, node: int, depth: int, weight, width: int, deepest: int | None) -> pa.Table:
     """The whole subtree below (and with) a node, from its rows; all nodes of a level at once."""
     columns = bins.shape[1]
+    values, base = np.ascontiguousarray(bins).ravel(), np.arange(len(label)) * columns
+    marks, times = (times.astype(np.uint32) * 2 + label).astype(np.uint32), times.astype(float)
     nodes, place = np.array([node], np.int64), np.zeros(len(label), np.int64)
     made = []
     while len(nodes):
         a = len(nodes)
-        n = np.bincount(place * 2 + label, weights=times, minlength=2 * a).reshape(a, 2)
+        n = np.bincount(place * 2 + (marks & 1), weights=times, minlength=2 * a).reshape(a, 2).astype(np.int64)
         feature, cut, gain = np.full(a, -1, np.int32), np.full(a, -1, np.int32), np.zeros(a)
         open_ = (n.min(1) > 0) & (deepest is None or depth < deepest)
-        order = column_order(nodes, columns)
         for block in range(0, columns, width):
             todo = np.flatnonzero(open_ & (feature < 0))
             if not len(todo):
                 break
+            # few nodes come to a second block
+            order = _first_columns(nodes[todo], columns, width) if block == 0 else column_order(nodes[todo], columns)[:, block:]
             number = np.full(a, -1)
             number[todo] = np.arange(len(todo))
-            rows = np.flatnonzero(number[place] >= 0)
-            at = number[place[rows]]
+            at = number[place]
+            rows = np.flatnonzero(at >= 0)
+            at, mark, start = at[rows], marks[rows], base[rows]
+            dense = len(rows) > len(todo) * BINS
+            drawn, cell = (times[rows], at * (2 * BINS) + (mark & 1)) if dense else (None, None)
             best = np.full(len(todo), -1.0)
-            for j in range(block, min(block + width, columns)):
-                f = order[todo, j]
-                bin_, found = cuts(histograms(bins[rows], label[rows], times[rows], at, f, len(todo)), weight)
+            for j in range(min(width, columns - block)):
+                f = np.ascontiguousarray(order[:, j])
+                value = values[start + f[at]]
+                if dense:
+                    hist = np.bincount(cell + 2 * value.astype(np.int64), weights=drawn, minlength=len(todo) * BINS * 2)
+                    bin_, found = cuts(hist.reshape(len(todo), BINS, 2), weight)
+                else:
+                    bin_, found = sorted_cuts(value, mark, at, n[todo], weight)
                 better = found > best
                 best = np.where(better, found, best)
                 feature[todo[better]], cut[todo[better]], gain[todo[better]] = f[better], bin_[better], found[better]
@@ -136,12 +206,12 @@ def grow(bins, label, times, tree: int, node: int, depth: int, weight, width: in
         made.append(
             _batch(
                 [np.full(a, tree), nodes, np.full(a, depth), feature, cut, n[:, 0], n[:, 1], gain,
-                 np.where(split, SPLIT, LEAF), np.zeros(a), below[:, 0], below[:, 1]]
+                 np.where(split, SPLIT, LEAF), np.zeros(a), below[:, 0], below[:, 1], np.full(a, node)]
             )
         )
         rows = np.flatnonzero(split[place])
-        bins, label, times, place = bins[rows], label[rows], times[rows], place[rows]
-        right = bins[np.arange(len(place)), feature[place]] > cut[place]
+        base, marks, times, place = base[rows], marks[rows], times[rows], place[rows]
+        right = values[base + feature[place]] > cut[place]
         after = np.cumsum(split) - 1
         nodes = below[split].ravel()
         place = after[place] * 2 + right
@@ -162,7 +232,10 @@ def _tops(paths: tuple[str, ...]) -> dict[int, dict[str, np.ndarray]]:
     table = {name: values[last] for name, values in table.items()}
     trees, first = np.unique(table["tree"], return_index=True)
     ends = np.append(first[1:], len(table["tree"]))
-    return {int(t): {k: v[lo:hi] for k, v in table.items()} for t, lo, hi in zip(trees, first, ends)}
+    found = {int(t): {k: v[lo:hi] for k, v in table.items()} for t, lo, hi in zip(trees, first, ends)}
+    for tree in found.values():  # where the children of split nodes are
+        tree["low"], tree["high"] = (np.searchsorted(tree["node"], tree[f"{side}_child"]) for side in ("low", "high"))
+    return found
 
 
 def _descend(tree: dict[str, np.ndarray], bins: np.ndarray, start: int) -> np.ndarray:
@@ -173,10 +246,23 @@ def _descend(tree: dict[str, np.ndarray], bins: np.ndarray, start: int) -> np.nd
         moving = moving[tree["state"][at[moving]] == SPLIT]
         here = at[moving]
         right = bins[moving, tree["feature"][here]] > tree["bin"][here]
-        at[moving] = np.searchsorted(tree["node"], child(tree["node"][here], right))
+        at[moving] = np.where(right, tree["high"][here], tree["low"][here])
     return at
 
 
+def _in_blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(bins, keys, labels) of about ``ROWS`` rows at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append((_matrix(batch, columns), batch.column("key").to_numpy(), batch.column("label").to_numpy()))
+        n += batch.num_rows
+        if n >= ROWS:
+            yield tuple(np.concatenate(part) for part in zip(*held))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(part) for part in zip(*held))
+
+
 def _matrix(batch: pa.RecordBatch, columns: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, columns)
 
@@ -234,43 +320,39 @@ def _level(tops: tuple[str, ...], trees: int, seed: int, columns: int, width: in
     """Draws per frontier node, column of its block, bin and label, over the rows of a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-
-        def passed_on() -> pa.RecordBatch:
-            keys = list(held)
-            arrays = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
-            arrays.append(pa.array([held[k].astype(np.int64).tobytes() for k in keys], pa.binary()))
-            held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["tree", "node", "depth", "block", "feature", "hist"])
-
-        for batch in batches:
-            bins, keys = _matrix(batch, columns), batch.column("key").to_numpy()
-            label = batch.column("label").to_numpy().astype(np.int64)
+        for bins, keys, label in _in_blocks(batches, columns):
+            values, label = bins.ravel(), label.astype(np.int64)
             for t in range(trees):
-                tree, times = _tops(tops)[t], draws(keys, t, seed)
+                tree = _tops(tops)[t]
                 if not (tree["state"] == FRONTIER).any():
                     continue
+                times = draws(keys, t, seed)
                 rows = np.flatnonzero(times)
                 at = _descend(tree, bins[rows], root(t, seed))
                 wanted = tree["state"][at] == FRONTIER
                 rows, at = rows[wanted], at[wanted]
                 if not len(rows):
                     continue
-                places, place = np.unique(at, return_inverse=True)
+                number = np.cumsum(np.bincount(at, minlength=len(tree["node"])) > 0) - 1
+                places, place = np.unique(at), number[at]
                 order = column_order(np.ascontiguousarray(tree["node"][places]), columns)
-                block, of_rows = tree["block"][places], (bins[rows], label[rows], times[rows])
+                block, cell, times = tree["block"][places], place * BINS, times[rows]
+                start, twice = rows * columns, label[rows]
+                made = []
                 for j in range(width):
-                    inside = block * width + j < columns
+                    inside = np.flatnonzero(block * width + j < columns)
                     feature = order[np.arange(len(places)), np.minimum(block * width + j, columns - 1)]
-                    hist = histograms(*of_rows, place, feature, len(places))
-                    for k in np.flatnonzero(inside):
-                        p = places[k]
-                        name = (t, int(tree["node"][p]), int(tree["depth"][p]), int(block[k]), int(feature[k]))
-                        held[name] = held[name] + hist[k] if name in held else hist[k]
-                    if len(held) >= _FLUSH:
-                        yield passed_on()
-        if held:
-            yield passed_on()
+                    hist = np.bincount(
+                        (cell + values[start + feature[place]]) * 2 + twice, weights=times, minlength=len(places) * BINS * 2
+                    ).reshape(len(places), BINS * 2).astype(np.int64)
+                    made += [(int(places[k]), int(block[k]), int(feature[k]), hist[k].tobytes()) for k in inside]
+                here = np.array([line[0] for line in made])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(made), t, np.int32)), pa.array(tree["node"][here]), pa.array(tree["depth"][here]),
+                     *[pa.array([line[k] for line in made], pa.int32()) for k in (1, 2)],
+                     pa.array([line[3] for line in made], pa.binary())],
+                    names=["tree", "node", "depth", "block", "feature", "hist"],
+                )
 
     return count
 
@@ -292,28 +374,25 @@ def _choose(columns: int, width: int, weight: np.ndarray, small: int, deepest: i
         closed = n.min() == 0 or (deepest is not None and depth >= deepest)
         if closed or gain[best] < 0:
             state = LEAF if closed or (block + 1) * width >= columns else FRONTIER
-            return pa.Table.from_batches([_batch([[x] for x in (tree, node, depth, -1, -1, *n, 0.0, state, block + 1, 0, 0)])])
+            return pa.Table.from_batches([_batch([[x] for x in (tree, node, depth, -1, -1, *n, 0.0, state, block + 1, 0, 0, 0)])])
         left = hist[best, : cut[best] + 1].sum(0)
         below = child(np.array([node, node], np.int64), np.array([0, 1]))
-        lines = [(tree, node, depth, order[best], cut[best], *n, gain[best], SPLIT, 0, *below)]
+        lines = [(tree, node, depth, order[best], cut[best], *n, gain[best], SPLIT, 0, *below, 0)]
         for name, m in zip(below, (left, n - left)):
             state = FRONTIER if m.sum() > small else HANDED
-            lines.append((tree, name, depth + 1, -1, -1, *m, 0.0, state, 0, 0, 0))
+            lines.append((tree, name, depth + 1, -1, -1, *m, 0.0, state, 0, 0, 0, 0))
         return pa.Table.from_batches([_batch(list(zip(*lines)))])
 
     return choose
 
 
 def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int):
-    """The rows of nodes that one task finishes, packed per batch and node."""
+    """The rows of nodes that one task finishes, packed per block of rows and node."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins, keys = _matrix(batch, columns), batch.column("key").to_numpy()
-            label = batch.column("label").to_numpy()
-            lines = []
+        for bins, keys, label in _in_blocks(batches, columns):
             for t in range(trees):
-                tree, times = _tops(tops)[t], draws(keys, t, seed)
+                lines, tree, times = [], _tops(tops)[t], draws(keys, t, seed)
                 rows = np.flatnonzero(times)
                 at = _descend(tree, bins[rows], root(t, seed))
                 wanted = tree["state"][at] == HANDED
@@ -324,10 +403,10 @@ def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int):
                 places, first = np.unique(at, return_index=True)
                 for p, lo, hi in zip(places, first, np.append(first[1:], len(at))):
                     lines.append((t, int(tree["node"][p]), int(tree["depth"][p]), packed[lo:hi].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in lines], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                names=["tree", "node", "depth", "rows"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[i] for x in lines], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
+                    names=["tree", "node", "depth", "rows"],
+                )
 
     return pack
 
@@ -338,7 +417,7 @@ def _finish(columns: int, width: int, weight: np.ndarray, deepest: int | None):
         raw = b"".join(table.column("rows").to_pylist())
         rows = np.frombuffer(raw, np.uint8).reshape(-1, columns + 2)
         return grow(
-            rows[:, :columns], rows[:, columns].astype(np.int64), rows[:, columns + 1].astype(float),
+            rows[:, :columns], rows[:, columns], rows[:, columns + 1],
             tree, node, depth, weight, width, deepest,
         )
 
@@ -349,18 +428,50 @@ def _file(folder: str, tree: int, shard: int) -> str:
     return f"{folder}/{tree}-{shard}.nodes"
 
 
+def _laid_out(node: np.ndarray, feature, cut, low, high, share) -> list[np.ndarray]:
+    """The nodes of a file, level by level, each pair of children side by side: names of its uppermost nodes, which
+    come first; names of nodes that are named here and live in another file; a step and a share per node.
+
+    A step holds the place of the low child, the column and its last bin on the left; -1 is a leaf and -2 - k the
+    k-th node of another file.
+    """
+    order = np.argsort(node)
+    node, feature, cut, low, high, share = (x[order] for x in (node, feature, cut, low, high, share))
+    children = np.stack([low, high], 1)
+    inner = feature >= 0
+    named = np.unique(children[inner])
+    elsewhere = np.setdiff1d(named, node, assume_unique=True)
+    first = np.setdiff1d(node, named, assume_unique=True)
+    # places by name, nodes of other files behind the own ones
+    own = np.minimum(np.searchsorted(node, children), len(node) - 1)
+    place = np.where(node[own] == children, own, len(node) + np.searchsorted(elsewhere, children))
+    inner = np.append(inner, np.zeros(len(elsewhere), bool))
+    levels, at = [], np.searchsorted(node, first)
+    while len(at):
+        levels.append(at)
+        at = place[at[inner[at]]].ravel()
+    line = np.concatenate(levels)
+    step = np.append(np.full(len(node), -1), -2 - np.arange(len(elsewhere)))[line]
+    split = inner[line]
+    low_at = len(first) + 2 * np.arange(split.sum())  # children follow in the order of their parents
+    parents = line[split]
+    step[split] = (low_at << 32) | (feature[parents].astype(np.int64) << 8) | cut[parents]
+    return [first, elsewhere, step, np.append(share, np.full(len(elsewhere), np.nan))[line]]
+
+
 def _write_files(folder: str, weight: np.ndarray):
     def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
         ill = table.column("n1").to_numpy() * weight[1]
         share = ill / (table.column("n0").to_numpy() * weight[0] + ill)
-        parts = [*(table.column(name).to_numpy() for name, _ in _FILE[:-1]), share]
+        names = ("node", "feature", "bin", "low_child", "high_child")
+        parts = _laid_out(*(table.column(name).to_numpy() for name in names), share)
         tree, shard = table.column("tree")[0].as_py(), table.column("shard")[0].as_py()
         os.makedirs(folder, exist_ok=True)
         target = _file(folder, tree, shard)
         draft = f"{target}.{uuid.uuid4().hex}"  # a repeated task writes the same and moves it into place
         with open(draft, "wb") as file:
-            for part, (_, kind) in zip(parts, _FILE):
+            file.write(np.array([len(part) for part in parts[:3]], "<i8").tobytes())
+            for part, kind in zip(parts, ("<i8", "<i8", "<i8", "<f8")):
                 file.write(part.astype(kind).tobytes())
         os.replace(draft, target)
         return pa.table({"tree": pa.array([tree], pa.int32()), "shard": [shard], "n": [len(table)]})
@@ -368,6 +479,12 @@ def _write_files(folder: str, weight: np.ndarray):
     return write
 
 
+def _tasks(spark: SparkSession, groups: int | None = None) -> int:
+    """Tasks for work that is large against its bytes, by which Spark would gather it into few."""
+    most = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return most if groups is None else max(1, min(most, groups))
+
+
 def fit_forest_table(
     rows: DataFrame,
     columns: Sequence[str],
@@ -405,10 +522,12 @@ def fit_forest_table(
     n = first["n0"] + first["n1"]
     weight = np.array([n / (2 * m) if m else 1.0 for m in (first["n0"], first["n1"])])
 
-    _binned(learned, F.col("_values"), "_key", label, edges).write.mode("overwrite").parquet(f"{path}/{run}/binned")
+    # evenly dealt: each pass over these rows does the work of all trees
+    dealt = _binned(learned, F.col("_values"), "_key", label, edges).repartition(spark.sparkContext.defaultParallelism)
+    dealt.write.mode("overwrite").parquet(f"{path}/{run}/binned")
     binned = spark.read.parquet(f"{path}/{run}/binned")
     start = FRONTIER if n > small else HANDED
-    roots = [(t, root(t, seed), 0, -1, -1, 0, 0, 0.0, start, 0, 0, 0) for t in range(trees)]
+    roots = [(t, root(t, seed), 0, -1, -1, 0, 0, 0.0, start, 0, 0, 0, 0) for t in range(trees)]
     spark.createDataFrame(roots, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/{run}/level-0")
     tops, frontier = (f"{folder}/level-0",), trees if start == FRONTIER else 0
     while frontier:
@@ -426,7 +545,7 @@ def fit_forest_table(
     done = spark.read.schema(NODES).parquet(*[f"{path}/{run}/level-{k}" for k in range(len(tops))])
     finished = binned.mapInArrow(
         _hand_over(tops, trees, seed, len(columns)), "tree int, node long, depth int, rows binary"
-    ).groupBy("tree", "node").applyInArrow(_finish(len(columns), width, weight, deepest), NODES)
+    ).repartition(_tasks(spark), "tree", "node").groupBy("tree", "node").applyInArrow(_finish(len(columns), width, weight, deepest), NODES)
     nodes = done.where(F.col("state").isin(SPLIT, LEAF)).unionByName(finished).drop("state", "block")
     model = ForestTable(
         path, tuple(columns), tuple(tuple(e.tolist()) for e in edges), tuple(weight.tolist()), trees, seed
@@ -435,14 +554,18 @@ def fit_forest_table(
 
 
 def _stored(spark: SparkSession, model: ForestTable, nodes: DataFrame) -> ForestTable:
-    """Write the nodes as a table and as sorted files, about ``FILE_NODES`` in each."""
+    """Write the nodes as a table and as files, about ``FILE_NODES`` in each; subtrees that one task finished stay
+    together, and where a tree has several files the nodes above its subtrees have one of their own."""
     path, weight = model.path, np.array(model.weight)
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     nodes = model.nodes(spark)
     bits = max(0, math.ceil(math.log2(max(nodes.count(), 1) / max(model.trees, 1) / FILE_NODES)))
     model = replace(model, bits=bits, run=uuid.uuid4().hex[:12])
-    shard = F.shiftrightunsigned("node", 64 - bits) if bits else F.lit(0).cast("long")
-    nodes.withColumn("shard", shard).groupBy("tree", "shard").applyInArrow(
+    shard = F.lit(0).cast("long")
+    if bits:
+        shard = F.when(F.col("part") == 0, F.lit(1 << bits)).otherwise(F.shiftrightunsigned("part", 64 - bits))
+    nodes = nodes.withColumn("shard", shard).repartition(_tasks(spark, model.trees << bits), "tree", "shard")
+    nodes.groupBy("tree", "shard").applyInArrow(
         _write_files(model.files, weight), "tree int, shard long, n long"
     ).write.mode("overwrite").parquet(f"{path}/written")
     about = spark.createDataFrame([(json.dumps(model.__dict__),)], "value string")
@@ -462,33 +585,46 @@ def load_forest_table(spark: SparkSession, path: str) -> ForestTable:
 
 
 def _mapped(path: str) -> list[np.ndarray]:
-    n = os.path.getsize(path) // sum(np.dtype(kind).itemsize for _, kind in _FILE)
-    arrays, at = [], 0
-    for _, kind in _FILE:
-        arrays.append(np.memmap(path, kind, "r", at, (n,)))
+    sizes = np.fromfile(path, "<i8", 3)
+    arrays, at = [], sizes.nbytes
+    for n, kind in zip((*sizes, sizes[2]), ("<i8", "<i8", "<i8", "<f8")):
+        arrays.append(np.memmap(path, kind, "r", at, (int(n),)) if n else np.empty(0, kind))
         at += arrays[-1].nbytes
     return arrays
 
 
+def _walk(file: list[np.ndarray], at: np.ndarray, bins: np.ndarray, rows: np.ndarray, share: np.ndarray):
+    """Lead ``rows`` from their places to leaves, whose shares go to ``share``. Returns the rows that go on in
+    another file, and the names of the nodes there."""
+    _, elsewhere, steps, shares = file
+    values, start = bins.ravel(), rows * bins.shape[1]
+    gone, names = [], []
+    while len(rows):
+        step = steps[at]
+        inner = step >= 0
+        if not inner.all():
+            here = np.flatnonzero(step == -1)
+            share[rows[here]] = shares[at[here]]
+            away = np.flatnonzero(step < -1)
+            gone.append(rows[away])
+            names.append(elsewhere[-2 - step[away]])
+            inner = np.flatnonzero(inner)
+            rows, start, step = rows[inner], start[inner], step[inner]
+        at = (step >> 32) + (values[start + ((step >> 8) & 0xFFFFFF)] > (step & 0xFF))
+    return np.concatenate([rows, *gone]), np.concatenate([np.empty(0, np.int64), *names])
+
+
 def _leaf_share(folder: str, tree: int, bits: int, seed: int, bins: np.ndarray) -> np.ndarray:
-    """Share of label 1 in the leaf that each row reaches; nodes are searched in mapped files."""
-    files: dict[int, list[np.ndarray]] = {}
-    name = np.full(len(bins), root(tree, seed), np.int64)
+    """Share of label 1 in the leaf that each row reaches, by the steps in mapped files."""
     share = np.full(len(bins), np.nan)
-    moving = np.arange(len(bins))
-    while len(moving):
-        shards = (name[moving].view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(moving), np.int64)
-        feature, cut = np.empty(len(moving), np.int32), np.empty(len(moving), np.int32)
-        for shard in np.unique(shards):
-            if shard not in files:
-                files[shard] = _mapped(_file(folder, tree, shard))
-            nodes, features, bounds, shares = files[shard]
-            here = np.flatnonzero(shards == shard)
-            found = np.searchsorted(nodes, name[moving[here]])
-            feature[here], cut[here], share[moving[here]] = features[found], bounds[found], shares[found]
-        inner = feature >= 0
-        moving, feature, cut = moving[inner], feature[inner], cut[inner]
-        name[moving] = child(name[moving], bins[moving, feature] > cut)
+    rows, name = np.arange(len(bins)), np.full(len(bins), root(tree, seed), np.int64)
+    above = _file(folder, tree, 1 << bits)
+    if bits and os.path.exists(above):
+        rows, name = _walk(_mapped(above), np.zeros(len(bins), np.int64), bins, rows, share)
+    shards = (name.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rows), np.int64)
+    for shard in np.unique(shards):
+        file, here = _mapped(_file(folder, tree, shard)), np.flatnonzero(shards == shard)
+        _walk(file, np.searchsorted(file[0], name[here]), bins, rows[here], share)
     return share
 
 
@@ -514,7 +650,9 @@ def score_forest_table(
     held = rows.withColumn("_kept", F.struct(*[F.col(f"`{c}`") for c in names]))
     binned = _binned(held, _values(model.columns, vector), "_kept", None, edges)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[f"`{c}`" for c in names]).schema)
-    return binned.mapInArrow(score, f"{fields}, churn_probability double")
+    # a row costs little to send and the way down every tree to score
+    dealt = binned.repartition(_tasks(rows.sparkSession))
+    return dealt.mapInArrow(score, f"{fields}, churn_probability double")
 
 
 def forest_importance(spark: SparkSession, model: ForestTable) -> DataFrame:

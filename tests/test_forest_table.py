@@ -104,6 +104,34 @@ def test_files_of_few_nodes(spark, tmp_path, monkeypatch):
     assert rows(forest.score_forest_table(cut_up, df)) == rows(forest.score_forest_table(model, df))
 
 
+def test_cuts_from_rows_are_those_from_sums():
+    rng = np.random.default_rng(5)
+    weight = np.array([0.7, 1.9])
+    for nodes, size, bins in ((1, 1, 1), (1, 50, 64), (40, 60, 3), (300, 4000, 64), (7, 900, 2)):
+        place = np.sort(np.append(np.arange(nodes), rng.integers(0, nodes, size)))
+        value, label = rng.integers(0, bins, len(place)).astype(np.uint8), rng.integers(0, 2, len(place))
+        times = rng.integers(1, 11, len(place))
+        hist = forest.histograms(value[:, None], label, times, place, np.zeros(nodes, int), nodes)
+        shuffled = rng.permutation(len(place))
+        marks = (times * 2 + label).astype(np.uint32)
+        found = forest.sorted_cuts(value[shuffled], marks[shuffled], place[shuffled], hist.sum(1).astype(int), weight)
+        for ours, theirs in zip(found, forest.cuts(hist, weight)):
+            assert (ours == theirs).all()  # to the last bit: ties decide about trees
+
+
+def test_files_above_and_below(spark, tmp_path, monkeypatch):
+    """Nodes made level by level in a file of their own, subtrees in several; and rows of one partition are
+    scored by many tasks."""
+    df = _data(spark, 900)
+    model = forest.fit_forest_table(df, COLUMNS, f"{tmp_path}/m", trees=4, small=60)
+    monkeypatch.setattr(forest, "FILE_NODES", 20)
+    cut_up = forest.save_forest_table(spark, model, f"{tmp_path}/cut")
+    assert cut_up.bits >= 2
+    scored = forest.score_forest_table(model, df.coalesce(1))
+    assert scored.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert rows(forest.score_forest_table(cut_up, df)) == rows(scored)
+
+
 def test_odd_inputs(spark, tmp_path):
     df = _data(spark, 60)
     # nulls, NaN, unknown labels, equal keys, repeated rows, columns of other meaning
