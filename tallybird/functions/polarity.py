@@ -237,21 +237,21 @@ def polarity_by_table(
 ) -> DataFrame:
     """``docs`` with the polarity of ``text`` in column ``name``, by a (token, valence) table of any size.
 
-    Distinct tokens of distinct texts meet the lexicon in a join, so a repeated text is looked up once, a
-    frequent word is one row per text, and its rows are dealt to ``SALTS`` places. What a text has of the
-    lexicon comes back as a map no larger than the text. A null token or valence is no entry; of
+    The distinct tokens of each row meet the lexicon in a join; a frequent word's rows are dealt to ``SALTS``
+    places, and equal texts come together only after it, as one set of what the lexicon has of them. That comes
+    back as a map no larger than the text. A null token or valence is no entry; of
     repeated tokens the least valence counts; tokens are compared in lower case.
     """
     key, found = (fresh_name(docs, k) for k in ("text_digest", "text_lexicon"))
-    keyed = docs.withColumn(key, F.sha2(F.col(text), 256))
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.col(text), 256)))
     pieces = f"split(`{text}`, '\\\\s+')"
     bare = f"transform({pieces}, w -> btrim(w, {_quoted(PUNCTUATION)}))"
     tokens = (
         keyed.where(F.col(text).isNotNull())
         .select(key, F.expr(f"explode(array_distinct(transform(concat({pieces}, {bare}, array('least')), w -> lower(w)))) AS token"))
         .where("length(token) > 1")
-        .distinct()
-        .withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)))
+        # copies of a text lie in many partitions, and so do their salts
+        .withColumn("salt", F.pmod(F.xxhash64(F.col(key), F.spark_partition_id()), F.lit(SALTS)))
     )
     entries = (
         lexicon.where("token IS NOT NULL AND valence IS NOT NULL")
@@ -262,7 +262,7 @@ def polarity_by_table(
     per_text = (
         tokens.join(entries, ["token", "salt"])
         .groupBy(key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("token", "valence"))).alias(found))
+        .agg(F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias(found))
     )
     scored = keyed.join(per_text, key, "left").withColumn(name, _score(text, _Column(found)))
     return scored.select(*[c for c in docs.columns if c != name], name)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -178,3 +180,15 @@ def test_polarity_uses_the_whole_text_and_any_lexicon(spark):
     got = [r[0] for r in df.select(polarity("t", {"splendid": 2.0, "it's": 1.0})).collect()]
     assert got == [_expected(2.0), None]
     assert [r[0] for r in df.select(polarity("t", {})).collect()] == [0.0, None]
+
+
+def test_tokens_meet_the_lexicon_where_they_lie(spark):
+    """Copies of a text in many partitions, scored as by the plan's own lexicon; only hits are gathered by text."""
+    texts = F.array(*[F.lit(t) for t in ("Not a good box, but GREAT value!", "nothing at all", "", "bad bad luck :(")])
+    docs = spark.range(0, 400, 1, 7).select("id", F.get(texts, (F.col("id") % 5).cast("int")).alias("text"))
+    entries = F.array(*[F.struct(F.lit(k).alias("token"), F.lit(v).alias("valence")) for k, v in LEXICON.items()])
+    scored = polarity_by_table(docs, spark.range(1).select(F.inline(entries)))
+    found = {tuple(r) for r in scored.select("id", "sentiment_score").collect()}
+    assert found == {tuple(r) for r in docs.select("id", polarity("text")).collect()} and len(found) == 400
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(text_digest#\d+, token", plan)
