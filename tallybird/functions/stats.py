@@ -36,7 +36,9 @@ def spread(df: DataFrame, value: str, buckets: int = BUCKETS) -> DataFrame:
         F.lit(0),
         lambda at, step: at + F.when(key > F.element_at("_splits", at + step), step).otherwise(0),
     )
-    return df.withColumn("_splits", splits).withColumn("_bucket", bisect).drop("_splits")
+    # never NULL, and said so: a join on a column that may be NULL would filter by it first, below the
+    # shuffle that made ``df``, where every row and not every value would look for its bucket
+    return df.withColumn("_splits", splits).withColumn("_bucket", F.coalesce(bisect, F.lit(0))).drop("_splits")
 
 
 def running_total(

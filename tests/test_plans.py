@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from tallybird.functions.stats import exact_quantiles
 from tallybird.operators import business, rfm
 from tallybird.plans.registry import QUERIES
 from tallybird.plans.warehouse import star_schema
@@ -76,3 +77,11 @@ def test_the_report_groups_each_raw_table_once(spark, data_dir):
     main = text.split("Subquery")[0]
     assert main.count("FileScan") == 5  # customers, products, orders, reviews, marketing
     assert report.groupBy("table_name", "check_name").count().where("count > 1").isEmpty()
+
+
+def test_buckets_are_sought_by_value_and_not_by_row(spark):
+    rows = spark.range(500).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x").dropDuplicates()
+    text = plan(exact_quantiles(rows, "x", [0.5]))
+    assert not [line for line in text.splitlines() if "Filter" in line and "aggregate(" in line]
+    below = text[text.rindex("HashAggregate(keys=[id"):]  # the scan's side of the first shuffle
+    assert "Filter" not in below
