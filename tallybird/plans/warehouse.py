@@ -9,18 +9,26 @@ from tallybird.operators import rfm, sentiment
 from tallybird.operators.cleaning import clean_all
 from tallybird.operators.quality import orphan_reviews, valid_reviews
 from tallybird.schemas import LOAD_ORDER, STAR, star_name
-from tallybird.sources.retail_views import raw_tables
+from tallybird.sources.retail_views import COPY, numbered_orders, raw_tables, reviews_of
 from tallybird.sources.sinks import append_if_empty, conform, export_csv, replace_table
 from tallybird.sources.workspace import is_complete, staging_path
 
 
 def staged_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The raw tables, each derived and written once: cleaning, checks and loads read them often."""
+    """The raw tables, each derived and written once: cleaning, checks and loads read them often.
+    Orders keep the number of the copy in their files; reviews are derived from the orders written."""
     target = f"{staging_path(spark, folder)}/raw"
     derived = raw_tables(spark, folder)
-    for name, df in derived.items():
+    orders = numbered_orders(spark, folder)
+    written = spark.read.schema(orders.schema).parquet
+    sources = {
+        **{name: lambda df=df: df for name, df in derived.items()},
+        "orders": lambda: orders,
+        "reviews": lambda: reviews_of(written(f"{target}/orders").where(F.col(COPY) == 1)),
+    }
+    for name, source in sources.items():
         if not is_complete(spark, f"{target}/{name}"):
-            df.write.mode("overwrite").parquet(f"{target}/{name}")
+            source().write.mode("overwrite").parquet(f"{target}/{name}")
     return {name: spark.read.schema(df.schema).parquet(f"{target}/{name}") for name, df in derived.items()}
 
 

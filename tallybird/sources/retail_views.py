@@ -30,14 +30,17 @@ NEGATIVE_TEXTS = [
 ]
 
 
+COPY = "_copy"
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def _with_copies(df: DataFrame, key: str, every: int) -> DataFrame:
-    """Repeat each ``every``-th row: the duplicates that cleaning must remove."""
+    """Repeat each ``every``-th row: the duplicates that cleaning must remove. ``COPY`` numbers them."""
     copies = F.when(F.col(key) % every == 0, 2).otherwise(1)
-    return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
+    return df.withColumn(COPY, F.explode(F.sequence(F.lit(1), copies)))
 
 
 def raw_customers(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,7 +65,7 @@ def raw_customers(spark: SparkSession, folder: str) -> DataFrame:
         ).alias("signup_date"),
         F.col("c_mktsegment").alias("customer_segment"),
     )
-    return _with_copies(rows, "customer_id", 100)
+    return _with_copies(rows, "customer_id", 100).drop(COPY)
 
 
 def raw_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,10 +140,15 @@ def _payment_text() -> Column:
     return F.when(style == 0, F.lower(usual)).when(style == 1, F.upper(usual)).otherwise(usual)
 
 
-def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
+def numbered_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw orders, copies numbered in ``COPY``: one table to write for orders and reviews."""
     return _with_copies(_single_orders(spark, folder), "order_id", 200)
 
 
+def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
+    return numbered_orders(spark, folder).drop(COPY)
+
+
 def _text_of(texts: list[str]) -> Column:
     return F.element_at(
         F.lit(texts), (F.col("order_id") * 17 % len(texts) + 1).cast("int")
@@ -148,9 +156,13 @@ def _text_of(texts: list[str]) -> Column:
 
 
 def raw_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    return reviews_of(_single_orders(spark, folder))
+
+
+def reviews_of(single_orders: DataFrame) -> DataFrame:
+    """The raw reviews of orders without copies."""
     rated = (
-        _single_orders(spark, folder)
-        .select("order_id", "customer_id", "order_date", "status")
+        single_orders.select("order_id", "customer_id", "order_date", "status")
         .where("status = 'Delivered' AND order_id % 5 < 2")
         .withColumn("h", F.expr("(order_id * 13) % 100"))
         .withColumn(

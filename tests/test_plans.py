@@ -6,8 +6,12 @@ import pytest
 
 from tallybird.functions.stats import exact_quantiles
 from tallybird.operators import business, rfm
+from tallybird.plans import warehouse
 from tallybird.plans.registry import QUERIES
-from tallybird.plans.warehouse import star_schema
+from tallybird.plans.warehouse import staged_raw, star_schema
+from tallybird.sources import retail_views
+from tallybird.sources.retail_views import raw_tables
+from tallybird.sources.workspace import staging_path
 
 # The only jobs that run Python on executors, and those whose input is a fitted model.
 PYTHON = {"isolation_forest", "isolation_forest_checks", "daily_anomalies", "known_anomaly_check_forest",
@@ -85,3 +89,32 @@ def test_buckets_are_sought_by_value_and_not_by_row(spark):
     assert not [line for line in text.splitlines() if "Filter" in line and "aggregate(" in line]
     below = text[text.rindex("HashAggregate(keys=[id"):]  # the scan's side of the first shuffle
     assert "Filter" not in below
+
+
+def test_orders_are_derived_once_for_orders_and_reviews(spark, tmp_path):
+    day = "CAST('1998-05-01' AS TIMESTAMP_NTZ)"
+    tables = {
+        "nation": "1 AS n_nationkey, 'PERU' AS n_name",
+        "customer": "id AS c_custkey, 1 AS c_nationkey, 'c' AS c_name, 'm' AS c_mktsegment",
+        "part": "id AS p_partkey, 'b' AS p_brand, 't' AS p_type, 9.5D AS p_retailprice",
+        # a key that comes twice
+        "orders": f"id div 2 AS o_orderkey, id AS o_custkey, {day} AS o_orderdate, '1-URGENT' AS o_orderpriority",
+        "lineitem": "id AS l_orderkey, id % 5 AS l_partkey",
+        "events": "id AS event_id, id AS user_id, 'view' AS event_type, 1.5D AS value, '{\"k\":1}' AS props",
+    }
+    for name, columns in tables.items():
+        n = 1 if name == "nation" else 900
+        spark.range(n).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    want = raw_tables(spark, str(tmp_path))
+    got = staged_raw(spark, str(tmp_path))
+    for name in want:
+        assert got[name].columns == want[name].columns
+        assert got[name].exceptAll(want[name]).isEmpty() and want[name].exceptAll(got[name]).isEmpty()
+
+
+def test_staged_reviews_read_the_written_orders(spark, data_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(warehouse, "reviews_of", lambda orders: seen.extend(orders.inputFiles()) or retail_views.reviews_of(orders))
+    monkeypatch.setattr(warehouse, "staging_path", lambda s, f: f"{staging_path(s, f)}/again")
+    staged_raw(spark, data_dir)
+    assert seen and all("/raw/orders/" in file for file in seen)
