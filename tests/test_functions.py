@@ -87,6 +87,19 @@ def test_strip_removes_every_kind_of_whitespace(spark):
     assert rows(df.select(strip_whitespace(F.col("t")))) == [("a b",), ("x",)]
 
 
+def test_plain_texts_take_the_short_way_to_the_same_result(spark):
+    texts = ["net BANKING", "  cOD ", " a  b ", "a\n", "\na b", "ab\u2028", "\u00a0x y", "İI", "", "   ", None, "x1 y"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    tidy = title_case(strip_whitespace(F.col("t")))
+    got = [r["t"] for r in df.orderBy("i").select(tidy.alias("t")).collect()]
+    stripped = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    runs = F.regexp_extract_all(stripped, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    want = df.orderBy("i").select(F.array_join(F.transform(runs, F.initcap), "").alias("t")).collect()
+    assert got == [r["t"] for r in want]
+    text = df.select(tidy)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in text
+
+
 def test_calendar_per_group(spark):
     df = spark.sql(
         "SELECT * FROM VALUES ('a', DATE '2024-02-27'), ('a', DATE '2024-03-01'),"
