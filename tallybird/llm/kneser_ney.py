@@ -43,7 +43,8 @@ SHARD_BYTES = 8 << 20  # of text for each shard
 END = random_words(1, 101)[0]  # the hash of the end token
 _FLUSH = 1 << 22
 _SLICE = 4 << 20
-_BUCKET_BITS = 12
+_BUCKET_BITS = 13
+_REST_BITS = 40  # of a key in five bytes
 
 
 def mounted(path: str) -> str:
@@ -65,35 +66,68 @@ def put(path: str, column: np.ndarray) -> None:
 
 def _mapped(path: str, kind: type) -> np.ndarray:
     there = os.path.exists(path) and os.path.getsize(path)
-    return np.memmap(path, kind, "r") if there else np.empty(0, kind)
+    return np.asarray(np.memmap(path, kind, "r")) if there else np.empty(0, kind)
 
 
 class Keys:
     """Sorted distinct 64-bit keys of a shard of at least ``16 - _BUCKET_BITS`` bits: where each value
-    of the next ``_BUCKET_BITS`` bits starts, and six bytes for the rest of each key."""
+    of the next ``_BUCKET_BITS`` bits starts, and the rest of each key, in five bytes if it fits. Where
+    it does not and keys are many, a finer table (places within a bucket) takes up the bits too many;
+    few keys take six bytes."""
 
     @staticmethod
     def keep(path: str, keys: np.ndarray, bits: int) -> None:
-        bucket = (keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS)
-        put(f"{path}-at", np.searchsorted(bucket, np.arange((1 << _BUCKET_BITS) + 1, dtype=np.uint64)).astype(np.int64))
-        rest = keys & np.uint64((1 << (64 - bits - _BUCKET_BITS)) - 1)
-        put(f"{path}-high", (rest >> np.uint64(32)).astype(np.uint16))
+        bucket = ((keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << _BUCKET_BITS))])
+        put(f"{path}-at", starts.astype(np.uint32 if len(keys) < 1 << 32 else np.int64))
+        finer = max(0, 64 - bits - _BUCKET_BITS - _REST_BITS)
+        if finer and len(keys) > 1 << (_BUCKET_BITS + finer):
+            part = ((keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS - finer)).astype(np.int64)
+            sizes = np.bincount(part, minlength=1 << (_BUCKET_BITS + finer))
+            within = np.cumsum(sizes) - sizes - np.repeat(starts[:-1], 1 << finer)
+            put(f"{path}-within", within.astype(np.min_scalar_type(within.max())))
+            kept = _REST_BITS
+        else:
+            kept = 64 - bits - _BUCKET_BITS
+        rest = keys & np.uint64((1 << kept) - 1)
+        wide = np.uint8 if kept <= _REST_BITS else np.uint16
+        put(f"{path}-high", (rest >> np.uint64(32)).astype(wide))
         put(f"{path}-low", rest.astype(np.uint32))
 
     def __init__(self, path: str, bits: int):
-        self.bits, self.starts = bits, _mapped(f"{path}-at", np.int64)
-        self.high, self.low = _mapped(f"{path}-high", np.uint16), _mapped(f"{path}-low", np.uint32)
+        self.bits, self.low = bits, _mapped(f"{path}-low", np.uint32)
+        self.starts = self._sized(f"{path}-at", (1 << _BUCKET_BITS) + 1)
+        self.finer = max(0, 64 - bits - _BUCKET_BITS - _REST_BITS)
+        self.within = self._sized(f"{path}-within", 1 << (_BUCKET_BITS + self.finer))
+        self.high = self._sized(f"{path}-high", len(self.low))
+        self.rest = 64 - bits - _BUCKET_BITS if not len(self.within) else _REST_BITS
+
+    @staticmethod
+    def _sized(path: str, rows: int) -> np.ndarray:
+        """A column of ``rows`` unsigned numbers of the width that the file's size tells."""
+        width = os.path.getsize(path) // rows if rows and os.path.exists(path) else 1
+        return _mapped(path, np.dtype(f"u{width}").type)
 
     def at(self, places: np.ndarray) -> np.ndarray:
         return (self.high[places].astype(np.uint64) << np.uint64(32)) | self.low[places]
 
+    def bounds(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Between which places each key must lie."""
+        bucket = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        low, high = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
+        if not len(self.within):
+            return low, high
+        part = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS - self.finer)).astype(np.int64) + 1
+        inner = part & ((1 << self.finer) - 1) != 0  # the last part ends with its bucket
+        high = np.where(inner, low + self.within[np.where(inner, part, 0)], high)
+        return low + self.within[part - 1], high
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Place of each key of this shard, -1 if absent."""
         if not len(self.low):
             return np.full(len(keys), -1, np.int64)
-        bucket = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-        rest = keys & np.uint64((1 << (64 - self.bits - _BUCKET_BITS)) - 1)
-        low, high = np.array(self.starts[bucket]), np.array(self.starts[bucket + 1])
+        rest = keys & np.uint64((1 << self.rest) - 1)
+        low, high = self.bounds(keys)
         end = high.copy()
         for _ in range(int((high - low).max(initial=0)).bit_length()):
             middle = (low + high) >> 1
@@ -197,20 +231,21 @@ class Shelf:
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Whether each key is there and its columns (0: absent)."""
-        order = np.argsort(keys)
-        ordered = keys[order]
-        shards = (ordered >> np.uint64(64 - self.bits)).astype(np.int64)
+        order = None if (keys[1:] >= keys[:-1]).all() else np.argsort(keys)
+        ordered = keys if order is None else keys[order]
         there = np.zeros(len(keys), bool)
         values = [np.zeros((len(keys), *kind.width), np.int64) for kind in self.kinds.values()]
-        cuts = np.searchsorted(shards, np.arange((1 << self.bits) + 1))
+        firsts = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        cuts = np.append(np.searchsorted(ordered, firsts), len(ordered))
         for number in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[number], cuts[number + 1]
             known, *columns = self.shard(number)
             at = known.find(ordered[a:b])
-            hit = at >= 0
-            there[order[a:b][hit]] = True
+            hit = np.flatnonzero(at >= 0)
+            own = hit + a if order is None else order[a:b][hit]
+            there[own] = True
             for value, column in zip(values, columns):
-                value[order[a:b][hit]] = column[at[hit]]
+                value[own] = column[at[hit]]
         return there, values
 
 
@@ -252,8 +287,28 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _CHUNK = "kind string, shard int, keys binary, counts binary, n int"
 
 
-def _chunks(kind: str, keys: np.ndarray, payload: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Rows cut by shard from sorted ``keys``; ``payload`` goes along as bytes."""
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys: their steps in planes of bytes, compressed."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_keys(packed: bytes, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, rows * 8, "zstd"), np.uint8).reshape(8, rows)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _unpacked_chunks(table: pa.Table, kind: type, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts (``width`` to a key) of all rows of ``_chunks``."""
+    rows = table.column("n").to_pylist()
+    size = np.dtype(kind).itemsize * width
+    keys = [unpack_keys(x.as_py(), n) for x, n in zip(table.column("keys"), rows)]
+    counts = [np.frombuffer(pa.decompress(x.as_py(), n * size, "zstd"), kind) for x, n in zip(table.column("counts"), rows)]
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def _chunks(kind: str, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows cut by shard from sorted ``keys``, packed, with their counts."""
     shards = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.searchsorted(shards, np.arange((1 << bits) + 1))
     full = np.flatnonzero(np.diff(cuts))
@@ -261,8 +316,8 @@ def _chunks(kind: str, keys: np.ndarray, payload: np.ndarray, counts: np.ndarray
         [
             pa.array([kind] * len(full), pa.string()),
             pa.array(full.astype(np.int32)),
-            pa.array([np.ascontiguousarray(payload[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
-            pa.array([np.ascontiguousarray(counts[cuts[s] : cuts[s + 1]]).tobytes() for s in full], pa.binary()),
+            pa.array([pack_keys(keys[cuts[s] : cuts[s + 1]]) for s in full], pa.binary()),
+            pa.array([pa.compress(counts[cuts[s] : cuts[s + 1]].tobytes(), "zstd", asbytes=True) for s in full], pa.binary()),
             pa.array(np.diff(cuts)[full].astype(np.int32)),
         ],
         names=["kind", "shard", "keys", "counts", "n"],
@@ -291,7 +346,8 @@ def _gram_chunks(level: int, keys: np.ndarray, ids: np.ndarray, counts: np.ndarr
     packed, times = [], []
     for shard in full.tolist():
         own = slice(cuts[shard], cuts[shard + 1])
-        order = np.argsort(ids[own, 0], kind="stable")
+        # words behind the same word in order, too: their upper bytes repeat
+        order = np.argsort(ids[own, 0].astype(np.uint64) << np.uint64(32) | ids[own, min(1, level - 1)])
         packed.append(pack(ids[own][order]))
         times.append(counts[own][order].astype(np.uint32).tobytes())
     return pa.RecordBatch.from_arrays(
@@ -327,7 +383,7 @@ def _count_words(bits: int):
         def flush() -> pa.RecordBatch:
             keys, counts, _ = summed(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
             held.clear()
-            return _chunks("word", keys, keys, counts.astype(np.uint32), bits)
+            return _chunks("word", keys, counts.astype(np.uint32), bits)
 
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("t"), _SLICE):
@@ -343,8 +399,7 @@ def _count_words(bits: int):
 def _keep_words(folder: str, bits: int):
     def keep(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("counts")])
+        keys, counts = _unpacked_chunks(table, np.uint32)
         keys, counts, _ = summed(keys, counts.astype(np.int64))
         by_count = np.argsort(-counts, kind="stable")
         rank = np.empty(len(keys), np.int64)
@@ -414,18 +469,34 @@ class Model:
         ids = self.grams(numbers, bounds)
         total, uniform = self.unigram
         chance = np.full(len(ids), 1.0 / (self.words + 1))
+        # single words repeat most: put in order once, as n-grams of order 1 and as histories of order 2
+        words, word = np.unique(ids[:, -1], return_inverse=True)
         for level in range(1, self.order + 1):
             own = ids[:, self.order - level :]
-            keys, back = np.unique(address(own, self.bits, self.hot), return_inverse=True)
+            if level == 1:
+                keys, back = address(words[:, None], self.bits, self.hot), word
+            else:
+                keys, back = np.unique(address(own, self.bits, self.hot), return_inverse=True)
             (count,) = self.shelf(f"gram{level}-", count=Counts).find(keys)[1]
             kept = np.maximum(count - self.discount(level, count), 0.0)[back]
             if level == 1:
                 if total:
                     chance = kept / total + uniform * chance
                 continue
-            histories, behind = np.unique(gram_hash(own[:, :-1]), return_inverse=True)
-            # a history is in one of them
-            found = sum(self.shelf(f"{name}{level}-", sums=Sums).find(histories)[1][0] for name in ("history", "hot")).T
+            # a history is in one of them: among the hot ones if all of its words are hot
+            if level == 2:
+                before = np.append(words, np.uint32(self.before))
+                histories, parted = gram_hash(before[:, None]), np.isin(before, self.hot)
+                behind = np.roll(word, 1)
+                behind[bounds[:-1]] = len(words)
+            else:
+                histories, behind = np.unique(gram_hash(own[:, :-1]), return_inverse=True)
+                parted = np.zeros(len(histories), bool)
+                parted[behind[spread(own, self.hot)]] = True
+            found = np.empty((len(histories), 4), np.int64)
+            for name, which in (("history", ~parted), ("hot", parted)):
+                found[which] = self.shelf(f"{name}{level}-", sums=Sums).find(histories[which])[1][0]
+            found = found.T
             seen = found[0][behind].astype(np.float64)
             rest = sum(d * n[behind] for d, n in zip(self.discounts[level][1:], found[1:]))
             known = seen > 0
@@ -474,8 +545,8 @@ def _keep_grams(model: Model, level: int):
         if kind.startswith("counts"):
             return table
         if kind.startswith("hot"):
-            keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")])
-            sums = np.concatenate([np.frombuffer(x.as_buffer(), np.int64).reshape(-1, 4) for x in table.column("counts")])
+            keys, sums = _unpacked_chunks(table, np.int64, 4)
+            sums = sums.reshape(-1, 4)
             order = np.argsort(keys, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
             sums = np.add.reduceat(sums[order], first, axis=0)
@@ -510,7 +581,7 @@ def _keep_grams(model: Model, level: int):
                 if name == "history":  # whole in this shard
                     keep_shard(f"{model.folder}/history{level}-{shard}", model.bits, history, sums=(Sums, sums))
                 elif len(history):
-                    out.append(_chunks(f"hot{level}", history, history, sums, model.bits))
+                    out.append(_chunks(f"hot{level}", history, sums, model.bits))
             lower = ids[:, 1:]
             key, times, row = summed(address(lower, model.bits, model.hot), np.ones(len(lower), np.int64))
             out.append(_gram_chunks(level - 1, key, lower[row], times, model.bits))

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, past_numbers, score_texts, unpack
+from tallybird.llm.kneser_ney import pack_keys, unpack_keys
 from tallybird.llm.queries import op10_language_model_scores
 
 TRAIN = [
@@ -146,3 +147,29 @@ def test_word_numbers_that_do_not_fit_are_refused():
     assert past_numbers((1 << 26) - 1, 6) == (1 << 32) - 64
     with pytest.raises(ValueError, match="32 bits"):
         past_numbers(1 << 26, 6)
+
+
+def test_many_keys_of_a_shard_take_five_bytes(tmp_path):
+    rng = np.random.default_rng(7)
+    for bits, n in ((6, 400_000), (6, 3_000), (6, 0), (7, 200_000), (12, 5_000)):
+        folder = tmp_path / f"{bits}-{n}"
+        top = np.uint64(5) << np.uint64(64 - bits)
+        random = rng.integers(0, 1 << (64 - bits), n + n // 2, dtype=np.uint64)
+        crowded = np.arange(min(n, 700), dtype=np.uint64)  # one part of the finer table holds more than a byte counts
+        pool = np.unique(np.concatenate([random, crowded])) | top
+        taken = rng.random(len(pool)) < 2 / 3
+        keys, absent = pool[taken], pool[~taken]
+        keep_shard(f"{folder}/x5", bits, keys, count=(Counts, np.arange(len(keys)) % 9 + 1))
+        there, (counts,) = Shelf(str(folder), "x", bits, {"count": Counts}).find(np.concatenate([absent, keys[::-1]]))
+        assert not there[: len(absent)].any() and there[len(absent) :].all()
+        assert (counts[len(absent) :] == (np.arange(len(keys)) % 9 + 1)[::-1]).all()
+        if n > 100_000 or bits == 12:
+            assert (folder / "x5-high").stat().st_size == len(keys)  # two bytes a key before
+
+
+def test_sorted_keys_travel_as_steps():
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(0, 1 << 64, 20_000, dtype=np.uint64))
+    assert (unpack_keys(pack_keys(keys), len(keys)) == keys).all()
+    assert len(pack_keys(keys)) < 7 * len(keys)
+    assert len(unpack_keys(pack_keys(keys[:0]), 0)) == 0
