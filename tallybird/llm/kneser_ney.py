@@ -12,6 +12,8 @@ Tokens are words (runs of anything but white space, A-Z lowered) and one end per
    travel. Shards become sorted files too: six bytes a key, one a count, larger ones beside them.
    The continuation counts of the next lower order come out of the shards of the higher one, in the
    same job: nothing is staged.
+   The files of up to 16 neighbouring shards are then bound into one volume file, so that a worker
+   maps few files also of a model of thousands of shards, and looks up many keys at once.
 3. Tasks map all files and score whole texts. No table is held in memory or passes the driver; it
    gets the names of files, sums, counts of counts and the hot words, a bounded list.
 
@@ -21,16 +23,18 @@ The order is a parameter; the number of shards follows the size of the texts.
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -44,6 +48,9 @@ END = random_words(1, 101)[0]  # the hash of the end token
 _FLUSH = 1 << 22
 _SLICE = 4 << 20
 _BUCKET_BITS = 13
+_VOLUMES = 6  # bits: fewer volumes are not made
+_INNER = 4  # bits of a shard's number within a volume, at most
+_OPEN = 4096  # volumes of a shelf that a worker holds mapped
 _REST_BITS = 40  # of a key in five bytes
 
 
@@ -65,59 +72,118 @@ def put(path: str, column: np.ndarray) -> None:
 
 
 def _mapped(path: str, kind: type) -> np.ndarray:
-    there = os.path.exists(path) and os.path.getsize(path)
-    return np.asarray(np.memmap(path, kind, "r")) if there else np.empty(0, kind)
+    """The file as an array; no descriptor stays open."""
+    if not os.path.exists(path) or not os.path.getsize(path):
+        return np.empty(0, kind)
+    with pa.memory_map(path) as file:
+        return np.frombuffer(file.read_buffer(), kind)
+
+
+#: Stores the column of a name; gives the column of a name, empty if there is none.
+Put = Callable[[str, np.ndarray], None]
+Read = Callable[[str, type], np.ndarray]
+
+
+def put_volume(path: str, columns: dict[str, np.ndarray]) -> None:
+    """One file of all columns: each from a multiple of eight bytes, then where they are. A file that
+    is there already is complete and stays: the one who wrote it may have removed what it is made of."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    folder, name = os.path.split(path)
+    draft, index = f"{folder}/.{name}-{uuid.uuid4().hex}", {}
+    with open(draft, "wb") as file:
+        for key, column in columns.items():
+            file.write(b"\0" * (-file.tell() % 8))
+            index[key] = (file.tell(), column.nbytes)
+            file.write(np.ascontiguousarray(column).view(np.uint8).reshape(-1).data)
+        end = json.dumps(index).encode()
+        file.write(end + len(end).to_bytes(8, "little"))
+    if os.path.exists(path):
+        os.remove(draft)
+    else:
+        os.replace(draft, path)
+
+
+def opened(path: str) -> Read:
+    """Columns of a volume, or of a shard that is files of its own."""
+    data = _mapped(path, np.uint8)
+    if not len(data):
+        return lambda name, kind: _mapped(f"{path}-{name}", kind)
+    size = int.from_bytes(data[-8:].tobytes(), "little")
+    index = json.loads(data[-8 - size : -8].tobytes())
+
+    def read(name: str, kind: type) -> np.ndarray:
+        start, length = index.get(name, (0, 0))
+        return data[start : start + length].view(kind)
+
+    return read
 
 
 class Keys:
     """Sorted distinct 64-bit keys of a shard of at least ``16 - _BUCKET_BITS`` bits: where each value
     of the next ``_BUCKET_BITS`` bits starts, and the rest of each key, in five bytes if it fits. Where
     it does not and keys are many, a finer table (places within a bucket) takes up the bits too many;
-    few keys take six bytes."""
+    few keys take six bytes. Shards of a volume stand one behind the other, as one shard of fewer bits
+    with as many more bits for buckets."""
 
     @staticmethod
-    def keep(path: str, keys: np.ndarray, bits: int) -> None:
-        bucket = ((keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-        starts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=1 << _BUCKET_BITS))])
-        put(f"{path}-at", starts.astype(np.uint32 if len(keys) < 1 << 32 else np.int64))
+    def keep(put: Put, rows: int, shards: Iterable[np.ndarray], bits: int, inner: int = 0) -> None:
+        """``rows`` keys in all, by shard; there are ``1 << inner`` shards."""
         finer = max(0, 64 - bits - _BUCKET_BITS - _REST_BITS)
-        if finer and len(keys) > 1 << (_BUCKET_BITS + finer):
-            part = ((keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS - finer)).astype(np.int64)
-            sizes = np.bincount(part, minlength=1 << (_BUCKET_BITS + finer))
-            within = np.cumsum(sizes) - sizes - np.repeat(starts[:-1], 1 << finer)
-            put(f"{path}-within", within.astype(np.min_scalar_type(within.max())))
-            kept = _REST_BITS
-        else:
-            kept = 64 - bits - _BUCKET_BITS
-        rest = keys & np.uint64((1 << kept) - 1)
+        finer = finer if rows > 1 << (_BUCKET_BITS + finer + inner) else 0
+        kept = 64 - bits - _BUCKET_BITS - finer
         wide = np.uint8 if kept <= _REST_BITS else np.uint16
-        put(f"{path}-high", (rest >> np.uint64(32)).astype(wide))
-        put(f"{path}-low", rest.astype(np.uint32))
-
-    def __init__(self, path: str, bits: int):
-        self.bits, self.low = bits, _mapped(f"{path}-low", np.uint32)
-        self.starts = self._sized(f"{path}-at", (1 << _BUCKET_BITS) + 1)
-        self.finer = max(0, 64 - bits - _BUCKET_BITS - _REST_BITS)
-        self.within = self._sized(f"{path}-within", 1 << (_BUCKET_BITS + self.finer))
-        self.high = self._sized(f"{path}-high", len(self.low))
-        self.rest = 64 - bits - _BUCKET_BITS if not len(self.within) else _REST_BITS
+        sizes, within, high, low = [], [], [], []
+        for keys in shards:
+            part = ((keys << np.uint64(bits)) >> np.uint64(64 - _BUCKET_BITS - finer)).astype(np.int64)
+            own = np.bincount(part, minlength=1 << (_BUCKET_BITS + finer)).reshape(-1, 1 << finer)
+            sizes.append(own.sum(1))
+            if finer:
+                inside = (np.cumsum(own, axis=1) - own).ravel()
+                within.append(inside.astype(np.min_scalar_type(inside.max())))
+            rest = keys & np.uint64((1 << kept) - 1)
+            high.append((rest >> np.uint64(32)).astype(wide))
+            low.append(rest.astype(np.uint32))
+        put("at", np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.uint32 if rows < 1 << 32 else np.int64))
+        if finer:
+            put("within", np.concatenate(within))
+        put("high", np.concatenate(high))
+        put("low", np.concatenate(low))
+
+    def __init__(self, read: Read, bits: int, inner: int = 0):
+        self.bits, self.low = bits, read("low", np.uint32)
+        self.buckets = _BUCKET_BITS + inner
+        self.starts = self._sized(read("at", np.uint8), (1 << self.buckets) + 1)
+        self.finer = max(0, 64 - bits - self.buckets - _REST_BITS)
+        self.within = self._sized(read("within", np.uint8), 1 << (self.buckets + self.finer))
+        self.high = self._sized(read("high", np.uint8), len(self.low))
+        self.rest = 64 - bits - self.buckets if not len(self.within) else _REST_BITS
 
     @staticmethod
-    def _sized(path: str, rows: int) -> np.ndarray:
-        """A column of ``rows`` unsigned numbers of the width that the file's size tells."""
-        width = os.path.getsize(path) // rows if rows and os.path.exists(path) else 1
-        return _mapped(path, np.dtype(f"u{width}").type)
+    def _sized(column: np.ndarray, rows: int) -> np.ndarray:
+        """A column of ``rows`` unsigned numbers of the width that its size tells."""
+        return column.view(f"u{len(column) // rows}") if len(column) else column
 
     def at(self, places: np.ndarray) -> np.ndarray:
         return (self.high[places].astype(np.uint64) << np.uint64(32)) | self.low[places]
 
+    def all(self, number: int) -> np.ndarray:
+        """The keys as they were, of the shard of this number."""
+        if not len(self.low):
+            return np.empty(0, np.uint64)
+        starts = self.starts.astype(np.int64)
+        if len(self.within):
+            starts = np.append(np.repeat(starts[:-1], 1 << self.finer) + self.within, len(self.low))
+        above = np.arange(len(starts) - 1, dtype=np.uint64) << np.uint64(self.rest)
+        above |= np.uint64(number) << np.uint64(64 - self.bits)
+        return np.repeat(above, np.diff(starts)) | (self.high.astype(np.uint64) << np.uint64(32)) | self.low
+
     def bounds(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Between which places each key must lie."""
-        bucket = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        bucket = ((keys << np.uint64(self.bits)) >> np.uint64(64 - self.buckets)).astype(np.int64)
         low, high = self.starts[bucket].astype(np.int64), self.starts[bucket + 1].astype(np.int64)
         if not len(self.within):
             return low, high
-        part = ((keys << np.uint64(self.bits)) >> np.uint64(64 - _BUCKET_BITS - self.finer)).astype(np.int64) + 1
+        part = ((keys << np.uint64(self.bits)) >> np.uint64(64 - self.buckets - self.finer)).astype(np.int64) + 1
         inner = part & ((1 << self.finer) - 1) != 0  # the last part ends with its bucket
         high = np.where(inner, low + self.within[np.where(inner, part, 0)], high)
         return low + self.within[part - 1], high
@@ -143,31 +209,47 @@ class Numbers:
     width = ()
 
     @staticmethod
-    def keep(path: str, column: np.ndarray) -> None:
-        put(path, column.astype(np.uint32))
+    def keep(put: Put, name: str, column: np.ndarray) -> None:
+        put(name, column.astype(np.uint32))
+
+    @staticmethod
+    def gather(put: Put, name: str, parts: list[Numbers]) -> None:
+        put(name, np.concatenate([part.column for part in parts]))
 
-    def __init__(self, path: str):
-        self.column = _mapped(path, np.uint32)
+    def __init__(self, read: Read, name: str):
+        self.column = read(name, np.uint32)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         return self.column[at].astype(np.int64)
 
 
+def _moved(places: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Places within parts of these sizes as places in all of them."""
+    return np.concatenate([own + before for own, before in zip(places, np.cumsum([0, *sizes]))])
+
+
 class Counts:
     """A column of counts: one byte each, and those that need more as places and values."""
 
     width = ()
 
     @staticmethod
-    def keep(path: str, column: np.ndarray) -> None:
+    def keep(put: Put, name: str, column: np.ndarray) -> None:
         wide = np.flatnonzero(column >= 255)
         if len(wide):
-            put(f"{path}-wide", np.stack([wide, column[wide].astype(np.int64)]))
-        put(path, np.minimum(column, 255).astype(np.uint8))
+            put(f"{name}-wide", np.stack([wide, column[wide].astype(np.int64)]))
+        put(name, np.minimum(column, 255).astype(np.uint8))
+
+    @staticmethod
+    def gather(put: Put, name: str, parts: list[Counts]) -> None:
+        places = _moved([part.places for part in parts], [len(part.narrow) for part in parts])
+        if len(places):
+            put(f"{name}-wide", np.stack([places, np.concatenate([part.wide for part in parts])]))
+        put(name, np.concatenate([part.narrow for part in parts]))
 
-    def __init__(self, path: str):
-        self.narrow = _mapped(path, np.uint8)
-        self.places, self.wide = _mapped(f"{path}-wide", np.int64).reshape(2, -1)
+    def __init__(self, read: Read, name: str):
+        self.narrow = read(name, np.uint8)
+        self.places, self.wide = read(f"{name}-wide", np.int64).reshape(2, -1)
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         out = self.narrow[at].astype(np.int64)
@@ -184,18 +266,25 @@ class Sums:
     width = (4,)
 
     @staticmethod
-    def keep(path: str, sums: np.ndarray) -> None:
+    def keep(put: Put, name: str, sums: np.ndarray) -> None:
         _, one, two, more = sums.T
         small = (more == 0) & (one < 32) & (two < 7)
-        put(path, np.where(small, one + 32 * two, 255).astype(np.uint8))
+        put(name, np.where(small, one + 32 * two, 255).astype(np.uint8))
         rest = np.flatnonzero(~small)
-        put(f"{path}-places", rest)
+        put(f"{name}-places", rest)
         for k in range(4):
-            Counts.keep(f"{path}-{k}", sums[rest, k])
+            Counts.keep(put, f"{name}-{k}", sums[rest, k])
 
-    def __init__(self, path: str):
-        self.code, self.places = _mapped(path, np.uint8), _mapped(f"{path}-places", np.int64)
-        self.rest = [Counts(f"{path}-{k}") for k in range(4)]
+    @staticmethod
+    def gather(put: Put, name: str, parts: list[Sums]) -> None:
+        put(name, np.concatenate([part.code for part in parts]))
+        put(f"{name}-places", _moved([part.places for part in parts], [len(part.code) for part in parts]))
+        for k in range(4):
+            Counts.gather(put, f"{name}-{k}", [part.rest[k] for part in parts])
+
+    def __init__(self, read: Read, name: str):
+        self.code, self.places = read(name, np.uint8), read(f"{name}-places", np.int64)
+        self.rest = [Counts(read, f"{name}-{k}") for k in range(4)]
 
     def __getitem__(self, at: np.ndarray) -> np.ndarray:
         code = self.code[at].astype(np.int64)
@@ -209,24 +298,52 @@ class Sums:
 
 
 def keep_shard(path: str, bits: int, keys: np.ndarray, **columns: tuple[type, np.ndarray]) -> None:
+    def keep(name: str, column: np.ndarray) -> None:
+        put(f"{path}-{name}", column)
+
     for name, (kind, column) in columns.items():
-        kind.keep(f"{path}-{name}", column)
-    Keys.keep(path, keys, bits)
+        kind.keep(keep, name, column)
+    Keys.keep(keep, len(keys), [keys], bits)
+
+
+def shard_path(folder: str, name: str, shard: int) -> str:
+    """Where ``keep_shard`` leaves a shard that is to be bound: a folder of its own."""
+    return f"{folder}/shards/{name}{shard}/column"
+
+
+def bind_shards(folder: str, name: str, volume: int, bits: int, inner: int, columns: dict[str, type]) -> None:
+    """One volume of ``1 << inner`` shards of ``bits`` bits; their files go."""
+    numbers = range(volume << inner, (volume + 1) << inner)
+    paths = [shard_path(folder, name, number) for number in numbers]
+    if not os.path.exists(f"{folder}/{name}{volume}"):
+        reads = [opened(path) for path in paths]
+        keys = [Keys(read, bits) for read in reads]
+        rows, found = sum(len(own.low) for own in keys), {}
+        if rows:
+            Keys.keep(found.__setitem__, rows, (own.all(number) for own, number in zip(keys, numbers)), bits, inner)
+            for column, kind in columns.items():
+                kind.gather(found.__setitem__, column, [kind(read, column) for read in reads])
+            put_volume(f"{folder}/{name}{volume}", found)
+    for path in paths:
+        shutil.rmtree(os.path.dirname(path), ignore_errors=True)
 
 
 class Shelf:
-    """Sorted 64-bit keys with columns, mapped files for each shard; a shard is the top bits."""
+    """Sorted 64-bit keys with columns, mapped files for each volume: the top ``bits`` bits. A volume
+    holds ``1 << inner`` shards."""
 
-    def __init__(self, folder: str, name: str, bits: int, columns: dict[str, type]):
-        self.bits, self.kinds = bits, columns
-        self.paths = [f"{folder}/{name}{shard}" for shard in range(1 << bits)]
+    def __init__(self, folder: str, name: str, bits: int, columns: dict[str, type], inner: int = 0):
+        self.bits, self.kinds, self.inner = bits, columns, inner
+        self.path = f"{folder}/{name}"
         self.maps: dict[int, list] = {}
 
-    def shard(self, number: int) -> list:
+    def volume(self, number: int) -> list:
         if number not in self.maps:
-            path = self.paths[number]
-            columns = [kind(f"{path}-{name}") for name, kind in self.kinds.items()]
-            self.maps[number] = [Keys(path, self.bits), *columns]
+            if len(self.maps) >= _OPEN:
+                del self.maps[next(iter(self.maps))]
+            read = opened(f"{self.path}{number}")
+            columns = [kind(read, name) for name, kind in self.kinds.items()]
+            self.maps[number] = [Keys(read, self.bits, self.inner), *columns]
         return self.maps[number]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -239,7 +356,7 @@ class Shelf:
         cuts = np.append(np.searchsorted(ordered, firsts), len(ordered))
         for number in np.flatnonzero(np.diff(cuts)).tolist():
             a, b = cuts[number], cuts[number + 1]
-            known, *columns = self.shard(number)
+            known, *columns = self.volume(number)
             at = known.find(ordered[a:b])
             hit = np.flatnonzero(at >= 0)
             own = hit + a if order is None else order[a:b][hit]
@@ -404,7 +521,7 @@ def _keep_words(folder: str, bits: int):
         by_count = np.argsort(-counts, kind="stable")
         rank = np.empty(len(keys), np.int64)
         rank[by_count] = np.arange(len(keys))
-        keep_shard(f"{folder}/word{shard}", bits, keys, count=(Counts, counts), rank=(Numbers, rank))
+        keep_shard(shard_path(folder, "word", shard), bits, keys, count=(Counts, counts), rank=(Numbers, rank))
         # counts of the most frequent words: whoever is hot is among them
         top = by_count[:4]
         return pa.table(
@@ -419,6 +536,31 @@ def _keep_words(folder: str, bits: int):
     return keep
 
 
+#: The columns of each kind of shelf.
+SHELVES = {"word": {"count": Counts, "rank": Numbers}, "gram": {"count": Counts}, "history": {"sums": Sums}, "hot": {"sums": Sums}}
+
+
+def inner_bits(bits: int) -> int:
+    """A volume holds this power of two of shards: one, until there are more volumes than ``_VOLUMES``
+    tells."""
+    return min(_INNER, max(0, bits - _VOLUMES))
+
+
+def bind(spark: SparkSession, folder: str, bits: int, names: list[str]) -> None:
+    """All shards of the named shelves into volumes, a task for each part of the keys."""
+    inner = inner_bits(bits)
+    volumes = 1 << (bits - inner)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for volume in batch.column(0).to_pylist():
+                for name in names:
+                    bind_shards(folder, name, volume, bits, inner, SHELVES[name.rstrip("-0123456789")])
+            yield batch
+
+    spark.range(0, volumes, 1, volumes).mapInArrow(bound, "id long").agg(F.count("id")).collect()
+
+
 @dataclass
 class Model:
     """Names and sums; the tables are files."""
@@ -436,17 +578,18 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "shelves"}
 
-    def shelf(self, name: str, **columns: type) -> Shelf:
+    def shelf(self, name: str) -> Shelf:
         shelves = self.__dict__.setdefault("shelves", {})
         if name not in shelves:
-            shelves[name] = Shelf(self.folder, name, self.bits, columns)
+            inner = inner_bits(self.bits)
+            shelves[name] = Shelf(self.folder, name, self.bits - inner, SHELVES[name.rstrip("-0123456789")], inner)
         return shelves[name]
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number, training count) of each token; unknown tokens have the number after ``before`` and
         count 0."""
         distinct, back = np.unique(hashes, return_inverse=True)
-        known, (counts, rank) = self.shelf("word", count=Counts, rank=Numbers).find(distinct)
+        known, (counts, rank) = self.shelf("word").find(distinct)
         shard = (distinct >> np.uint64(64 - self.bits)).astype(np.int64)
         number = np.where(known, (rank << self.bits) | shard, self.before + 1)
         return number[back], counts[back]
@@ -477,7 +620,7 @@ class Model:
                 keys, back = address(words[:, None], self.bits, self.hot), word
             else:
                 keys, back = np.unique(address(own, self.bits, self.hot), return_inverse=True)
-            (count,) = self.shelf(f"gram{level}-", count=Counts).find(keys)[1]
+            (count,) = self.shelf(f"gram{level}-").find(keys)[1]
             kept = np.maximum(count - self.discount(level, count), 0.0)[back]
             if level == 1:
                 if total:
@@ -495,7 +638,7 @@ class Model:
                 parted[behind[spread(own, self.hot)]] = True
             found = np.empty((len(histories), 4), np.int64)
             for name, which in (("history", ~parted), ("hot", parted)):
-                found[which] = self.shelf(f"{name}{level}-", sums=Sums).find(histories[which])[1][0]
+                found[which] = self.shelf(f"{name}{level}-").find(histories[which])[1][0]
             found = found.T
             seen = found[0][behind].astype(np.float64)
             rest = sum(d * n[behind] for d, n in zip(self.discounts[level][1:], found[1:]))
@@ -550,7 +693,7 @@ def _keep_grams(model: Model, level: int):
             order = np.argsort(keys, kind="stable")
             first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
             sums = np.add.reduceat(sums[order], first, axis=0)
-            keep_shard(f"{model.folder}/{kind}-{shard}", model.bits, keys[order][first], sums=(Sums, sums))
+            keep_shard(shard_path(model.folder, f"{kind}-", shard), model.bits, keys[order][first], sums=(Sums, sums))
             return table.slice(0, 0)
         rows = table.column("n").to_pylist()
         ids = np.concatenate([unpack(x.as_py(), n, level) for x, n in zip(table.column("keys"), rows)])
@@ -559,7 +702,7 @@ def _keep_grams(model: Model, level: int):
         )
         keys, counts, at = summed(address(ids, model.bits, model.hot), counts.astype(np.int64))
         ids = ids[at]
-        keep_shard(f"{model.folder}/gram{level}-{shard}", model.bits, keys, count=(Counts, counts))
+        keep_shard(shard_path(model.folder, f"gram{level}-", shard), model.bits, keys, count=(Counts, counts))
         of_counts = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [counts.sum(), (counts > 2).sum()], np.int64)
         out = [
             pa.RecordBatch.from_arrays(
@@ -579,7 +722,7 @@ def _keep_grams(model: Model, level: int):
                 history, which = np.unique(gram_hash(ids[own, :-1]), return_inverse=True)
                 sums = _sums(which, counts[own], len(history))
                 if name == "history":  # whole in this shard
-                    keep_shard(f"{model.folder}/history{level}-{shard}", model.bits, history, sums=(Sums, sums))
+                    keep_shard(shard_path(model.folder, f"history{level}-", shard), model.bits, history, sums=(Sums, sums))
                 elif len(history):
                     out.append(_chunks(f"hot{level}", history, sums, model.bits))
             lower = ids[:, 1:]
@@ -628,6 +771,7 @@ def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder:
         .applyInArrow(_keep_words(folder, bits), "shard int, words long, tokens long, top array<long>")
         .collect()  # a few numbers per shard
     )
+    bind(spark, folder, bits, ["word"])
     words_of = {row["shard"]: row["words"] for row in shards}
     before = past_numbers(max(words_of.values(), default=0), bits)
     tokens = sum(row["tokens"] for row in shards)
@@ -645,6 +789,8 @@ def fit_model(texts: DataFrame, text: str = "text", order: int = ORDER, folder:
     totals = {level: np.zeros(6, np.int64) for level in range(1, order + 1)}
     for row in chunks.select("kind", "counts").collect():  # a few numbers per shard and order
         totals[int(row["kind"].removeprefix("counts"))] += np.frombuffer(bytes(row["counts"]), np.int64)
+    tables = [f"gram{level}-" for level in totals] + [f"{name}{level}-" for level in totals if level > 1 for name in ("history", "hot")]
+    bind(spark, folder, bits, tables)
     for level, total in totals.items():
         model.discounts[level] = discounts_from(total)
     spent = model.discounts[1][1:] @ np.array([totals[1][0], totals[1][1], totals[1][5]], np.float64)

@@ -1,16 +1,21 @@
 from __future__ import annotations
 
 import math
+import os
 import re
+import resource
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallybird.llm.kneser_ney import Counts, Shelf, Sums, discounts_from, fit_model, keep_shard, mounted, pack, past_numbers, score_texts, unpack
+from tallybird.llm import kneser_ney
 from tallybird.llm.kneser_ney import pack_keys, unpack_keys
 from tallybird.llm.queries import op10_language_model_scores
+from tallybird.llm.tokens import text_slices
 
 TRAIN = [
     "the cat sat on the mat", "The cat ate the rat", "the dog sat on the cat", "a rat sat", "the the the", "", None, "dog dog cat\tsat\non",
@@ -173,3 +178,51 @@ def test_sorted_keys_travel_as_steps():
     assert (unpack_keys(pack_keys(keys), len(keys)) == keys).all()
     assert len(pack_keys(keys)) < 7 * len(keys)
     assert len(unpack_keys(pack_keys(keys[:0]), 0)) == 0
+
+
+def test_a_model_of_many_shards_maps_few_files(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 1)
+    model = fit_model(spark.createDataFrame([(t,) for t in TRAIN], "text string").repartition(3))
+    assert model.bits == 8
+    files = [f for _, _, names in os.walk(model.folder) for f in names]
+    assert len(files) <= 64 * 8  # one for each volume and shelf
+    brute, soft = Brute(TRAIN, 3), resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(os.listdir("/proc/self/fd")) + 16, soft[1]))
+    try:
+        for _, _, data, offsets in text_slices(pa.array(["" if t is None else t for t in TEXTS]), 1 << 20):
+            hashes, bounds = kneser_ney._word_hashes(data, offsets)
+            found = np.add.reduceat(model.log10(model.numbers(hashes)[0], bounds), bounds[:-1])
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, soft)
+    assert np.allclose(found, [brute.score(t) for t in TEXTS], rtol=1e-9)
+
+
+def test_bound_shards_are_found_like_single_ones(tmp_path):
+    rng, bits, inner = np.random.default_rng(9), 6, 2
+    # many keys with a finer table, few without one, none at all; the second volume has few keys only
+    rows = [300_000, 2_000, 0, 400_000, 0, 500, 0, 90] + [0] * 56
+    columns = {"count": Counts, "sums": Sums, "rank": kneser_ney.Numbers}
+    all_keys, all_counts = [], []
+    for shard, n in enumerate(rows):
+        keys = np.unique(rng.integers(0, 1 << (64 - bits), n, dtype=np.uint64)) | np.uint64(shard) << np.uint64(64 - bits)
+        counts = rng.choice([1, 2, 254, 255, 70_000, 1 << 40], len(keys))
+        sums = np.column_stack([counts, counts % 7, counts % 5, counts % 3])
+        sums[:, 0] = np.where(sums[:, 3] == 0, sums[:, 1] + 2 * sums[:, 2], counts)
+        if n:
+            path = kneser_ney.shard_path(str(tmp_path), "x", shard)
+            keep_shard(path, bits, keys, count=(Counts, counts), sums=(Sums, sums), rank=(kneser_ney.Numbers, np.arange(len(keys))))
+        all_keys.append(keys)
+        all_counts.append(np.column_stack([counts, np.arange(len(keys)), sums]))
+    for _ in range(2):  # a repeated task finds the shards gone and changes nothing
+        for volume in range(1 << (bits - inner)):
+            kneser_ney.bind_shards(str(tmp_path), "x", volume, bits, inner, columns)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["shards", "x0", "x1"] and not os.listdir(tmp_path / "shards")
+    keys, expected = np.concatenate(all_keys), np.concatenate(all_counts)
+    absent = np.setdiff1d(np.concatenate([keys[::50] + np.uint64(1), rng.integers(0, 1 << 64, 1000, dtype=np.uint64)]), keys)
+    asked = rng.permutation(np.concatenate([keys, absent]))
+    there, (count, sums, rank) = Shelf(str(tmp_path), "x", bits - inner, columns, inner).find(asked)
+    at = np.searchsorted(keys, asked) % len(keys)
+    assert (there == (keys[at] == asked)).all()
+    for found, column in ((count, expected[:, 0]), (rank, expected[:, 1]), (sums, expected[:, 2:])):
+        known = there if found.ndim == 1 else there[:, None]
+        assert (found == np.where(known, column[at], 0)).all()
