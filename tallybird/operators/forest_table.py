@@ -7,8 +7,9 @@ split of least Gini impurity; where no column of the block varies, it looks at t
 
 Nodes of more than ``small`` draws are split level by level: tasks count labels per node, column and bin,
 Spark adds the counts, and the best split of each node is chosen where its sums meet. The rows of all
-other nodes are sent, once per tree, to one task per node, which finishes the subtree. Both ways count
-whole numbers and share the choice, so ``small`` decides about work and memory, never about the trees.
+other nodes are sent, once per tree, to one task per few neighbouring nodes, which finishes their subtrees.
+Both ways count whole numbers and share the choice, so ``small`` decides about work and memory, never about
+the trees.
 """
 
 from __future__ import annotations
@@ -109,32 +110,47 @@ def cuts(hist: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _DRAWN = np.array([(k >> 1) * (1 + ((k & 1) << 32)) for k in range(32)], np.int64)
 
 
+def _keys(marks: np.ndarray, place: np.ndarray, nodes: int) -> np.ndarray:
+    """Each row's node above six bits for a bin, and below them its draws and label."""
+    kind = np.uint32 if nodes < 1 << 20 else np.uint64
+    keys = place.astype(kind)
+    keys *= kind(BINS * 32)
+    keys += marks
+    return keys
+
+
+def _ahead(n: np.ndarray) -> np.ndarray:
+    """Draws of all nodes ahead of each, those of label 1 above 32 bits."""
+    packed = n.sum(1) + (n[:, 1] << 32)
+    return np.cumsum(packed) - packed
+
+
 def sorted_cuts(value, marks, place, n: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``cuts`` of nodes with the counts ``n`` by label, from their rows in order of node and bin: only bins that
     hold rows are looked at, so that small nodes cost what their rows cost. ``marks`` holds each row's draws and
     label in five bits."""
-    nodes = len(n)
-    best, gain = np.zeros(nodes, np.int32), np.full(nodes, -1.0)
-    kind = np.uint32 if nodes < 1 << 20 else np.uint64
-    key = place.astype(kind)
-    key *= kind(BINS)
-    key += value
-    key *= kind(32)
-    key += marks
+    return _cuts_of(value, _keys(marks, place, len(n)), n, _ahead(n), weight)
+
+
+def _cuts_of(value, keys, n: np.ndarray, ahead: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    best, gain = np.zeros(len(n), np.int32), np.full(len(n), -1.0)
+    kind = keys.dtype.type
+    key = value.astype(kind)
+    key <<= kind(5)
+    key += keys
     key.sort()
-    cell = key >> kind(5)
-    ends = np.flatnonzero(cell[1:] != cell[:-1])
-    upto = np.cumsum(_DRAWN[key & kind(31)])[ends]
-    cell = cell[ends].astype(np.int64)
-    at = cell // BINS
-    total = n.sum(1)
-    left = (upto & 0xFFFFFFFF) - (np.cumsum(total) - total)[at]
-    inside = np.flatnonzero(left < total[at])  # the last bin of a node leaves nothing for its right side
-    if not len(inside):
+    # where the bin is another one behind a row and the node the same: the last bin leaves nothing for the right side
+    step = key[1:] ^ key[:-1]
+    step -= kind(32)
+    ends = np.flatnonzero(step < kind(BINS * 32 - 32))
+    if not len(ends):
         return best, gain
-    at, cell, left = at[inside], cell[inside], left[inside]
-    left1 = (upto[inside] >> 32) - (np.cumsum(n[:, 1]) - n[:, 1])[at]
-    found = _gains([left - left1, left1], [n[at, 0], n[at, 1]], weight)
+    upto = np.cumsum(_DRAWN.take(key & kind(31))).take(ends)
+    cell = (key.take(ends) >> kind(5)).astype(np.int64)
+    at = cell // BINS
+    upto -= ahead.take(at)
+    left, left1 = upto & 0xFFFFFFFF, upto >> 32
+    found = _gains([left - left1, left1], [n[:, 0].take(at), n[:, 1].take(at)], weight)
     starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
     most = np.maximum.reduceat(found, starts)
     hits = np.flatnonzero(found == np.repeat(most, np.diff(np.append(starts, len(at)))))
@@ -162,67 +178,78 @@ def _batch(columns: Sequence) -> pa.RecordBatch:
     )
 
 
-def grow(bins, label, times, tree: int, node: int, depth: int, weight, width: int, deepest: int | None) -> pa.Table:
-    """The whole subtree below (and with) a node, from its rows; all nodes of a level at once."""
+def grow(bins, label, times, tree: int, node, depth, weight, width: int, deepest: int | None, place=None) -> pa.Table:
+    """The whole subtrees below (and with) one node or several of a tree, from their rows; ``place`` tells whose a
+    row is. A level of all of them is made at once: what a level costs besides its rows is paid once."""
     columns = bins.shape[1]
     values, base = np.ascontiguousarray(bins).ravel(), np.arange(len(label)) * columns
     marks, times = (times.astype(np.uint32) * 2 + label).astype(np.uint32), times.astype(float)
-    nodes, place = np.array([node], np.int64), np.zeros(len(label), np.int64)
+    nodes, depth = np.atleast_1d(np.asarray(node, np.int64)), np.atleast_1d(np.asarray(depth, np.int64))
+    part, place = nodes, np.zeros(len(label), np.int64) if place is None else place
     made = []
     while len(nodes):
         a = len(nodes)
         n = np.bincount(place * 2 + (marks & 1), weights=times, minlength=2 * a).reshape(a, 2).astype(np.int64)
         feature, cut, gain = np.full(a, -1, np.int32), np.full(a, -1, np.int32), np.zeros(a)
         open_ = (n.min(1) > 0) & (deepest is None or depth < deepest)
+        todo = kept = np.flatnonzero(open_)
+        at, mark, start, among = place, marks, base, a
         for block in range(0, columns, width):
-            todo = np.flatnonzero(open_ & (feature < 0))
             if not len(todo):
                 break
             # few nodes come to a second block
             order = _first_columns(nodes[todo], columns, width) if block == 0 else column_order(nodes[todo], columns)[:, block:]
-            number = np.full(a, -1)
-            number[todo] = np.arange(len(todo))
-            at = number[place]
+            number = np.full(among, -1)
+            number[kept] = np.arange(len(todo))
+            at = number.take(at)
             rows = np.flatnonzero(at >= 0)
-            at, mark, start = at[rows], marks[rows], base[rows]
+            at, mark, start, among, whole = at.take(rows), mark.take(rows), start.take(rows), len(todo), n[todo]
             dense = len(rows) > len(todo) * BINS
-            drawn, cell = (times[rows], at * (2 * BINS) + (mark & 1)) if dense else (None, None)
+            if dense:
+                drawn, cell = (mark >> 1).astype(float), at * (2 * BINS) + (mark & 1)
+            else:
+                keys, ahead = _keys(mark, at, len(todo)), _ahead(whole)
             best = np.full(len(todo), -1.0)
             for j in range(min(width, columns - block)):
-                f = np.ascontiguousarray(order[:, j])
-                value = values[start + f[at]]
+                f = order[:, j].astype(np.int64)
+                here = f.take(at)
+                here += start
+                value = values.take(here)
                 if dense:
                     hist = np.bincount(cell + 2 * value.astype(np.int64), weights=drawn, minlength=len(todo) * BINS * 2)
                     bin_, found = cuts(hist.reshape(len(todo), BINS, 2), weight)
                 else:
-                    bin_, found = sorted_cuts(value, mark, at, n[todo], weight)
+                    bin_, found = _cuts_of(value, keys, whole, ahead, weight)
                 better = found > best
                 best = np.where(better, found, best)
                 feature[todo[better]], cut[todo[better]], gain[todo[better]] = f[better], bin_[better], found[better]
+            kept = np.flatnonzero(feature[todo] < 0)
+            todo = todo[kept]
         split = feature >= 0
         parents = nodes[split]
         below = np.zeros((a, 2), np.int64)
         below[split] = np.stack([child(parents, np.zeros(len(parents))), child(parents, np.ones(len(parents)))], 1)
         made.append(
             _batch(
-                [np.full(a, tree), nodes, np.full(a, depth), feature, cut, n[:, 0], n[:, 1], gain,
-                 np.where(split, SPLIT, LEAF), np.zeros(a), below[:, 0], below[:, 1], np.full(a, node)]
+                [np.full(a, tree), nodes, depth, feature, cut, n[:, 0], n[:, 1], gain,
+                 np.where(split, SPLIT, LEAF), np.zeros(a), below[:, 0], below[:, 1], part]
             )
         )
-        rows = np.flatnonzero(split[place])
-        base, marks, times, place = base[rows], marks[rows], times[rows], place[rows]
-        right = values[base + feature[place]] > cut[place]
-        after = np.cumsum(split) - 1
+        rows = np.flatnonzero(split.take(place))
+        base, marks, times, place = base.take(rows), marks.take(rows), times.take(rows), place.take(rows)
+        right = values.take(base + feature.take(place)) > cut.take(place)
+        after = (np.cumsum(split) - 1) * 2
         nodes = below[split].ravel()
-        place = after[place] * 2 + right
-        depth += 1
+        place = after.take(place) + right
+        depth, part = np.repeat(depth[split] + 1, 2), np.repeat(part[split], 2)
     return pa.Table.from_batches(made)
 
 
 @lru_cache(maxsize=2)
-def _tops(paths: tuple[str, ...]) -> dict[int, dict[str, np.ndarray]]:
+def _tops(paths: tuple[str, ...], small: int = SMALL) -> dict[int, dict[str, np.ndarray]]:
     """The nodes made level by level so far, sorted by name within each tree; a later line replaces an
-    earlier one. At most two per ``small`` draws."""
+    earlier one. At most two per ``small`` draws. Nodes to be handed over have a bundle: neighbours that begin
+    within the same ``small`` draws of their tree, which are fewer than twice as many in all."""
     tables = [pq.read_table(path).select(_NAMES) for path in paths]
     table = {name: np.concatenate([t.column(name).to_numpy() for t in tables]) for name in _NAMES}
     order = np.lexsort((np.arange(len(table["node"])), table["node"], table["tree"]))
@@ -235,6 +262,8 @@ def _tops(paths: tuple[str, ...]) -> dict[int, dict[str, np.ndarray]]:
     found = {int(t): {k: v[lo:hi] for k, v in table.items()} for t, lo, hi in zip(trees, first, ends)}
     for tree in found.values():  # where the children of split nodes are
         tree["low"], tree["high"] = (np.searchsorted(tree["node"], tree[f"{side}_child"]) for side in ("low", "high"))
+        handed = np.where(tree["state"] == HANDED, tree["n0"] + tree["n1"], 0)
+        tree["bundle"] = (np.cumsum(handed) - handed) // max(small, 1)
     return found
 
 
@@ -386,13 +415,13 @@ def _choose(columns: int, width: int, weight: np.ndarray, small: int, deepest: i
     return choose
 
 
-def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int):
-    """The rows of nodes that one task finishes, packed per block of rows and node."""
+def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int, small: int):
+    """The rows of nodes that one task finishes, packed per block of rows and node, with the node's bundle."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bins, keys, label in _in_blocks(batches, columns):
             for t in range(trees):
-                lines, tree, times = [], _tops(tops)[t], draws(keys, t, seed)
+                lines, tree, times = [], _tops(tops, small)[t], draws(keys, t, seed)
                 rows = np.flatnonzero(times)
                 at = _descend(tree, bins[rows], root(t, seed))
                 wanted = tree["state"][at] == HANDED
@@ -402,10 +431,12 @@ def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int):
                 packed = np.concatenate([bins[rows], label[rows, None], times[rows, None]], axis=1).astype(np.uint8)
                 places, first = np.unique(at, return_index=True)
                 for p, lo, hi in zip(places, first, np.append(first[1:], len(at))):
-                    lines.append((t, int(tree["node"][p]), int(tree["depth"][p]), packed[lo:hi].tobytes()))
+                    own = (int(tree[name][p]) for name in ("bundle", "node", "depth"))
+                    lines.append((t, *own, packed[lo:hi].tobytes()))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[i] for x in lines], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                    names=["tree", "node", "depth", "rows"],
+                    [pa.array([x[i] for x in lines], k) for i, k in enumerate(kinds)],
+                    names=["tree", "bundle", "node", "depth", "rows"],
                 )
 
     return pack
@@ -413,12 +444,13 @@ def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int):
 
 def _finish(columns: int, width: int, weight: np.ndarray, deepest: int | None):
     def finish(table: pa.Table) -> pa.Table:
-        tree, node, depth = (table.column(c)[0].as_py() for c in ("tree", "node", "depth"))
-        raw = b"".join(table.column("rows").to_pylist())
-        rows = np.frombuffer(raw, np.uint8).reshape(-1, columns + 2)
+        tree, raw = table.column("tree")[0].as_py(), table.column("rows").to_pylist()
+        nodes, first, place = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
+        place = np.repeat(place, [len(x) // (columns + 2) for x in raw])
+        rows = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, columns + 2)
         return grow(
             rows[:, :columns], rows[:, columns], rows[:, columns + 1],
-            tree, node, depth, weight, width, deepest,
+            tree, nodes, table.column("depth").to_numpy()[first], weight, width, deepest, place,
         )
 
     return finish
@@ -437,14 +469,18 @@ def _laid_out(node: np.ndarray, feature, cut, low, high, share) -> list[np.ndarr
     """
     order = np.argsort(node)
     node, feature, cut, low, high, share = (x[order] for x in (node, feature, cut, low, high, share))
-    children = np.stack([low, high], 1)
     inner = feature >= 0
-    named = np.unique(children[inner])
-    elsewhere = np.setdiff1d(named, node, assume_unique=True)
-    first = np.setdiff1d(node, named, assume_unique=True)
+    children = np.stack([low[inner], high[inner]], 1)
     # places by name, nodes of other files behind the own ones
     own = np.minimum(np.searchsorted(node, children), len(node) - 1)
-    place = np.where(node[own] == children, own, len(node) + np.searchsorted(elsewhere, children))
+    away = node[own] != children
+    elsewhere = np.unique(children[away])
+    own[away] = len(node) + np.searchsorted(elsewhere, children[away])
+    unnamed = np.ones(len(node), bool)
+    unnamed[own[~away]] = False
+    first = node[unnamed]
+    place = np.zeros((len(node), 2), np.int64)
+    place[inner] = own
     inner = np.append(inner, np.zeros(len(elsewhere), bool))
     levels, at = [], np.searchsorted(node, first)
     while len(at):
@@ -459,12 +495,11 @@ def _laid_out(node: np.ndarray, feature, cut, low, high, share) -> list[np.ndarr
     return [first, elsewhere, step, np.append(share, np.full(len(elsewhere), np.nan))[line]]
 
 
-def _write_files(folder: str, weight: np.ndarray):
+def _write_files(folder: str):
     def write(table: pa.Table) -> pa.Table:
-        ill = table.column("n1").to_numpy() * weight[1]
-        share = ill / (table.column("n0").to_numpy() * weight[0] + ill)
-        names = ("node", "feature", "bin", "low_child", "high_child")
-        parts = _laid_out(*(table.column(name).to_numpy() for name in names), share)
+        node, split, share = (table.column(name).to_numpy() for name in ("node", "split", "share"))
+        low, high = (child(node, np.full(len(node), side)) for side in (0, 1))
+        parts = _laid_out(node, split >> 8, split & 0xFF, low, high, share)
         tree, shard = table.column("tree")[0].as_py(), table.column("shard")[0].as_py()
         os.makedirs(folder, exist_ok=True)
         target = _file(folder, tree, shard)
@@ -543,9 +578,10 @@ def fit_forest_table(
         frontier = spark.read.parquet(f"{path}/{run}/{level}").where(F.col("state") == FRONTIER).count()
 
     done = spark.read.schema(NODES).parquet(*[f"{path}/{run}/level-{k}" for k in range(len(tops))])
+    # subtrees differ in size: many small tasks end together
     finished = binned.mapInArrow(
-        _hand_over(tops, trees, seed, len(columns)), "tree int, node long, depth int, rows binary"
-    ).repartition(_tasks(spark), "tree", "node").groupBy("tree", "node").applyInArrow(_finish(len(columns), width, weight, deepest), NODES)
+        _hand_over(tops, trees, seed, len(columns), small), "tree int, bundle long, node long, depth int, rows binary"
+    ).repartition(TASKS * _tasks(spark), "tree", "bundle").groupBy("tree", "bundle").applyInArrow(_finish(len(columns), width, weight, deepest), NODES)
     nodes = done.where(F.col("state").isin(SPLIT, LEAF)).unionByName(finished).drop("state", "block")
     model = ForestTable(
         path, tuple(columns), tuple(tuple(e.tolist()) for e in edges), tuple(weight.tolist()), trees, seed
@@ -556,7 +592,7 @@ def fit_forest_table(
 def _stored(spark: SparkSession, model: ForestTable, nodes: DataFrame) -> ForestTable:
     """Write the nodes as a table and as files, about ``FILE_NODES`` in each; subtrees that one task finished stay
     together, and where a tree has several files the nodes above its subtrees have one of their own."""
-    path, weight = model.path, np.array(model.weight)
+    path, weight = model.path, model.weight
     nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     nodes = model.nodes(spark)
     bits = max(0, math.ceil(math.log2(max(nodes.count(), 1) / max(model.trees, 1) / FILE_NODES)))
@@ -564,9 +600,17 @@ def _stored(spark: SparkSession, model: ForestTable, nodes: DataFrame) -> Forest
     shard = F.lit(0).cast("long")
     if bits:
         shard = F.when(F.col("part") == 0, F.lit(1 << bits)).otherwise(F.shiftrightunsigned("part", 64 - bits))
-    nodes = nodes.withColumn("shard", shard).repartition(_tasks(spark, model.trees << bits), "tree", "shard")
-    nodes.groupBy("tree", "shard").applyInArrow(
-        _write_files(model.files, weight), "tree int, shard long, n long"
+    # only what a file needs travels: names of children follow from the node's, column and bin share a number
+    ill = F.col("n1") * F.lit(weight[1])
+    needed = nodes.select(
+        "tree",
+        shard.alias("shard"),
+        "node",
+        F.when(F.col("feature") >= 0, F.col("feature") * 256 + F.col("bin")).otherwise(-1).alias("split"),
+        F.try_divide(ill, F.col("n0") * F.lit(weight[0]) + ill).alias("share"),
+    )
+    needed.repartition(_tasks(spark, model.trees << bits), "tree", "shard").groupBy("tree", "shard").applyInArrow(
+        _write_files(model.files), "tree int, shard long, n long"
     ).write.mode("overwrite").parquet(f"{path}/written")
     about = spark.createDataFrame([(json.dumps(model.__dict__),)], "value string")
     about.coalesce(1).write.mode("overwrite").text(f"{path}/about")

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -152,3 +154,32 @@ def test_odd_inputs(spark, tmp_path):
             assert [r[3] for r in _nodes(spark, leaf)] == [-1, -1]
     shallow = forest.fit_forest_table(df, COLUMNS, f"{tmp_path}/shallow", trees=2, small=10, deepest=2)
     assert max(r[2] for r in _nodes(spark, shallow)) == 2
+
+
+def test_subtrees_finished_together_are_those_finished_alone():
+    rng = np.random.default_rng(11)
+    weight, nodes, depths = np.array([0.8, 1.3]), [-5, 3, 77], [2, 4, 3]
+    lines, alone = [], []
+    for node, depth, n in zip(nodes, depths, (400, 1, 900)):
+        bins, label = rng.integers(0, 9, (n, 4)).astype(np.uint8), rng.integers(0, 2, n).astype(np.uint8)
+        times = rng.integers(1, 4, n).astype(np.uint8)
+        packed = np.concatenate([bins, label[:, None], times[:, None]], axis=1)
+        lines += [(node, depth, part.tobytes()) for part in np.array_split(packed, 3) if len(part)]
+        alone += forest.grow(bins, label, times, 6, node, depth, weight, 2, 12).to_pylist()
+    lines = [lines[k] for k in rng.permutation(len(lines))]  # blocks of several tasks, in any order
+    table = pa.table(
+        {"tree": pa.array([6] * len(lines), pa.int32()), "bundle": [0] * len(lines)}
+        | {name: [line[k] for line in lines] for k, name in enumerate(("node", "depth", "rows"))}
+    )
+    together = forest._finish(4, 2, weight, 12)(table).to_pylist()
+    assert sorted(together, key=lambda r: r["node"]) == sorted(alone, key=lambda r: r["node"])
+
+
+def test_bundles_hold_neighbours_of_few_draws(tmp_path):
+    draws = [30, 90, 10, 10, 250, 5, 60, 400]
+    lines = [(0, k, 1, -1, -1, n, 0, 0.0, forest.HANDED, 0, 0, 0, 0) for k, n in enumerate(draws)]
+    lines.append((1, 9, 0, -1, -1, 0, 0, 0.0, forest.HANDED, 0, 0, 0, 0))  # a root that is handed over at once
+    pq.write_table(pa.Table.from_batches([forest._batch(list(zip(*lines)))]), tmp_path / "level")
+    tops = forest._tops((f"{tmp_path}/level",), 100)
+    assert tops[0]["bundle"].tolist() == [0, 0, 1, 1, 1, 3, 3, 4]
+    assert tops[1]["bundle"].tolist() == [0]
