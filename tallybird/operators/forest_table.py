@@ -262,21 +262,32 @@ def _tops(paths: tuple[str, ...], small: int = SMALL) -> dict[int, dict[str, np.
     found = {int(t): {k: v[lo:hi] for k, v in table.items()} for t, lo, hi in zip(trees, first, ends)}
     for tree in found.values():  # where the children of split nodes are
         tree["low"], tree["high"] = (np.searchsorted(tree["node"], tree[f"{side}_child"]) for side in ("low", "high"))
+        # split nodes above open ones: no row has to go below the others while levels are counted
+        split, open_ = np.flatnonzero(tree["state"] == SPLIT), tree["state"] == FRONTIER
+        while True:
+            more = open_[tree["low"][split]] | open_[tree["high"][split]]
+            if (more == open_[split]).all():
+                break
+            open_[split] = more
+        tree["above_open"] = open_ & (tree["state"] == SPLIT)
         handed = np.where(tree["state"] == HANDED, tree["n0"] + tree["n1"], 0)
         tree["bundle"] = (np.cumsum(handed) - handed) // max(small, 1)
     return found
 
 
-def _descend(tree: dict[str, np.ndarray], bins: np.ndarray, start: int) -> np.ndarray:
-    """Place in ``tree`` of the node at which each row's way ends for now."""
-    at = np.full(len(bins), np.searchsorted(tree["node"], start))
-    moving = np.arange(len(bins))
-    while len(moving):
-        moving = moving[tree["state"][at[moving]] == SPLIT]
-        here = at[moving]
-        right = bins[moving, tree["feature"][here]] > tree["bin"][here]
-        at[moving] = np.where(right, tree["high"][here], tree["low"][here])
-    return at
+def _descend(tree: dict[str, np.ndarray], values: np.ndarray, columns: int, rows: np.ndarray, start: int, goes: np.ndarray) -> np.ndarray:
+    """Place in ``tree`` of the node at which each row's way ends for now: the first one from which it does not go
+    on. ``values`` are the bins of all rows, one row behind the other."""
+    here = np.full(len(rows), np.searchsorted(tree["node"], start))
+    at, moving, base = here.copy(), np.arange(len(rows)), rows * columns
+    while True:
+        on = np.flatnonzero(goes.take(here))
+        if not len(on):
+            return at
+        moving, here, base = moving.take(on), here.take(on), base.take(on)
+        right = values.take(base + tree["feature"].take(here)) > tree["bin"].take(here)
+        here = np.where(right, tree["high"].take(here), tree["low"].take(here))
+        at[moving] = here
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -357,13 +368,13 @@ def _level(tops: tuple[str, ...], trees: int, seed: int, columns: int, width: in
                     continue
                 times = draws(keys, t, seed)
                 rows = np.flatnonzero(times)
-                at = _descend(tree, bins[rows], root(t, seed))
-                wanted = tree["state"][at] == FRONTIER
-                rows, at = rows[wanted], at[wanted]
+                at = _descend(tree, values, columns, rows, root(t, seed), tree["above_open"])
+                wanted = np.flatnonzero((tree["state"] == FRONTIER).take(at))
+                rows, at = rows.take(wanted), at.take(wanted)
                 if not len(rows):
                     continue
-                number = np.cumsum(np.bincount(at, minlength=len(tree["node"])) > 0) - 1
-                places, place = np.unique(at), number[at]
+                there = np.bincount(at, minlength=len(tree["node"])) > 0
+                places, place = np.flatnonzero(there), (np.cumsum(there) - 1).take(at)
                 order = column_order(np.ascontiguousarray(tree["node"][places]), columns)
                 block, cell, times = tree["block"][places], place * BINS, times[rows]
                 start, twice = rows * columns, label[rows]
@@ -372,7 +383,7 @@ def _level(tops: tuple[str, ...], trees: int, seed: int, columns: int, width: in
                     inside = np.flatnonzero(block * width + j < columns)
                     feature = order[np.arange(len(places)), np.minimum(block * width + j, columns - 1)]
                     hist = np.bincount(
-                        (cell + values[start + feature[place]]) * 2 + twice, weights=times, minlength=len(places) * BINS * 2
+                        (cell + values.take(start + feature.take(place))) * 2 + twice, weights=times, minlength=len(places) * BINS * 2
                     ).reshape(len(places), BINS * 2).astype(np.int64)
                     made += [(int(places[k]), int(block[k]), int(feature[k]), hist[k].tobytes()) for k in inside]
                 here = np.array([line[0] for line in made])
@@ -420,10 +431,11 @@ def _hand_over(tops: tuple[str, ...], trees: int, seed: int, columns: int, small
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bins, keys, label in _in_blocks(batches, columns):
+            values = bins.ravel()
             for t in range(trees):
                 lines, tree, times = [], _tops(tops, small)[t], draws(keys, t, seed)
                 rows = np.flatnonzero(times)
-                at = _descend(tree, bins[rows], root(t, seed))
+                at = _descend(tree, values, columns, rows, root(t, seed), tree["state"] == SPLIT)
                 wanted = tree["state"][at] == HANDED
                 rows, at = rows[wanted], at[wanted]
                 order = np.argsort(at, kind="stable")
